@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import instants
+from barloom.operators import as_known, instants, regular_grid, rolling_totals, spikes
 from barloom.sources.tables import read_table
 
 
@@ -31,5 +31,98 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_normalised(spark, sf_dir).where("utc_us is not null and not standard").select("tab", "row_id", "utc_us")
 
 
-QUERIES = {"p3_normalised": p3_normalised, "p3_found": p3_found}
+PERIODS = (7, 30)
+VOLUMES = ("volume", "taker_buy_volume")
+
+
+def _day_text(day) -> object:
+    return F.date_format(F.date_from_unix_date(day.cast("int")), "yyyy-MM-dd")
+
+
+def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_totals.rolling_totals(
+        timed(spark, sf_dir, "ohlcv"), ["collector", "symbol"], ["timeframe"], "row_id", VOLUMES, active="volume", periods=PERIODS
+    )
+
+
+def p1_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and daily averages of the last 7 and 30 days for every collector, symbol and UTC day."""
+    state = rolling_totals.with_averages(_rolling(spark, sf_dir), VOLUMES, PERIODS)
+    return state.select(
+        "collector", "symbol", _day_text(F.col("day")).alias("day_utc"),
+        *(F.round(f"{v}_{k}{w}", 3).alias(f"{v}_{k}{w}") for v in VOLUMES for k in ("", "avg_") for w in PERIODS),
+        *(f"active_{w}" for w in PERIODS),
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rolling(spark, sf_dir).where("active_7 = 0").select("collector", "symbol", _day_text(F.col("day")).alias("day_utc"))
+
+
+STREAM = ["collector", "symbol", "timeframe"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = timed(spark, sf_dir, "ohlcv").select(*STREAM, "utc_us", "row_id", "close", "volume")
+    wind = timed(spark, sf_dir, "space_weather").select("collector", "utc_us", "row_id", "solar_wind_speed")
+    judged = spikes.judge(bars, STREAM, "row_id", {"close": spikes.CLOSE, "volume": spikes.VOLUME}, active="volume")
+    blown = spikes.judge(wind, ["collector"], "row_id", {"solar_wind_speed": spikes.WIND})
+    out = [
+        spikes.flagged_rows(rows, keys, "row_id", j).select(F.lit(tab).alias("tab"), "row_id", "field")
+        for tab, rows, keys, j in (("ohlcv", bars, STREAM, judged), ("space_weather", wind, ["collector"], blown))
+    ]
+    return out[0].unionByName(out[1])
+
+
+def p2_hampel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every plausible close with its rolling median, median absolute deviation and the filter's flags."""
+    bars = timed(spark, sf_dir, "ohlcv").select(*STREAM, "utc_us", "row_id", "close", "volume")
+    first = spikes.first_deliveries(bars, STREAM, "row_id", ["close", "volume"]).withColumn("_busy", F.coalesce(F.col("volume") > 0, F.lit(False)))
+    return spikes.hampel(first, STREAM, "close", spikes.CLOSE, "_busy").drop("_busy", "volume")
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    macro = read_table(spark, sf_dir, "macro").withColumn("utc_us", F.unix_date(F.trim("date").try_cast("date")).cast("bigint") * 86_400_000_000)
+    none = F.lit("")
+    streams = (
+        ("space_weather", timed(spark, sf_dir, "space_weather").withColumn("series", none), "row_id", "kp_index", 3 * 3600),
+        ("onchain_data", timed(spark, sf_dir, "onchain_data").withColumn("series", none), "id", "funding_rate", 8 * 3600),
+        ("macro", macro, "row_id", "value", 86400),
+    )
+    parts = [
+        regular_grid.on_grid(df, ["collector", "series"], key, F.col(col), width).select(F.lit(tab).alias("tab"), "*")
+        for tab, df, key, col, width in streams
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value per slot, collector and series with its standard error and whether the slot had no reading."""
+    return _grids(spark, sf_dir)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grids(spark, sf_dir).where("missing").select("tab", "collector", "series", "slot_start")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    collectors = read_table(spark, sf_dir, "collectors")
+    bars = read_table(spark, sf_dir, "ohlcv").where("symbol = 'BTC'").select("row_id", "collector", "open_time")
+    events = instants.normalise(spark, bars, "ohlcv", collectors).where("utc_us is not null").select("row_id", "utc_us")
+    for tab, out in (("macro_data", "macro_row_id"), ("ephemeris", "ephemeris_row_id")):
+        events = as_known.as_known(events, read_table(spark, sf_dir, tab), "row_id", out)
+    return events.select("row_id", "macro_row_id", "ephemeris_row_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_rolling_totals": p1_rolling_totals,
+    "p2_found": p2_found,
+    "p2_hampel": p2_hampel,
+    "p3_found": p3_found,
+    "p3_normalised": p3_normalised,
+    "p4_found": p4_found,
+    "p4_grid": p4_grid,
+    "p5_found": p5_found,
+}
 SQL: dict[str, str] = {}
