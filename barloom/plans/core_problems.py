@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import as_known, instants, regular_grid, rolling_totals, spikes
+from barloom.plans import core_sql
 from barloom.sources.tables import read_table
 
 
@@ -50,7 +51,7 @@ def p1_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = rolling_totals.with_averages(_rolling(spark, sf_dir), VOLUMES, PERIODS)
     return state.select(
         "collector", "symbol", _day_text(F.col("day")).alias("day_utc"),
-        *(F.round(f"{v}_{k}{w}", 3).alias(f"{v}_{k}{w}") for v in VOLUMES for k in ("", "avg_") for w in PERIODS),
+        *(f"{v}_{k}{w}" for v in VOLUMES for k in ("", "avg_") for w in PERIODS),
         *(f"active_{w}" for w in PERIODS),
     )
 
@@ -125,4 +126,4 @@ QUERIES = {
     "p4_grid": p4_grid,
     "p5_found": p5_found,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(core_sql.SQL)
