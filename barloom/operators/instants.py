@@ -64,27 +64,24 @@ def _intervals(lo: datetime, hi: datetime) -> list[tuple[str, int, int, int, str
 
 
 def zone_offsets(spark: SparkSession, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
-    """The exploded zone-offset intervals: zone_name, local_from, local_to, offset_us, abbr.
+    """One row per zone: its exploded offset intervals as an array of (local_from, local_to, offset_us, abbr).
 
     Bounded by the zone database: some 600 zones times two changes a year of the window."""
+    zones: dict[str, list] = {}
+    for name, *interval in _intervals(*window):
+        zones.setdefault(name, []).append(tuple(interval))
     return spark.createDataFrame(
-        _intervals(*window), "zone_name string, local_from bigint, local_to bigint, offset_us bigint, abbr string"
+        list(zones.items()), "zone_name string, offsets array<struct<local_from:bigint,local_to:bigint,offset_us:bigint,abbr:string>>"
     )
 
 
 def collector_clocks(spark: SparkSession, collectors: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
-    """One row per collector: basis, date order and its zone's intervals as an array (two per year of the window)."""
+    """One row per collector: basis, date order and its zone's intervals; broadcast only within a counted bound."""
     one = collectors.groupBy("collector").agg(
         F.min("zone_name").alias("zone_name"), F.min("epoch_basis").alias("epoch_basis"), F.min("date_order").alias("date_order")
     )
-    per_zone = zone_offsets(spark, window).groupBy("zone_name").agg(
-        F.sort_array(F.collect_list(F.struct("local_from", "local_to", "offset_us", "abbr"))).alias("offsets")
-    )
-    return small_side(
-        one.join(F.broadcast(per_zone), "zone_name", "left").select(
-            F.col("collector").alias("_c"), "epoch_basis", "date_order", "offsets"
-        )
-    )
+    clocks = one.join(F.broadcast(zone_offsets(spark, window)), "zone_name", "left")
+    return small_side(clocks.select(F.col("collector").alias("_c"), "epoch_basis", "date_order", "offsets"))
 
 
 def epoch_us(v: Column) -> Column:
@@ -142,22 +139,28 @@ def _parts(text: Column) -> Column:
     return F.split(canon, r"\|")
 
 
-def _wall(parts: Column, dmy: Column) -> Column:
-    """Wall-clock microseconds of the parts, NULL for a date or time that does not exist."""
-    part = lambda c: parts[_Spelling.FIELDS.index(c)]
+def _with_wall(df: DataFrame, parts: str, dmy: Column) -> DataFrame:
+    """Add _wall: wall-clock microseconds of the parts, NULL for a date or time that does not exist.
+
+    Numbers, then date, then clock in successive projections, so no expression is written out more than once."""
+    part = lambda c: F.col(parts)[_Spelling.FIELDS.index(c)]
     num = lambda c: part(c).try_cast("int")
-    flag = parts[len(_Spelling.FIELDS)]
-    swap = (flag == "S") & dmy
+    flag = F.col(parts)[len(_Spelling.FIELDS)]
     named = F.instr(F.lit(" ".join(MONTHS)), part("m"))
-    month = F.when(flag == "B", F.when((F.length(part("m")) == 3) & (named % 4 == 1), (named + 3) / 4)).when(swap, num("d")).otherwise(num("m"))
-    day = F.when(swap, num("m")).otherwise(num("d"))
+    month = F.when(flag == "B", F.when((F.length(part("m")) == 3) & (named % 4 == 1), ((named + 3) / 4).cast("int"))).otherwise(num("m"))
+    swap = F.coalesce((flag == "S") & dmy, F.lit(False))
     year = num("y") + F.when(F.length(part("y")) == 2, 2000).otherwise(0)
-    half = F.lower(part("a"))
-    hour = F.when(half == "", num("h")).when(num("h").between(1, 12), num("h") % 12 + F.when(half == "pm", 12).otherwise(0))
-    minute, second = num("i"), F.coalesce(num("s"), F.lit(0))
-    frac = F.rpad(part("f"), 6, "0").try_cast("bigint")
-    ok = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-    return F.when(ok, (_days(year, month.cast("int"), day) * 86400 + hour * 3600 + minute * 60 + second) * SECOND + frac).cast("bigint")
+    df = df.withColumns(
+        {"_y": year, "_a": month, "_b": num("d"), "_swap": swap, "_h": num("h"), "_i": num("i"), "_s": F.coalesce(num("s"), F.lit(0)),
+         "_half": F.lower(part("a")), "_f": F.rpad(part("f"), 6, "0").try_cast("bigint")}
+    )
+    hour = F.when(F.col("_half") == "", F.col("_h")).when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "pm", 12).otherwise(0))
+    df = df.withColumns({"_m": F.when(F.col("_swap"), F.col("_b")).otherwise(F.col("_a")), "_d": F.when(F.col("_swap"), F.col("_a")).otherwise(F.col("_b")), "_hour": hour})
+    df = df.withColumn("_days", _days(F.col("_y"), F.col("_m"), F.col("_d")))
+    ok = F.col("_hour").between(0, 23) & F.col("_i").between(0, 59) & F.col("_s").between(0, 59)
+    clock = F.col("_days") * 86400 + F.col("_hour") * 3600 + F.col("_i") * 60 + F.col("_s")
+    df = df.withColumn("_wall", F.when(ok, clock * SECOND + F.col("_f")).cast("bigint"))
+    return df.drop("_y", "_a", "_b", "_swap", "_h", "_i", "_s", "_half", "_f", "_m", "_d", "_hour", "_days")
 
 
 _T = r"(\d{1,2}):(\d{2})(?::(\d{2}))?"
@@ -222,15 +225,15 @@ def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple
         + F.coalesce(F.rpad(F.regexp_extract(text, number, 2), 6, "0").try_cast("bigint"), F.lit(0)),
     ).when(text.rlike(r"^\d{13}$|^\d{16}$|^\d{19}$"), epoch_us(text.try_cast("bigint")))
     j = df.join(clocks, F.col("collector") == F.col("_c"), "left").withColumns({"_epoch": epoch, "_p": _parts(text)})
-    j = j.withColumn("_wall", _wall(F.col("_p"), F.col("date_order") == "dmy"))
-    part = lambda c: F.col("_p")[_Spelling.FIELDS.index(c)]
-    wall, off, abbr = F.col("_wall"), part("o"), part("z")
+    part = lambda c: F.coalesce(F.col("_p")[_Spelling.FIELDS.index(c)], F.lit(""))
+    j = _with_wall(j, "_p", F.col("date_order") == "dmy").withColumns({"_off": part("o"), "_abbr": part("z")})
+    wall, off, abbr = F.col("_wall"), F.col("_off"), F.col("_abbr")
     first, n = _from_wall(wall, F.col("offsets"))
-    plain = wall.isNotNull() & (F.coalesce(off, F.lit("")) == "") & (F.coalesce(abbr, F.lit("")) == "")
+    plain = wall.isNotNull() & (off == "") & (abbr == "")
     us = (
         F.when(F.col("_epoch").isNotNull(), F.col("_epoch"))
-        .when(F.coalesce(off, F.lit("")) != "", wall - _offset_us(off))
-        .when(F.coalesce(abbr, F.lit("")) != "", _from_abbreviation(wall, abbr, F.col("offsets")))
+        .when(off != "", wall - _offset_us(off))
+        .when(abbr != "", _from_abbreviation(wall, abbr, F.col("offsets")))
         .otherwise(first)
     )
     return j.withColumns(
@@ -239,7 +242,7 @@ def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple
             "ambiguous": F.coalesce(plain & (n > 1), F.lit(False)),
             "nonexistent": F.coalesce(plain & (n == 0), F.lit(False)),
         }
-    ).drop("_c", "_epoch", "_p", "_wall", "epoch_basis", "date_order", "offsets")
+    ).drop("_c", "_epoch", "_p", "_wall", "_off", "_abbr", "epoch_basis", "date_order", "offsets")
 
 
 #: table -> (id column, time column, text?, standard form of the stored time as a test against utc_us)
@@ -260,8 +263,9 @@ def in_standard_form(tab: str, stored: Column, us: Column) -> Column:
     return (us % unit == 0) & (stored == F.call_function("div", us, unit))
 
 
-def normalise(spark: SparkSession, df: DataFrame, tab: str, collectors: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
-    """The rows of one of the timed tables with utc_us (bigint, NULL if the stored time denotes no instant)."""
+def normalise(df: DataFrame, tab: str, clocks: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
+    """The rows of one of the timed tables with utc_us (bigint, NULL if the stored time denotes no instant).
+
+    clocks: collector_clocks of the collector table, made once and used for every table of a query."""
     _, col, text = TIMED[tab]
-    clocks = collector_clocks(spark, collectors, window)
     return (with_text_instants if text else with_integer_instants)(df, col, clocks, window)

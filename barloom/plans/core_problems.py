@@ -12,17 +12,21 @@ from barloom.plans import core_sql
 from barloom.sources.tables import read_table
 
 
-def timed(spark: SparkSession, sf_dir: str, tab: str) -> DataFrame:
+def clocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"))
+
+
+def timed(spark: SparkSession, sf_dir: str, tab: str, clocks: DataFrame | None = None) -> DataFrame:
     """A timed table with utc_us; rows without an instant are dropped."""
-    df = instants.normalise(spark, read_table(spark, sf_dir, tab), tab, read_table(spark, sf_dir, "collectors"))
-    return df.where("utc_us is not null")
+    clocks = clocks_of(spark, sf_dir) if clocks is None else clocks
+    return instants.normalise(read_table(spark, sf_dir, tab), tab, clocks).where("utc_us is not null")
 
 
 def p3_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the four timed tables with its instant, whether it was standard, ambiguous or nonexistent."""
-    parts = []
+    parts, clocks = [], clocks_of(spark, sf_dir)
     for tab, (key, col, _) in instants.TIMED.items():
-        df = instants.normalise(spark, read_table(spark, sf_dir, tab), tab, read_table(spark, sf_dir, "collectors"))
+        df = instants.normalise(read_table(spark, sf_dir, tab), tab, clocks)
         standard = F.coalesce(instants.in_standard_form(tab, F.col(col), F.col("utc_us")), F.lit(False))
         parts.append(df.select(F.lit(tab).alias("tab"), F.col(key).alias("row_id"), "utc_us", standard.alias("standard"), "ambiguous", "nonexistent"))
     return reduce(DataFrame.unionByName, parts)
@@ -64,8 +68,9 @@ STREAM = ["collector", "symbol", "timeframe"]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = timed(spark, sf_dir, "ohlcv").select(*STREAM, "utc_us", "row_id", "close", "volume")
-    wind = timed(spark, sf_dir, "space_weather").select("collector", "utc_us", "row_id", "solar_wind_speed")
+    clocks = clocks_of(spark, sf_dir)
+    bars = timed(spark, sf_dir, "ohlcv", clocks).select(*STREAM, "utc_us", "row_id", "close", "volume")
+    wind = timed(spark, sf_dir, "space_weather", clocks).select("collector", "utc_us", "row_id", "solar_wind_speed")
     judged = spikes.judge(bars, STREAM, "row_id", {"close": spikes.CLOSE, "volume": spikes.VOLUME}, active="volume")
     blown = spikes.judge(wind, ["collector"], "row_id", {"solar_wind_speed": spikes.WIND})
     out = [
@@ -84,10 +89,10 @@ def p2_hampel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     macro = read_table(spark, sf_dir, "macro").withColumn("utc_us", F.unix_date(F.trim("date").try_cast("date")).cast("bigint") * 86_400_000_000)
-    none = F.lit("")
+    none, clocks = F.lit(""), clocks_of(spark, sf_dir)
     streams = (
-        ("space_weather", timed(spark, sf_dir, "space_weather").withColumn("series", none), "row_id", "kp_index", 3 * 3600),
-        ("onchain_data", timed(spark, sf_dir, "onchain_data").withColumn("series", none), "id", "funding_rate", 8 * 3600),
+        ("space_weather", timed(spark, sf_dir, "space_weather", clocks).withColumn("series", none), "row_id", "kp_index", 3 * 3600),
+        ("onchain_data", timed(spark, sf_dir, "onchain_data", clocks).withColumn("series", none), "id", "funding_rate", 8 * 3600),
         ("macro", macro, "row_id", "value", 86400),
     )
     parts = [
@@ -107,9 +112,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    collectors = read_table(spark, sf_dir, "collectors")
     bars = read_table(spark, sf_dir, "ohlcv").where("symbol = 'BTC'").select("row_id", "collector", "open_time")
-    events = instants.normalise(spark, bars, "ohlcv", collectors).where("utc_us is not null").select("row_id", "utc_us")
+    events = instants.normalise(bars, "ohlcv", clocks_of(spark, sf_dir)).where("utc_us is not null").select("row_id", "utc_us")
     for tab, out in (("macro_data", "macro_row_id"), ("ephemeris", "ephemeris_row_id")):
         events = as_known.as_known(events, read_table(spark, sf_dir, tab), "row_id", out)
     return events.select("row_id", "macro_row_id", "ephemeris_row_id")

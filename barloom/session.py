@@ -37,4 +37,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if its counted rows are within the bound, else unhinted (shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
