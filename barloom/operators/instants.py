@@ -20,7 +20,7 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import small_side
+from barloom.session import hold, small_side
 
 #: Readings fall between 2023-08 and 2025-01; a margin of a month either side. A parameter of every function here.
 WINDOW = (datetime(2023, 7, 1, tzinfo=UTC), datetime(2025, 3, 1, tzinfo=UTC))
@@ -150,17 +150,17 @@ def _with_wall(df: DataFrame, parts: str, dmy: Column) -> DataFrame:
     month = F.when(flag == "B", F.when((F.length(part("m")) == 3) & (named % 4 == 1), ((named + 3) / 4).cast("int"))).otherwise(num("m"))
     swap = F.coalesce((flag == "S") & dmy, F.lit(False))
     year = num("y") + F.when(F.length(part("y")) == 2, 2000).otherwise(0)
-    df = df.withColumns(
+    df = hold(
+        df,
         {"_y": year, "_a": month, "_b": num("d"), "_swap": swap, "_h": num("h"), "_i": num("i"), "_s": F.coalesce(num("s"), F.lit(0)),
-         "_half": F.lower(part("a")), "_f": F.rpad(part("f"), 6, "0").try_cast("bigint")}
+         "_half": F.lower(part("a")), "_f": F.rpad(part("f"), 6, "0").try_cast("bigint")},
     )
     hour = F.when(F.col("_half") == "", F.col("_h")).when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "pm", 12).otherwise(0))
-    df = df.withColumns({"_m": F.when(F.col("_swap"), F.col("_b")).otherwise(F.col("_a")), "_d": F.when(F.col("_swap"), F.col("_a")).otherwise(F.col("_b")), "_hour": hour})
-    df = df.withColumn("_days", _days(F.col("_y"), F.col("_m"), F.col("_d")))
+    df = hold(df, {"_m": F.when(F.col("_swap"), F.col("_b")).otherwise(F.col("_a")), "_d": F.when(F.col("_swap"), F.col("_a")).otherwise(F.col("_b")), "_hour": hour})
     ok = F.col("_hour").between(0, 23) & F.col("_i").between(0, 59) & F.col("_s").between(0, 59)
-    clock = F.col("_days") * 86400 + F.col("_hour") * 3600 + F.col("_i") * 60 + F.col("_s")
-    df = df.withColumn("_wall", F.when(ok, clock * SECOND + F.col("_f")).cast("bigint"))
-    return df.drop("_y", "_a", "_b", "_swap", "_h", "_i", "_s", "_half", "_f", "_m", "_d", "_hour", "_days")
+    clock = _days(F.col("_y"), F.col("_m"), F.col("_d")) * 86400 + F.col("_hour") * 3600 + F.col("_i") * 60 + F.col("_s")
+    df = hold(df, {"_wall": F.when(ok, clock * SECOND + F.col("_f")).cast("bigint")})
+    return df.drop("_y", "_a", "_b", "_swap", "_h", "_i", "_s", "_half", "_f", "_m", "_d", "_hour")
 
 
 _T = r"(\d{1,2}):(\d{2})(?::(\d{2}))?"
@@ -203,15 +203,17 @@ def _from_abbreviation(wall: Column, abbr: Column, offsets: Column) -> Column:
 
 def with_integer_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
     """Add utc_us, ambiguous, nonexistent for an integer epoch column of unknown unit and basis."""
-    j = df.join(clocks, F.col("collector") == F.col("_c"), "left").withColumn("_wall", plausible(epoch_us(F.col(col)), window))
+    j = df.join(clocks, F.col("collector") == F.col("_c"), "left")
+    j = hold(j, {"_wall": plausible(epoch_us(F.col(col)), window)})
     local = F.coalesce(F.col("epoch_basis") == "local", F.lit(False))
     first, n = _from_wall(F.col("_wall"), F.col("offsets"))
-    return j.withColumns(
+    return hold(
+        j,
         {
             "utc_us": F.when(local, first).otherwise(F.col("_wall")),
             "ambiguous": F.coalesce(local & (n > 1), F.lit(False)),
             "nonexistent": F.coalesce(local & F.col("_wall").isNotNull() & (n == 0), F.lit(False)),
-        }
+        },
     ).drop("_c", "_wall", "epoch_basis", "date_order", "offsets")
 
 
@@ -224,9 +226,10 @@ def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple
         F.regexp_extract(text, number, 1).try_cast("bigint") * SECOND
         + F.coalesce(F.rpad(F.regexp_extract(text, number, 2), 6, "0").try_cast("bigint"), F.lit(0)),
     ).when(text.rlike(r"^\d{13}$|^\d{16}$|^\d{19}$"), epoch_us(text.try_cast("bigint")))
-    j = df.join(clocks, F.col("collector") == F.col("_c"), "left").withColumns({"_epoch": epoch, "_p": _parts(text)})
+    j = df.join(clocks, F.col("collector") == F.col("_c"), "left")
+    j = hold(j, {"_epoch": epoch, "_p": _parts(text)})
     part = lambda c: F.coalesce(F.col("_p")[_Spelling.FIELDS.index(c)], F.lit(""))
-    j = _with_wall(j, "_p", F.col("date_order") == "dmy").withColumns({"_off": part("o"), "_abbr": part("z")})
+    j = hold(_with_wall(j, "_p", F.col("date_order") == "dmy"), {"_off": part("o"), "_abbr": part("z")})
     wall, off, abbr = F.col("_wall"), F.col("_off"), F.col("_abbr")
     first, n = _from_wall(wall, F.col("offsets"))
     plain = wall.isNotNull() & (off == "") & (abbr == "")
@@ -236,12 +239,13 @@ def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple
         .when(abbr != "", _from_abbreviation(wall, abbr, F.col("offsets")))
         .otherwise(first)
     )
-    return j.withColumns(
+    return hold(
+        j,
         {
             "utc_us": plausible(us, window),
             "ambiguous": F.coalesce(plain & (n > 1), F.lit(False)),
             "nonexistent": F.coalesce(plain & (n == 0), F.lit(False)),
-        }
+        },
     ).drop("_c", "_epoch", "_p", "_wall", "_off", "_abbr", "epoch_basis", "date_order", "offsets")
 
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import hold
+
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, k: int) -> DataFrame:
     """Add `prev` and `next`: arrays of `value` of up to k rows before and after in order, nearest last resp. first.
@@ -40,9 +42,9 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bl
     none = F.array().cast("array<struct<v:" + dict(rows.select(value.alias("v")).dtypes)["v"] + ">>")
     before = F.concat(F.coalesce("_before", none), "_p")
     after = F.concat("_n", F.coalesce("_after", none))
-    return joined.withColumns(
-        {
-            "prev": F.transform(F.slice(before, F.greatest(F.size(before) - k + 1, F.lit(1)), k), lambda x: x["v"]),
-            "next": F.transform(F.slice(after, 1, k), lambda x: x["v"]),
-        }
-    ).drop("_block", "_v", "_p", "_n", "_before", "_after", *(f"_r_{c}" for c in part))
+    joined = hold(joined, {"_before_all": before, "_after_all": after})
+    nearest = {
+        "prev": F.transform(F.slice("_before_all", F.greatest(F.size("_before_all") - k + 1, F.lit(1)), k), lambda x: x["v"]),
+        "next": F.transform(F.slice("_after_all", 1, k), lambda x: x["v"]),
+    }
+    return hold(joined, nearest).drop("_before_all", "_after_all", "_block", "_v", "_p", "_n", "_before", "_after", *(f"_r_{c}" for c in part))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side whose counted rows stay at or under this is broadcast; beyond it the join shuffles (AQE splits skewed keys).
@@ -38,3 +38,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if its counted rows are within the bound, else unhinted (shuffled join)."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def hold(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns behind a one-row generator: filters and projections above cannot copy the expressions into
+    themselves, which would write nested expressions out again and again."""
+    return df.select("*", F.inline(F.array(F.struct(*(e.alias(n) for n, e in columns.items())))))
