@@ -12,6 +12,35 @@ def _instants(name: str, tab: str, col: str) -> str:
     return _INSTANT.format(n=name, tab=tab, unit=_UNIT.format(c="t." + col))
 
 
+#: Zone abbreviations of the collectors' zones, hours east of UTC.
+_ABBR = {"UTC": 0, "GMT": 0, "BST": 1, "CET": 1, "CEST": 2, "EST": -5, "EDT": -4, "JST": 9, "IST": 5.5, "BRT": -3, "AEST": 10, "AEDT": 11}
+_HOURS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ABBR.items())
+
+
+def text_instants(name: str, tab: str, col: str) -> str:
+    """CTEs giving `name`: the rows of a table with text times plus utc_us."""
+    t = f'trim(t."{col}")'
+    wall = [
+        "try_strptime(s, '%Y-%m-%d %H:%M:%S')", "try_strptime(s, '%Y-%m-%dT%H:%M')", "try_strptime(s, '%d.%m.%Y %H:%M:%S')", "try_strptime(s, '%d %b %Y %H:%M:%S')",
+        "CASE WHEN date_order = 'dmy' THEN try_strptime(s, ['%d/%m/%Y %H:%M:%S', '%d/%m/%y %I:%M %p']) ELSE try_strptime(s, ['%m/%d/%Y %H:%M:%S', '%m/%d/%y %I:%M %p']) END",
+    ]
+    return f"""{name}_s AS (SELECT t.*, c.zone_name, c.date_order, {t} AS s FROM {tab} t LEFT JOIN collectors c USING (collector)),
+{name}_w AS (SELECT *, coalesce({", ".join(wall)}) AS wall,
+  CASE WHEN regexp_full_match(s, '[0-9]{{10}}([.][0-9]+)?') THEN CAST(round(CAST(s AS DOUBLE) * 1000000) AS BIGINT)
+   WHEN regexp_full_match(s, '[0-9]{{13}}') THEN CAST(s AS BIGINT) * 1000
+   WHEN regexp_full_match(s, '.* [A-Z]{{3,4}}') AND s NOT LIKE '%, % % % % GMT' OR regexp_full_match(s, '[A-Z][a-z]{{2}} [0-9]+, .* [A-Z]{{3,4}}') THEN
+    epoch_us(try_strptime(regexp_replace(s, ' [A-Z]{{3,4}}$', ''), ['%Y/%m/%d %H:%M:%S', '%b %d, %Y %I:%M:%S %p']))
+     - CAST(3600000000 * CASE regexp_extract(s, '[A-Z]{{3,4}}$') {_HOURS} END AS BIGINT)
+   WHEN s LIKE '% GMT' THEN epoch_us(try_strptime(s, '%a, %d %b %Y %H:%M:%S GMT'))
+   WHEN regexp_full_match(s, '[0-9]{{8}}T[0-9]{{6}}Z') THEN epoch_us(try_strptime(s, '%Y%m%dT%H%M%SZ'))
+   WHEN regexp_full_match(s, '[A-Z].* [+-][0-9]{{4}} [0-9]{{4}}') THEN epoch_us(try_strptime(s, '%a %b %d %H:%M:%S %z %Y'))
+   WHEN regexp_full_match(s, '.*[0-9] [+-][0-9]{{4}}') THEN epoch_us(try_strptime(s, '%Y-%m-%d %H:%M %z'))
+   WHEN regexp_full_match(s, '[0-9]{{4}}-.*([+-][0-9]{{2}}:[0-9]{{2}}|Z)') THEN epoch_us(TRY_CAST(s AS TIMESTAMPTZ)) END AS own FROM {name}_s),
+{name} AS (SELECT * FROM (SELECT *, coalesce(own, least(epoch_us(timezone(zone_name, wall)),
+   CASE WHEN timezone(zone_name, timezone(zone_name, wall) - INTERVAL 1 HOUR) = wall THEN epoch_us(timezone(zone_name, wall) - INTERVAL 1 HOUR) END)) AS utc_us FROM {name}_w)
+  WHERE utc_us >= 1688169600000000 AND utc_us < 1740787200000000)"""
+
+
 BARS = _instants("bars", "ohlcv", "open_time")
 WIND = _instants("wind", "space_weather", '"timestamp"')
 _CLEAN = "CASE WHEN {c} IS NULL OR isnan({c}) THEN 0 ELSE {c} END"
@@ -46,8 +75,73 @@ def _as_known(tab: str, out: str) -> str:
  AND CAST(left(trim(m.date), 10) AS DATE) <= CAST(make_timestamp(b.utc_us) AS DATE)) AS {out}"""
 
 
+CHAIN, TWEETS = text_instants("chain", "onchain_data", "timestamp"), text_instants("tweeted", "tweets", "created_at")
+DATED = """dated AS (SELECT *, epoch_us(CAST(CAST(trim(date) AS DATE) AS TIMESTAMP)) AS utc_us FROM macro)"""
+_FOUND3 = " UNION ALL ".join(
+    (
+        "SELECT 'ohlcv' AS tab, row_id, utc_us FROM bars WHERE CAST(open_time AS HUGEINT) * 1000 <> utc_us",
+        "SELECT 'space_weather', row_id, utc_us FROM wind WHERE CAST(\"timestamp\" AS HUGEINT) * 1000000 <> utc_us",
+        "SELECT 'onchain_data', id, utc_us FROM chain WHERE NOT regexp_full_match(\"timestamp\", '[0-9-]{10}T[0-9:]{8}[+]00:00')",
+        "SELECT 'tweets', row_id, utc_us FROM tweeted WHERE NOT regexp_full_match(created_at, '[0-9-]{10}T[0-9:]{8}[+]00:00')",
+    )
+)
+_SLOTS = """SELECT '{tab}' AS tab, collector, {series} AS series, s AS slot FROM (
+ SELECT collector, {group} unnest(range(min(utc_us // {us}), max(utc_us // {us}) + 1)) AS s FROM {src}
+ WHERE {x} IS NOT NULL AND NOT isnan({x}) GROUP BY collector{by}) t
+ EXCEPT SELECT '{tab}', collector, {series}, utc_us // {us} FROM {src} WHERE {x} IS NOT NULL AND NOT isnan({x})"""
+_FOUND4 = " UNION ALL ".join(
+    f"(SELECT tab, collector, series, slot * {w} AS slot_start FROM ({_SLOTS.format(tab=tab, series=series, group="" if series == "''" else "series,", by="" if series == "''" else ", series", us=w * 1000000, src=src, x=x)}))"
+    for tab, src, series, x, w in (
+        ("space_weather", "wind", "''", "kp_index", 10800),
+        ("onchain_data", "chain", "''", "funding_rate", 28800),
+        ("macro", "dated", "series", "value", 86400),
+    )
+)
+
+
+
+def _excursions(name: str, src: str, keys: str, x: str, relative: bool, busy: str) -> str:
+    """CTEs: {name} = (keys, utc_us) of excursions and stuck readings among the plausible readings of src."""
+    w = f"OVER (PARTITION BY {keys} ORDER BY utc_us)"
+    off = lambda v, n: f"({v} - {n})" + (f" / {n}" if relative else "")
+
+    def apart(values: list[str], sides: list[str]) -> str:
+        gaps = [off(v, n) for v in values for n in sides]
+        return "(" + " AND ".join(f"{g} > 12 * m" for g in gaps) + " OR " + " AND ".join(f"{g} < -12 * m" for g in gaps) + ")"
+
+    exact = " OR ".join((apart(["x"], ["p1", "n1"]), apart(["x", "n1"], ["p1", "n2"]), apart(["x", "p1"], ["p2", "n1"])))
+    step = "abs(x - p1)" + (" / p1" if relative else "")
+    return f"""{name}_q AS (SELECT {keys}, utc_us, {x} AS x, {busy} AS busy FROM {src}),
+{name}_n AS (SELECT *, lag(x) {w} AS p1, lag(x, 2) {w} AS p2, lead(x) {w} AS n1, lead(x, 2) {w} AS n2, lag(busy) {w} AS pb FROM {name}_q),
+{name}_m AS (SELECT {keys}, quantile_disc({step}, 0.5) AS m FROM {name}_n WHERE busy AND pb GROUP BY ALL),
+{name}_i AS (SELECT *, sum(CASE WHEN busy AND pb AND x = p1 THEN 0 ELSE 1 END) {w} AS island FROM {name}_n),
+{name}_r AS (SELECT *, count(*) OVER (PARTITION BY {keys}, island) AS len, row_number() OVER (PARTITION BY {keys}, island ORDER BY utc_us) AS nth FROM {name}_i),
+{name} AS (SELECT {keys}, utc_us FROM {name}_r JOIN {name}_m USING ({keys}) WHERE {exact} UNION SELECT {keys}, utc_us FROM {name}_r WHERE busy AND len >= 6 AND nth > 1)"""
+
+
+_K = "collector, symbol, timeframe"
+_VW = f"OVER (PARTITION BY {_K} ORDER BY utc_us)"
+_FOUND2 = f"""WITH {BARS}, {WIND},
+f AS (SELECT {_K}, utc_us, CASE WHEN NOT isnan(close) THEN close END AS c, CASE WHEN NOT isnan(volume) THEN volume END AS v
+ FROM bars QUALIFY row_number() OVER (PARTITION BY {_K}, utc_us ORDER BY row_id) = 1),
+fw AS (SELECT collector, utc_us, CASE WHEN NOT isnan(solar_wind_speed) THEN solar_wind_speed END AS s FROM wind QUALIFY row_number() OVER (PARTITION BY collector, utc_us ORDER BY row_id) = 1),
+fc AS (SELECT * FROM f WHERE c > 0 AND c <= 1e9), fv AS (SELECT * FROM f WHERE v >= 0 AND v <= 1e14), fs AS (SELECT * FROM fw WHERE s > 0 AND s <= 5000),
+{_excursions("xc", "fc", _K, "c", True, "coalesce(v > 0, FALSE)")},
+{_excursions("xv", "fv", _K, "v", False, "coalesce(v > 0, FALSE)")},
+{_excursions("xs", "fs", "collector", "s", False, "TRUE")},
+sv AS (SELECT {_K}, utc_us FROM xv_r WHERE busy AND len >= 6 AND nth > 1 UNION SELECT {_K}, utc_us FROM
+ (SELECT *, lag(v) {_VW} AS p1, lead(v) {_VW} AS n1 FROM fv WHERE v > 0) WHERE v > 15 * p1 AND v > 15 * n1 UNION SELECT {_K}, utc_us FROM f WHERE v < 0 OR v > 1e14),
+sc AS (SELECT {_K}, utc_us FROM xc UNION SELECT {_K}, utc_us FROM f WHERE c <= 0 OR c > 1e9),
+sw AS (SELECT collector, utc_us FROM xs UNION SELECT collector, utc_us FROM fw WHERE s <= 0 OR s > 5000)
+SELECT 'ohlcv' AS tab, row_id, 'close' AS field FROM bars JOIN sc USING ({_K}, utc_us)
+UNION ALL SELECT 'ohlcv', row_id, 'volume' FROM bars JOIN sv USING ({_K}, utc_us)
+UNION ALL SELECT 'space_weather', row_id, 'solar_wind_speed' FROM wind JOIN sw USING (collector, utc_us)"""
+
 SQL = {
     "p1_rolling_totals": _rolling(),
     "p1_found": f"SELECT collector, symbol, day_utc FROM ({_rolling()}) WHERE active_7 = 0",
+    "p2_found": _FOUND2,
+    "p3_found": f"WITH {BARS}, {WIND}, {CHAIN}, {TWEETS} {_FOUND3}",
+    "p4_found": f"WITH {WIND}, {CHAIN}, {DATED} {_FOUND4}",
     "p5_found": f"WITH {BARS} SELECT b.row_id, {_as_known('macro_data', 'macro_row_id')}, {_as_known('ephemeris', 'ephemeris_row_id')} FROM bars b WHERE symbol = 'BTC'",
 }
