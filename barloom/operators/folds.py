@@ -1,0 +1,257 @@
+"""Ordered state machines with no closed window form, as one Arrow-batched fold per series and calendar span.
+
+A series holds at most one bar an instant, so its length is bounded by the calendar; it travels as one group. Each fold
+is plain NumPy over the ordered bars. Defined results: bars with NULL prices must be dropped before; an empty series
+yields nothing."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def parabolic_sar(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """(stop level, 1 while rising): the stop follows the extreme point with a growing factor and flips when touched."""
+    n = len(high)
+    sar, up = np.zeros(n), np.ones(n, int)
+    if not n:
+        return sar, up
+    rising, factor, extreme = True, step, high[0]
+    sar[0] = low[0]
+    for i in range(1, n):
+        level = sar[i - 1] + factor * (extreme - sar[i - 1])
+        if rising:
+            level = min(level, low[i - 1], low[i - 2] if i > 1 else low[i - 1])
+            if low[i] < level:
+                rising, level, extreme, factor = False, extreme, low[i], step
+            elif high[i] > extreme:
+                extreme, factor = high[i], min(factor + step, most)
+        else:
+            level = max(level, high[i - 1], high[i - 2] if i > 1 else high[i - 1])
+            if high[i] > level:
+                rising, level, extreme, factor = True, extreme, high[i], step
+            elif low[i] < extreme:
+                extreme, factor = low[i], min(factor + step, most)
+        sar[i], up[i] = level, int(rising)
+    return sar, up
+
+
+def zigzag(close: np.ndarray, turn: float = 0.03) -> np.ndarray:
+    """Direction (1, -1, 0 before the first pivot) of the leg a bar belongs to, as known at the bar."""
+    out = np.zeros(len(close), int)
+    direction, pivot = 0, close[0] if len(close) else 0.0
+    for i, c in enumerate(close):
+        if direction >= 0 and c > pivot or direction <= 0 and c < pivot and direction != 0:
+            pivot = c
+        if direction >= 0 and c <= pivot * (1 - turn):
+            direction, pivot = -1, c
+        elif direction <= 0 and c >= pivot * (1 + turn):
+            direction, pivot = 1, c
+        out[i] = direction
+    return out
+
+
+def fair_value_gap(high: np.ndarray, low: np.ndarray, close: np.ndarray, cap: int = 50) -> np.ndarray:
+    """Signed distance to the middle of the nearest unfilled three-bar gap over close; NaN without one. Oldest gaps leave beyond `cap`."""
+    out, gaps = np.full(len(close), np.nan), []
+    for i in range(len(close)):
+        gaps = [(a, b) for a, b in gaps if not (low[i] <= a and high[i] >= b)]
+        if i >= 2:
+            if high[i - 2] < low[i]:
+                gaps.append((high[i - 2], low[i]))
+            elif low[i - 2] > high[i]:
+                gaps.append((high[i], low[i - 2]))
+            gaps = gaps[-cap:]
+        if gaps:
+            mids = np.array([(a + b) / 2 for a, b in gaps])
+            out[i] = (mids[np.abs(mids - close[i]).argmin()] - close[i]) / close[i]
+    return out
+
+
+def volume_profile(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, window: int = 20, bins: int = 20, area: float = 0.7):
+    """(point of control, position in the value area): volume shared evenly over the price bins a bar touches."""
+    n = len(close)
+    poc, position = np.full(n, np.nan), np.full(n, np.nan)
+    for i in range(window - 1, n):
+        h, lo, v = high[i - window + 1 : i + 1], low[i - window + 1 : i + 1], np.nan_to_num(volume[i - window + 1 : i + 1])
+        top, bottom = h.max(), lo.min()
+        if top <= bottom or v.sum() <= 0:
+            continue
+        width = (top - bottom) / bins
+        first = np.clip(((lo - bottom) / width).astype(int), 0, bins - 1)
+        last = np.clip(((h - bottom) / width).astype(int), 0, bins - 1)
+        hist = np.zeros(bins + 1)
+        share = v / (last - first + 1)
+        np.add.at(hist, first, share)
+        np.add.at(hist, last + 1, -share)
+        hist = hist.cumsum()[:bins]
+        a = b = int(hist.argmax())
+        held = hist[a]
+        while held < area * hist.sum() and (a > 0 or b < bins - 1):
+            below, above = hist[a - 1] if a > 0 else -1, hist[b + 1] if b < bins - 1 else -1
+            if above >= below:
+                b += 1
+                held += above
+            else:
+                a -= 1
+                held += below
+        poc[i] = bottom + (hist.argmax() + 0.5) * width
+        va_low, va_high = bottom + a * width, bottom + (b + 1) * width
+        position[i] = (close[i] - va_low) / (va_high - va_low)
+    return poc, position
+
+
+def wyckoff(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, window: int = 20) -> np.ndarray:
+    """Phase 0 none, 1 selling climax, 2 automatic rally, 3 secondary test, 4 spring, 5 sign of strength (no look-ahead)."""
+    n, phase = len(close), 0
+    out = np.zeros(n, int)
+    climax = rally = 0.0
+    for i in range(n):
+        if i < window:
+            continue
+        v = np.nan_to_num(volume[i - window : i])
+        heavy, low20 = np.nan_to_num(volume[i]) > 2 * v.mean(), low[i - window : i].min()
+        if heavy and low[i] < low20 and close[i] > low[i] + 0.4 * (high[i] - low[i]):
+            phase, climax, rally = 1, low[i], high[i]
+        elif phase == 1 and close[i] > close[i - 1]:
+            phase, rally = 2, max(rally, high[i])
+        elif phase == 2 and low[i] <= climax * 1.02:
+            phase = 3
+        elif phase == 3 and low[i] < climax and close[i] > climax:
+            phase = 4
+        elif phase in (3, 4) and close[i] > rally:
+            phase = 5
+        elif phase and close[i] < climax * 0.95:
+            phase = 0
+        out[i] = phase
+    return out
+
+
+def simulate(high, low, close, signal, atr, stop_atr=2.0, reward=2.0, hold=24, risk=0.01, fee=0.0005, start=1.0):
+    """One position at a time, stop before target before time exit; size by risk scaled down with drawdown. Trade rows."""
+    trades, balance, peak, i, n = [], start, start, 0, len(close)
+    while i < n - 1:
+        if signal[i] == 0 or not np.isfinite(atr[i]) or atr[i] <= 0:
+            i += 1
+            continue
+        side, entry = int(signal[i]), close[i]
+        stop, target = entry - side * stop_atr * atr[i], entry + side * reward * stop_atr * atr[i]
+        drawdown = 1 - balance / peak
+        size = risk * max(0.0, 1 - 2 * drawdown) if drawdown < 0.15 else 0.0
+        reason, leave, j = "time", close[min(i + hold, n - 1)], min(i + hold, n - 1)
+        for k in range(i + 1, min(i + hold, n - 1) + 1):
+            if (low[k] <= stop) if side > 0 else (high[k] >= stop):
+                reason, leave, j = "stop", stop, k
+                break
+            if (high[k] >= target) if side > 0 else (low[k] <= target):
+                reason, leave, j = "target", target, k
+                break
+        pnl = side * (leave - entry) / (stop_atr * atr[i]) * size - 2 * fee * size
+        balance *= 1 + pnl
+        peak = max(peak, balance)
+        trades.append((i, j, side, entry, leave, j - i, pnl, balance, reason))
+        i = j + 1
+    return trades
+
+
+def per_series(bars: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Run a fold over each series' bars in order of time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fold(pdf.sort_values("us", kind="stable").reset_index(drop=True))
+
+    return bars.groupBy("series").applyInPandas(run, schema)
+
+
+def pattern_columns(bars: DataFrame) -> DataFrame:
+    """Parabolic stop, zig-zag direction, gap distance, volume profile and Wyckoff phase of every bar."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        h, lo, c, v = (p[k].to_numpy(float) for k in ("high", "low", "close", "volume"))
+        sar, up = parabolic_sar(h, lo)
+        poc, pos = volume_profile(h, lo, c, v)
+        return pd.DataFrame(
+            {"series": p["series"], "us": p["us"], "sar_value": sar, "sar_bullish": up, "zigzag": zigzag(c), "fvg_distance": fair_value_gap(h, lo, c),
+             "vpoc": poc, "value_area_position": pos, "wyckoff_phase": wyckoff(h, lo, c, v)}
+        )
+
+    return per_series(bars, fold, "series string, us bigint, sar_value double, sar_bullish int, zigzag int, fvg_distance double, vpoc double, value_area_position double, wyckoff_phase int")
+
+
+def trade_log(bars: DataFrame, **params: float) -> DataFrame:
+    """Trades of a trend rule (above or below the 20-bar mean) on every series."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        h, lo, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
+        tr = np.maximum(h - lo, np.maximum(np.abs(h - np.roll(c, 1)), np.abs(lo - np.roll(c, 1))))
+        tr[:1] = (h - lo)[:1]
+        atr = pd.Series(tr).rolling(14).mean().to_numpy()
+        mean = pd.Series(c).rolling(20).mean().to_numpy()
+        signal = np.where(np.isnan(mean), 0, np.sign(c - mean)).astype(int)
+        rows = simulate(h, lo, c, signal, atr, **params)
+        out = pd.DataFrame(rows, columns=["entry_bar", "exit_bar", "direction", "entry_price", "exit_price", "bars_held", "pnl", "balance", "exit_reason"])
+        out.insert(0, "series", p["series"].iloc[0] if len(p) else "")
+        return out
+
+    return per_series(bars, fold, "series string, entry_bar int, exit_bar int, direction int, entry_price double, exit_price double, bars_held int, pnl double, balance double, exit_reason string")
+
+
+def grid_search(bars: DataFrame, grid: DataFrame, least_trades: int = 10) -> DataFrame:
+    """Every (series, parameter set) simulated as its own task unit; per series the best by balance and by Sortino ratio.
+
+    grid: idx, stop_atr, reward, hold. Bars are shuffled once per parameter block, not per set."""
+    params = [tuple(r) for r in grid.select("idx", "stop_atr", "reward", "hold").limit(100_001).collect()]
+    if len(params) > 100_000:
+        raise ValueError("a grid of more than 100,000 sets must be split into blocks")
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        h, lo, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
+        atr = pd.Series(h - lo).rolling(14).mean().to_numpy()
+        mean = pd.Series(c).rolling(20).mean().to_numpy()
+        signal = np.where(np.isnan(mean), 0, np.sign(c - mean)).astype(int)
+        rows = []
+        for idx, stop, reward, hold in params:
+            t = simulate(h, lo, c, signal, atr, stop_atr=stop, reward=reward, hold=hold)
+            pnl = np.array([x[6] for x in t])
+            down = np.sqrt((np.minimum(pnl, 0) ** 2).mean()) if len(pnl) else 0.0
+            rows.append((p["series"].iloc[0], idx, len(t), t[-1][7] if t else 1.0, float(pnl.mean() / down) if down > 0 else 0.0))
+        return pd.DataFrame(rows, columns=["series", "idx", "trades", "balance", "sortino"])
+
+    from pyspark.sql import functions as F
+
+    got = per_series(bars, fold, "series string, idx int, trades int, balance double, sortino double").where(F.col("trades") >= least_trades)
+    return got.groupBy("series").agg(
+        F.max_by("idx", F.struct("balance", -F.col("idx"))).alias("best_balance_idx"), F.max("balance").alias("best_balance"),
+        F.max_by("idx", F.struct("sortino", -F.col("idx"))).alias("best_sortino_idx"), F.count(F.lit(1)).alias("sets"),
+    )
+
+
+def knn_patterns(bars: DataFrame, length: int = 5, k: int = 10, lookback: int = 500, decay: float = 0.001) -> DataFrame:
+    """Walk-forward nearest patterns: z-scored changes of `length` bars against earlier ones of the same series only."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        c = p["close"].to_numpy(float)
+        n = len(c)
+        ch = np.diff(c) / c[:-1]
+        direction, confidence, mean, near = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
+        if n > length + k + 1:
+            win = np.lib.stride_tricks.sliding_window_view(ch, length)  # window i ends at bar i + length
+            z = (win - win.mean(1, keepdims=True)) / (win.std(1, keepdims=True) + 1e-12)
+            for i in range(length + k + 1, n):
+                w = i - length
+                lo = max(0, w - lookback)
+                cand = z[lo:w]  # their next return is known at bar i
+                d = np.sqrt(((cand - z[w]) ** 2).sum(1) + 1e-8)
+                take = np.argsort(d, kind="stable")[:k]
+                if len(take) < 3:
+                    continue
+                ret = ch[lo + take + length]
+                wt = 1 / (d[take] + 1e-8) * np.exp(-decay * (w - lo - take))
+                up = wt[ret > 0].sum() / wt.sum()
+                direction[i], confidence[i], mean[i], near[i] = float(up > 0.5), max(up, 1 - up), (wt * ret).sum() / wt.sum(), d[take].min()
+        return pd.DataFrame({"series": p["series"], "us": p["us"], "knn_direction": direction, "knn_confidence": confidence, "knn_return": mean, "knn_distance": near})
+
+    return per_series(bars, fold, "series string, us bigint, knn_direction double, knn_confidence double, knn_return double, knn_distance double")

@@ -1,7 +1,8 @@
 """Ordered neighbours of every row without putting a whole series into one task.
 
-A series is cut into time blocks; rows are hashed by (keys, block), so a hot series spreads over many tasks. The first
-and last k rows of each block travel to the adjacent blocks through a small per-block table (k rows a block)."""
+A series is cut into time blocks; rows are hashed by (keys, block) once, so a hot series spreads over many tasks, and
+every window below works on that one distribution. The first and last k rows of each block travel to the adjacent blocks
+through a small per-block table (k rows a block)."""
 
 from __future__ import annotations
 
@@ -12,39 +13,41 @@ from pyspark.sql import functions as F
 
 from barloom.session import hold
 
+BLOCK = "_block"
 
-def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, k: int) -> DataFrame:
-    """Add `prev` and `next`: arrays of `value` of up to k rows before and after in order, nearest last resp. first.
 
-    Neighbours are exact across blocks: each block that exists has at least one row, so k blocks either side suffice.
-    Ties in `order` fall in an arbitrary order; pass a unique last column to fix it. NULL values stay in the arrays."""
-    keys, part = list(keys), [*keys, "_block"]
-    rows = df.withColumns({"_block": block, "_v": F.struct(value.alias("v"))}).repartition(*[F.col(c) for c in part])
-    w = Window.partitionBy(*part).orderBy(*order)
-    back = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
-    edged = rows.select(*part, *order, "_v", F.row_number().over(w).alias("_a"), F.row_number().over(back).alias("_z"))
-    ends = edged.where(f"_a <= {k} or _z <= {k}").groupBy(*part).agg(
+def in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Add _block and distribute by (keys, block). NULL keys must be filled before."""
+    return df.withColumn(BLOCK, block).repartition(*[F.col(c) for c in (*keys, BLOCK)])
+
+
+def with_neighbours(df: DataFrame, keys: Sequence[str], order: str, value: Column, k: int) -> DataFrame:
+    """Add `prev` and `next` to a frame from in_blocks(): arrays of `value` of up to k rows before and after, in order.
+
+    Exact across blocks: a block that exists holds at least one row, so k blocks either side suffice. `order` must be
+    unique within keys. The frame is not shuffled again; only the k rows a block are."""
+    keys, part = list(keys), [*keys, BLOCK]
+    w, back = Window.partitionBy(*part).orderBy(order), Window.partitionBy(*part).orderBy(F.col(order).desc())
+    v = F.struct(value.alias("v"))
+    edged = df.select(*part, v.alias("_v"), F.row_number().over(w).alias("_a"), F.row_number().over(back).alias("_z")).where(f"_a <= {k} or _z <= {k}")
+    ends = edged.groupBy(*part).agg(
         F.sort_array(F.collect_list(F.when(F.col("_a") <= k, F.struct(F.col("_a").alias("i"), "_v")))).alias("_head"),
         F.sort_array(F.collect_list(F.when(F.col("_z") <= k, F.struct((-F.col("_z")).alias("i"), "_v")))).alias("_tail"),
     )
-    blocks = Window.partitionBy(*keys).orderBy("_block")
+    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     flat = lambda c: F.transform(F.flatten(c), lambda x: x["_v"])
     around = ends.select(
         *part,
-        flat(F.collect_list("_tail").over(blocks.rowsBetween(-k, -1))).alias("_before"),
-        flat(F.collect_list("_head").over(blocks.rowsBetween(1, k))).alias("_after"),
-    )
-    inner_prev, inner_next = F.collect_list("_v").over(w.rowsBetween(-k, -1)), F.collect_list("_v").over(w.rowsBetween(1, k))
-    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in part]
-    joined = rows.withColumns({"_p": inner_prev, "_n": inner_next}).join(
-        around.select(*(F.col(c).alias(f"_r_{c}") for c in part), "_before", "_after"), cond, "left"
-    )
-    none = F.array().cast("array<struct<v:" + dict(rows.select(value.alias("v")).dtypes)["v"] + ">>")
-    before = F.concat(F.coalesce("_before", none), "_p")
-    after = F.concat("_n", F.coalesce("_after", none))
-    joined = hold(joined, {"_before_all": before, "_after_all": after})
-    nearest = {
-        "prev": F.transform(F.slice("_before_all", F.greatest(F.size("_before_all") - k + 1, F.lit(1)), k), lambda x: x["v"]),
-        "next": F.transform(F.slice("_after_all", 1, k), lambda x: x["v"]),
-    }
-    return hold(joined, nearest).drop("_before_all", "_after_all", "_block", "_v", "_p", "_n", "_before", "_after", *(f"_r_{c}" for c in part))
+        F.slice(F.reverse(flat(F.collect_list("_tail").over(blocks.rowsBetween(-k, -1)))), 1, k).alias("_before"),
+        F.slice(flat(F.collect_list("_head").over(blocks.rowsBetween(1, k))), 1, k).alias("_after"),
+    ).repartition(*[F.col(c) for c in part])
+    inner = df.withColumns({"_p": F.collect_list(v).over(w.rowsBetween(-k, -1)), "_n": F.collect_list(v).over(w.rowsBetween(1, k))})
+    j = inner.join(around.hint("shuffle_merge"), part, "left")
+    plain = lambda a: F.transform(a, lambda x: x["v"])
+    return hold(
+        j,
+        {
+            "prev": plain(F.reverse(F.slice(F.concat(F.reverse("_p"), "_before"), 1, k))),
+            "next": plain(F.slice(F.concat("_n", "_after"), 1, k)),
+        },
+    ).drop("_p", "_n", "_before", "_after")

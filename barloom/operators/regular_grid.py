@@ -37,14 +37,14 @@ def slot_observations(rows: DataFrame, keys: Sequence[str], version: str, value:
     )
 
 
-def _smooth(t: np.ndarray, x: np.ndarray, noise: np.ndarray, q: np.ndarray, grid: np.ndarray, backward: bool = True):
+def _smooth(t: np.ndarray, x: np.ndarray, noise: np.ndarray, q: np.ndarray, grid: np.ndarray, backward: bool = True, prior: tuple[float, float] = (1e8, 1e4)):
     """Forward filter and (optionally) RTS smoother over (streams, nodes); noise inf where there is no observation.
 
     Nodes are at times t (days, rising); returns level and variance at `grid`, or the log likelihood."""
     s, n = t.shape
     seen = np.isfinite(noise)
     m0, v0 = np.zeros(s), np.zeros(s)
-    p00, p01, p11 = np.full(s, 1e8), np.zeros(s), np.full(s, 1e4)
+    p00, p01, p11 = np.full(s, prior[0]), np.zeros(s), np.full(s, prior[1])
     store = np.empty((10, n, s)) if backward else None
     like = np.zeros(s)
     first = np.ones(s, bool)

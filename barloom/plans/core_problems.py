@@ -83,8 +83,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_hampel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every plausible close with its rolling median, median absolute deviation and the filter's flags."""
     bars = timed(spark, sf_dir, "ohlcv").select(*STREAM, "utc_us", "row_id", "close", "volume")
-    first = spikes.first_deliveries(bars, STREAM, "row_id", ["close", "volume"]).withColumn("_busy", F.coalesce(F.col("volume") > 0, F.lit(False)))
-    return spikes.hampel(first, STREAM, "close", spikes.CLOSE, "_busy").drop("_busy", "volume")
+    readings = spikes.blocked_readings(bars, STREAM, "row_id", ["close", "volume"], spikes.CLOSE.block_days, "volume")
+    return spikes.hampel(readings, STREAM, "close", spikes.CLOSE, "_busy").drop("_busy", "volume")
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
