@@ -1,6 +1,6 @@
 """Matching records by nearest time (problem 6): expanding-ring joins.
 
-Right rows are reduced to one row per (key, instant) with the lowest id, then to one summary row per (key, bucket): its
+Right rows of keys the left side has are reduced to one row per (key, instant) with the lowest id, then to one summary row per (key, bucket): its
 first and last instant and, in the finest ring only, its instants in order. A summary is extended by the last instant of
 the bucket before and the first of the bucket after, so one equality join per ring finds the nearest candidate in the
 three adjacent buckets. Anything within one bucket width of the left row lies in those three buckets, so a candidate at
@@ -19,18 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, small_side
 
 
-def _summary(points: DataFrame, keys: Sequence[str], width: int, fine: bool) -> DataFrame:
-    """One row per (key, bucket) that has a right row in it or next to it: prev, next and, if fine, own points."""
-    p = F.struct("t", "id")
-    own = points.withColumn("_b", F.floor(F.col("t") / width).cast("bigint")).groupBy(*keys, "_b").agg(
-        F.min(p).alias("lo"), F.max(p).alias("hi"), *([F.collect_list(p).alias("own")] if fine else [])
-    )
+def _summary(own: DataFrame, keys: Sequence[str], fine: bool) -> DataFrame:
+    """One row per (key, bucket) that has a right row in it or next to it: prev, next and, if fine, its own points."""
     none = F.lit(None).cast(own.schema["lo"].dataType)
     roles = F.array(
         F.struct((F.col("_b") - 1).alias("b"), none.alias("prev"), F.col("lo").alias("next"), F.lit(False).alias("me")),
@@ -39,29 +35,36 @@ def _summary(points: DataFrame, keys: Sequence[str], width: int, fine: bool) ->
     )
     if not fine:
         roles = F.filter(roles, lambda r: ~r["me"])
-    spread = own.select(*keys, F.explode(roles).alias("r"), *(["own"] if fine else []))
-    mine = [F.first(F.when(F.col("r.me"), F.col("own")), ignorenulls=True).alias("_own")] if fine else []
-    return spread.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col("r.b").alias("_rb")).agg(
-        F.max("r.prev").alias("_prev"), F.max("r.next").alias("_next"), *mine
+    spread = own.select(*keys, F.inline(roles), *(["own"] if fine else []))
+    mine = [F.first(F.when(F.col("me"), F.col("own")), ignorenulls=True).alias("_own")] if fine else []
+    return spread.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col("b").alias("_rb")).agg(
+        F.max("prev").alias("_prev"), F.max("next").alias("_next"), *mine
     )
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_us: str, right_us: str, right_id: str, tolerance_us: int, out: str, rings: int = 4
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_us: str, right_us: str, right_id: str, tolerance_us: int, out: str, rings: int = 3
 ) -> DataFrame:
     """`left` plus `out`: the id of the right row of the same key nearest in time within the tolerance, else NULL."""
     keys = list(keys)
-    points = right.where(f"{right_us} is not null").groupBy(*keys, F.col(right_us).alias("t")).agg(F.min(right_id).alias("id"))
-    points = cut_lineage(points)
+    finest = -(-tolerance_us // 2 ** (rings - 1))
+    wanted = small_side(left.select(*keys).distinct())
+    points = right.where(f"{right_us} is not null").join(wanted, keys, "left_semi").groupBy(*keys, F.col(right_us).alias("t")).agg(F.min(right_id).alias("id"))
+    p = F.struct("t", "id")
+    fine_own = points.groupBy(*keys, F.floor(F.col("t") / finest).cast("bigint").alias("_b")).agg(F.min(p).alias("lo"), F.max(p).alias("hi"), F.collect_list(p).alias("own"))
+    fine_own = cut_lineage(fine_own)
     t = F.col("_t")
     rows = left.withColumns({"_t": F.col(left_us), "_best": F.lit(None).cast("struct<gap:bigint,id:bigint>"), "_salt": -2 - F.pmod(F.xxhash64(*left.columns), F.lit(1 << 40))})
-    widths = [-(-tolerance_us // 2**k) for k in range(rings - 1, -1, -1)]
+    widths = [finest * 2**k for k in range(rings)]
     candidate = lambda p: F.when(p.isNotNull(), F.struct(F.abs(p["t"] - t).alias("gap"), p["id"].alias("id")))
     for ring, width in enumerate(widths):
         fine = ring == 0
         done = F.col("_best.gap") <= (widths[ring - 1] if ring else -1)
         bucket = F.when(F.coalesce(done, F.lit(False)) | t.isNull(), F.col("_salt")).otherwise(F.floor(t / width).cast("bigint"))
-        s = _summary(points, keys, width, fine)
+        own = fine_own
+        if not fine:  # widths double, so a coarser bucket is a run of finest ones
+            own = fine_own.groupBy(*keys, F.call_function("div", F.col("_b") - F.pmod(F.col("_b"), F.lit(2**ring)), F.lit(2**ring)).alias("_b")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        s = _summary(own, keys, fine)
         cond = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_b") == F.col("_rb")]
         j = rows.withColumn("_b", bucket).join(s, cond, "left")
         found = [F.col("_best"), candidate(F.col("_prev")), candidate(F.col("_next"))]
