@@ -21,7 +21,7 @@ def time_columns(d: Dialect) -> Stages:
     s2 = {"h_i": "hour(ts)", "dow_i": d.weekday("ts"), "dom_i": "day(ts)", "month_i": "month(ts)", "year_i": "year(ts)", "doy_i": "dayofyear(ts)", "week_i": "weekofyear(ts)"}
     s3 = {}
     for name, col, n in (("hour", "h_i", 24), ("dow", "dow_i", 7), ("month", "month_i", 12), ("doy", "doy_i", 365)):
-        s3 |= {f"{name}_sin": f"sin({TAU} * {col} / {n}.0)", f"{name}_cos": f"cos({TAU} * {col} / {n}.0)"}
+        s3 |= {f"{name}_sin": f"round(sin({TAU} * {col} / {n}.0), 9)", f"{name}_cos": f"round(cos({TAU} * {col} / {n}.0), 9)"}
     for h in (0, 4, 6, 8, 12, 16, 20):
         s3[f"is_hour_{h}"] = flag(f"h_i = {h}")
     s3 |= {

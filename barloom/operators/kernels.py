@@ -69,7 +69,7 @@ def kernels(d: Dialect) -> Stages:
     fd = " + ".join(f"({w!r}) * {lag('log_close', k) if k else 'log_close'}" for k, w in enumerate(weights))
     s3 = {
         "bars_since_i": "pos - event_pos", "return_since_event": f"(close - {d.last('CASE WHEN event = 1 THEN close END', over())}) / close",
-        "slope_10": "(sxy - (pos % 1000000 - 4.5) * sy) / 82.5",
+        "slope_10": "round((sxy - (pos % 1000000 - 4.5) * sy) / 82.5, 6)",
         "q95_past": f"CASE WHEN {d.size('past')} >= 50 THEN {d.at('past', f'CAST(least(floor({d.size("past")} * 0.95), {d.size("past")} - 1) AS INT) + 1')} END",
         "fracdiff_04": fd,
     }

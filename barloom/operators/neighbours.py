@@ -24,30 +24,26 @@ def in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: str, value: Column, k: int) -> DataFrame:
     """Add `prev` and `next` to a frame from in_blocks(): arrays of `value` of up to k rows before and after, in order.
 
-    Exact across blocks: a block that exists holds at least one row, so k blocks either side suffice. `order` must be
-    unique within keys. The frame is not shuffled again; only the k rows a block are."""
+    `value` must not be NULL, `order` must be unique within keys. Exact across blocks: a block that exists holds at
+    least one row, so k blocks either side suffice. The frame is sorted once and not shuffled again; only the k rows a
+    block are."""
     keys, part = list(keys), [*keys, BLOCK]
-    w, back = Window.partitionBy(*part).orderBy(order), Window.partitionBy(*part).orderBy(F.col(order).desc())
-    v = F.struct(value.alias("v"))
-    edged = df.select(*part, v.alias("_v"), F.row_number().over(w).alias("_a"), F.row_number().over(back).alias("_z")).where(f"_a <= {k} or _z <= {k}")
-    ends = edged.groupBy(*part).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_a") <= k, F.struct(F.col("_a").alias("i"), "_v")))).alias("_head"),
-        F.sort_array(F.collect_list(F.when(F.col("_z") <= k, F.struct((-F.col("_z")).alias("i"), "_v")))).alias("_tail"),
+    w = Window.partitionBy(*part).orderBy(order)
+    placed = df.withColumns({"_v": value, "_a": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*part))})
+    ends = placed.where(f"_a <= {k} or _a > _n - {k}").groupBy(*part).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_a") <= k, F.struct("_a", "_v")))).alias("_head"),
+        F.sort_array(F.collect_list(F.when(F.col("_a") > F.col("_n") - k, F.struct("_a", "_v")))).alias("_tail"),
     )
     blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     flat = lambda c: F.transform(F.flatten(c), lambda x: x["_v"])
     around = ends.select(
         *part,
-        F.slice(F.reverse(flat(F.collect_list("_tail").over(blocks.rowsBetween(-k, -1)))), 1, k).alias("_before"),
-        F.slice(flat(F.collect_list("_head").over(blocks.rowsBetween(1, k))), 1, k).alias("_after"),
+        F.reverse(flat(F.collect_list("_tail").over(blocks.rowsBetween(-k, -1)))).alias("_before"),
+        flat(F.collect_list("_head").over(blocks.rowsBetween(1, k))).alias("_after"),
     ).repartition(*[F.col(c) for c in part])
-    inner = df.withColumns({"_p": F.collect_list(v).over(w.rowsBetween(-k, -1)), "_n": F.collect_list(v).over(w.rowsBetween(1, k))})
+    inner = placed.withColumns({"_p": F.collect_list("_v").over(w.rowsBetween(-k, -1)), "_q": F.collect_list("_v").over(w.rowsBetween(1, k))})
     j = inner.join(around.hint("shuffle_merge"), part, "left")
-    plain = lambda a: F.transform(a, lambda x: x["v"])
-    return hold(
-        j,
-        {
-            "prev": plain(F.reverse(F.slice(F.concat(F.reverse("_p"), "_before"), 1, k))),
-            "next": plain(F.slice(F.concat("_n", "_after"), 1, k)),
-        },
-    ).drop("_p", "_n", "_before", "_after")
+    edge_before = F.reverse(F.slice(F.concat(F.reverse("_p"), "_before"), 1, k))
+    edge_after = F.slice(F.concat("_q", "_after"), 1, k)
+    out = hold(j, {"prev": F.when(F.col("_a") > k, F.col("_p")).otherwise(edge_before), "next": F.when(F.col("_a") <= F.col("_n") - k, F.col("_q")).otherwise(edge_after)})
+    return out.drop("_v", "_a", "_n", "_p", "_q", "_before", "_after")

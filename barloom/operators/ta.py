@@ -75,25 +75,25 @@ def ranges(d: Dialect) -> Stages:
 def volume(d: Dialect) -> Stages:
     """Volume ratio and spike, taker ratio, on-balance volume, rolling VWAP, money flow, Chaikin flow, cumulative delta."""
     s1 = {
-        "volume_sma_20": rolling("avg", "volume", 20), "taker_buy_ratio": ratio("taker_buy_volume", "volume"),
+        "volume_sma_20": rolling("avg", "volume", 20, digits=None), "taker_buy_ratio": ratio("taker_buy_volume", "volume"),
         "signed": f"CASE WHEN close > {lag('close')} THEN volume WHEN close < {lag('close')} THEN -volume ELSE 0 END",
         "tp": "(high + low + close) / 3", "clv": f"coalesce({ratio('(close - low) - (high - close)', 'high - low')}, 0) * volume",
         "delta": "2 * taker_buy_volume - volume",
     }
     s2 = {
-        "volume_ratio": "round(" + ratio("volume", "volume_sma_20") + ", 10)", "obv": f"sum(coalesce(signed, 0)) {over()}",
-        "vwap_20": ratio(rolling("sum", "tp * volume", 20), rolling("sum", "volume", 20)),
+        "volume_ratio": ratio("volume", "volume_sma_20"), "obv": f"sum(coalesce(signed, 0)) {over()}",
+        "vwap_20": ratio(rolling("sum", "tp * volume", 20, digits=None), rolling("sum", "volume", 20, digits=None)),
         "flow_up": f"CASE WHEN tp > {lag('tp')} THEN tp * volume WHEN tp IS NOT NULL THEN 0.0 END",
         "flow_down": f"CASE WHEN tp < {lag('tp')} THEN tp * volume WHEN tp IS NOT NULL THEN 0.0 END",
-        "cmf_20": ratio(rolling("sum", "clv", 20), rolling("sum", "volume", 20)),
+        "cmf_20": ratio(rolling("sum", "clv", 20, digits=None), rolling("sum", "volume", 20, digits=None)),
         "cvd": f"sum(coalesce(delta, 0)) {over()}", "delta_ratio": ratio("delta", "volume"),
     }
     s3 = {
-        "volume_spike": flag("volume_ratio > 2"), "obv_sma_20": rolling("avg", "obv", 20), "close_vs_vwap": ratio("close - vwap_20", "vwap_20"),
-        "mfi_up": rolling("sum", "flow_up", 14), "mfi_down": rolling("sum", "flow_down", 14),
+        "volume_spike": flag("volume_ratio > 2"), "obv_sma_20": rolling("avg", "obv", 20, digits=None), "close_vs_vwap": ratio("close - vwap_20", "vwap_20"),
+        "mfi_up": rolling("sum", "flow_up", 14, digits=None), "mfi_down": rolling("sum", "flow_down", 14, digits=None),
         "cvd_cross": flag(f"(cvd > 0) <> ({lag('cvd')} > 0)"),
     }
-    s4 = {"obv_trend": flag("round(obv, 6) > round(obv_sma_20, 6)"), "mfi_14": f"100 - 100 / (1 + {ratio('mfi_up', 'mfi_down')})"}
+    s4 = {"obv_trend": flag("obv - obv_sma_20 > 0.000001"), "mfi_14": f"100 - 100 / (1 + {ratio('mfi_up', 'mfi_down')})"}
     return [s1, s2, s3, s4]
 
 
@@ -166,6 +166,6 @@ def _arg(d: Dialect, best: str, by: str, value: str, n: int) -> str:
 
 def effort(d: Dialect) -> Stages:
     """Effort against result, volume trend and bar score of ten bars, normalised by the last fifty."""
-    s1 = {"spread": "high - low", "up_move": flag(f"close > {lag('close')}"), "v10": rolling("sum", "volume", 10), "r10": rolling("sum", "high - low", 10)}
+    s1 = {"spread": "high - low", "up_move": flag(f"close > {lag('close')}"), "v10": rolling("sum", "volume", 10, digits=None), "r10": rolling("sum", "high - low", 10)}
     s2 = {"v_norm": ratio("v10", f"max(v10) {over(50)}"), "r_norm": ratio("r10", f"max(r10) {over(50)}"), "ups": rolling("sum", "up_move", 10)}
     return [s1, s2, {"effort_vs_result": "v_norm - r_norm", "directional_score": "least(100, greatest(0, 50 + 20 * sign(ups - 5) + 5 * (ups - 5)))"}]

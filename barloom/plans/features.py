@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions import calendar
+from barloom.functions import calendar, sky
 from barloom.operators import kernels, ta
 from barloom.plans.portable import DUCK, compile_stages, feature_query, lag, over
 from barloom.sources.bars import DUCK_BARS, bars
@@ -13,7 +13,8 @@ from barloom.sources.bars import DUCK_BARS, bars
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_HIDE = {"m20", "sd20", "hi14", "lo14", "tp", "tp_m20", "tp_sd20", "prev_high", "prev_low", "prev_open", "prev_close", "ts", "past", "struct_pack_low"}
+#: Helpers, and differences of long running sums, whose last bits depend on the order of summation.
+_HIDE = {"avwap_low", "avwap_high", "avwap_position", "low_pv", "low_v", "high_pv", "high_v", "pv_sum", "v_sum", "pv_before", "v_before", "m20", "sd20", "hi14", "lo14", "tp", "tp_m20", "tp_sd20", "prev_high", "prev_low", "prev_open", "prev_close", "ts", "past", "age0", "dow", "md", "hour_n", "first_planet", "day_n", "r1", "r1k", "r2k", "text_n"}
 
 
 def _add(name: str, build) -> None:
@@ -32,6 +33,8 @@ for _name, _build in {
     "kernels": kernels.kernels,
     "calendar_time": calendar.time_columns,
     "calendar_numerology": calendar.numerology,
+    "sky": sky.sky,
+    "numbers": sky.numbers,
 }.items():
     _add(_name, _build)
 

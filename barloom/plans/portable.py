@@ -88,9 +88,10 @@ def lead(x: str, k: int = 1) -> str:
     return f"lead({x}, {k}) OVER (PARTITION BY {PART} ORDER BY {ORDER})"
 
 
-def rolling(fn: str, x: str, n: int, least: int | None = None, skip: int = 0) -> str:
-    """fn(x) over n rows, NULL under `least` (n) present values, rounded so that engines agree on comparisons."""
-    return f"CASE WHEN count({x}) {over(n, skip)} >= {n if least is None else least} THEN round({fn}({x}) {over(n, skip)}, 10) END"
+def rolling(fn: str, x: str, n: int, least: int | None = None, skip: int = 0, digits: int | None = 10) -> str:
+    """fn(x) over n rows, NULL under `least` (n) present values; prices are rounded so that engines agree on comparisons."""
+    value = f"{fn}({x}) {over(n, skip)}"
+    return f"CASE WHEN count({x}) {over(n, skip)} >= {n if least is None else least} THEN {value if digits is None else f'round({value}, {digits})'} END"
 
 
 def flag(cond: str) -> str:
@@ -106,12 +107,17 @@ def change(x: str, k: int = 1) -> str:
     return f"({x} - {lag(x, k)}) / nullif({lag(x, k)}, 0)"
 
 
-def compile_stages(stages: Stages, source: str, keep: Sequence[str], show: Sequence[str]) -> str:
+def compile_stages(stages: Stages, source: str, keep: Sequence[str], show: Sequence[str], hold: bool = False) -> str:
     """Nested selects; fractional `show` columns are given to single precision, where both engines agree."""
     sql = source
     for stage in stages:
-        sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM ({sql}) t"
-    out = ", ".join([*keep, *(c if c.endswith("_i") or _is_flag(stages, c) else f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in show)])
+        if hold and not any(" OVER " in f" {e} " for e in stage.values()):
+            # plain expressions behind a one-row generator, so that later stages do not write them out again
+            fields = ", ".join(f"'{c}', {e}" for c, e in stage.items())
+            sql = f"SELECT * FROM ({sql}) t LATERAL VIEW inline(array(named_struct({fields}))) h"
+        else:
+            sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM ({sql}) t"
+    out = ", ".join([*keep, *(f"CAST({c} AS BIGINT) AS {c}" if c.endswith("_i") else c if _is_flag(stages, c) else f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in show)])
     return f"SELECT {out} FROM ({sql}) t"
 
 
@@ -130,7 +136,7 @@ def feature_query(
     """(Spark query, DuckDB text) of a feature group over a series source."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(compile_stages(build(SPARK), "SELECT * FROM {src}", keep, show), src=source(spark, sf_dir))
+        return spark.sql(compile_stages(build(SPARK), "SELECT * FROM {src}", keep, show, hold=True), src=source(spark, sf_dir))
 
     head, _, body = duck_source.partition("--body--")
     return run, f"{head} {compile_stages(build(DUCK), body, keep, show)}"

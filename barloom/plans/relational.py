@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import ciphers
-from barloom.operators import align, validate
+from barloom.operators import align, layers, validate
 from barloom.plans import core_sql
 from barloom.plans.core_problems import timed
 from barloom.plans.portable import DUCK, SPARK, Dialect, feature_query
@@ -102,10 +102,32 @@ common("distribution", lambda d: "SELECT symbol, " + ", ".join(f"{f32(d.quantile
        + f", {f32('avg(close)')} AS mean, {f32('stddev_samp(close)')} AS sd, count(DISTINCT series) AS series FROM {{bars}} GROUP BY symbol")
 common("correlation", lambda d: f"SELECT tf, {f32('corr(ln(high), ln(low))')} AS r, count(*) AS n FROM {{bars}} GROUP BY tf")
 common("value_counts", lambda d: "SELECT lower(trim(source)) AS source, lang, count(*) AS n FROM {documents} GROUP BY 1, 2")
-common("average_tie_ranks", lambda d: "SELECT doc_id, avg(rn) OVER (PARTITION BY lang, n_chars) AS rnk FROM (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rn FROM {documents}) t")
+common("average_tie_ranks", lambda d: """SELECT t.doc_id, CAST(c.rnk AS DOUBLE) AS rnk FROM {documents} t JOIN (SELECT lang, n_chars, sum(n) OVER (PARTITION BY lang ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n + (n + 1) / 2.0 AS rnk
+ FROM (SELECT lang, n_chars, count(*) AS n FROM {documents} GROUP BY 1, 2) g) c ON c.lang IS NOT DISTINCT FROM t.lang AND c.n_chars IS NOT DISTINCT FROM t.n_chars""")
 common("accuracy", lambda d: f"""SELECT tf, count(*) AS n, {f32('avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END)')} AS accuracy, {f32('avg(-ln(CASE WHEN hit THEN p ELSE 1 - p END))')} AS log_loss FROM (
  SELECT tf, pnl > 0 AS hit, 0.5 + 0.3 * (abs(pnl) / (abs(pnl) + 0.02)) AS p FROM {_TRADES(d)} t) u GROUP BY tf""")
 
+#: Bars held up to which a trade is a scalp, a day trade, a swing, by timeframe.
+HELD = {"1h": (1, 24, 72), "4h": (1, 6, 84), "1d": (0, 1, 30)}
+common("trade_types", lambda d: "SELECT tf, CASE " + " ".join(f"WHEN tf = '{t}' THEN CASE WHEN h <= {a} THEN 'scalp' WHEN h <= {b} THEN 'day_trade' WHEN h <= {c} THEN 'swing' ELSE 'position' END" for t, (a, b, c) in HELD.items())
+    + f" END AS trade_type, count(*) AS trades, {f32('avg(pnl)')} AS mean_pnl FROM (SELECT tf, pnl, {d.div('us', '3600000000')} % 97 AS h FROM {_TRADES(d)} t) u GROUP BY 1, 2")
+
+
+def _deflated(d: Dialect) -> str:
+    """Sharpe, its standard error for skew and kurtosis, the expected best of N trials, deflated Sharpe and p-value."""
+    x = "abs(dsr) / sqrt(2.0)"
+    t = f"(1 / (1 + 0.3275911 * {x}))"
+    # normal distribution by the five-term rational approximation of erf (error below 1.5e-7)
+    tail = f"0.5 * {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x})"
+    best = "(sqrt(2 * ln(1000.0)) - (0.5772156649 + ln(ln(1000.0))) / (2 * sqrt(2 * ln(1000.0))))"
+    return f"""SELECT tf, n, {f32('sharpe')} AS sharpe, {f32('se')} AS se, {f32('dsr')} AS dsr, {f32(f'CASE WHEN dsr > 0 THEN {tail} ELSE 1 - {tail} END')} AS p_value FROM (
+ SELECT *, (sharpe - {best}) / se AS dsr FROM (SELECT *, sqrt((1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n - 1)) AS se FROM (
+ SELECT tf, n, sharpe, (e3 - 3 * m * e2 + 2 * m * m * m) / power(e2 - m * m, 1.5) AS skew, (e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m) / power(e2 - m * m, 2) AS kurt FROM (
+ SELECT tf, count(*) AS n, avg(pnl) / stddev_samp(pnl) AS sharpe, avg(pnl) AS m, avg(pnl * pnl) AS e2, avg(pnl * pnl * pnl) AS e3, avg(pnl * pnl * pnl * pnl) AS e4 FROM {_TRADES(d)} t GROUP BY tf) a) b) c) e"""
+
+
+common("deflated_sharpe", _deflated)
+
 # ---------------------------------------------------------------- joins
 common("bucket_align", lambda d: f"""SELECT b.series, b.us, coalesce(e.n, 0) AS tweets FROM {{bars}} b LEFT JOIN (SELECT collector, {d.div('utc_us', '14400000000')} AS bucket, count(*) AS n FROM {{tweeted}} GROUP BY 1, 2) e
  ON e.bucket = {d.div('b.us', '14400000000')} AND b.series LIKE e.collector || ':%' """ if d.duck else """SELECT b.series, b.us, coalesce(e.n, 0) AS tweets FROM {bars} b LEFT JOIN
@@ -188,6 +210,24 @@ QUERIES["labels_targets"], SQL["labels_targets"] = feature_query(validate.target
 QUERIES["labels_triple_barrier"], SQL["labels_triple_barrier"] = feature_query(validate.triple_barrier, bars, DUCK_BARS, ["label_i"])
 
 
+for _name, _build in {"layer_memory": layers.memory, "layer_cycles": layers.cycles, "layer_regimes": layers.regimes, "layer_multi_timeframe": layers.multi_timeframe}.items():
+    _show = [c for st in _build(DUCK) for c in st if c not in ("price_text", "day_n")]
+    QUERIES[_name], SQL[_name] = feature_query(_build, bars, DUCK_BARS, _show)
+
+
+def _timed_series(tab: str, key: str, cols: str, cte: str, name: str) -> tuple[Callable, str]:
+    """The last delivery per instant of a timed table as a series of its collector."""
+    body = f"SELECT * FROM (SELECT collector AS series, utc_us AS us, {cols}, row_number() OVER (PARTITION BY collector, utc_us ORDER BY {key} DESC) AS rn FROM {{t}}) x WHERE rn = 1"
+    return lambda s, d: s.sql(body, t=timed(s, d, tab)), f"WITH {cte} --body-- {body.format(t=name)}"
+
+
+_n = lambda c, out: f"CASE WHEN NOT isnan({c}) THEN {c} END AS {out}"
+_src, _duck = _timed_series("onchain_data", "id", ", ".join(["fear_greed", _n("hash_rate", "hash_rate"), _n("whale_volume_btc", "whale"), _n("coinbase_premium", "premium"), _n("liq_long_vol", "liq_long_vol"), _n("liq_short_vol", "liq_short_vol")]), core_sql.CHAIN, "chain")
+QUERIES["onchain_columns"], SQL["onchain_columns"] = feature_query(layers.onchain, _src, _duck, [c for st in layers.onchain(DUCK) for c in st])
+_src, _duck = _timed_series("space_weather", "row_id", ", ".join([_n("kp_index", "kp_index"), _n("solar_wind_speed", "speed")]), core_sql.WIND, "wind")
+QUERIES["space_columns"], SQL["space_columns"] = feature_query(layers.space, _src, _duck, [c for st in layers.space(DUCK) for c in st if c not in ("storm_us",)])
+
+
 # ---------------------------------------------------------------- text
 def text_ciphers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_table(spark, sf_dir, "documents")
