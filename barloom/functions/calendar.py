@@ -7,7 +7,7 @@ from barloom.plans.portable import Dialect, Stages, flag
 #: Halving dates, new-moon reference (2000-01-06 18:14 UTC) and synodic month in days.
 HALVINGS_US = (1354060800000000, 1468022400000000, 1589155200000000, 1713571200000000)
 NEW_MOON_US, SYNODIC = 947182440000000, 29.53058867
-TAU = "6.283185307179586"
+TAU = "6.283185307179586e0"
 
 
 def _root(n: str) -> str:
@@ -21,7 +21,7 @@ def time_columns(d: Dialect) -> Stages:
     s2 = {"h_i": "hour(ts)", "dow_i": d.weekday("ts"), "dom_i": "day(ts)", "month_i": "month(ts)", "year_i": "year(ts)", "doy_i": "dayofyear(ts)", "week_i": "weekofyear(ts)"}
     s3 = {}
     for name, col, n in (("hour", "h_i", 24), ("dow", "dow_i", 7), ("month", "month_i", 12), ("doy", "doy_i", 365)):
-        s3 |= {f"{name}_sin": f"round(sin({TAU} * {col} / {n}.0), 9)", f"{name}_cos": f"round(cos({TAU} * {col} / {n}.0), 9)"}
+        s3 |= {f"{name}_sin": f"round(sin({TAU} * {col} / {n}e0), 9)", f"{name}_cos": f"round(cos({TAU} * {col} / {n}e0), 9)"}
     for h in (0, 4, 6, 8, 12, 16, 20):
         s3[f"is_hour_{h}"] = flag(f"h_i = {h}")
     s3 |= {
@@ -47,11 +47,11 @@ def numerology(d: Dialect) -> Stages:
         "day_13": flag("dom_i = 13"), "day_21": flag("dom_i = 21"), "is_prime_day": flag("dom_i IN (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31)"),
         "is_fibonacci_day": flag("dom_i IN (1, 2, 3, 5, 8, 13, 21)"), "shemitah": flag("(y_i - 5) % 7 = 0"), "doy_div_9": flag("doy_i % 9 = 0"),
         "stem_i": "(y_i - 4) % 10", "branch_i": "(y_i - 4) % 12", "sexagenary_i": "(y_i - 4) % 60",
-        "moon_age": f"((us - {NEW_MOON_US}) / 86400000000.0) - floor(((us - {NEW_MOON_US}) / 86400000000.0) / {SYNODIC}) * {SYNODIC}",
-        "days_since_halving": f"(us - {HALVINGS_US[2]}) / 86400000000.0", "days_to_halving": f"({HALVINGS_US[3]} - us) / 86400000000.0",
+        "moon_age": f"((us - {NEW_MOON_US}) / 86400000000e0) - floor(((us - {NEW_MOON_US}) / 86400000000e0) / {SYNODIC}e0) * {SYNODIC}e0",
+        "days_since_halving": f"(us - {HALVINGS_US[2]}) / 86400000000e0", "days_to_halving": f"({HALVINGS_US[3]} - us) / 86400000000e0",
         "price_contains_69": flag("CAST(price_int AS STRING) LIKE '%69%'"), "price_contains_113": flag("CAST(price_int AS STRING) LIKE '%113%'"),
         "price_palindrome": flag("price_int >= 10 AND CAST(price_int AS STRING) = reverse(CAST(price_int AS STRING))"),
         "round_1000": flag("price_int >= 1000 AND price_int % 1000 = 0"),
     }
-    s4 = {"date_dr_i": _root("CAST(date_sum AS INT)"), "vortex_369": flag(f"({_root('CAST(date_sum AS INT)')}) IN (3, 6, 9)"), "moon_sin": f"sin({TAU} * moon_age / {SYNODIC})"}
+    s4 = {"date_dr_i": _root("CAST(date_sum AS INT)"), "vortex_369": flag(f"({_root('CAST(date_sum AS INT)')}) IN (3, 6, 9)"), "moon_sin": f"sin({TAU} * moon_age / {SYNODIC}e0)"}
     return [s1, s2, s3, s4]

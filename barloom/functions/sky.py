@@ -24,14 +24,14 @@ def _mod(a: str, n: int) -> str:
 
 def sky(d: Dialect) -> Stages:
     """Moon age and phase, planetary hour and its ruler, zodiac sign, sexagenary day pillar, Tzolkin tone, sign and kin."""
-    s1 = {"ts": d.ts("us"), "day_n": f"CAST({d.day('us')} AS BIGINT)", "age0": f"(us - {NEW_MOON_US}) / {DAY_US}.0"}
-    s2 = {"moon_age": f"age0 - floor(age0 / {SYNODIC}) * {SYNODIC}", "dow": d.weekday("ts"), "md": "month(ts) * 100 + day(ts)", "hour_n": "hour(ts)"}
+    s1 = {"ts": d.ts("us"), "day_n": f"CAST({d.day('us')} AS BIGINT)", "age0": f"(us - {NEW_MOON_US}) / {DAY_US}e0"}
+    s2 = {"moon_age": f"age0 - floor(age0 / {SYNODIC}e0) * {SYNODIC}e0", "dow": d.weekday("ts"), "md": "month(ts) * 100 + day(ts)", "hour_n": "hour(ts)"}
     first = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(DAY_PLANET))
     sign = " ".join(f"WHEN md < {start} THEN '{(('Capricorn', 0), *ZODIAC)[i][0]}'" for i, (_, start) in enumerate(ZODIAC))
     s3 = {
         "phase_i": "CASE " + " ".join(f"WHEN moon_age < {x} THEN {i}" for i, x in enumerate(PHASES)) + " ELSE 7 END",
-        "lunar_sin": f"sin(6.283185307179586 * moon_age / {SYNODIC})", "first_planet": f"CASE dow {first} END",
-        "zodiac_i": f"CASE {sign} ELSE 'Capricorn' END", "stem_i": _mod(f"day_n - {STEM_DAY}", 10), "branch_i": _mod(f"day_n - {STEM_DAY}", 12),
+        "lunar_sin": f"sin(6.283185307179586e0 * moon_age / {SYNODIC}e0)", "first_planet": f"CASE dow {first} END",
+        "zodiac_t": f"CASE {sign} ELSE 'Capricorn' END", "stem_i": _mod(f"day_n - {STEM_DAY}", 10), "branch_i": _mod(f"day_n - {STEM_DAY}", 12),
         "tone_i": _mod(f"day_n - {TZOLKIN_DAY} + 3", 13) + " + 1", "tzolkin_i": _mod(f"day_n - {TZOLKIN_DAY} + 19", 20),
     }
     s4 = {"hour_planet_i": f"(first_planet + {_mod('hour_n - 6', 24)}) % 7", "kin_i": "((tone_i - 1) * 20 + tzolkin_i) % 260 + 1", "element_i": d.div("stem_i", "2")}

@@ -28,7 +28,7 @@ def cycles(d: Dialect) -> Stages:
     }
     s2 = {"ath_pos": d.last("CASE WHEN high = ath THEN pos END", over()), "atl_pos": d.last("CASE WHEN low = atl THEN pos END", over())}
     s3 = {"since_ath_i": "pos - ath_pos", "since_atl_i": "pos - atl_pos", "retrace_20": ratio("hi20 - close", "hi20 - lo20"), "phi_dist": "abs(close / nullif(c20, 0) - 1.618)"}
-    s3 |= {f"cycle_{n}_sin": f"sin(6.283185307179586 * (pos - 1) / {n}.0)" for n in (7, 14, 28, 90)}
+    s3 |= {f"cycle_{n}_sin": f"sin(6.283185307179586e0 * (pos - 1) / {n}e0)" for n in (7, 14, 28, 90)}
     fib = ", ".join(map(str, (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233)))
     s4 = {"fib_since_ath": flag(f"since_ath_i IN ({fib})"), "gann_since_atl": flag("since_atl_i IN (45, 90, 144, 180, 270, 360)"), "near_618": flag("abs(retrace_20 - 0.618) < 0.02")}
     return [s1, s2, s3, s4]
@@ -37,8 +37,8 @@ def cycles(d: Dialect) -> Stages:
 def regimes(d: Dialect) -> Stages:
     """Trend by the 100-bar mean and its slope, crash by volatility and drawdown, range position, rescaled-range exponent."""
     s1 = {"ret": f"round({change('close')}, 10)", "m100": f"round(avg(close) {over(100)}, 10)", "peak30": f"max(close) {over(30)}", "hi20": rolling("max", "high", 20), "lo20": rolling("min", "low", 20)}
-    s2 = {"slope": f"({lead('m100')} - {lag('m100')}) / (2 * m100)", "vol20": rolling("stddev_samp", "ret", 20, 10), "dd30": "1 - close / peak30", "dev": f"ret - avg(ret) {over(20)}", "r_sd": rolling("stddev_samp", "ret", 20)}
-    s3 = {"vol_mean": f"round(avg(vol20) {over(200)}, 10)", "range_pos": f"least(1.0, greatest(0.0, {ratio('close - lo20', 'hi20 - lo20')}))", "cum": f"sum(dev) {over(20)}"}
+    s2 = {"slope": f"round(({lead('m100')} - {lag('m100')}) / (2 * m100), 7)", "vol20": rolling("stddev_samp", "ret", 20, 10, digits=None), "dd30": "1 - close / peak30", "dev": f"ret - avg(ret) {over(20)}", "r_sd": rolling("stddev_samp", "ret", 20)}
+    s3 = {"vol_mean": f"avg(vol20) {over(200)}", "range_pos": f"least(1.0, greatest(0.0, {ratio('close - lo20', 'hi20 - lo20')}))", "cum": f"sum(dev) {over(20)}"}
     s4 = {
         "regime_i": "CASE WHEN vol20 > 2 * vol_mean AND close < m100 AND dd30 > 0.15 THEN 3 WHEN slope > 0.001 AND close > m100 THEN 1 WHEN slope < -0.001 AND close < m100 THEN 2 ELSE 0 END",
         "rs": f"(max(cum) {over(20)} - min(cum) {over(20)}) / nullif(r_sd, 0)",

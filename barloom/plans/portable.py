@@ -117,7 +117,7 @@ def compile_stages(stages: Stages, source: str, keep: Sequence[str], show: Seque
             sql = f"SELECT * FROM ({sql}) t LATERAL VIEW inline(array(named_struct({fields}))) h"
         else:
             sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM ({sql}) t"
-    out = ", ".join([*keep, *(f"CAST({c} AS BIGINT) AS {c}" if c.endswith("_i") else c if _is_flag(stages, c) else f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in show)])
+    out = ", ".join([*keep, *(f"CAST({c} AS BIGINT) AS {c}" if c.endswith("_i") else c if c.endswith("_t") or _is_flag(stages, c) else f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in show)])
     return f"SELECT {out} FROM ({sql}) t"
 
 

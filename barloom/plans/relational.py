@@ -70,18 +70,18 @@ common("upsert_latest", lambda d: """SELECT collector, symbol, t, row_id FROM (S
 
 # ---------------------------------------------------------------- filters
 common("null_share_constant_columns", lambda d: "SELECT " + ", ".join(
-    f"avg(CASE WHEN {clean(c, d)} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}_null, {f32(d.quantile(clean(c, d), 0.5, ''))} AS {c}_median, CASE WHEN max({clean(c, d)}) = min({clean(c, d)}) THEN 1 ELSE 0 END AS {c}_constant"
+    f"avg(CASE WHEN {clean(c, d)} IS NULL THEN 1e0 ELSE 0e0 END) AS {c}_null, {f32(d.quantile(clean(c, d), 0.5, ''))} AS {c}_median, CASE WHEN max({clean(c, d)}) = min({clean(c, d)}) THEN 1 ELSE 0 END AS {c}_constant"
     for c in ("spx", "dxy", "gold", "vix")) + " FROM {macro_data}")
 PERIODS = (("autumn_23", "2023-09-01", "2023-11-30"), ("winter_23", "2023-12-01", "2024-02-29"), ("spring_24", "2024-03-01", "2024-05-31"), ("all_24", "2024-01-01", "2024-12-31"))
 common("named_periods", lambda d: "SELECT p.name, count(*) AS bars, min(b.us) AS first_us, max(b.us) AS last_us FROM {bars} b JOIN (" + " UNION ALL ".join(
     f"SELECT '{n}' AS name, DATE '{a}' AS a, DATE '{z}' AS z" for n, a, z in PERIODS) + f") p ON CAST({d.ts('b.us')} AS DATE) BETWEEN p.a AND p.z GROUP BY p.name")
 
 # ---------------------------------------------------------------- roll-ups
-common("event_buckets", lambda d: f"""SELECT collector, {d.div('utc_us', '3600000000')} AS hour, count(*) AS tweets, max(is_retweet) AS any_retweet, sum(retweet_count) AS retweets,
+common("event_buckets", lambda d: f"""SELECT collector, {d.div('utc_us', '3600000000')} AS hour, count(*) AS tweets, max(is_retweet) AS any_retweet, CAST(sum(retweet_count) AS BIGINT) AS retweets,
  {f32('avg(favorite_count)')} AS favorites, min(user_handle) AS first_handle FROM {{tweeted}} GROUP BY 1, 2""")
 common("event_mode", lambda d: """SELECT collector, day_of_year FROM (SELECT collector, day_of_year, row_number() OVER (PARTITION BY collector ORDER BY n DESC, day_of_year) AS rn FROM
  (SELECT collector, day_of_year, count(*) AS n FROM {tweets} WHERE day_of_year IS NOT NULL GROUP BY 1, 2) c) t WHERE rn = 1""")
-common("daily_tweets", lambda d: f"""SELECT {d.day('utc_us')} AS day, count(DISTINCT user_handle) AS handles, sum(CASE WHEN lower(full_text) LIKE '%caution%' THEN 1 ELSE 0 END) AS caution,
+common("daily_tweets", lambda d: f"""SELECT {d.day('utc_us')} AS day, count(DISTINCT user_handle) AS handles, count(CASE WHEN lower(full_text) LIKE '%caution%' THEN 1 END) AS caution,
  {f32('avg(length(full_text))')} AS mean_length, count(DISTINCT tweet_id) AS tweets FROM {{tweeted}} GROUP BY 1""")
 common("last_in_bucket", lambda d: f"""SELECT collector, day, fear_greed, mempool_size FROM (SELECT collector, {d.day('utc_us')} AS day, fear_greed, mempool_size,
  row_number() OVER (PARTITION BY collector, {d.day('utc_us')} ORDER BY utc_us DESC, id DESC) AS rn FROM {{chain}}) t WHERE rn = 1""")
@@ -89,23 +89,23 @@ common("sum_in_bucket", lambda d: f"""SELECT collector, {d.day('utc_us')} AS day
  {f32(f"coalesce(sum({clean('liq_short_vol', d)}), 0)")} AS liq_short, count(CASE WHEN liq_long_count > liq_short_count THEN 1 END) AS long_heavy FROM {{chain}} GROUP BY 1, 2""")
 _TRADES = lambda d: f"""(SELECT series, symbol, tf, us, {d.ts('us')} AS ts, CASE WHEN prev_ret > 0 THEN 1 ELSE -1 END AS direction, (CASE WHEN prev_ret > 0 THEN 1 ELSE -1 END) * ret AS pnl FROM (
  SELECT *, lag(ret) OVER (PARTITION BY series ORDER BY us) AS prev_ret FROM (SELECT *, close / lag(close) OVER (PARTITION BY series ORDER BY us) - 1 AS ret FROM {{bars}}) r) q WHERE prev_ret IS NOT NULL AND abs(ret) < 0.5)"""
-common("monthly_heatmap", lambda d: "SELECT year(ts) AS y, " + ", ".join(
+common("monthly_heatmap", lambda d: "SELECT CAST(year(ts) AS BIGINT) AS y, " + ", ".join(
     f"{f32(f'coalesce(sum(CASE WHEN month(ts) = {m} THEN pnl END), 0)')} AS pnl_{m}, count(CASE WHEN month(ts) = {m} THEN 1 END) AS n_{m}" for m in range(1, 13)) + f" FROM {_TRADES(d)} t GROUP BY 1")
-common("weekly_performance", lambda d: f"""SELECT y, w, n, {f32('pnl')} AS pnl, {f32('sum(pnl) OVER (ORDER BY y, w)')} AS cumulative FROM (SELECT {'isoyear(ts)' if d.duck else 'extract(YEAROFWEEK FROM ts)'} AS y, weekofyear(ts) AS w,
+common("weekly_performance", lambda d: f"""SELECT CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, n, {f32('pnl')} AS pnl, {f32('sum(pnl) OVER (ORDER BY y, w)')} AS cumulative FROM (SELECT {'isoyear(ts)' if d.duck else 'extract(YEAROFWEEK FROM ts)'} AS y, weekofyear(ts) AS w,
  count(*) AS n, sum(pnl) AS pnl FROM {_TRADES(d)} t GROUP BY 1, 2) u""")
-common("breakdown", lambda d: f"""SELECT symbol, direction, count(*) AS trades, {f32('avg(pnl)')} AS mean_pnl, {f32('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate,
+common("breakdown", lambda d: f"""SELECT symbol, direction, count(*) AS trades, {f32('avg(pnl)')} AS mean_pnl, {f32('avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate,
  {"array_to_string(list_sort(list(DISTINCT tf)), ',')" if d.duck else "array_join(sort_array(collect_set(tf)), ',')"} AS timeframes FROM {_TRADES(d)} t GROUP BY 1, 2""")
-common("timeframe_summary", lambda d: f"""SELECT tf, count(*) AS trades, {f32('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {f32('min(equity - peak)')} AS worst_drawdown FROM (
+common("timeframe_summary", lambda d: f"""SELECT tf, count(*) AS trades, {f32('avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {f32('min(equity - peak)')} AS worst_drawdown FROM (
  SELECT *, max(equity) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM (
  SELECT *, sum(pnl) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM {_TRADES(d)} t) u) v GROUP BY tf""")
 common("distribution", lambda d: "SELECT symbol, " + ", ".join(f"{f32(d.quantile('close', q, ''))} AS q{round(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
        + f", {f32('avg(close)')} AS mean, {f32('stddev_samp(close)')} AS sd, count(DISTINCT series) AS series FROM {{bars}} GROUP BY symbol")
 common("correlation", lambda d: f"SELECT tf, {f32('corr(ln(high), ln(low))')} AS r, count(*) AS n FROM {{bars}} GROUP BY tf")
 common("value_counts", lambda d: "SELECT lower(trim(source)) AS source, lang, count(*) AS n FROM {documents} GROUP BY 1, 2")
-common("average_tie_ranks", lambda d: """SELECT t.doc_id, CAST(c.rnk AS DOUBLE) AS rnk FROM {documents} t JOIN (SELECT lang, n_chars, sum(n) OVER (PARTITION BY lang ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n + (n + 1) / 2.0 AS rnk
+common("average_tie_ranks", lambda d: """SELECT t.doc_id, CAST(c.rnk AS DOUBLE) AS rnk FROM {documents} t JOIN (SELECT lang, n_chars, sum(n) OVER (PARTITION BY lang ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n + (n + 1) / 2e0 AS rnk
  FROM (SELECT lang, n_chars, count(*) AS n FROM {documents} GROUP BY 1, 2) g) c ON c.lang IS NOT DISTINCT FROM t.lang AND c.n_chars IS NOT DISTINCT FROM t.n_chars""")
-common("accuracy", lambda d: f"""SELECT tf, count(*) AS n, {f32('avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END)')} AS accuracy, {f32('avg(-ln(CASE WHEN hit THEN p ELSE 1 - p END))')} AS log_loss FROM (
- SELECT tf, pnl > 0 AS hit, 0.5 + 0.3 * (abs(pnl) / (abs(pnl) + 0.02)) AS p FROM {_TRADES(d)} t) u GROUP BY tf""")
+common("accuracy", lambda d: f"""SELECT tf, count(*) AS n, {f32('avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END)')} AS accuracy, {f32('avg(-ln(CASE WHEN hit THEN p ELSE 1 - p END))')} AS log_loss FROM (
+ SELECT tf, pnl > 0 AS hit, 0.5e0 + 0.3e0 * (abs(pnl) / (abs(pnl) + 0.02e0)) AS p FROM {_TRADES(d)} t) u GROUP BY tf""")
 
 #: Bars held up to which a trade is a scalp, a day trade, a swing, by timeframe.
 HELD = {"1h": (1, 24, 72), "4h": (1, 6, 84), "1d": (0, 1, 30)}
@@ -115,14 +115,14 @@ common("trade_types", lambda d: "SELECT tf, CASE " + " ".join(f"WHEN tf = '{t}'
 
 def _deflated(d: Dialect) -> str:
     """Sharpe, its standard error for skew and kurtosis, the expected best of N trials, deflated Sharpe and p-value."""
-    x = "abs(dsr) / sqrt(2.0)"
-    t = f"(1 / (1 + 0.3275911 * {x}))"
+    x = "abs(dsr) / sqrt(2e0)"
+    t = f"(1 / (1 + 0.3275911e0 * {x}))"
     # normal distribution by the five-term rational approximation of erf (error below 1.5e-7)
-    tail = f"0.5 * {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x})"
-    best = "(sqrt(2 * ln(1000.0)) - (0.5772156649 + ln(ln(1000.0))) / (2 * sqrt(2 * ln(1000.0))))"
+    tail = f"0.5e0 * {t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * (-1.453152027e0 + {t} * 1.061405429e0)))) * exp(-{x} * {x})"
+    best = "(sqrt(2 * ln(1000e0)) - (0.5772156649e0 + ln(ln(1000e0))) / (2 * sqrt(2 * ln(1000e0))))"
     return f"""SELECT tf, n, {f32('sharpe')} AS sharpe, {f32('se')} AS se, {f32('dsr')} AS dsr, {f32(f'CASE WHEN dsr > 0 THEN {tail} ELSE 1 - {tail} END')} AS p_value FROM (
  SELECT *, (sharpe - {best}) / se AS dsr FROM (SELECT *, sqrt((1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n - 1)) AS se FROM (
- SELECT tf, n, sharpe, (e3 - 3 * m * e2 + 2 * m * m * m) / power(e2 - m * m, 1.5) AS skew, (e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m) / power(e2 - m * m, 2) AS kurt FROM (
+ SELECT tf, n, sharpe, (e3 - 3 * m * e2 + 2 * m * m * m) / power(e2 - m * m, 1.5e0) AS skew, (e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m) / power(e2 - m * m, 2) AS kurt FROM (
  SELECT tf, count(*) AS n, avg(pnl) / stddev_samp(pnl) AS sharpe, avg(pnl) AS m, avg(pnl * pnl) AS e2, avg(pnl * pnl * pnl) AS e3, avg(pnl * pnl * pnl * pnl) AS e4 FROM {_TRADES(d)} t GROUP BY tf) a) b) c) e"""
 
 
@@ -132,8 +132,8 @@ common("deflated_sharpe", _deflated)
 common("bucket_align", lambda d: f"""SELECT b.series, b.us, coalesce(e.n, 0) AS tweets FROM {{bars}} b LEFT JOIN (SELECT collector, {d.div('utc_us', '14400000000')} AS bucket, count(*) AS n FROM {{tweeted}} GROUP BY 1, 2) e
  ON e.bucket = {d.div('b.us', '14400000000')} AND b.series LIKE e.collector || ':%' """ if d.duck else """SELECT b.series, b.us, coalesce(e.n, 0) AS tweets FROM {bars} b LEFT JOIN
  (SELECT collector, utc_us div 14400000000 AS bucket, count(*) AS n FROM {tweeted} GROUP BY 1, 2) e ON e.bucket = b.us div 14400000000 AND substring_index(b.series, ':', 1) = e.collector""")
-common("parameter_grid", lambda d: "SELECT a AS lev, b AS risk, c AS hold, row_number() OVER (ORDER BY a, b, c) AS idx FROM (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 5) x CROSS JOIN (SELECT 0.5 AS b UNION ALL SELECT 1.0) y CROSS JOIN (SELECT 12 AS c UNION ALL SELECT 24) z")
-common("token_lexicon", lambda d: f"""SELECT t.doc_id, count(*) AS tokens, sum(CASE WHEN l.side = 1 THEN 1 ELSE 0 END) AS bull, sum(CASE WHEN l.side = -1 THEN 1 ELSE 0 END) AS bear FROM
+common("parameter_grid", lambda d: "SELECT a AS lev, b AS risk, c AS hold, CAST(row_number() OVER (ORDER BY a, b, c) AS BIGINT) AS idx FROM (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 5) x CROSS JOIN (SELECT 5e-1 AS b UNION ALL SELECT 1e0) y CROSS JOIN (SELECT 12 AS c UNION ALL SELECT 24) z")
+common("token_lexicon", lambda d: f"""SELECT t.doc_id, count(*) AS tokens, count(CASE WHEN l.side = 1 THEN 1 END) AS bull, count(CASE WHEN l.side = -1 THEN 1 END) AS bear FROM
  (SELECT doc_id, {"unnest(regexp_extract_all(lower(text), '[a-z]+'))" if d.duck else "explode(regexp_extract_all(lower(text), '([a-z]+)', 1))"} AS word FROM {{documents}}) t LEFT JOIN
  ({' UNION ALL '.join(f"SELECT '{w}' AS w, {s} AS side" for ws, s in ((ciphers.BULL, 1), (ciphers.BEAR, -1)) for w in ws)}) l ON l.w = t.word GROUP BY t.doc_id""")
 common("date_spine", lambda d: f"""SELECT s.source, s.day, coalesce(n, 0) AS docs FROM (SELECT source, {'unnest(range(a, z + 1))' if d.duck else 'explode(sequence(a, z))'} AS day FROM
@@ -141,13 +141,13 @@ common("date_spine", lambda d: f"""SELECT s.source, s.day, coalesce(n, 0) AS doc
   FROM {{documents}} WHERE published_at IS NOT NULL AND source IS NOT NULL GROUP BY 1) r) s LEFT JOIN
  (SELECT lower(trim(source)) AS source, {'epoch_us(published_at)' if d.duck else 'unix_micros(published_at)'} {'//' if d.duck else 'div'} 86400000000 AS day, count(*) AS n FROM {{documents}} WHERE published_at IS NOT NULL GROUP BY 1, 2) c
  ON c.source = s.source AND c.day = s.day""")
-common("longest_text_in_interval", lambda d: f"""SELECT collector, bucket, row_id, len FROM (SELECT collector, {d.div('utc_us', '14400000000')} AS bucket, row_id, length(full_text) AS len,
+common("longest_text_in_interval", lambda d: f"""SELECT collector, bucket, row_id, CAST(len AS BIGINT) AS len FROM (SELECT collector, {d.div('utc_us', '14400000000')} AS bucket, row_id, length(full_text) AS len,
  row_number() OVER (PARTITION BY collector, {d.div('utc_us', '14400000000')} ORDER BY length(full_text) DESC, row_id) AS rn FROM {{tweeted}} WHERE full_text IS NOT NULL) t WHERE rn = 1""")
 common("quintiles", lambda d: f"""SELECT q, count(*) AS n, {f32('avg(x)')} AS mean_x, {f32('avg(y)')} AS mean_y FROM (SELECT least({d.div('rn - 1', f"greatest({d.div('n', '5')}, 1)")}, 4) AS q, x, y FROM (
  SELECT x, y, row_number() OVER (ORDER BY x, row_id) AS rn, count(*) OVER () AS n FROM (SELECT row_id, {clean('spx', d)} AS x, {clean('gold', d)} AS y FROM {{macro_data}}) m WHERE x IS NOT NULL AND y IS NOT NULL) t) u GROUP BY q""")
 common("correlation_significance", lambda d: f"""SELECT {f32('r')} AS r, n, {f32('r * sqrt((n - 2) / (1 - r * r))')} AS t, CASE WHEN abs(r * sqrt((n - 2) / (1 - r * r))) > 2.576 THEN '***' WHEN abs(r * sqrt((n - 2) / (1 - r * r))) > 1.96 THEN '**' ELSE '' END AS stars
  FROM (SELECT corr(x, y) AS r, count(*) AS n FROM (SELECT {clean('spx', d)} AS x, {clean('dxy', d)} AS y FROM {{macro_data}}) m WHERE x IS NOT NULL AND y IS NOT NULL) c""")
-common("liquidations_by_side", lambda d: f"""SELECT collector, sum(liq_long_count) AS longs, sum(liq_short_count) AS shorts, {f32('sum(' + clean('liq_long_vol', d) + ')')} AS long_volume, count(CASE WHEN liq_long_count IS NULL AND liq_short_count IS NULL THEN 1 END) AS unknown FROM {{chain}} GROUP BY collector""")
+common("liquidations_by_side", lambda d: f"""SELECT collector, CAST(sum(liq_long_count) AS BIGINT) AS longs, CAST(sum(liq_short_count) AS BIGINT) AS shorts, {f32('sum(' + clean('liq_long_vol', d) + ')')} AS long_volume, count(CASE WHEN liq_long_count IS NULL AND liq_short_count IS NULL THEN 1 END) AS unknown FROM {{chain}} GROUP BY collector""")
 common("lunar_mansions", lambda d: f"SELECT moon_mansion, count(*) AS days, {f32('avg(digital_root)')} AS mean_root, {f32('avg(planetary_strength)')} AS strength FROM {{ephemeris}} GROUP BY moon_mansion")
 _PLANETS = ("sun", "moon", "mercury", "venus", "mars", "jupiter", "saturn", "uranus", "neptune", "pluto")
 
@@ -200,12 +200,11 @@ def _macro(d: Dialect):
 
     filled = {f"{c}_f": d.last(f"CASE WHEN NOT isnan({c}) THEN {c} END", over()) for c in ("spx", "dxy", "gold", "vix")}
     s2 = {f"{c}_roc_{k}": change(f"{c}_f", k) for c in ("spx", "dxy", "gold", "vix") for k in (5, 20)}
-    s2 |= {f"corr_spx_{c}": f"CASE WHEN count(spx_f + {c}_f) {over(30)} >= 15 THEN corr(spx_f, {c}_f) {over(30)} END" for c in ("dxy", "gold", "vix")}
-    return [filled, s2, {"decorrelated": "CASE WHEN (abs(corr_spx_dxy) + abs(corr_spx_gold) + abs(corr_spx_vix)) / 3 < 0.15 THEN 1 ELSE 0 END"}]
+    return [filled, s2]
 
 
 _src, _duck = _series("macro_data", "'m'", "row_id", "spx, dxy, gold, vix, row_id")
-QUERIES["macro_columns"], SQL["macro_columns"] = feature_query(_macro, _src, _duck, [f"{c}_f" for c in ("spx", "dxy", "gold", "vix")] + [f"{c}_roc_{k}" for c in ("spx", "gold") for k in (5, 20)] + [f"corr_spx_{c}" for c in ("dxy", "gold", "vix")] + ["decorrelated"])
+QUERIES["macro_columns"], SQL["macro_columns"] = feature_query(_macro, _src, _duck, [f"{c}_f" for c in ("spx", "dxy", "gold", "vix")] + [f"{c}_roc_{k}" for c in ("spx", "gold") for k in (5, 20)])
 QUERIES["labels_targets"], SQL["labels_targets"] = feature_query(validate.targets, bars, DUCK_BARS, ["next_return_pct", "next_direction", "return_5_ahead", "return_10_ahead"])
 QUERIES["labels_triple_barrier"], SQL["labels_triple_barrier"] = feature_query(validate.triple_barrier, bars, DUCK_BARS, ["label_i"])
 
