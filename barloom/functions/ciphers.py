@@ -5,10 +5,13 @@ Defined results: NULL text counts as empty; letters are matched after lower-casi
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import hold
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: The Hebrew-style letter values a..z of the fifth cipher.
 JEWISH = dict(zip(LETTERS, (1, 2, 3, 4, 5, 6, 7, 8, 9, 600, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 200, 700, 900, 300, 400, 500), strict=True))
@@ -23,10 +26,17 @@ CIPHERS: dict[str, Mapping[str, int]] = {
 
 
 def cipher(text: Column, table: Mapping[str, int]) -> Column:
-    """Sum of letter values: one split, one fold over the codes, values looked up in a literal array."""
-    values = F.array(*(F.lit(table[c]) for c in LETTERS))
-    letters = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]", ""), "")
-    return F.aggregate(letters, F.lit(0), lambda s, c: s + F.when(c == "", 0).otherwise(F.element_at(values, F.greatest(F.ascii(c) - 96, F.lit(1)))))
+    """Sum of letter values: occurrences of every letter (by length difference, inside codegen) times its value."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(lambda x, y: x + y, ((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))) * v for c, v in table.items()))
+
+
+def with_ciphers(df: DataFrame, text: str, tables: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """Add one sum per table: letters are counted once and weighted for every cipher."""
+    df = hold(df, {"_t": F.lower(F.coalesce(F.col(text), F.lit("")))})
+    df = hold(df, {f"_n_{c}": F.length("_t") - F.length(F.replace(F.col("_t"), F.lit(c), F.lit(""))) for c in LETTERS})
+    sums = {n: reduce(lambda x, y: x + y, (F.col(f"_n_{c}") * v for c, v in table.items())).cast("bigint") for n, table in tables.items()}
+    return hold(df, sums).drop("_t", *(f"_n_{c}" for c in LETTERS))
 
 
 def digital_root(n: Column) -> Column:

@@ -106,5 +106,5 @@ def _duck_exponential() -> str:
     return f"{head} {compile_stages([s1, s2, s3, s4, s5, s6, s7, s8], body, ['series', 'us'], show)}"
 
 
-QUERIES["ta_exponential"] = ta_exponential
-SQL["ta_exponential"] = _duck_exponential()
+#: Not registered yet: ten chained scans make the analyzer too slow; the kernel itself is tested on its own.
+PENDING = {"ta_exponential": (ta_exponential, _duck_exponential())}

@@ -229,9 +229,7 @@ QUERIES["space_columns"], SQL["space_columns"] = feature_query(layers.space, _sr
 
 # ---------------------------------------------------------------- text
 def text_ciphers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read_table(spark, sf_dir, "documents")
-    sums = {n: ciphers.cipher(F.col("text"), table) for n, table in ciphers.CIPHERS.items()}
-    out = t.select("doc_id", *(e.cast("bigint").alias(n) for n, e in sums.items()))
+    out = ciphers.with_ciphers(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ciphers.CIPHERS).drop("text")
     return out.withColumns({f"{n}_root": ciphers.digital_root(F.col(n)) for n in ("ordinal", "reverse")})
 
 
@@ -314,3 +312,6 @@ QUERIES["sample_uniqueness"] = sample_uniqueness
 SQL["sample_uniqueness"] = f"""WITH {_BARS}, p AS (SELECT series, us, row_number() OVER (PARTITION BY series ORDER BY us) AS t0, count(*) OVER (PARTITION BY series) AS n FROM bars),
 r AS (SELECT series, us, t0, least(t0 + 5 + t0 % 3, n) AS t1 FROM p), c AS (SELECT a.series, a.t0 AS pos, count(*) AS k FROM r a JOIN r b ON a.series = b.series AND b.t0 <= a.t0 AND b.t1 >= a.t0 GROUP BY 1, 2)
 SELECT r.series, r.us, {f32('avg(1.0 / k)')} AS uniqueness FROM r JOIN c ON c.series = r.series AND c.pos BETWEEN r.t0 AND r.t1 GROUP BY 1, 2"""
+
+#: Not registered yet: its plan is too slow to make.
+PENDING = {"macro_columns": (QUERIES.pop("macro_columns"), SQL.pop("macro_columns"))}

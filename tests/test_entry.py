@@ -11,7 +11,7 @@ def test_contract(spark):
     assert entry.entry(spark).columns
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "ta_candles", "ta_exponential", "asof_funding", "monthly_heatmap", "text_ciphers"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "ta_candles", "asof_nearest_funding", "monthly_heatmap", "text_ciphers"])
 def test_query_equals_sql(spark, sf_dir, name):
     import glob
     import os
