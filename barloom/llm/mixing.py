@@ -1,14 +1,15 @@
-"""Mixing sources to target weights (problem 8): Sainte-Lague apportionment of equal-token blocks, then seeded selection.
+"""Mixing sources to target weights (problem 8): Sainte-Lague apportionment of tokens, then seeded selection.
 
 The size of every document is its number of tokens under a public tokenizer. The documents of a (source, shard) are laid
-end to end in seeded hash order and cut into blocks of equal tokens; a mix of N blocks gives them to its sources one by
-one by the highest quotient share / (2 seats + 1), a source dropping out when its documents at max_repeats are used up
-(the rest goes on to the others, and the shares actually reached are reported). A source's blocks are split over its
+end to end in seeded hash order; a mix of N tokens gives them to its sources one by one by the highest quotient
+share / (2 seats + 1), a source dropping out when its documents at max_repeats are used up, counted to the token
+(the rest goes on to the others, and the shares actually reached are reported). A source's tokens are split over its
 shards by the same rule with the shards' tokens as weights. Within a shard the quota is whole passes over all documents
 plus the documents at the front of the seeded line, so no document comes more often than max_repeats and copies of one
 document differ by at most one.
 
-Shards follow the corpus size (a fixed number of tokens a shard), so no source, however large, is ordered in one task.
+Shards follow the size of their own source (a fixed number of tokens a shard): no source, however large, is ordered in
+one task, and a small source is not cut finer because the others grow.
 Defined results: source labels compare without case and outer blanks; NULL or empty texts have no tokens and are never
 chosen; NULL sources belong to no mix; a mix source without documents gets nothing and a shortfall; empty tables give
 empty mixes.
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 from barloom.session import cut_lineage, small_side
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Tokens a shard holds at most on average; shards per source are the corpus size over it, up to MAX_SHARDS.
+#: Tokens a shard holds at most on average; shards per source are its tokens over it, up to MAX_SHARDS.
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
-#: Blocks the corpus is cut into (a finer cut than single documents is harmless); at least MIN_BLOCK tokens each.
-BLOCKS, MIN_BLOCK = 20_000, 64
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -54,9 +53,22 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> list[int]:
-    """Seats by highest quotients weight / (2 k + 1), each party up to its cap; ties go to the earlier party."""
+    """Seats by highest quotients weight / (2 k + 1), each party up to its cap; ties go to the earlier party.
+
+    All but about one seat a party are given at once: shares of (seats - parties) in proportion to the weights up to the
+    caps, rounded down, are at most what the rule gives, and the quotients decide the rest."""
     got = [0] * len(weights)
-    heap = [(-w, i) for i, (w, c) in enumerate(zip(weights, caps, strict=True)) if w > 0 and c > 0]
+    live = sorted((i for i, (w, c) in enumerate(zip(weights, caps, strict=True)) if w > 0 and c > 0), key=lambda i: caps[i] / weights[i])
+    pool, sure = sum(weights[i] for i in live), max(0, seats - len(live))
+    for n, i in enumerate(live):
+        if caps[i] * pool > sure * weights[i]:
+            for k in live[n:]:
+                got[k] = min(caps[k], max(0, int(sure * weights[k] / pool) - 1))
+            break
+        got[i] = caps[i]
+        pool, sure = pool - weights[i], sure - caps[i]
+    seats -= sum(got)
+    heap = [(-weights[i] / (2 * got[i] + 1), i) for i in live if got[i] < caps[i]]
     heapq.heapify(heap)
     while seats > 0 and heap:
         _, i = heapq.heappop(heap)
@@ -67,27 +79,25 @@ def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> l
     return got
 
 
-def quotas(shards: DataFrame, targets: DataFrame, total: int, block: int) -> DataFrame:
-    """(mix_id, source, shard, quota_tokens, everything): one small group per mix, sources x shards rows."""
+def quotas(shards: DataFrame, targets: DataFrame, total: int) -> DataFrame:
+    """(mix_id, source, shard, quota_tokens): one small group per mix, sources x shards rows."""
     want = targets.select("mix_id", F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats", "size_ratio")
     rows = want.join(shards, "source")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source", "shard"]).reset_index(drop=True)
-        pdf["cap"] = -(-pdf["shard_tokens"] * pdf["max_repeats"] // block)
+        pdf["cap"] = pdf["shard_tokens"] * pdf["max_repeats"]
         by = pdf.groupby("source", sort=True)
         parties = by.agg(share=("target_share", "first"), cap=("cap", "sum"))
-        seats = round(pdf["size_ratio"].iloc[0] * total / block)
+        seats = round(pdf["size_ratio"].iloc[0] * total)
         won = dict(zip(parties.index, sainte_lague(parties["share"].tolist(), parties["cap"].tolist(), seats), strict=True))
-        pdf["quota"] = 0
+        pdf["quota_tokens"] = 0
         for source, part in by:
-            pdf.loc[part.index, "quota"] = sainte_lague(part["shard_tokens"].tolist(), part["cap"].tolist(), won[source])
-        pdf["quota_tokens"] = pdf["quota"] * block
-        pdf["everything"] = pdf["quota"] == pdf["cap"]
-        return pdf[["mix_id", "source", "shard", "shard_tokens", "max_repeats", "quota_tokens", "everything"]]
+            pdf.loc[part.index, "quota_tokens"] = sainte_lague(part["shard_tokens"].tolist(), part["cap"].tolist(), won[source])
+        return pdf[["mix_id", "source", "shard", "shard_tokens", "max_repeats", "quota_tokens"]]
 
     return rows.groupBy("mix_id").applyInPandas(
-        split, "mix_id string, source string, shard bigint, shard_tokens bigint, max_repeats bigint, quota_tokens bigint, everything boolean"
+        split, "mix_id string, source string, shard bigint, shard_tokens bigint, max_repeats bigint, quota_tokens bigint"
     )
 
 
@@ -95,20 +105,18 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer:
     """(chosen documents: mix_id, source, doc_id, tokens, repeats; shares: target and reached per mix and source)."""
     sized = cut_lineage(token_counts(documents, tokenizer).where("tokens > 0"))
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    n_shards = max(1, min(MAX_SHARDS, -(-total // SHARD_TOKENS)))
-    block = max(MIN_BLOCK, total // BLOCKS)
-    shard: Column = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n_shards))
+    n_shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.sum("tokens") / SHARD_TOKENS))
+    cuts = sized.where("source is not null").groupBy("source").agg(n_shards.alias("n_shards"))
+    shard: Column = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards"))
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    laid = sized.where("source is not null").withColumn("shard", shard)
+    laid = sized.join(small_side(cuts), "source").withColumn("shard", shard).drop("n_shards")
     shards = laid.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens"))
-    quota = cut_lineage(quotas(shards, targets, total, block))
+    quota = cut_lineage(quotas(shards, targets, total))
     placed = laid.withColumn("middle", F.sum("tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens") / 2)
     j = placed.join(small_side(quota), ["source", "shard"])
     passes = F.call_function("div", F.col("quota_tokens"), F.col("shard_tokens"))
     rest = F.col("quota_tokens") - passes * F.col("shard_tokens")
-    repeats = F.when(F.col("everything"), F.col("max_repeats")).otherwise(
-        F.least(F.col("max_repeats"), passes + (F.col("middle") < rest).cast("bigint"))
-    )
+    repeats = F.least(F.col("max_repeats"), passes + (F.col("middle") < rest).cast("bigint"))
     chosen = j.withColumn("repeats", repeats).where("repeats > 0").select("mix_id", "source", "doc_id", "tokens", "repeats")
     chosen = cut_lineage(chosen)
     reached = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))

@@ -96,6 +96,32 @@ def test_mixture(spark):
     assert mixing.mixture(d.limit(0), t)[0].count() == 0
 
 
+def test_sainte_lague_many_seats():
+    rnd = random.Random(4)
+    for _ in range(200):
+        n = rnd.randrange(1, 9)
+        w, caps, seats = [rnd.choice((0, 1, rnd.random(), 50 * rnd.random())) for _ in range(n)], [rnd.randrange(0, 300) for _ in range(n)], rnd.randrange(0, 900)
+        got = [0] * n
+        for _ in range(seats):
+            open_ = [(-w[i] / (2 * got[i] + 1), i) for i in range(n) if w[i] > 0 and got[i] < caps[i]]
+            if open_:
+                got[min(open_)[1]] += 1
+        assert mixing.sainte_lague(w, caps, seats) == got
+    assert mixing.sainte_lague([0.96, 0.04], [10**11, 10**11], 10**10) == [96 * 10**8, 4 * 10**8]
+
+
+@pytest.mark.parametrize("scale", [1, 100])
+def test_small_source_in_a_large_corpus(spark, monkeypatch, scale):
+    """4e7 and 4e9 tokens: a source of 1.5% in small documents reaches its 4%, and the size wanted is reached."""
+    sized = spark.range(40_000).selectExpr("id as doc_id", "'big' as source", f"{985 * scale}L as tokens")
+    sized = sized.union(spark.range(40_000, 80_000).selectExpr("id", "'rare'", f"{15 * scale}L"))
+    monkeypatch.setattr(mixing, "token_counts", lambda *_: sized)
+    t = spark.createDataFrame([("a", "big", 0.96, 2, 0.75), ("a", "rare", 0.04, 3, 0.75)], "mix_id string, source string, target_share double, max_repeats bigint, size_ratio double")
+    got = {r["source"]: r for r in mixing.mixture(sized, t)[1].collect()}
+    assert got["rare"]["reached_share"] == pytest.approx(0.04, abs=4e-4)
+    assert got["rare"]["mix_tokens"] == pytest.approx(got["rare"]["mix_tokens_wanted"], rel=3e-3)  # every shard ends at a whole document
+
+
 TEXT = (
     "Questions go to Ana B. de Korwin at ana.korwin+x@mail.example.org or +1-415-555-0105 ext. 155. Mr Zelner disagreed. Signed, O'Malley-Vance, Priya\n"
     "Call (030) 23125 387 or 06.39.98.30.79 before 10:00 UTC and ask for TOBIAS VANROS. Statement for QQ 99 76 82 A; mail it to Unit 4, 3 Sable Rd, Port Amsel. "
