@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,8 +39,8 @@ EMAIL = re.compile(
     rf"(?<![\w.+@-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,24}}(?![\w@])"
     rf"|(?<![\w.+@-]){_LOCAL}\sat\s{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[^\W\d_]{{2,24}}(?!\w)"
 )
-
-_MAY_MAIL = ("@", "＠", "&#64;", "%40", "at]", "at)", "at}", "at>", "at ]", "at )", " dot ")
+#: A part every match of EMAIL has, its first branch _AT and its second the word dot: cheap to look for first.
+_MAY_MAIL = re.compile(rf"{_AT}|\sdot\s")
 
 # ---------------------------------------------------------------- identity numbers
 ID = re.compile(
@@ -83,44 +84,28 @@ def _spaced(pattern: str) -> re.Pattern:
     return re.compile(rf"(?<![\w.,-])(?:{re.sub(r'\\s(?!{)', lambda _: r'\s{1,3}', pattern)})")
 
 
-#: (texts one of which must occur in the lower-cased text, the pattern)
 ADDRESSES = [
     # number, name, kind of street; unit before or after; town and code
-    (
-        tuple(_STREET[len("(?i:") : -1].split("|")),
-        _spaced(rf"(?:{_UNIT},?\s)?\d{{1,5}}[A-Za-z]?\s(?:{_CAP}\s){{1,4}}{_STREET}\b\.?(?:,\s{_UNIT})?(?:,\s{_TOWN}(?:,?\s(?:[A-Z]{{2}}\s)?\d{{4,6}})?)?"),
-    ),
+    _spaced(rf"(?:{_UNIT},?\s)?\d{{1,5}}[A-Za-z]?\s(?:{_CAP}\s){{1,4}}{_STREET}\b\.?(?:,\s{_UNIT})?(?:,\s{_TOWN}(?:,?\s(?:[A-Z]{{2}}\s)?\d{{4,6}})?)?"),
     # boxes
-    (
-        ("box", "postfach", "boîte", "boite", "apartado", "bp "),
-        _spaced(
-            r"(?:(?i:p\.?\s?o\.?\s?box|postfach|bo[iî]te\spostale|apartado(?:\sde\scorreos)?)|BP)"
-            rf"\s\d{{1,6}}(?:,\s(?:\d{{4,5}}\s)?{_TOWN}(?:\s\d{{4,6}})?)?"
-        ),
+    _spaced(
+        r"(?:(?i:p\.?\s?o\.?\s?box|postfach|bo[iî]te\spostale|apartado(?:\sde\scorreos)?)|BP)"
+        rf"\s\d{{1,6}}(?:,\s(?:\d{{4,5}}\s)?{_TOWN}(?:\s\d{{4,6}})?)?"
     ),
     # number first, kind of street, name; code and town
-    (
-        ("rue", "av", "quai", "impasse", "boulevard", "bd", "place", "chemin", "allée", "allee", "route", "cours", "passage", "square"),
-        _spaced(
-            r"\d{1,4}(?:\s?(?i:bis|ter|quater))?,?\s(?i:rue|avenue|av\.|quai|impasse|boulevard|bd|place|chemin|all[ée]e|route|cours|passage|square)"
-            rf"(?:\s(?i:de\sla|des|du|de|le|la|les))?\s?(?:(?i:de\sl|d|l)['’])?\s?{_CAP}(?:\s{_CAP})*(?:,\s(?:\d{{5}}\s)?{_TOWN})?"
-        ),
+    _spaced(
+        r"\d{1,4}(?:\s?(?i:bis|ter|quater))?,?\s(?i:rue|avenue|av\.|quai|impasse|boulevard|bd|place|chemin|all[ée]e|route|cours|passage|square)"
+        rf"(?:\s(?i:de\sla|des|du|de|le|la|les))?\s?(?:(?i:de\sl|d|l)['’])?\s?{_CAP}(?:\s{_CAP})*(?:,\s(?:\d{{5}}\s)?{_TOWN})?"
     ),
     # kind of street, name, number, floor; code and town
-    (
-        ("calle", "c/", "avda", "avenida", "plaza", "pza", "paseo", "camino", "carretera", "ronda"),
-        _spaced(
-            rf"(?i:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo|camino|carretera|ronda)\s?(?:(?i:de\sla|de\slos|de\slas|del|de)\s)?{_CAP}(?:\s{_CAP})*,?\s\d{{1,4}}"
-            rf"(?:,\s(?:\d{{1,2}}\s?[ºª°](?:\s?[A-Z]\b)?|(?i:bajo|ático|izq\.?|dcha\.?)))*(?:,\s(?:\d{{5}}\s)?{_TOWN})?"
-        ),
+    _spaced(
+        rf"(?i:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo|camino|carretera|ronda)\s?(?:(?i:de\sla|de\slos|de\slas|del|de)\s)?{_CAP}(?:\s{_CAP})*,?\s\d{{1,4}}"
+        rf"(?:,\s(?:\d{{1,2}}\s?[ºª°](?:\s?[A-Z]\b)?|(?i:bajo|ático|izq\.?|dcha\.?)))*(?:,\s(?:\d{{5}}\s)?{_TOWN})?"
     ),
     # name of the street with its kind as ending or second word, number; code and town
-    (
-        tuple(f"{e} " for e in ("straße", "strasse", "str.", "weg", "allee", "platz", "ufer", "gasse", "damm", "ring", "chaussee", "graben")),
-        _spaced(
-            rf"(?:{_CAP}\s(?i:stra(?:ß|ss)e|str\.|weg|allee|platz|ufer|gasse|damm|ring)|[A-ZÄÖÜ][^\W\d_-]*(?i:stra(?:ß|ss)e|str\.|weg|ufer|platz|allee|gasse|damm|ring|chaussee|graben))"
-            rf"\s\d{{1,4}}(?:\s?[A-Za-z]\b)?(?:,\s(?:\d{{5}}\s)?{_TOWN})?"
-        ),
+    _spaced(
+        rf"(?:{_CAP}\s(?i:stra(?:ß|ss)e|str\.|weg|allee|platz|ufer|gasse|damm|ring)|[A-ZÄÖÜ][^\W\d_-]*(?i:stra(?:ß|ss)e|str\.|weg|ufer|platz|allee|gasse|damm|ring|chaussee|graben))"
+        rf"\s\d{{1,4}}(?:\s?[A-Za-z]\b)?(?:,\s(?:\d{{5}}\s)?{_TOWN})?"
     ),
 ]
 
@@ -156,12 +141,6 @@ CUED = re.compile(rf"(?<!\w){_CUES}{_S}+(?P<name>{_TWO}|{_PART}?{_TOK})")
 TITLED = re.compile(rf"(?<![\w.]){_TITLES}{_S}+(?P<name>(?:{_INI}{_S})?{_PART}?{_TOK}(?:{_S}(?:{_INI}{_S})?{_PART}?{_CAP}(?!\w))?)")
 _VERBS = tuple("said says told wrote keeps kept argued argues insisted replied warned vive sagte schrieb führt dit écrit tient dijo escribió lleva mantiene".split())
 SPEAKING = re.compile(rf"(?:(?<=^)|(?<=[.!?:;>\"”] )|(?<=\n))(?P<name>{_TWO}|{_PART}?{_TOK})\s(?:{'|'.join(_VERBS)})(?!\w)")
-#: One of these occurs wherever a cue or a title does.
-_CUE_WORDS = tuple(
-    """for go under name by thanks thank signed regards yours contact attention attn behalf spoke according anfragen rückfragen ging gezeichnet gez laut
-    ist consultas preguntas dirigirse titular firmado según atentamente adresser questions signé selon""".split()
-)
-_TITLE_WORDS = ("mr", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "maître", "sr", "señor", "don ", "doña", "m.")
 _WORD = re.compile(r"[^\W\d_]+")
 _DAY = r"(\d{4})-(\d{2})-(\d{2})"
 BIRTH = re.compile(rf"(?i)(?<=\b)(?:born(?: on)?|date of birth|dob|geboren(?: am)?|geb\.|né(?:e)? le|nacid[oa] el)\W{{1,3}}(?P<day>{_DAY})")
@@ -187,9 +166,17 @@ def _tidy(name: str, given: frozenset[str]) -> str:
     return name if keep and _is_name(last) else head
 
 
+@lru_cache(maxsize=8)
+def _first_words(given: frozenset[str]) -> frozenset[str] | None:
+    """The first run of letters of every given name, lower-cased from either case: a text with the name has it as a run
+    of letters too. None where a name has no letters."""
+    found = [_WORD.search(v) for n in given for v in (n, n.upper().lower())]
+    return frozenset(m[0] for m in found) if all(found) else None
+
+
 def _names(text: str, low: str, given: frozenset[str], pattern: re.Pattern | None) -> Iterator[tuple[int, int]]:
-    for rule, needs in ((CUED, _CUE_WORDS), (TITLED, _TITLE_WORDS), (SPEAKING, _VERBS)):
-        for m in rule.finditer(text) if any(x in low for x in needs) else ():
+    for rule in (CUED, TITLED, SPEAKING):
+        for m in rule.finditer(text):
             whole = m["name"]
             found = _tidy(whole, given)
             if rule is SPEAKING and found != whole:
@@ -198,7 +185,8 @@ def _names(text: str, low: str, given: frozenset[str], pattern: re.Pattern | Non
                 continue
             if len(found.strip(".")) > 1 and _is_name(found):
                 yield m.start("name"), m.start("name") + len(found)
-    known = pattern and not given.isdisjoint(_WORD.findall(low))
+    first = _first_words(given)
+    known = pattern and (first is None or not first.isdisjoint(_WORD.findall(low)))
     for m in pattern.finditer(text) if known else ():
         if _is_name(m["name"]) and m["name"].split(",")[0].lower() not in _OPENERS:
             yield m.span("name")
@@ -234,7 +222,7 @@ def find(text: str | None, given: frozenset[str] = frozenset(), pattern: re.Patt
                 spans.append((a, b, kind))
                 rest = rest[:a] + BLANK * (b - a) + rest[b:]
 
-    if any(x in low for x in _MAY_MAIL):
+    if _MAY_MAIL.search(text):
         take([m.span() for m in EMAIL.finditer(rest)], "email")
     take(((m.start(), m.end()) for m in ID.finditer(rest) if not _NOT_ID.search(rest[max(0, m.start() - 40) : m.start()])), "id_number")
     take(
@@ -245,11 +233,9 @@ def find(text: str | None, given: frozenset[str] = frozenset(), pattern: re.Patt
         ),
         "phone",
     )
-    if any(x in low for x in ("born", "birth", "dob", "geb", "né", "nacid")):
-        take([m.span("day") for m in BIRTH.finditer(rest)], "date")
-    for texts, pattern_ in ADDRESSES:
-        if any(x in low for x in texts):
-            take([m.span() for m in pattern_.finditer(rest)], "address")
+    take([m.span("day") for m in BIRTH.finditer(rest)], "date")
+    for pattern_ in ADDRESSES:
+        take([m.span() for m in pattern_.finditer(rest)], "address")
     take(_names(rest, low, given, pattern), "name")
     return sorted(spans)
 
