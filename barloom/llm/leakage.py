@@ -4,7 +4,7 @@ Texts become words: character references decoded, markup and invisible character
 lower case, runs of letters and digits. Five-word shingles of the items are counted over all documents; every window of
 `run` words of an item takes its rarest shingle as seed, so a document holding a whole window holds its seed: no leak of
 that length is missed, and common phrases make no candidates. Candidates are aligned word by word (match +2, mismatch
-and gap -1), which scores edited and paraphrased copies too; the longest unbroken run of words decides `leaked`.
+and gap -1) over the whole document at any length, which scores edited and paraphrased copies too; the longest unbroken run of words decides `leaked`.
 
 The shingle table of the items is broadcast only within a counted bound, else the join shuffles on the shingle.
 Documents stay one row each until a seed matches; there are no document pairs. Defined results: NULL or empty texts and
@@ -85,23 +85,6 @@ def align(doc: list[str], item: list[str], gap: int = 1) -> tuple[int, int]:
     return best, longest
 
 
-def _near_seeds(doc: list[str], item: list[str]) -> list[str]:
-    """The parts of a document within two item lengths of a word shingle it shares with the item (long documents)."""
-    if len(doc) <= 4000:
-        return doc
-    have = {tuple(item[i : i + SHINGLE]) for i in range(len(item) - SHINGLE + 1)}
-    keep = np.zeros(len(doc), bool)
-    for i in range(len(doc) - SHINGLE + 1):
-        if tuple(doc[i : i + SHINGLE]) in have:
-            keep[max(0, i - 2 * len(item)) : i + 2 * len(item)] = True
-    out: list[str] = []
-    for i in np.flatnonzero(keep):
-        if out and not keep[i - 1]:
-            out.append("\0")  # parts do not join up
-        out.append(doc[i])
-    return out
-
-
 def leaks(documents: DataFrame, items: DataFrame, run: int = 13) -> DataFrame:
     """(doc_id, item_id, score, longest_run, coverage, leaked) of every document-item pair that shares a seed."""
     docs = documents.select("doc_id", "text").where("text is not null")
@@ -119,7 +102,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 13) -> DataFrame:
             rows = []
             for d, i, text, item in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], strict=True):
                 iw = known.setdefault(item, words(item))
-                score, longest = align(_near_seeds(words(text), iw), iw)
+                score, longest = align(words(text), iw)
                 rows.append((d, i, score, longest, score / (2 * len(iw))))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run", "coverage"])
 

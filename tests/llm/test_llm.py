@@ -69,6 +69,17 @@ def test_leaks(spark):
     assert leakage.leaks(docs.select("doc_id", "text").limit(0), items).count() == 0
 
 
+def test_score_does_not_depend_on_the_text_around(spark):
+    """An edited copy without a whole shingle, far from the seed, in a short and in a long document."""
+    item = [f"{w}{k}" for k in range(3) for w in ITEM]
+    edited = [w if i % 5 else "other" for i, w in enumerate(item)]
+    texts = {n: " ".join(item[:13] + ["filler"] * n + edited) for n in (200, 5000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([(70, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["score"], r["coverage"], r["longest_run"]) for r in leakage.leaks(docs, items).collect()}
+    assert got[200] == got[5000] and got[200][0] == 2 * 48 - 11
+
+
 def test_sainte_lague():
     assert mixing.sainte_lague([53, 24, 23], [99, 99, 99], 7) == [3, 2, 2]
     assert mixing.sainte_lague([0.5, 0.5], [1, 10], 6) == [1, 5]
