@@ -107,11 +107,11 @@ def mutual_information(source: Source, bins: int = 10) -> Source:
     """Binned mutual information of every input with next direction and with size of the next move, and its class."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = frame(source(spark, sf_dir))
-        cuts = df.agg(*(F.percentile_approx(c, [i / bins for i in range(1, bins)], 1000).alias(c) for c in [*INPUTS, "next"])).first()
+        df = frame(source(spark, sf_dir)).withColumn("move", F.abs("next"))
+        cuts = df.agg(*(F.percentile_approx(c, [i / bins for i in range(1, bins)], 1000).alias(c) for c in [*INPUTS, "move"])).first()
         bucket = lambda c, q: sum(((F.col(c) > v).cast("int") for v in q), F.lit(0))
         t = df.select(
-            F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), bucket(c, cuts[c]).alias("b")) for c in INPUTS))), F.col("y").cast("int").alias("dir"), bucket("next", cuts["next"][:1]).alias("vol")
+            F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), bucket(c, cuts[c]).alias("b")) for c in INPUTS))), F.col("y").cast("int").alias("dir"), bucket("move", cuts["move"]).alias("vol")
         )
         out = None
         for target in ("dir", "vol"):
