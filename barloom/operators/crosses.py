@@ -60,12 +60,19 @@ def day_windows(rows: DataFrame, row: Sequence[str], doy: Column, reach: int = 2
     return rows.select(*row, F.explode(around).alias("_d")).select(*row, F.concat(F.lit("doy_"), F.col("_d").cast("string")).alias("ctx"))
 
 
-def cross(left: DataFrame, right: DataFrame, row: Sequence[str], prefix: str, support: int = 3) -> DataFrame:
-    """(row, cross) where both contexts hold, for pairs that hold at least `support` times; names are cut to 40 characters."""
+def feature_of(ctx: str) -> Column:
+    """The feature a context was made from."""
+    return F.regexp_replace(ctx, "_(XH|H|L|XL)$", "")
+
+
+def cross(left: DataFrame, right: DataFrame, row: Sequence[str], prefix: str, support: int = 3, within: bool = False) -> DataFrame:
+    """(row, cross) where both contexts hold, for pairs that hold at least `support` times; names are cut to 40 characters.
+
+    within: both sides are the same contexts; every pair of contexts of different features comes once, the earlier name first."""
     frequent = lambda d: d.join(d.groupBy("ctx").agg(F.count(F.lit(1)).alias("_s")).where(F.col("_s") >= support).select("ctx"), "ctx", "left_semi")
     a = frequent(left.select(*row, "ctx")).withColumnRenamed("ctx", "_l")
     b = frequent(right.select(*row, "ctx")).withColumnRenamed("ctx", "_r")
-    both = a.join(b, list(row)).where("_l <> _r")
+    both = a.join(b, list(row)).where(feature_of("_l") < feature_of("_r") if within else F.col("_l") != F.col("_r"))
     name = F.concat(F.lit(prefix), F.substring("_l", 1, 40), F.lit("_"), F.substring("_r", 1, 40))
     both = both.select(*row, name.alias("cross")).distinct()
     enough = both.groupBy("cross").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)

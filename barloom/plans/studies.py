@@ -33,8 +33,9 @@ def cross_day_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of contexts of different features, pairs holding at least three times."""
     c = _contexts(spark, sf_dir)
-    return crosses.cross(c.where("ctx < 'c'"), c.where("ctx >= 'c'"), ROW, "ax2_").groupBy("cross").agg(F.count(F.lit(1)).alias("n"))
+    return crosses.cross(c, c, ROW, "ax2_", within=True).groupBy("cross").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pattern_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
