@@ -87,3 +87,34 @@ def fracdiff_weights(order: float, least: float = 1e-5, longest: int = 100) -> l
             break
         w.append(nxt)
     return w
+
+
+#: The columns of fractional differences, each with its input and order.
+FRACTIONAL = {
+    "close_02": ("close", 0.2), "close_04": ("close", 0.4), "close_06": ("close", 0.6), "log_close_04": ("log_close", 0.4), "volume_03": ("volume", 0.3), "obv_03": ("obv", 0.3),
+}
+
+
+def fractional_differences(bars: DataFrame) -> DataFrame:
+    """(series, us, fracdiff_...): every column of FRACTIONAL with its full weights, over one collected window.
+
+    NULL for the first bars without a full window and where under half of its values are present; else a missing value
+    counts as 0."""
+    w = Window.partitionBy("series").orderBy("us")
+    step = F.signum(F.col("close") - F.lag("close").over(w)) * F.col("volume")
+    b = bars.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    obv = F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    inputs = {"close": F.col("close"), "log_close": F.when(F.col("close") > 0, F.ln("close")), "volume": F.col("volume"), "obv": obv}
+    b = b.select("series", "us", *(e.cast("double").alias(n) for n, e in inputs.items()))
+    weights = {n: fracdiff_weights(order) for n, (_, order) in FRACTIONAL.items()}
+    window = F.collect_list(F.struct(*inputs)).over(w.rowsBetween(-(max(map(len, weights.values())) - 1), 0))
+    b = b.select("series", "us", window.alias("_w"))
+    out = []
+    for n, (source, _) in FRACTIONAL.items():
+        size = len(weights[n])
+        held = F.slice("_w", -size, size)[source]
+        terms = F.zip_with(held, F.array(*map(F.lit, reversed(weights[n]))), lambda v, x: F.coalesce(v * x, F.lit(0.0)))
+        present = F.size(F.filter(held, lambda v: v.isNotNull()))
+        full = (F.size("_w") >= size) & (present * 2 >= size)
+        out.append(F.when(full, F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)).alias(f"fracdiff_{n}"))
+    return b.select("series", "us", *out)

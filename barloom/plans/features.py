@@ -39,6 +39,14 @@ for _name, _build in {
     _add(_name, _build)
 
 
+def fractional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractional differences of close, log close, volume and on-balance volume with the full weights."""
+    return kernels.fractional_differences(bars(spark, sf_dir))
+
+
+QUERIES["fractional_differences"] = fractional_differences
+
+
 def ta_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMAs, MACD, RSI (Wilder), ADX and Keltner by block-scanned exponential averages."""
     from pyspark.sql import Window
