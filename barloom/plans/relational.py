@@ -57,6 +57,18 @@ common("dedupe_keep_last", lambda d: "SELECT collector, tweet_id, row_id, retwee
 common("trim_zero_volume_head", lambda d: """SELECT series, us, volume FROM (SELECT *, min(CASE WHEN volume > 0 THEN us END) OVER (PARTITION BY series) AS start_us FROM {bars}) t WHERE us >= start_us""")
 common("pivot_macro", lambda d: f"""SELECT collector, date, {', '.join(f"max(CASE WHEN series = '{s}' THEN value END) AS {s.lower()}" for s in ('BROADUSD', 'CURVE102'))} FROM
  (SELECT collector, series, date, {clean('value', d)} AS value, row_number() OVER (PARTITION BY collector, series, date ORDER BY row_id DESC) AS rn FROM {{macro}}) t WHERE rn = 1 GROUP BY collector, date""")
+
+
+def pivot_macro_all(spark: SparkSession, sf_dir: str, limit: int = 1000) -> DataFrame:
+    """Every series of macro as a column: the last delivery of each (collector, series, date); refused beyond `limit` series."""
+    macro = read_table(spark, sf_dir, "macro").where("series is not null")
+    names = sorted(r[0] for r in macro.select("series").distinct().limit(limit + 1).collect())
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} macro series")
+    return macro.groupBy("collector", "date").pivot("series", names).agg(F.max_by("value", "row_id"))
+
+
+QUERIES["pivot_macro_all"] = pivot_macro_all
 common("funding_daily_mean", lambda d: f"SELECT symbol, {d.div('ts_unix', '86400000')} AS day, {f32('avg(' + clean('funding_rate', d) + ')')} AS funding, count(*) AS n FROM {{funding_rates}} WHERE ts_unix IS NOT NULL GROUP BY 1, 2")
 common("freshness", lambda d: f"""SELECT tab, max(us) AS newest_us, CASE WHEN {1735689600000000} - max(us) > 3600000000 * limit_h THEN 1 ELSE 0 END AS stale FROM (
  SELECT 'open_interest' AS tab, ts_unix * 1000000 AS us, 6 AS limit_h FROM {{open_interest}} UNION ALL SELECT 'funding_rates', ts_unix * 1000, 24 FROM {{funding_rates}}) t GROUP BY tab, limit_h""")
@@ -72,6 +84,24 @@ common("upsert_latest", lambda d: """SELECT collector, symbol, t, row_id FROM (S
 common("null_share_constant_columns", lambda d: "SELECT " + ", ".join(
     f"avg(CASE WHEN {clean(c, d)} IS NULL THEN 1e0 ELSE 0e0 END) AS {c}_null, {f32(d.quantile(clean(c, d), 0.5, ''))} AS {c}_median, CASE WHEN max({clean(c, d)}) = min({clean(c, d)}) THEN 1 ELSE 0 END AS {c}_constant"
     for c in ("spx", "dxy", "gold", "vix")) + " FROM {macro_data}")
+
+
+def clean_columns(df: DataFrame, most_null: float = 0.9) -> DataFrame:
+    """Double columns with a share of NULL of `most_null` or more, and constant ones, leave; the rest is filled with the median."""
+    names = [c for c, kind in df.dtypes if kind == "double"]
+    parts = {"null": lambda c: F.avg(F.isnull(c).cast("double")), "median": lambda c: F.percentile(c, F.lit(0.5)), "least": F.min, "most": F.max}
+    if not names:
+        return df
+    got = df.agg(*(f(c).alias(f"{c} {p}") for c in names for p, f in parts.items())).first()
+    gone = [c for c in names if got[f"{c} null"] is None or got[f"{c} null"] >= most_null or got[f"{c} least"] == got[f"{c} most"]]
+    return df.drop(*gone).fillna({c: got[f"{c} median"] for c in names if c not in gone})
+
+
+def macro_data_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_columns(read_table(spark, sf_dir, "macro_data"))
+
+
+QUERIES["macro_data_clean"] = macro_data_clean
 PERIODS = (("autumn_23", "2023-09-01", "2023-11-30"), ("winter_23", "2023-12-01", "2024-02-29"), ("spring_24", "2024-03-01", "2024-05-31"), ("all_24", "2024-01-01", "2024-12-31"))
 common("named_periods", lambda d: "SELECT p.name, count(*) AS bars, min(b.us) AS first_us, max(b.us) AS last_us FROM {bars} b JOIN (" + " UNION ALL ".join(
     f"SELECT '{n}' AS name, DATE '{a}' AS a, DATE '{z}' AS z" for n, a, z in PERIODS) + f") p ON CAST({d.ts('b.us')} AS DATE) BETWEEN p.a AND p.z GROUP BY p.name")
