@@ -3,9 +3,10 @@
 Readings are first reduced to one observation a slot (mean value at mean time, with its count), by partial aggregation:
 a stream then has at most one row a slot, so its length is bounded by the calendar however many readings a hot source
 holds. A stream's slots travel as one array; Arrow batches of streams are smoothed side by side in NumPy, one vectorised
-step per slot. State: level and slope; between times dt apart the slope is a Wiener process of intensity q (per day).
+step per node. State: level and slope; between times dt apart the slope is a Wiener process of intensity q (per day).
 Observation noise comes from the stream's second differences, q from the best likelihood over a fixed set of ratios.
-Results are evaluated at the slot's middle: level, its standard error, and whether the slot had no reading.
+Every slot's middle is a node of its own without observation, beside the node of the slot's reading, so value and
+standard error are the smoother's at the grid time itself, not carried over from the reading.
 
 Defined results: NULL/NaN values and rows without an instant are no readings; repeated deliveries of one instant count
 once (highest version). A stream with one slot yields that slot with its own value; one without readings yields nothing.
@@ -37,10 +38,10 @@ def slot_observations(rows: DataFrame, keys: Sequence[str], version: str, value:
     )
 
 
-def _smooth(t: np.ndarray, x: np.ndarray, noise: np.ndarray, q: np.ndarray, grid: np.ndarray, backward: bool = True, prior: tuple[float, float] = (1e8, 1e4)):
+def _smooth(t: np.ndarray, x: np.ndarray, noise: np.ndarray, q: np.ndarray, backward: bool = True, prior: tuple[float, float] = (1e8, 1e4)):
     """Forward filter and (optionally) RTS smoother over (streams, nodes); noise inf where there is no observation.
 
-    Nodes are at times t (days, rising); returns level and variance at `grid`, or the log likelihood."""
+    Nodes are at times t (days, not falling); returns level and variance at every node, or the log likelihood."""
     s, n = t.shape
     seen = np.isfinite(noise)
     m0, v0 = np.zeros(s), np.zeros(s)
@@ -70,22 +71,24 @@ def _smooth(t: np.ndarray, x: np.ndarray, noise: np.ndarray, q: np.ndarray, grid
     level, var = np.empty((s, n)), np.empty((s, n))
     s0, s1, c00, c01, c11 = store[:5, n - 1]
     for i in range(n - 1, -1, -1):
-        if i < n - 1:
+        dt = t[:, i + 1] - t[:, i] if i < n - 1 else np.zeros(s)
+        if dt.any():
             m0, v0, p00, p01, p11 = store[:5, i]
             a0, a1, b00, b01, b11 = store[5:, i + 1]
-            dt = t[:, i + 1] - t[:, i]
             det = b00 * b11 - b01 * b01
             det = np.where(np.abs(det) < 1e-300, 1.0, det)
             f00, f01, f10, f11 = p00 + dt * p01, p01, p01 + dt * p11, p11  # P F'
             g00, g01 = (f00 * b11 - f01 * b01) / det, (f01 * b00 - f00 * b01) / det
             g10, g11 = (f10 * b11 - f11 * b01) / det, (f11 * b00 - f10 * b01) / det
             d0, d1, e00, e01, e11 = s0 - a0, s1 - a1, c00 - b00, c01 - b01, c11 - b11
-            s0, s1 = m0 + g00 * d0 + g01 * d1, v0 + g10 * d0 + g11 * d1
+            moved = dt > 0  # at one instant both nodes have one state
+            n0, n1 = m0 + g00 * d0 + g01 * d1, v0 + g10 * d0 + g11 * d1
             h00, h01, h10, h11 = g00 * e00 + g01 * e01, g00 * e01 + g01 * e11, g10 * e00 + g11 * e01, g10 * e01 + g11 * e11
-            c00, c01, c11 = p00 + h00 * g00 + h01 * g01, p01 + h00 * g10 + h01 * g11, p11 + h10 * g10 + h11 * g11
-        u = grid[:, i] - t[:, i]
-        level[:, i] = s0 + u * s1
-        var[:, i] = np.maximum(c00 + 2 * u * c01 + u * u * c11 + q * np.abs(u) ** 3 / 3, 0.0)
+            z00, z01, z11 = p00 + h00 * g00 + h01 * g01, p01 + h00 * g10 + h01 * g11, p11 + h10 * g10 + h11 * g11
+            s0, s1 = np.where(moved, n0, s0), np.where(moved, n1, s1)
+            c00, c01, c11 = np.where(moved, z00, c00), np.where(moved, z01, c01), np.where(moved, z11, c11)
+        level[:, i] = s0
+        var[:, i] = np.maximum(c00, 0.0)
     return level, var
 
 
@@ -93,8 +96,8 @@ def smooth_stream_batch(slots: list, x: list, t: list, n: list, width_days: floa
     """Per stream: (slot, value, std_error, missing) arrays over every slot from its first to its last."""
     size = [int(a[-1] - a[0]) + 1 for a in slots]
     s, length = len(slots), max(size)
-    xs, times = np.zeros((s, length)), np.tile((np.arange(length) + 0.5) * width_days, (s, 1))
-    grid, counts = times.copy(), np.zeros((s, length))
+    middle = np.tile((np.arange(length) + 0.5) * width_days, (s, 1))
+    xs, times, counts = np.zeros((s, length)), middle.copy(), np.zeros((s, length))
     base, spread = np.zeros(s), np.ones(s)
     r, drift = np.ones(s), np.ones(s)
     for k in range(s):
@@ -109,9 +112,14 @@ def smooth_stream_batch(slots: list, x: list, t: list, n: list, width_days: floa
     noise = np.where(counts > 0, r[:, None] / np.maximum(counts, 1), np.inf)
     best = np.full(s, -np.inf)
     for ratio in RATIOS:
-        like = _smooth(times, xs, noise, r * ratio / width_days**3, grid, backward=False)
+        like = _smooth(times, xs, noise, r * ratio / width_days**3, backward=False)
         drift, best = np.where(like > best, r * ratio / width_days**3, drift), np.maximum(like, best)
-    level, var = _smooth(times, xs, noise, drift, grid)
+    # two nodes a slot, in order of time: the reading's and the grid's
+    early = times <= middle
+    weave = lambda a, b: np.stack([np.where(early, a, b), np.where(early, b, a)], axis=2).reshape(s, 2 * length)
+    level, var = _smooth(weave(times, middle), weave(xs, np.zeros_like(xs)), weave(noise, np.full_like(noise, np.inf)), drift)
+    grid = 2 * np.arange(length) + early
+    level, var = np.take_along_axis(level, grid, 1), np.take_along_axis(var, grid, 1)
     for k in range(s):
         m = size[k]
         missing = counts[k, :m] == 0

@@ -140,7 +140,7 @@ def test_smoother_matches_batch_least_squares():
     t = np.sort(rng.uniform(0, 10, 12))[None]
     x, noise, q = np.sin(t), np.full((1, 12), 0.04), np.array([0.3])
     noise[0, 5] = np.inf
-    level, var = regular_grid._smooth(t, x, noise, q, t, prior=(10.0, 10.0))
+    level, var = regular_grid._smooth(t, x, noise, q, prior=(10.0, 10.0))
     n = 12
     cov = lambda a, b: 10 + 10 * (a - t[0, 0]) * (b - t[0, 0]) + q[0] * (min(a, b) - t[0, 0]) ** 2 * (3 * max(a, b) - min(a, b) - 2 * t[0, 0]) / 6
     k = np.array([[cov(a, b) for b in t[0]] for a in t[0]])
@@ -150,6 +150,35 @@ def test_smoother_matches_batch_least_squares():
     assert np.allclose(var[0], np.diag(k - gain @ k[seen]), atol=1e-6)
 
 
+def test_grid_values_equal_the_dense_gaussian_solution():
+    """Values and errors at the grid times are the conditional mean and deviation of the model, slots with and without readings."""
+    rng = np.random.default_rng(5)
+    slots = [np.array([10, 11, 13, 14, 18, 19, 20, 25])]
+    off = [rng.uniform(0, 1, 8)]
+    x = [np.array([1.0, 1.7, 2.1, 2.0, 3.5, 3.1, 3.9, 3.0])]
+    ((at, value, err, missing),) = regular_grid.smooth_stream_batch(slots, x, off, [np.ones(8)], 1.0)
+    assert list(at) == list(range(10, 26)) and list(np.flatnonzero(~missing)) == list(slots[0] - 10)
+    v = x[0]
+    spread = np.median(np.abs(v - np.median(v)))
+    z, t = (v - v[0]) / spread, slots[0] - 10 + off[0]
+    r = max((1.4826 * np.median(np.abs(np.diff(z, 2)))) ** 2 / 6, 1e-4)
+    start = min(t[0], 0.5)
+
+    def cov(a, b, q):  # prior level 1e8 and slope 1e4 at the first node
+        lo, hi = np.minimum(a, b) - start, np.maximum(a, b) - start
+        return 1e8 + 1e4 * lo * hi + q * lo**2 * (3 * hi - lo) / 6
+
+    grid = np.arange(16) + 0.5
+    fits = []
+    for ratio in regular_grid.RATIOS:
+        q = r * ratio
+        k = cov(t[:, None], t[None], q) + r * np.eye(8)
+        g = cov(grid[:, None], t[None], q)
+        fits.append((g @ np.linalg.solve(k, z) * spread + v[0], np.sqrt(np.diag(cov(grid[:, None], grid[None], q) - g @ np.linalg.solve(k, g.T))) * spread))
+    gaps = [max(np.abs(value - m).max(), np.abs(err - e).max()) for m, e in fits]
+    assert min(gaps) < 1e-4 * spread  # the dense solve itself is only that exact under so wide a prior
+
+
 def test_as_known(spark):
     rnd = random.Random(9)
     att = []
