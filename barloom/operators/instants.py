@@ -5,8 +5,9 @@ without offset is joined as of its local time to the offset intervals of its zon
 offset, two mean an ambiguous wall clock (its first occurrence is taken, flag `ambiguous`), none means a wall clock
 that never existed (no instant, flag `nonexistent`).
 
-Defined results: NULL, empty and placeholder texts, impossible dates and instants outside the plausible window have
-no instant (NULL). An unknown collector has no zone: only spellings carrying their own offset get an instant. A
+Defined results: NULL, empty and placeholder texts and impossible dates have no instant (NULL), nor have instants outside
+the plausible span where the caller gives one; without one nothing is dropped. Wall clocks are resolved within the years
+the zone offsets are tabulated for. An unknown collector has no zone: only spellings carrying their own offset get an instant. A
 collector listed twice would multiply rows, so the collector table is reduced to one row per name first.
 Everything is built-in expressions; the only join is to the collector table, one row per row.
 """
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from barloom.session import hold, small_side
 
-#: Readings fall between 2023-08 and 2025-01; a margin of a month either side. A parameter of every function here.
-WINDOW = (datetime(2023, 7, 1, tzinfo=UTC), datetime(2025, 3, 1, tzinfo=UTC))
+#: A plausible span of instants, or None for any.
+Span = tuple[datetime, datetime] | None
+#: Where no span is given, zone offsets are tabulated over these years.
+ZONE_YEARS = (datetime(1970, 1, 1, tzinfo=UTC), datetime(2050, 1, 1, tzinfo=UTC))
 SECOND = 1_000_000
 #: Abbreviations the zone database spells as digits, and the zone-neutral ones; seconds east of UTC.
 ABBREVIATIONS = {"UTC": 0, "GMT": 0, "Z": 0, "BRT": -10800}
@@ -35,52 +38,52 @@ def _us(t: datetime) -> int:
     return int((t - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1))
 
 
-@lru_cache(maxsize=8)
-def _intervals(lo: datetime, hi: datetime) -> list[tuple[str, int, int, int, str]]:
-    """(zone, local_from, local_to, offset, abbreviation) for every zone of the database, in microseconds."""
+@lru_cache(maxsize=4096)
+def _intervals(name: str, lo: datetime, hi: datetime) -> list[tuple[int, int, int, str]]:
+    """(local_from, local_to, offset, abbreviation) of one zone, in microseconds."""
     out = []
-    for name in sorted(available_timezones()):
-        zone = ZoneInfo(name)
-        at = lambda t, z=zone: (t.astimezone(z).utcoffset(), t.astimezone(z).tzname())
-        start = lo - timedelta(days=2)
-        end, t = hi + timedelta(days=2), start
-        while t < end:
-            nxt = min(t + timedelta(days=7), end)
-            if at(nxt) != at(t):
-                a, b = t, nxt
-                while b - a > timedelta(seconds=1):
-                    m = (a + (b - a) / 2).replace(microsecond=0)
-                    a, b = (m, b) if at(m) == at(t) else (a, m)
-                off, abbr = at(t)
-                s = int(off.total_seconds()) * SECOND
-                out.append((name, _us(start) + s, _us(b) + s, s, abbr))
-                start = t = b
-            else:
-                t = nxt
-        off, abbr = at(end)
-        s = int(off.total_seconds()) * SECOND
-        out.append((name, _us(start) + s, _us(end) + s, s, abbr))
+    zone = ZoneInfo(name)
+    at = lambda t: (t.astimezone(zone).utcoffset(), t.astimezone(zone).tzname())
+    start = lo - timedelta(days=2)
+    end, t = hi + timedelta(days=2), start
+    while t < end:
+        nxt = min(t + timedelta(days=7), end)
+        if at(nxt) != at(t):
+            a, b = t, nxt
+            while b - a > timedelta(seconds=1):
+                m = (a + (b - a) / 2).replace(microsecond=0)
+                a, b = (m, b) if at(m) == at(t) else (a, m)
+            off, abbr = at(t)
+            s = int(off.total_seconds()) * SECOND
+            out.append((_us(start) + s, _us(b) + s, s, abbr))
+            start = t = b
+        else:
+            t = nxt
+    off, abbr = at(end)
+    s = int(off.total_seconds()) * SECOND
+    out.append((_us(start) + s, _us(end) + s, s, abbr))
     return out
 
 
-def zone_offsets(spark: SparkSession, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
-    """One row per zone: its exploded offset intervals as an array of (local_from, local_to, offset_us, abbr).
-
-    Bounded by the zone database: some 600 zones times two changes a year of the window."""
-    zones: dict[str, list] = {}
-    for name, *interval in _intervals(*window):
-        zones.setdefault(name, []).append(tuple(interval))
+def zone_offsets(spark: SparkSession, zones: list[str], span: Span = None) -> DataFrame:
+    """One row per zone: its exploded offset intervals as an array of (local_from, local_to, offset_us, abbr)."""
+    known = sorted(set(zones) & available_timezones())
     return spark.createDataFrame(
-        list(zones.items()), "zone_name string, offsets array<struct<local_from:bigint,local_to:bigint,offset_us:bigint,abbr:string>>"
+        [(z, _intervals(z, *(span or ZONE_YEARS))) for z in known],
+        "zone_name string, offsets array<struct<local_from:bigint,local_to:bigint,offset_us:bigint,abbr:string>>",
     )
 
 
-def collector_clocks(spark: SparkSession, collectors: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
-    """One row per collector: basis, date order and its zone's intervals; broadcast only within a counted bound."""
+def collector_clocks(spark: SparkSession, collectors: DataFrame, span: Span = None) -> DataFrame:
+    """One row per collector: basis, date order and its zone's intervals; broadcast only within a measured bound.
+
+    The distinct zones read first are at most those of the zone database (some 600)."""
     one = collectors.groupBy("collector").agg(
         F.min("zone_name").alias("zone_name"), F.min("epoch_basis").alias("epoch_basis"), F.min("date_order").alias("date_order")
     )
-    clocks = one.join(F.broadcast(zone_offsets(spark, window)), "zone_name", "left")
+    names = sorted(available_timezones())
+    used = [r[0] for r in collectors.where(F.col("zone_name").isin(names)).select("zone_name").distinct().collect()]
+    clocks = one.join(F.broadcast(zone_offsets(spark, used, span)), "zone_name", "left")
     return small_side(clocks.select(F.col("collector").alias("_c"), "epoch_basis", "date_order", "offsets"))
 
 
@@ -99,8 +102,8 @@ def _div1000(v: Column) -> Column:
     return F.call_function("div", v, F.lit(1000))
 
 
-def plausible(us: Column, window: tuple[datetime, datetime] = WINDOW) -> Column:
-    return F.when((us >= _us(window[0])) & (us < _us(window[1])), us)
+def plausible(us: Column, span: Span) -> Column:
+    return us if span is None else F.when((us >= _us(span[0])) & (us < _us(span[1])), us)
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -201,10 +204,10 @@ def _from_abbreviation(wall: Column, abbr: Column, offsets: Column) -> Column:
     return wall - off
 
 
-def with_integer_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
+def with_integer_instants(df: DataFrame, col: str, clocks: DataFrame, span: Span = None) -> DataFrame:
     """Add utc_us, ambiguous, nonexistent for an integer epoch column of unknown unit and basis."""
     j = df.join(clocks, F.col("collector") == F.col("_c"), "left")
-    j = hold(j, {"_wall": plausible(epoch_us(F.col(col)), window)})
+    j = hold(j, {"_wall": plausible(epoch_us(F.col(col)), span)})
     local = F.coalesce(F.col("epoch_basis") == "local", F.lit(False))
     first, n = _from_wall(F.col("_wall"), F.col("offsets"))
     return hold(
@@ -217,7 +220,7 @@ def with_integer_instants(df: DataFrame, col: str, clocks: DataFrame, window: tu
     ).drop("_c", "_wall", "epoch_basis", "date_order", "offsets")
 
 
-def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
+def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, span: Span = None) -> DataFrame:
     """Add utc_us, ambiguous, nonexistent for a text column of mixed spellings."""
     text = F.trim(F.col(col))
     number = r"^(\d{10})(?:\.(\d{1,6})\d*)?$"
@@ -242,7 +245,7 @@ def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, window: tuple
     return hold(
         j,
         {
-            "utc_us": plausible(us, window),
+            "utc_us": plausible(us, span),
             "ambiguous": F.coalesce(plain & (n > 1), F.lit(False)),
             "nonexistent": F.coalesce(plain & (n == 0), F.lit(False)),
         },
@@ -267,9 +270,9 @@ def in_standard_form(tab: str, stored: Column, us: Column) -> Column:
     return (us % unit == 0) & (stored == F.call_function("div", us, unit))
 
 
-def normalise(df: DataFrame, tab: str, clocks: DataFrame, window: tuple[datetime, datetime] = WINDOW) -> DataFrame:
+def normalise(df: DataFrame, tab: str, clocks: DataFrame, span: Span = None) -> DataFrame:
     """The rows of one of the timed tables with utc_us (bigint, NULL if the stored time denotes no instant).
 
     clocks: collector_clocks of the collector table, made once and used for every table of a query."""
     _, col, text = TIMED[tab]
-    return (with_text_instants if text else with_integer_instants)(df, col, clocks, window)
+    return (with_text_instants if text else with_integer_instants)(df, col, clocks, span)

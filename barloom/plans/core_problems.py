@@ -9,24 +9,24 @@ from pyspark.sql import functions as F
 
 from barloom.operators import as_known, instants, regular_grid, rolling_totals, spikes
 from barloom.plans import core_sql
-from barloom.sources.tables import read_table
+from barloom.sources.tables import READINGS, read_table
 
 
 def clocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"))
+    return instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"), READINGS)
 
 
 def timed(spark: SparkSession, sf_dir: str, tab: str, clocks: DataFrame | None = None) -> DataFrame:
     """A timed table with utc_us; rows without an instant are dropped."""
     clocks = clocks_of(spark, sf_dir) if clocks is None else clocks
-    return instants.normalise(read_table(spark, sf_dir, tab), tab, clocks).where("utc_us is not null")
+    return instants.normalise(read_table(spark, sf_dir, tab), tab, clocks, READINGS).where("utc_us is not null")
 
 
 def p3_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the four timed tables with its instant, whether it was standard, ambiguous or nonexistent."""
     parts, clocks = [], clocks_of(spark, sf_dir)
     for tab, (key, col, _) in instants.TIMED.items():
-        df = instants.normalise(read_table(spark, sf_dir, tab), tab, clocks)
+        df = instants.normalise(read_table(spark, sf_dir, tab), tab, clocks, READINGS)
         standard = F.coalesce(instants.in_standard_form(tab, F.col(col), F.col("utc_us")), F.lit(False))
         parts.append(df.select(F.lit(tab).alias("tab"), F.col(key).alias("row_id"), "utc_us", standard.alias("standard"), "ambiguous", "nonexistent"))
     return reduce(DataFrame.unionByName, parts)
@@ -56,7 +56,7 @@ def p1_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select(
         "collector", "symbol", _day_text(F.col("day")).alias("day_utc"),
         *(f"{v}_{k}{w}" for v in VOLUMES for k in ("", "avg_") for w in PERIODS),
-        *(f"active_{w}" for w in PERIODS),
+        *(f"{c}_{w}" for c in rolling_totals.COUNTS for w in PERIODS),
     )
 
 
@@ -113,7 +113,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = read_table(spark, sf_dir, "ohlcv").where("symbol = 'BTC'").select("row_id", "collector", "open_time")
-    events = instants.normalise(bars, "ohlcv", clocks_of(spark, sf_dir)).where("utc_us is not null").select("row_id", "utc_us")
+    events = instants.normalise(bars, "ohlcv", clocks_of(spark, sf_dir), READINGS).where("utc_us is not null").select("row_id", "utc_us")
     for tab, out in (("macro_data", "macro_row_id"), ("ephemeris", "ephemeris_row_id")):
         events = as_known.as_known(events, read_table(spark, sf_dir, tab), "row_id", out)
     return events.select("row_id", "macro_row_id", "ephemeris_row_id")

@@ -43,17 +43,19 @@ def text_instants(name: str, tab: str, col: str) -> str:
 
 BARS = _instants("bars", "ohlcv", "open_time")
 WIND = _instants("wind", "space_weather", '"timestamp"')
-_CLEAN = "CASE WHEN {c} IS NULL OR isnan({c}) THEN 0 ELSE {c} END"
+_CLEAN = "CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) >= 1e24 THEN 0 ELSE {c} END"
+_UNFIT = "CASE WHEN NOT isnan({c}) AND abs({c}) >= 1e24 THEN 1 ELSE 0 END"
 
 _DAYS = f"""WITH {BARS},
 keyed AS (SELECT collector, symbol, timeframe, utc_us, utc_us // 86400000000 AS day,
   arg_max({_CLEAN.format(c="volume")}, row_id) AS volume, arg_max({_CLEAN.format(c="taker_buy_volume")}, row_id) AS taker_buy_volume,
-  max(CASE WHEN volume > 0 AND NOT isnan(volume) THEN 1 ELSE 0 END) AS active FROM bars GROUP BY ALL),
+  max(CASE WHEN volume > 0 AND NOT isnan(volume) THEN 1 ELSE 0 END) AS active,
+  arg_max({_UNFIT.format(c="volume")} + {_UNFIT.format(c="taker_buy_volume")}, row_id) AS unfit FROM bars GROUP BY ALL),
 daily AS (SELECT collector, symbol, day, sum(CAST(volume AS DECIMAL(38, 6))) AS volume,
-  sum(CAST(taker_buy_volume AS DECIMAL(38, 6))) AS taker_buy_volume, sum(active) AS active FROM keyed GROUP BY ALL),
+  sum(CAST(taker_buy_volume AS DECIMAL(38, 6))) AS taker_buy_volume, sum(active) AS active, sum(unfit) AS unfit FROM keyed GROUP BY ALL),
 span AS (SELECT collector, symbol, min(day) AS a, max(day) AS b FROM daily GROUP BY ALL),
 dense AS (SELECT s.collector, s.symbol, s.a, x.d AS day, coalesce(volume, 0) AS volume, coalesce(taker_buy_volume, 0) AS taker_buy_volume,
-  coalesce(active, 0) AS active FROM (SELECT *, unnest(range(a, b + 1)) AS d FROM span) x JOIN span s USING (collector, symbol)
+  coalesce(active, 0) AS active, coalesce(unfit, 0) AS unfit FROM (SELECT *, unnest(range(a, b + 1)) AS d FROM span) x JOIN span s USING (collector, symbol)
   LEFT JOIN daily y ON y.collector = x.collector AND y.symbol = x.symbol AND y.day = x.d)"""
 
 _SUM = "sum({v}) OVER (PARTITION BY collector, symbol ORDER BY day ROWS BETWEEN {k} PRECEDING AND CURRENT ROW)"
@@ -65,7 +67,7 @@ def _rolling() -> str:
         for w in (7, 30):
             s = f"CAST({_SUM.format(v=v, k=w - 1)} AS DOUBLE)"
             cols += [f"{s} AS {v}_{w}", f"{s} / least({w}, day - a + 1) AS {v}_avg_{w}"]
-    cols += [f"CAST({_SUM.format(v='active', k=w - 1)} AS BIGINT) AS active_{w}" for w in (7, 30)]
+    cols += [f"CAST({_SUM.format(v=v, k=w - 1)} AS BIGINT) AS {v}_{w}" for v in ("active", "unfit") for w in (7, 30)]
     return f"{_DAYS} SELECT collector, symbol, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day_utc, {', '.join(cols)} FROM dense"
 
 

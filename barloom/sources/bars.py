@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import instants
-from barloom.sources.tables import read_table
+from barloom.sources.tables import READINGS, read_table
 
 COLUMNS = ("open", "high", "low", "close", "volume", "taker_buy_volume")
 
@@ -19,8 +19,8 @@ def keep_last(df: DataFrame, keys: list[str], arrival: str, values: list[str]) -
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, tf, us, OHLC, volume: last delivery of every bar, impossible prices and volumes dropped or NULL."""
-    clocks = instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"))
-    raw = instants.normalise(read_table(spark, sf_dir, "ohlcv"), "ohlcv", clocks).where("utc_us is not null")
+    clocks = instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"), READINGS)
+    raw = instants.normalise(read_table(spark, sf_dir, "ohlcv"), "ohlcv", clocks, READINGS).where("utc_us is not null")
     one = keep_last(raw, ["collector", "symbol", "timeframe", "utc_us"], "row_id", list(COLUMNS))
     ok = " and ".join(f"{c} > 0 and {c} < 1e9" for c in ("open", "high", "low", "close"))
     size = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < 1e14), F.col(c) / 1e6).alias(c)

@@ -9,9 +9,12 @@ from barloom.operators import instants
 ZONES = [("a", "Europe/Berlin", "utc", "dmy"), ("b", "America/New_York", "local", "mdy"), ("c", "America/Sao_Paulo", "utc", "dmy"), ("d", "UTC", "utc", "mdy")]
 
 
+SPAN = (datetime(2023, 7, 1, tzinfo=UTC), datetime(2025, 3, 1, tzinfo=UTC))
+
+
 @pytest.fixture(scope="module")
 def clocks(spark):
-    return instants.collector_clocks(spark, spark.createDataFrame(ZONES, "collector string, zone_name string, epoch_basis string, date_order string"))
+    return instants.collector_clocks(spark, spark.createDataFrame(ZONES, "collector string, zone_name string, epoch_basis string, date_order string"), SPAN)
 
 
 def us(text, zone="UTC", fold=0):
@@ -58,7 +61,7 @@ CASES = [
 
 def test_spellings(spark, clocks):
     df = spark.createDataFrame([(i, c, t) for i, (c, t, _) in enumerate(CASES)], "id bigint, collector string, timestamp string")
-    got = {r["id"]: r["utc_us"] for r in instants.with_text_instants(df, "timestamp", clocks).collect()}
+    got = {r["id"]: r["utc_us"] for r in instants.with_text_instants(df, "timestamp", clocks, SPAN).collect()}
     assert got == {i: w for i, (_, _, w) in enumerate(CASES)}
 
 
@@ -66,7 +69,7 @@ def test_integers(spark, clocks):
     wall = us("2024-01-05T10:00:00")
     rows = [(1, "a", wall // 1000), (2, "a", wall // 10**6), (3, "a", wall), (4, "a", wall * 1000), (5, "b", wall // 1000), (6, "a", 0), (7, "a", -1), (8, "a", None), (9, "a", 99999999999999999), (10, "b", us("2024-03-10T02:30:00") // 1000)]
     df = spark.createDataFrame(rows, "row_id bigint, collector string, open_time bigint")
-    got = {r["row_id"]: (r["utc_us"], r["nonexistent"]) for r in instants.with_integer_instants(df, "open_time", clocks).collect()}
+    got = {r["row_id"]: (r["utc_us"], r["nonexistent"]) for r in instants.with_integer_instants(df, "open_time", clocks, SPAN).collect()}
     assert [got[i][0] for i in range(1, 5)] == [wall] * 4
     assert got[5][0] == us("2024-01-05T10:00:00", "America/New_York")
     assert [got[i][0] for i in (6, 7, 8, 9, 10)] == [None] * 5 and got[10][1]
@@ -75,3 +78,10 @@ def test_integers(spark, clocks):
 def test_empty_and_extra_columns(spark, clocks):
     df = spark.createDataFrame([], "id bigint, collector string, timestamp string, offsets2 string")
     assert instants.with_text_instants(df, "timestamp", clocks).where(F.col("utc_us").isNotNull()).count() == 0
+
+
+def test_without_a_span_nothing_is_dropped(spark):
+    clocks = instants.collector_clocks(spark, spark.createDataFrame(ZONES, "collector string, zone_name string, epoch_basis string, date_order string"))
+    cases = [("a", "1999-07-01 12:00:00", us("1999-07-01T12:00:00", "Europe/Berlin")), ("d", "1970-01-01 00:00:00", 0), ("b", "2040-12-01T00:00:00Z", us("2040-12-01T00:00:00"))]
+    df = spark.createDataFrame([(i, c, t) for i, (c, t, _) in enumerate(cases)], "id bigint, collector string, timestamp string")
+    assert [r["utc_us"] for r in instants.with_text_instants(df, "timestamp", clocks).orderBy("id").collect()] == [w for _, _, w in cases]
