@@ -1,10 +1,15 @@
 """Implausible readings per stream (problem 2): Hampel filter, run-length detection and physical bounds.
 
-A stream is one source's readings in order of time. Per reading: the rolling median of the five readings around it
-and their median absolute deviation (Hampel); the stream's usual step (median of |x - previous|) as the scale of its
-normal behaviour; runs of equal values from five neighbours either side. Streams are cut into time blocks: one shuffle
-by (stream, block) serves deduplication and every window; the usual step is a mergeable quantile sketch, so no stream
-ever sits in one task. The Hampel filter proposes excursions, the exact comparison with both sides decides.
+A stream is one source's readings in order of time. Per reading: the rolling median of the seven readings around it and
+their median absolute deviation (Hampel filter; on the logarithm for relative fields); runs of equal values from five
+neighbours either side; and the stream's usual step (median of |x - previous|). The filter proposes: only a reading
+further from its rolling median than `hampel` scaled deviations is a candidate. Each candidate is then compared exactly
+with both sides against the usual step.
+
+Streams are cut into time blocks: rows are distributed by (stream, block), so no stream ever sits in one task. Rows are
+normalised once and readings are deduplicated once, each stored as a compressed table that the passes scan by column.
+The usual step is the exact median: a mergeable sketch brackets it, a second aggregation counts below the bracket and
+orders only what lies inside (some 4 in 10,000 steps).
 
 Defined results: NULL/NaN readings and rows without an instant are no readings. Repeated deliveries of one instant
 count once (the first delivered row gives the value) and every delivered row is listed. NULL keys count as empty text. A reading at the start or end
@@ -15,12 +20,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.neighbours import BLOCK, in_blocks, with_neighbours
-from barloom.session import cut_lineage, hold, small_side
+from barloom.session import hold, small_side, stored
 
 DAY_US = 86_400_000_000
 
@@ -36,7 +42,7 @@ class Rule:
     step_factor: float = 12.0
     ratio: float | None = None
     run: int = 6
-    hampel: float = 3.0
+    hampel: float = 1.5
     block_days: int = 60
 
 
@@ -60,17 +66,34 @@ def impossible(x: Column, rule: Rule) -> Column:
     return (x < rule.low if rule.low_ok else x <= rule.low) | (x > rule.high)
 
 
+def _named(near: DataFrame, value: Column, reach: int) -> tuple[DataFrame, list[Column], list[Column]]:
+    """The `reach` neighbours either side as columns: (frame, nearest first before, nearest first after)."""
+    sides = {f"_{n}{i}": (a, -i if a == "prev" else i) for n, a in (("p", "prev"), ("n", "next")) for i in range(1, reach + 1)}
+    near = hold(near, {n: value(_at(F.col(a), i)) for n, (a, i) in sides.items()})
+    return near, [F.col(f"_p{i}") for i in range(1, reach + 1)], [F.col(f"_n{i}") for i in range(1, reach + 1)]
+
+
+def _hampel(near: DataFrame, x: Column, around: Sequence[Column], rule: Rule, log: bool) -> DataFrame:
+    """Add local_median, local_mad and `hampel`: further from the rolling median than rule.hampel scaled deviations."""
+    z = (lambda c: F.ln(c)) if log else (lambda c: c)
+    near = hold(near, {"_z": z(x), "_around": F.array_compact(F.array(*(z(c) for c in (*around, x))))})
+    near = hold(near, {"local_median": _median(F.col("_around"))})
+    near = hold(near, {"local_mad": _median(F.transform("_around", lambda v: F.abs(v - F.col("local_median"))))})
+    far = F.abs(F.col("_z") - F.col("local_median")) > 1.4826 * rule.hampel * F.col("local_mad")
+    return hold(near, {"hampel": F.coalesce(far, F.lit(False))}).drop("_z", "_around")
+
+
 def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str) -> DataFrame:
-    """Plausible readings of a blocked frame with neighbours, step from the reading before, and `lift`.
+    """Plausible readings of a blocked frame with Hampel's columns, step from the reading before, `lift` and `stuck`.
 
-    lift: how far the reading (alone, or with the one before or after it) lies off its neighbours on both sides in the
-    same direction, in steps' unit (relative or absolute); 0 if it does not."""
+    lift: how far a proposed reading (alone, or with the one before or after it) lies off its neighbours on both sides in
+    the same direction, in steps' unit (relative or absolute); 0 if it does not, or is not proposed."""
     x = F.col(value)
     plain = df.where(x.isNotNull() & ~impossible(x, rule))
     near = with_neighbours(plain, keys, "utc_us", F.struct(x.alias("x"), F.col(busy).alias("busy")), rule.run - 1)
-    names = {"_p1": ("prev", -1), "_p2": ("prev", -2), "_n1": ("next", 1), "_n2": ("next", 2)}
-    near = hold(near, {n: _at(F.col(a), i)["x"] for n, (a, i) in names.items()} | {"_pb": _at(F.col("prev"), -1)["busy"]})
-    p1, p2, n1, n2 = (F.col(n) for n in names)
+    near, before, after = _named(near, lambda s: s["x"], 3)
+    near = _hampel(near, x, [*before, *after], rule, rule.relative)
+    (p1, p2), (n1, n2) = before[:2], after[:2]
     off = lambda v, nb: (v - nb) / (nb if rule.relative else F.lit(1.0))
 
     def least(values: list[Column], sides: list[Column]) -> Column:
@@ -81,64 +104,82 @@ def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str)
         return F.when(known, F.greatest(F.lit(0.0), F.least(*gaps), -F.greatest(*gaps))).otherwise(0.0)
 
     lift = F.greatest(least([x], [p1, n1]), least([x, n1], [p1, n2]), least([x, p1], [p2, n1]))
-    step = F.when(F.col(busy) & F.col("_pb"), F.abs(off(x, p1)))
+    step = F.when(F.col(busy) & _at(F.col("prev"), -1)["busy"], F.abs(off(x, p1)))
     same = lambda a: F.transform(a, lambda s: (s["x"] == x) & s["busy"])
     level = (p1 == x) | (n1 == x)  # only then the arrays need looking through
-    near = hold(near, {"lift": lift, "step": step, "_same_before": F.when(level, F.reverse(same(F.col("prev")))), "_same_after": F.when(level, same(F.col("next")))})
+    near = hold(
+        near,
+        {"lift": F.when(F.col("hampel"), lift).otherwise(0.0), "step": step,
+         "_same_before": F.when(level, F.reverse(same(F.col("prev")))), "_same_after": F.when(level, same(F.col("next")))},
+    )
     length = lambda a: F.coalesce(F.nullif(F.array_position(a, F.lit(False)), F.lit(0)) - 1, F.size(a))
     near = hold(near, {"_run_before": length(F.col("_same_before")), "_run_after": length(F.col("_same_after"))})
     stuck = F.col(busy) & (F.col("_run_before") >= 1) & (F.col("_run_before") + F.col("_run_after") + 1 >= rule.run)
-    return hold(near, {"stuck": F.coalesce(stuck, F.lit(False))}).drop("prev", "next", "_pb", "_same_before", "_same_after", "_run_before", "_run_after")
-
+    near = hold(near, {"stuck": F.coalesce(stuck, F.lit(False))})
+    return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "lift", "step", "stuck")
 
-def _usual_steps(near: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The stream's median step: a mergeable quantile sketch (rank error 1e-4), one row a stream, cut from its lineage."""
-    return small_side(cut_lineage(near.groupBy(*keys).agg(F.percentile_approx("step", 0.5, 10_000).alias("usual_step"))))
 
-
-def _hampel(near: DataFrame, value: str, rule: Rule) -> DataFrame:
-    """Add local_median, local_mad and `hampel`: off a rolling median by more than the rule's number of deviations, the
-    scale being the smaller of the local one and the stream's usual step.
-
-    The medians are of the five readings around and of three (the reading between its neighbours, or between the
-    neighbours of a pair it may belong to); for a reading off both sides a median of three is the nearer side, so no
-    excursion escapes the filter however rough its surroundings."""
+def _usual_steps(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stream's exact median step, one row a stream; `steps` is scanned twice."""
+    keys = list(keys)
+    known = steps.where("step is not null").select(*keys, "step")
+    sketch = known.groupBy(*keys).agg(F.percentile_approx("step", F.array(F.lit(0.4998), F.lit(0.5002)), 10_000).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    sketch = small_side(stored(sketch))
+    j = known.join(sketch, keys)
+    lo, hi = F.col("_q")[0], F.col("_q")[1]
+    got = j.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.count(F.when(F.col("step") < lo, 1)).alias("_below"),
+        F.sort_array(F.collect_list(F.when((F.col("step") >= lo) & (F.col("step") <= hi), F.col("step")))).alias("_in"),
+    )
+    nth = lambda k: F.element_at("_in", (k - F.col("_below")).cast("int"))
+    middle = (nth(F.floor((F.col("_n") + 1) / 2)) + nth(F.floor(F.col("_n") / 2) + 1)) / 2
+    return got.select(*keys, middle.alias("usual_step"))
+
+
+def _over(rule: Rule) -> Column:
+    return F.coalesce(F.col("hampel") & (F.col("lift") > rule.step_factor * F.col("usual_step")), F.lit(False))
+
+
+def stepped(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) -> DataFrame:
+    """Every plausible reading with local_median, local_mad, hampel, stuck, usual_step and `excursion`."""
+    near = stored(_near(readings, keys, value, rule, "_busy"))
+    usual = small_side(stored(_usual_steps(near, keys)))
+    return near.join(usual, list(keys), "left").withColumn("excursion", _over(rule)).drop("lift", "step")
+
+
+def surges(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) -> DataFrame:
+    """Every positive plausible reading with Hampel's columns on the logarithm and `excursion`: proposed by the filter and
+    more than rule.ratio times both neighbours that are positive."""
     x = F.col(value)
-    near = hold(near, {"_around": F.array_compact(F.array("_p2", "_p1", x, "_n1", "_n2"))})
-    threes = [F.array_compact(F.array(a, x, b)) for a, b in (("_p1", "_n1"), ("_p1", "_n2"), ("_p2", "_n1"))]
-    near = hold(near, {"local_median": _median(F.col("_around"))} | {f"_three{i}": _median(t) for i, t in enumerate(threes)})
-    near = hold(near, {"local_mad": _median(F.transform("_around", lambda v: F.abs(v - F.col("local_median"))))})
-    unit = F.abs(F.col("local_median")) if rule.relative else F.lit(1.0)
-    away = F.greatest(*(F.abs(x - F.col(c)) for c in ("local_median", "_three0", "_three1", "_three2")))
-    far = away > 1.4826 * rule.hampel * F.least(F.col("local_mad"), F.col("usual_step") * unit)
-    return hold(near, {"hampel": F.coalesce(far, F.lit(False))}).drop("_around", "_three0", "_three1", "_three2")
+    near = with_neighbours(readings.where((x > 0) & ~impossible(x, rule)), keys, "utc_us", x, 3)
+    near, before, after = _named(near, lambda s: s, 3)
+    near = _hampel(near, x, [*before, *after], rule, True)
+    over = F.col("hampel") & (x > rule.ratio * before[0]) & (x > rule.ratio * after[0])
+    near = hold(near, {"excursion": F.coalesce(over, F.lit(False))})
+    return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "excursion")
 
 
-def hampel(blocked: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str) -> DataFrame:
-    """Every plausible reading with local_median, local_mad, usual_step, hampel, excursion and stuck."""
-    near = _near(blocked, keys, value, rule, busy)
-    scaled = _hampel(near.join(_usual_steps(near, keys), list(keys), "left"), value, rule)
-    over = F.coalesce(F.col("lift") > rule.step_factor * F.col("usual_step"), F.lit(False))
-    return hold(scaled, {"excursion": F.col("hampel") & over}).drop("_p1", "_p2", "_n1", "_n2", "_block", "lift", "step")
+def levels(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) -> DataFrame:
+    """Plausible busy readings in runs of rule.run and more equal successive ones, without the first of each."""
+    x = F.col(value)
+    plain = readings.where(x.isNotNull() & ~impossible(x, rule))
+    near = with_neighbours(plain, keys, "utc_us", F.struct(x.alias("x"), F.col("_busy").alias("busy")), rule.run - 1)
+    same = lambda s: (s["x"] == x) & s["busy"]
+    near = near.where(F.col("_busy") & F.coalesce(same(_at(F.col("prev"), -1)), F.lit(False)))
+    length = lambda a: F.coalesce(F.nullif(F.array_position(F.transform(a, same), F.lit(False)), F.lit(0)) - 1, F.size(a))
+    near = hold(near, {"_before": length(F.reverse("prev")), "_after": length(F.col("next"))})
+    return near.where(F.col("_before") + F.col("_after") + 1 >= rule.run).select(*keys, "utc_us")
 
 
-def surges(blocked: DataFrame, keys: Sequence[str], value: str, rule: Rule) -> DataFrame:
-    """Positive readings more than `ratio` times both neighbours that are positive (Hampel on the logarithm, then exact)."""
-    x = F.col(value)
-    near = with_neighbours(blocked.where((x > 0) & ~impossible(x, rule)), keys, "utc_us", x, 2)
-    names = {"_p1": ("prev", -1), "_p2": ("prev", -2), "_n1": ("next", 1), "_n2": ("next", 2)}
-    near = hold(near, {n: _at(F.col(a), i) for n, (a, i) in names.items()}).where((x > rule.ratio * F.col("_p1")) & (x > rule.ratio * F.col("_n1")))
-    logs = lambda *c: F.transform(F.array_compact(F.array(*c)), lambda v: F.log(v))
-    near = hold(near, {"_wide": logs("_p2", "_p1", x, "_n1", "_n2"), "_narrow": logs("_p1", x, "_n1")})
-    away = F.greatest(F.abs(F.log(x) - _median(F.col("_wide"))), F.abs(F.log(x) - _median(F.col("_narrow"))))
-    return hold(near, {"hampel": away > 1.4826 * 0.5}).where("hampel")
+def _block(days: int) -> Column:
+    return F.floor(F.col("utc_us") / (DAY_US * days)).cast("int")
 
 
 def blocked_readings(rows: DataFrame, keys: Sequence[str], version: str, values: Sequence[str], days: int, active: str | None) -> DataFrame:
     """One row per (keys, utc_us), values of the first delivery, distributed by (keys, time block) in a single shuffle."""
     keys = list(keys)
     df = rows.select(*(F.coalesce(k, F.lit("")).alias(k) for k in keys), "utc_us", version, *values)
-    df = in_blocks(df, keys, F.floor(F.col("utc_us") / (DAY_US * days)).cast("int"))
+    df = in_blocks(df, keys, _block(days))
     got = df.groupBy(*keys, BLOCK, "utc_us").agg(F.min(F.struct(version, *values)).alias("_f"))
     busy = F.coalesce(F.col(f"_f.{active}") > 0, F.lit(False)) if active else F.lit(True)
     return got.select(*keys, BLOCK, "utc_us", *(F.col(f"_f.{v}").alias(v) for v in values), busy.alias("_busy"))
@@ -148,30 +189,24 @@ def judge(rows: DataFrame, keys: Sequence[str], version: str, fields: dict[str,
     """(keys, utc_us, field, reason) of every implausible reading; `active`: field that must be positive in stuck runs."""
     keys = list(keys)
     values = list(dict.fromkeys([*fields, *([active] if active else [])]))
-    bars = blocked_readings(rows, keys, version, values, max(r.block_days for r in fields.values()), active)
+    bars = stored(blocked_readings(rows, keys, version, values, max(r.block_days for r in fields.values()), active).drop(BLOCK))
     reasons = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(impossible(F.col(f), r), F.lit(False)).alias("bad")) for f, r in fields.items()))
     bad = bars.select(*keys, "utc_us", F.inline(F.filter(reasons, lambda r: r["bad"])))
     parts = [bad.select(*keys, "utc_us", "field", F.lit("impossible").alias("reason"))]
     for field, rule in fields.items():
         tag = lambda d, reason, f=field: d.select(*keys, "utc_us", F.lit(f).alias("field"), reason.alias("reason"))
-        near = _near(bars, keys, field, rule, "_busy")
+        blocks = in_blocks(bars.select(*keys, "utc_us", field, "_busy"), keys, _block(rule.block_days))
         if rule.ratio is not None:
-            parts += [tag(near.where("stuck"), F.lit("stuck")), tag(surges(bars, keys, field, rule), F.lit("excursion"))]
+            parts += [tag(levels(blocks, keys, field, rule), F.lit("stuck")), tag(surges(blocks, keys, field, rule).where("excursion"), F.lit("excursion"))]
             continue
-        off = near.where("lift > 0 or stuck").join(_usual_steps(near, keys), keys, "left")
-        over = F.coalesce(F.col("lift") > rule.step_factor * F.col("usual_step"), F.lit(False))
-        off = hold(off, {"_over": over}).where("stuck or _over")
-        found = _hampel(off, field, rule).where("stuck or (_over and hampel)")
-        parts.append(tag(found, F.when(F.col("_over") & F.col("hampel"), "excursion").otherwise("stuck")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = stepped(blocks, keys, field, rule).where("stuck or excursion")
+        parts.append(tag(found, F.when(F.col("excursion"), "excursion").otherwise("stuck")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def flagged_rows(rows: DataFrame, keys: Sequence[str], row_id: str, judged: DataFrame) -> DataFrame:
     """Every delivered row of a judged reading: (row_id, field), once."""
     keys = list(keys)
-    right = small_side(cut_lineage(judged.select(*keys, "utc_us", "field").distinct()))
+    right = small_side(stored(judged.select(*keys, "utc_us", "field").distinct()))
     left = rows.select(*(F.coalesce(k, F.lit("")).alias(k) for k in keys), "utc_us", F.col(row_id).alias("row_id"))
     return left.join(right, [*keys, "utc_us"]).select("row_id", "field")

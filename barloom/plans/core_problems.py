@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import as_known, instants, regular_grid, rolling_totals, spikes
 from barloom.plans import core_sql
+from barloom.session import stored
 from barloom.sources.tables import READINGS, read_table
 
 
@@ -67,10 +68,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM = ["collector", "symbol", "timeframe"]
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p2_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars and space weather with their instants, normalised once and stored."""
     clocks = clocks_of(spark, sf_dir)
     bars = timed(spark, sf_dir, "ohlcv", clocks).select(*STREAM, "utc_us", "row_id", "close", "volume")
     wind = timed(spark, sf_dir, "space_weather", clocks).select("collector", "utc_us", "row_id", "solar_wind_speed")
+    return stored(bars), stored(wind)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, wind = _p2_rows(spark, sf_dir)
     judged = spikes.judge(bars, STREAM, "row_id", {"close": spikes.CLOSE, "volume": spikes.VOLUME}, active="volume")
     blown = spikes.judge(wind, ["collector"], "row_id", {"solar_wind_speed": spikes.WIND})
     out = [
@@ -81,10 +88,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_hampel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every plausible close with its rolling median, median absolute deviation and the filter's flags."""
-    bars = timed(spark, sf_dir, "ohlcv").select(*STREAM, "utc_us", "row_id", "close", "volume")
+    """Every plausible reading of the three fields with its rolling median, median absolute deviation and the filter's
+    verdict: the value's logarithm for close and volume, the value itself for the wind speed."""
+    bars, wind = _p2_rows(spark, sf_dir)
     readings = spikes.blocked_readings(bars, STREAM, "row_id", ["close", "volume"], spikes.CLOSE.block_days, "volume")
-    return spikes.hampel(readings, STREAM, "close", spikes.CLOSE, "_busy").drop("_busy", "volume")
+    blown = spikes.blocked_readings(wind, ["collector"], "row_id", ["solar_wind_speed"], spikes.WIND.block_days, None)
+    single = lambda c: F.col(c).cast("float").cast("double").alias(c)
+    parts = []
+    for field, df in (
+        ("close", spikes.stepped(readings, STREAM, "close", spikes.CLOSE)),
+        ("volume", spikes.surges(readings, STREAM, "volume", spikes.VOLUME)),
+        ("solar_wind_speed", spikes.stepped(blown, ["collector"], "solar_wind_speed", spikes.WIND)),
+    ):
+        keys = [F.col(k) if k in df.columns else F.lit("").alias(k) for k in STREAM]
+        parts.append(df.select(*keys, F.lit(field).alias("field"), "utc_us", F.col(field).alias("value"), single("local_median"), single("local_mad"), "hampel", "excursion"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,10 +115,11 @@ def _excursions(name: str, src: str, keys: str, x: str, relative: bool, busy: st
     step = "abs(x - p1)" + (" / p1" if relative else "")
     return f"""{name}_q AS (SELECT {keys}, utc_us, {x} AS x, {busy} AS busy FROM {src}),
 {name}_n AS (SELECT *, lag(x) {w} AS p1, lag(x, 2) {w} AS p2, lead(x) {w} AS n1, lead(x, 2) {w} AS n2, lag(busy) {w} AS pb FROM {name}_q),
-{name}_m AS (SELECT {keys}, quantile_disc({step}, 0.5) AS m FROM {name}_n WHERE busy AND pb GROUP BY ALL),
+{name}_m AS (SELECT {keys}, quantile_cont({step}, 0.5) AS m FROM {name}_n WHERE busy AND pb GROUP BY ALL),
 {name}_i AS (SELECT *, sum(CASE WHEN busy AND pb AND x = p1 THEN 0 ELSE 1 END) {w} AS island FROM {name}_n),
 {name}_r AS (SELECT *, count(*) OVER (PARTITION BY {keys}, island) AS len, row_number() OVER (PARTITION BY {keys}, island ORDER BY utc_us) AS nth FROM {name}_i),
-{name} AS (SELECT {keys}, utc_us FROM {name}_r JOIN {name}_m USING ({keys}) WHERE {exact} UNION SELECT {keys}, utc_us FROM {name}_r WHERE busy AND len >= 6 AND nth > 1)"""
+{name}_e AS (SELECT {keys}, utc_us FROM {name}_r JOIN {name}_m USING ({keys}) WHERE {exact}),
+{name} AS (SELECT {keys}, utc_us FROM {name}_e UNION SELECT {keys}, utc_us FROM {name}_r WHERE busy AND len >= 6 AND nth > 1)"""
 
 
 _K = "collector, symbol, timeframe"
@@ -139,7 +140,25 @@ SELECT 'ohlcv' AS tab, row_id, 'close' AS field FROM bars JOIN sc USING ({_K}, u
 UNION ALL SELECT 'ohlcv', row_id, 'volume' FROM bars JOIN sv USING ({_K}, utc_us)
 UNION ALL SELECT 'space_weather', row_id, 'solar_wind_speed' FROM wind JOIN sw USING (collector, utc_us)"""
 
+
+
+def _hampel(src: str, keys: str, x: str, field: str, log: bool, exact: str) -> str:
+    """Rolling median and deviation of seven readings, the filter's verdict, and the excursions of `exact`."""
+    w = f"OVER (PARTITION BY {keys} ORDER BY utc_us ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+    out = ", ".join(k if k in keys else f"'' AS {k}" for k in ("collector", "symbol", "timeframe"))
+    z = f"ln({x})" if log else x
+    f32 = lambda c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+    return f"""SELECT {out}, '{field}' AS field, utc_us, {x} AS value, {f32('med')} AS local_median, {f32('mad')} AS local_mad, far AS hampel,
+ far AND ({keys.replace(', ', " || ':' || ")} || ':' || utc_us) IN (SELECT {keys.replace(', ', " || ':' || ")} || ':' || utc_us FROM {exact}) AS excursion FROM
+ (SELECT *, abs(z - med) > 1.4826 * 1.5 * mad AS far FROM (SELECT *, list_aggregate(list_transform(near, lambda v: abs(v - med)), 'median') AS mad FROM
+ (SELECT *, {z} AS z, list({z}) {w} AS near, median({z}) {w} AS med FROM {src}) a) b) c"""
+
+
+_EXACT = _FOUND2[: _FOUND2.index("sv AS (")]
+_SURGE = f"surge AS (SELECT {_K}, utc_us FROM (SELECT *, lag(v) {_VW} AS p1, lead(v) {_VW} AS n1 FROM fv WHERE v > 0) q WHERE v > 15 * p1 AND v > 15 * n1)"
 SQL = {
+    "p2_hampel": f"{_EXACT} {_SURGE}, positive AS (SELECT * FROM fv WHERE v > 0) "
+    + " UNION ALL ".join((_hampel("fc", _K, "c", "close", True, "xc_e"), _hampel("positive", _K, "v", "volume", True, "surge"), _hampel("fs", "collector", "s", "solar_wind_speed", False, "xs_e"))),
     "p1_rolling_totals": _rolling(),
     "p1_found": f"SELECT collector, symbol, day_utc FROM ({_rolling()}) WHERE active_7 = 0",
     "p2_found": _FOUND2,

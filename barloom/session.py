@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to a table of its own in the shared folder and read it back: lineage is cut, and later uses scan only the
+    columns they need (compressed, unlike a checkpoint)."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes a row takes: eight a column, plus texts, arrays and nested values by their printed length."""
     size = F.lit(8 * len(df.columns))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -152,6 +153,8 @@ def test_spikes_against_brute_force(spark, block_days):
     exc, stuck = brute_spikes(xs, busy, rule)
     want = exc | stuck | {i for i, x in enumerate(xs) if x is not None and x <= 0}
     assert len(exc) > 8 and len(stuck) > 10
+    silent = spikes.judge(df, ["collector"], "row_id", {"close": replace(rule, hampel=math.inf)}, active="volume")
+    assert silent.where("reason = 'excursion'").count() == 0 and silent.where("reason = 'stuck'").count() > 0  # the filter proposes
     assert got == want | {1000 + i for i in want if i % 7 == 0}
     assert spikes.judge(df.limit(0), ["collector"], "row_id", {"close": rule}, active="volume").count() == 0
 
@@ -161,6 +164,8 @@ def test_surges(spark):
     df = spark.createDataFrame([(i, "c", T0 + i * DAY, x) for i, x in enumerate(v)], "row_id bigint, collector string, utc_us bigint, volume double")
     judged = spikes.judge(df, ["collector"], "row_id", {"volume": spikes.VOLUME}, active="volume")
     got = {(r["utc_us"] - T0) // DAY for r in judged.where("reason = 'excursion'").collect()}
+    silent = spikes.judge(df, ["collector"], "row_id", {"volume": replace(spikes.VOLUME, hampel=math.inf)}, active="volume")
+    assert silent.where("reason = 'excursion'").count() == 0
     assert got == {2}  # 40 is over 15 times 2 and the next positive 2; 31 is not over 15 times 2.1
 
 
