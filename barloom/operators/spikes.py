@@ -2,9 +2,9 @@
 
 A stream is one source's readings in order of time. Per reading: the rolling median of the seven readings around it and
 their median absolute deviation (Hampel filter; on the logarithm for relative fields); runs of equal values from five
-neighbours either side; and the stream's usual step (median of |x - previous|). The filter proposes: only a reading
-further from its rolling median than `hampel` scaled deviations is a candidate. Each candidate is then compared exactly
-with both sides against the usual step.
+neighbours either side; and the stream's usual step (median of |x - previous|). The filter proposes: only readings
+further from their rolling median than `hampel` scaled deviations, and the readings next to these, are candidates. Each
+candidate is then compared exactly with both sides against the usual step.
 
 Streams are cut into time blocks: rows are distributed by (stream, block), so no stream ever sits in one task. Rows are
 normalised once and readings are deduplicated once, each stored as a compressed table that the passes scan by column.
@@ -73,14 +73,27 @@ def _named(near: DataFrame, value: Column, reach: int) -> tuple[DataFrame, list[
     return near, [F.col(f"_p{i}") for i in range(1, reach + 1)], [F.col(f"_n{i}") for i in range(1, reach + 1)]
 
 
-def _hampel(near: DataFrame, x: Column, around: Sequence[Column], rule: Rule, log: bool) -> DataFrame:
-    """Add local_median, local_mad and `hampel`: further from the rolling median than rule.hampel scaled deviations."""
+def _hampel(near: DataFrame, x: Column, before: Sequence[Column], after: Sequence[Column], rule: Rule, log: bool) -> DataFrame:
+    """Add local_median, local_mad, `hampel` (further from its rolling median than rule.hampel scaled deviations) and
+    `proposed`: the filter rejects the reading or one next to it, so a reading between two spikes is looked at too."""
     z = (lambda c: F.ln(c)) if log else (lambda c: c)
-    near = hold(near, {"_z": z(x), "_around": F.array_compact(F.array(*(z(c) for c in (*around, x))))})
-    near = hold(near, {"local_median": _median(F.col("_around"))})
-    near = hold(near, {"local_mad": _median(F.transform("_around", lambda v: F.abs(v - F.col("local_median"))))})
-    far = F.abs(F.col("_z") - F.col("local_median")) > 1.4826 * rule.hampel * F.col("local_mad")
-    return hold(near, {"hampel": F.coalesce(far, F.lit(False))}).drop("_z", "_around")
+    line = [*reversed(before), x, *after]
+    near = hold(near, {"_line": F.transform(F.array(*line), z)})
+    at = len(before)
+
+    def rejects(df: DataFrame, centre: int, name: str, when: Column) -> DataFrame:
+        around = F.array_compact(F.slice("_line", centre - 2, 7))
+        df = hold(df, {"_a": F.when(when, around)})
+        df = hold(df, {f"{name}_median": _median(F.col("_a"))})
+        df = hold(df, {f"{name}_mad": _median(F.transform("_a", lambda v: F.abs(v - F.col(f"{name}_median"))))})
+        far = F.abs(F.element_at("_line", centre + 1) - F.col(f"{name}_median")) > 1.4826 * rule.hampel * F.col(f"{name}_mad")
+        return hold(df, {f"{name}_far": F.coalesce(far, F.lit(False))}).drop("_a")
+
+    near = rejects(near, at, "local", F.lit(True))
+    near = rejects(near, at - 1, "_b", ~F.col("local_far"))
+    near = rejects(near, at + 1, "_c", ~F.col("local_far") & ~F.col("_b_far"))
+    near = near.withColumn("proposed", F.col("local_far") | F.col("_b_far") | F.col("_c_far")).withColumnRenamed("local_far", "hampel")
+    return near.drop("_line", "_b_median", "_b_mad", "_b_far", "_c_median", "_c_mad", "_c_far")
 
 
 def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str) -> DataFrame:
@@ -91,8 +104,8 @@ def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str)
     x = F.col(value)
     plain = df.where(x.isNotNull() & ~impossible(x, rule))
     near = with_neighbours(plain, keys, "utc_us", F.struct(x.alias("x"), F.col(busy).alias("busy")), rule.run - 1)
-    near, before, after = _named(near, lambda s: s["x"], 3)
-    near = _hampel(near, x, [*before, *after], rule, rule.relative)
+    near, before, after = _named(near, lambda s: s["x"], 4)
+    near = _hampel(near, x, before, after, rule, rule.relative)
     (p1, p2), (n1, n2) = before[:2], after[:2]
     off = lambda v, nb: (v - nb) / (nb if rule.relative else F.lit(1.0))
 
@@ -109,14 +122,14 @@ def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str)
     level = (p1 == x) | (n1 == x)  # only then the arrays need looking through
     near = hold(
         near,
-        {"lift": F.when(F.col("hampel"), lift).otherwise(0.0), "step": step,
+        {"lift": F.when(F.col("proposed"), lift).otherwise(0.0), "step": step,
          "_same_before": F.when(level, F.reverse(same(F.col("prev")))), "_same_after": F.when(level, same(F.col("next")))},
     )
     length = lambda a: F.coalesce(F.nullif(F.array_position(a, F.lit(False)), F.lit(0)) - 1, F.size(a))
     near = hold(near, {"_run_before": length(F.col("_same_before")), "_run_after": length(F.col("_same_after"))})
     stuck = F.col(busy) & (F.col("_run_before") >= 1) & (F.col("_run_before") + F.col("_run_after") + 1 >= rule.run)
     near = hold(near, {"stuck": F.coalesce(stuck, F.lit(False))})
-    return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "lift", "step", "stuck")
+    return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "proposed", "lift", "step", "stuck")
 
 
 def _usual_steps(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,7 +150,7 @@ def _usual_steps(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _over(rule: Rule) -> Column:
-    return F.coalesce(F.col("hampel") & (F.col("lift") > rule.step_factor * F.col("usual_step")), F.lit(False))
+    return F.coalesce(F.col("proposed") & (F.col("lift") > rule.step_factor * F.col("usual_step")), F.lit(False))
 
 
 def stepped(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) -> DataFrame:
@@ -151,12 +164,12 @@ def surges(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) ->
     """Every positive plausible reading with Hampel's columns on the logarithm and `excursion`: proposed by the filter and
     more than rule.ratio times both neighbours that are positive."""
     x = F.col(value)
-    near = with_neighbours(readings.where((x > 0) & ~impossible(x, rule)), keys, "utc_us", x, 3)
-    near, before, after = _named(near, lambda s: s, 3)
-    near = _hampel(near, x, [*before, *after], rule, True)
-    over = F.col("hampel") & (x > rule.ratio * before[0]) & (x > rule.ratio * after[0])
+    near = with_neighbours(readings.where((x > 0) & ~impossible(x, rule)), keys, "utc_us", x, 4)
+    near, before, after = _named(near, lambda s: s, 4)
+    near = _hampel(near, x, before, after, rule, True)
+    over = F.col("proposed") & (x > rule.ratio * before[0]) & (x > rule.ratio * after[0])
     near = hold(near, {"excursion": F.coalesce(over, F.lit(False))})
-    return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "excursion")
+    return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "proposed", "excursion")
 
 
 def levels(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) -> DataFrame:
