@@ -2,13 +2,20 @@
 
 Texts become words: character references decoded, markup and invisible characters removed, compatibility forms folded,
 lower case, runs of letters and digits. Five-word shingles of the items are counted over all documents; every window of
-`run` words of an item takes its rarest shingle as seed, so a document holding a whole window holds its seed: no leak of
-that length is missed, and common phrases make no candidates. Candidates are aligned word by word (match +2, mismatch
-and gap -1) over the whole document at any length, which scores edited and paraphrased copies too; the longest unbroken run of words decides `leaked`.
-
-The shingle table of the items is broadcast only within a counted bound, else the join shuffles on the shingle.
-Documents stay one row each until a seed matches; there are no document pairs. Defined results: NULL or empty texts and
-items shorter than `run` words match nothing; repeated documents are each reported; extra columns are ignored.
+`seed_window` words of an item takes its rarest shingle as seed. A document holding a whole window holds its seed, so no
+leak of `run` words is missed, and common phrases make no candidates; the narrower the window, the more seeds an edited
+copy may keep. Candidates are aligned word by word (match +2, mismatch and gap -1) over the whole document at any
+length. The alignment decides: `leaked` where its longest unbroken run reaches `run` words, `edited` where it is not
+leaked but its best local score reaches `edited_share` of the item's own score.
+
+All documents are tokenised once; what goes on is (doc_id, shingle) of the items' shingles only, stored. Only candidate
+documents are read again for alignment, spread by (document, item) and aligned many pairs side by side. A stretch of
+words foreign to the item is cut to twice the item's length, which no local alignment can cross: scores stay exact.
+The items' shingles and texts are broadcast only within a measured bound, else the joins shuffle (AQE splits a frequent
+shingle). There are no document pairs.
+
+Defined results: NULL or empty texts and items shorter than `run` words match nothing; repeated documents come once
+with their best alignment; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.session import small_side
+from barloom.session import small_side, stored
 
 SHINGLE = 5
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
@@ -36,29 +44,40 @@ def words(text: str | None) -> list[str]:
     """The words of a text, as the module says."""
     if not text:
         return []
-    t = _INVISIBLE.sub("", _TAG.sub(" ", html.unescape(text)))
-    return _WORD.findall(unicodedata.normalize("NFKC", t).casefold())
+    t = html.unescape(text) if "&" in text else text
+    t = _TAG.sub(" ", t) if "<" in t else t
+    return _WORD.findall(t.lower() if t.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", t)).casefold())
+
+
+_MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], np.uint64)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def words_of(texts: pd.Series) -> pd.Series:
-    return texts.map(words)
+def shingle_hashes(found: list[str]) -> np.ndarray:
+    """64-bit hashes of the five-word shingles of a list of words, in order; none for fewer words."""
+    if len(found) < SHINGLE:
+        return np.empty(0, np.int64)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in found], np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(h, SHINGLE)
+    mixed = (windows * _MULTIPLIERS).sum(1, dtype=np.uint64)
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
-def shingles(words_col: str, n: int = SHINGLE):
-    """array of the 64-bit hashes of the n-word shingles, in order; empty for fewer words."""
-    w = F.col(words_col)
-    last = F.size(w) - n + 1
-    return F.when(
-        last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    ).otherwise(F.array().cast("array<bigint>"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingles_of(texts: pd.Series) -> pd.Series:
+    """The distinct shingles of each text."""
+    return texts.map(lambda t: np.unique(shingle_hashes(words(t))))
 
 
-def seeds(doc_hits: DataFrame, item_grams: DataFrame, run: int) -> DataFrame:
-    """(item_id, gram): the rarest shingle of each window of `run` words, by the number of documents holding it."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingles_in_order(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: shingle_hashes(words(t)))
+
+
+def seeds(doc_hits: DataFrame, item_grams: DataFrame, window: int) -> DataFrame:
+    """(item_id, gram): the rarest shingle of each window of `window` words, by the number of documents holding it."""
     held = doc_hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     counted = item_grams.join(held, "gram", "left").fillna(0, ["df"])
-    per_window = run - SHINGLE + 1
+    per_window = window - SHINGLE + 1
     ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, per_window - 1)
     pick = counted.select(
         "item_id", F.min(F.struct("df", "pos", "gram")).over(ahead).alias("m"), F.count(F.lit(1)).over(ahead).alias("n")
@@ -66,47 +85,85 @@ def seeds(doc_hits: DataFrame, item_grams: DataFrame, run: int) -> DataFrame:
     return pick.where("m.df > 0").select("item_id", F.col("m.gram").alias("gram")).distinct()
 
 
-def align(doc: list[str], item: list[str], gap: int = 1) -> tuple[int, int]:
-    """Smith-Waterman over words: (best local score, longest unbroken run of words)."""
+def _codes(doc: list[str], item: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both texts as numbers of the item's distinct words, -1 for words foreign to it, long foreign stretches cut."""
     ids = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    it = np.array([ids[w] for w in item])
-    ramp = np.arange(1, len(it) + 1) * gap
-    h, streak = np.zeros(len(it) + 1, np.int64), np.zeros(len(it) + 1, np.int64)
-    best = longest = 0
-    for w in doc:
-        k = ids.get(w, -1)
-        same = it == k if k >= 0 else np.zeros(len(it), bool)
-        new = np.maximum(np.maximum(h[:-1] + np.where(same, 2, -1), h[1:] - gap), 0)
-        new = np.maximum(np.maximum.accumulate(new + ramp) - ramp, new)
-        run = np.where(same, streak[:-1] + 1, 0)
-        h[1:], streak[1:] = new, run
-        best = max(best, int(new.max()))
-        longest = max(longest, int(run.max()))
-    return best, longest
-
-
-def leaks(documents: DataFrame, items: DataFrame, run: int = 13) -> DataFrame:
-    """(doc_id, item_id, score, longest_run, coverage, leaked) of every document-item pair that shares a seed."""
+    d = np.array([ids.get(w, -1) for w in doc], np.int32)
+    at = np.arange(len(d))
+    last = np.maximum.accumulate(np.where(d >= 0, at, -(1 << 40))) if len(d) else at
+    return d[at - last <= 2 * len(item)], np.array([ids[w] for w in item], np.int32)
+
+
+def align_many(docs: list[list[str]], items: list[list[str]], gap: int = 1, cells: int = 1 << 15) -> list[tuple[int, int]]:
+    """Smith-Waterman over words for each pair: (best local score, longest unbroken run of words), pairs side by side."""
+    coded = [_codes(d, i) for d, i in zip(docs, items, strict=True)]
+    order = sorted(range(len(coded)), key=lambda k: len(coded[k][0]))
+    out: list[tuple[int, int]] = [(0, 0)] * len(coded)
+    start = 0
+    while start < len(order):
+        end, widest = start, 1
+        while end < len(order) and (end == start or max(widest, len(coded[order[end]][1])) * (end - start + 1) <= cells):
+            widest = max(widest, len(coded[order[end]][1]))
+            end += 1
+        part = order[start:end]
+        start = end
+        n, m, b = len(coded[part[-1]][0]), widest, len(part)
+        it, text = np.full((b, m), -2, np.int32), np.full((n, b), -1, np.int32)
+        for r, k in enumerate(part):
+            it[r, : len(coded[k][1])] = coded[k][1]
+            text[: len(coded[k][0]), r] = coded[k][0]
+        ramp = np.arange(1, m + 1, dtype=np.int32) * gap
+        h, streak = np.zeros((b, m + 1), np.int32), np.zeros((b, m + 1), np.int32)
+        best, longest = np.zeros(b, np.int32), np.zeros(b, np.int32)
+        for word in text:
+            same = it == word[:, None]
+            new = h[:, :-1] + same * np.int32(3) - np.int32(1)
+            np.maximum(new, h[:, 1:] - gap, out=new)
+            np.maximum(new, 0, out=new)
+            new += ramp
+            np.maximum.accumulate(new, axis=1, out=new)
+            new -= ramp
+            run = (streak[:, :-1] + 1) * same
+            h[:, 1:], streak[:, 1:] = new, run
+            np.maximum(best, new.max(1), out=best)
+            np.maximum(longest, run.max(1), out=longest)
+        for r, k in enumerate(part):
+            out[k] = (int(best[r]), int(longest[r]))
+    return out
+
+
+def align(doc: list[str], item: list[str], gap: int = 1) -> tuple[int, int]:
+    return align_many([doc], [item], gap)[0]
+
+
+def leaks(documents: DataFrame, items: DataFrame, run: int = 13, seed_window: int = 7, edited_share: float = 0.4) -> DataFrame:
+    """(doc_id, item_id, score, longest_run, coverage, leaked, edited) of every document-item pair that shares a seed."""
+    if not SHINGLE <= seed_window <= run:
+        raise ValueError("seed_window must lie between the shingle's five words and run")
     docs = documents.select("doc_id", "text").where("text is not null")
-    grams = items.select("item_id", words_of("text").alias("w")).select("item_id", F.posexplode(shingles("w")).alias("pos", "gram"))
+    grams = stored(items.select("item_id", F.posexplode(shingles_in_order("text")).alias("pos", "gram")))
     wanted = small_side(grams.select(F.col("gram").alias("_g")).distinct())
-    hits = docs.select("doc_id", words_of("text").alias("w")).select("doc_id", F.explode(F.array_distinct(shingles("w"))).alias("gram"))
-    hits = hits.join(wanted, F.col("gram") == F.col("_g"), "left_semi")
-    chosen = seeds(hits, grams, run)
-    pairs = hits.join(small_side(chosen), "gram").select("doc_id", "item_id").distinct()
-    full = pairs.join(docs, "doc_id").join(small_side(items.select("item_id", F.col("text").alias("item"))), "item_id")
+    hits = docs.select("doc_id", F.explode(shingles_of("text")).alias("gram"))
+    hits = stored(hits.join(wanted, F.col("gram") == F.col("_g"), "left_semi"))
+    chosen = small_side(stored(seeds(hits, grams, seed_window)))
+    pairs = small_side(stored(hits.join(chosen, "gram").select("doc_id", "item_id").distinct()))
+    full = docs.join(pairs, "doc_id").repartition("doc_id", "item_id")
+    full = full.join(small_side(items.select("item_id", F.col("text").alias("item"))), "item_id")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[str]] = {}
         for pdf in batches:
-            rows = []
-            for d, i, text, item in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], strict=True):
-                iw = known.setdefault(item, words(item))
-                score, longest = align(words(text), iw)
-                rows.append((d, i, score, longest, score / (2 * len(iw))))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run", "coverage"])
+            wanted_items = [known.setdefault(i, words(i)) for i in pdf["item"]]
+            read: dict[str, list[str]] = {}
+            got = align_many([read.setdefault(t, words(t)) if t not in read else read[t] for t in pdf["text"]], wanted_items)
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "score": [s for s, _ in got], "longest_run": [n for _, n in got],
+                 "coverage": [s / (2 * len(i)) for (s, _), i in zip(got, wanted_items, strict=True)]}
+            )
 
     out = full.select("doc_id", "item_id", "text", "item").mapInPandas(
         work, "doc_id bigint, item_id bigint, score bigint, longest_run bigint, coverage double"
     )
-    return out.dropDuplicates(["doc_id", "item_id"]).withColumn("leaked", F.col("longest_run") >= run)
+    out = out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "longest_run", "coverage")))
+    leaked = (F.col("score") >= 2 * run) & (F.col("longest_run") >= run)
+    return out.withColumn("leaked", leaked).withColumn("edited", ~leaked & (F.col("coverage") >= edited_share))

@@ -1,15 +1,18 @@
-"""Mixing sources to target weights (problem 8): Sainte-Lague apportionment of tokens, then seeded selection.
-
-The size of every document is its number of tokens under a public tokenizer. The documents of a (source, shard) are laid
-end to end in seeded hash order; a mix of N tokens gives them to its sources one by one by the highest quotient
-share / (2 seats + 1), a source dropping out when its documents at max_repeats are used up, counted to the token
-(the rest goes on to the others, and the shares actually reached are reported). A source's tokens are split over its
-shards by the same rule with the shards' tokens as weights. Within a shard the quota is whole passes over all documents
-plus the documents at the front of the seeded line, so no document comes more often than max_repeats and copies of one
-document differ by at most one.
-
-Shards follow the size of their own source (a fixed number of tokens a shard): no source, however large, is ordered in
-one task, and a small source is not cut finer because the others grow.
+"""Mixing sources to target weights (problem 8): Sainte-Lague apportionment of equal-token blocks, then seeded selection.
+
+The size of every document is its number of tokens under a public tokenizer. A mix is made of blocks of equal tokens.
+Blocks go to its sources by the highest quotient share / (2 seats + 1), a source dropping out when its documents at
+max_repeats are used up (the rest goes on to the others, and the shares actually reached are reported). A source's blocks
+are split over its shards in proportion to the shards' tokens, each shard getting an integer number and all together
+exactly the source's. Within a shard the documents lie end to end in seeded hash order, cut into blocks; the quota is whole
+passes over the shard plus a run of blocks from a seeded start, going round. A document comes with the block its middle
+lies in, so no document comes more often than max_repeats and copies of one document differ by at most one.
+
+A block is at most BLOCK_TOKENS, at most a thousandth of every shard and of what any mix wants from any source, so it
+never grows with the corpus. Shards follow the size of their own source (a fixed number of tokens a shard, no upper
+number of shards): no source, however large, is ordered in one task, and a small source is not cut finer because the
+others grow. The apportionment itself works on one row per mix and source; the shards' part is one window per mix and source.
+
 Defined results: source labels compare without case and outer blanks; NULL or empty texts have no tokens and are never
 chosen; NULL sources belong to no mix; a mix source without documents gets nothing and a shortfall; empty tables give
 empty mixes.
@@ -25,11 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage, small_side
+from barloom.session import small_side, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Tokens a shard holds at most on average; shards per source are its tokens over it, up to MAX_SHARDS.
-SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
+#: Tokens a shard holds on average at most; a source has as many shards as it has such portions. The longest block.
+SHARD_TOKENS, BLOCK_TOKENS = 2_000_000, 2_000
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -79,46 +82,59 @@ def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> l
     return got
 
 
-def quotas(shards: DataFrame, targets: DataFrame, total: int) -> DataFrame:
-    """(mix_id, source, shard, quota_tokens): one small group per mix, sources x shards rows."""
+def block_size(sources: DataFrame, targets: DataFrame, total: int) -> int:
+    """Tokens a block: a thousandth of the least a mix wants or a shard holds, at most BLOCK_TOKENS, at least 1."""
+    want = targets.agg(F.min(F.when(F.col("target_share") > 0, F.col("target_share") * F.col("size_ratio")))).first()[0] or 0
+    shard = sources.agg(F.min(F.col("source_tokens") / F.col("n_shards"))).first()[0] or 0
+    return max(1, min(BLOCK_TOKENS, int(want * total / 1000), int(shard / 1000)))
+
+
+def source_quotas(sources: DataFrame, targets: DataFrame, total: int, block: int) -> DataFrame:
+    """(mix_id, source, max_repeats, source_tokens, source_blocks): highest quotients, one row per source in a mix's group."""
     want = targets.select("mix_id", F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats", "size_ratio")
-    rows = want.join(shards, "source")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "shard"]).reset_index(drop=True)
-        pdf["cap"] = pdf["shard_tokens"] * pdf["max_repeats"]
-        by = pdf.groupby("source", sort=True)
-        parties = by.agg(share=("target_share", "first"), cap=("cap", "sum"))
-        seats = round(pdf["size_ratio"].iloc[0] * total)
-        won = dict(zip(parties.index, sainte_lague(parties["share"].tolist(), parties["cap"].tolist(), seats), strict=True))
-        pdf["quota_tokens"] = 0
-        for source, part in by:
-            pdf.loc[part.index, "quota_tokens"] = sainte_lague(part["shard_tokens"].tolist(), part["cap"].tolist(), won[source])
-        return pdf[["mix_id", "source", "shard", "shard_tokens", "max_repeats", "quota_tokens"]]
-
-    return rows.groupBy("mix_id").applyInPandas(
-        split, "mix_id string, source string, shard bigint, shard_tokens bigint, max_repeats bigint, quota_tokens bigint"
-    )
+        pdf = pdf.sort_values("source").reset_index(drop=True)
+        caps = (pdf["source_tokens"] * pdf["max_repeats"] // block).tolist()
+        pdf["source_blocks"] = sainte_lague(pdf["target_share"].tolist(), caps, round(pdf["size_ratio"].iloc[0] * total / block))
+        return pdf[["mix_id", "source", "max_repeats", "source_tokens", "source_blocks"]]
+
+    schema = "mix_id string, source string, max_repeats bigint, source_tokens bigint, source_blocks bigint"
+    return want.join(sources.select("source", "source_tokens"), "source").groupBy("mix_id").applyInPandas(split, schema)
+
+
+def shard_quotas(shards: DataFrame, won: DataFrame) -> DataFrame:
+    """(mix_id, source, shard, shard_tokens, max_repeats, quota): a source's blocks over its shards in proportion to their
+    tokens; running totals are rounded, so every quota is an integer within one of its share and all add up."""
+    line = Window.partitionBy("mix_id", "source").orderBy("shard")
+    upto = F.sum("shard_tokens").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rounded = lambda tokens: F.round(tokens / F.col("source_tokens") * F.col("source_blocks")).cast("bigint")
+    j = shards.join(small_side(won), "source").withColumn("_upto", upto)
+    quota = rounded(F.col("_upto")) - rounded(F.col("_upto") - F.col("shard_tokens"))
+    return j.select("mix_id", "source", "shard", "shard_tokens", "max_repeats", quota.alias("quota"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(chosen documents: mix_id, source, doc_id, tokens, repeats; shares: target and reached per mix and source)."""
-    sized = cut_lineage(token_counts(documents, tokenizer).where("tokens > 0"))
+    sized = stored(token_counts(documents, tokenizer).where("tokens > 0"))
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    n_shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.sum("tokens") / SHARD_TOKENS))
-    cuts = sized.where("source is not null").groupBy("source").agg(n_shards.alias("n_shards"))
+    sources = sized.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
+    sources = stored(sources.withColumn("n_shards", F.ceil(F.col("source_tokens") / SHARD_TOKENS)))
+    block = block_size(sources, targets, total)
     shard: Column = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards"))
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    laid = sized.join(small_side(cuts), "source").withColumn("shard", shard).drop("n_shards")
+    laid = sized.join(small_side(sources.select("source", "n_shards")), "source").withColumn("shard", shard).drop("n_shards")
     shards = laid.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens"))
-    quota = cut_lineage(quotas(shards, targets, total))
-    placed = laid.withColumn("middle", F.sum("tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens") / 2)
+    quota = stored(shard_quotas(shards, stored(source_quotas(sources, targets, total, block))))
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+    placed = laid.withColumn("_middle", F.sum("tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens") / 2)
     j = placed.join(small_side(quota), ["source", "shard"])
-    passes = F.call_function("div", F.col("quota_tokens"), F.col("shard_tokens"))
-    rest = F.col("quota_tokens") - passes * F.col("shard_tokens")
-    repeats = F.least(F.col("max_repeats"), passes + (F.col("middle") < rest).cast("bigint"))
+    n = F.greatest(F.lit(1), F.round(F.col("shard_tokens") / block)).cast("bigint")  # blocks of the shard
+    at = F.least(F.floor(F.col("_middle") * n / F.col("shard_tokens")).cast("bigint"), n - 1)
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "mix_id", "source", "shard"), n)
+    passes, rest = F.call_function("div", F.col("quota"), n), F.pmod(F.col("quota"), n)
+    repeats = F.least(F.col("max_repeats"), passes + (F.pmod(at - start, n) < rest).cast("bigint"))
     chosen = j.withColumn("repeats", repeats).where("repeats > 0").select("mix_id", "source", "doc_id", "tokens", "repeats")
-    chosen = cut_lineage(chosen)
+    chosen = stored(chosen)
     reached = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     want = targets.select("mix_id", F.lower(F.trim("source")).alias("source"), "target_share", "size_ratio")
     per_mix = Window.partitionBy("mix_id")

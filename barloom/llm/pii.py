@@ -3,14 +3,22 @@
 Detection is one ordered pass per text: e-mails (disguised ones too), identity numbers, phone numbers, postal addresses,
 then person names; what one kind has taken is blanked for the next, so spans never overlap. Names come from two sources:
 cue phrases and titles of four languages around one to three name words in any case and order, and a given name of the
-supplied list followed by a surname. Every span becomes a typed placeholder <KIND:pseudonym>: validated phone and
-identity numbers and dates of birth are permuted digit by digit inside their own format by a keyed Feistel network
-(a bijection, so equal values stay linked across documents and different values never collide); e-mails, names and
-addresses get a keyed digest of their normalised form, so case and word order do not break links.
-
-Python is needed for look-around regular expressions; it runs in Arrow batches, one text at a time, no shuffle.
-Defined results: NULL text stays NULL and finds nothing; an empty text stays empty; repeated documents are each treated;
-texts of any length are read whole; the given-name list may be empty. Extra columns pass through `redacted` untouched.
+supplied list followed by a surname. Every span becomes a typed placeholder <KIND:pseudonym>.
+
+Pseudonyms of numbers and dates are keyed Feistel permutations within their format. A value is first brought to its
+canonical form (the digits of a phone number without prefix spelling and punctuation, the characters of an identity
+number, the day of a date), permuted inside the domain of its kind, and laid into the writer's own spelling: equal
+values stay linked across documents however they are written, different ones never collide. Identity numbers are
+validated (check letter, check digits, issued ranges): a valid number becomes another valid one of its kind, an
+unverified one is permuted among all of its shape. Detection does not require validity, since mistyped numbers are
+personal too. E-mails, names and addresses get a keyed digest of their normalised form, so case and word order do not
+break links.
+
+Python is needed for look-around regular expressions; it runs in Arrow batches, one text at a time, no shuffle. A list
+of given names within a measured bound travels with the tasks; a larger one is joined to the words of the texts first,
+and each text gets the names whose first word it holds. Defined results: NULL text stays NULL and finds nothing; an empty
+text stays empty; repeated documents are each treated; texts of any length are read whole; the given-name list may be
+empty. Extra columns pass through `redacted` untouched.
 """
 
 from __future__ import annotations
@@ -27,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import BROADCAST_BYTES, is_small
+
 KINDS = ("email", "id_number", "phone", "address", "name")
 BLANK = "\0"
 
@@ -39,8 +49,12 @@ EMAIL = re.compile(
     rf"(?<![\w.+@-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,24}}(?![\w@])"
     rf"|(?<![\w.+@-]){_LOCAL}\sat\s{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[^\W\d_]{{2,24}}(?!\w)"
 )
-#: A part every match of EMAIL has, its first branch _AT and its second the word dot: cheap to look for first.
-_MAY_MAIL = re.compile(rf"{_AT}|\sdot\s")
+
+
+def _may_mail(text: str) -> bool:
+    """Whether the text has what every match of EMAIL has: a sign of _AT, one of its words, or the word dot."""
+    return "@" in text or "＠" in text or "&#64;" in text or "%40" in text or "AT" in text or "dot" in text or ("at" in text and any(b in text for b in "[({<"))
+
 
 # ---------------------------------------------------------------- identity numbers
 ID = re.compile(
@@ -142,7 +156,7 @@ TITLED = re.compile(rf"(?<![\w.]){_TITLES}{_S}+(?P<name>(?:{_INI}{_S})?{_PART}?{
 _VERBS = tuple("said says told wrote keeps kept argued argues insisted replied warned vive sagte schrieb führt dit écrit tient dijo escribió lleva mantiene".split())
 SPEAKING = re.compile(rf"(?:(?<=^)|(?<=[.!?:;>\"”] )|(?<=\n))(?P<name>{_TWO}|{_PART}?{_TOK})\s(?:{'|'.join(_VERBS)})(?!\w)")
 _WORD = re.compile(r"[^\W\d_]+")
-_DAY = r"(\d{4})-(\d{2})-(\d{2})"
+_DAY = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4})(?!\d)"
 BIRTH = re.compile(rf"(?i)(?<=\b)(?:born(?: on)?|date of birth|dob|geboren(?: am)?|geb\.|né(?:e)? le|nacid[oa] el)\W{{1,3}}(?P<day>{_DAY})")
 
 
@@ -216,13 +230,24 @@ def find(text: str | None, given: frozenset[str] = frozenset(), pattern: re.Patt
     rest, low = text, text.lower()
 
     def take(found: Iterable[tuple[int, int]], kind: str) -> None:
+        """Longest first, none over what is taken; blanked in one pass."""
         nonlocal rest
-        for a, b in sorted(set(found), key=lambda s: (s[0] - s[1], s[0])):
-            if BLANK not in rest[a:b]:
-                spans.append((a, b, kind))
-                rest = rest[:a] + BLANK * (b - a) + rest[b:]
-
-    if _MAY_MAIL.search(text):
+        wanted = sorted(set(found), key=lambda s: (s[0] - s[1], s[0]))
+        if not wanted:
+            return
+        taken, new = bytearray(len(text)), []
+        for a, b in wanted:
+            if BLANK not in rest[a:b] and 1 not in taken[a:b]:
+                taken[a:b] = b"\1" * (b - a)
+                new.append((a, b))
+        out, at = [], 0
+        for a, b in sorted(new):
+            spans.append((a, b, kind))
+            out += [rest[at:a], BLANK * (b - a)]
+            at = b
+        rest = "".join([*out, rest[at:]])
+
+    if _may_mail(text):
         take([m.span() for m in EMAIL.finditer(rest)], "email")
     take(((m.start(), m.end()) for m in ID.finditer(rest) if not _NOT_ID.search(rest[max(0, m.start() - 40) : m.start()])), "id_number")
     take(
@@ -283,29 +308,139 @@ def unfeistel(value: int, size: int, key: bytes, tag: str = "", rounds: int = 10
             return x
 
 
-def permute_digits(text: str, key: bytes, inverse: bool = False) -> str:
-    """Permute all digits of a number as one integer, keeping every other character; the shape is the tweak."""
-    digits = [c for c in text if c.isdecimal()]
-    if not digits:
-        return text
-    shape = re.sub(r"\d", "9", text)
-    new = str((unfeistel if inverse else feistel)(int("".join(digits)), 10 ** len(digits), key, shape)).zfill(len(digits))
-    it = iter(new)
-    return "".join(next(it) if c.isdecimal() else c for c in text)
+def _shuffle(value: int, size: int, key: bytes, tag: str, inverse: bool) -> int:
+    return (unfeistel if inverse else feistel)(value, size, key, tag)
+
+
+def _lay(text: str, at: list[int], new: str) -> str:
+    """`text` with the characters of `new` at the positions `at`, in the writer's case."""
+    out = list(text)
+    for i, c in zip(at, new, strict=True):
+        out[i] = c.lower() if out[i].islower() else c
+    return "".join(out)
+
+
+#: The two-digit country calling codes; 1 and 7 stand alone, all others have three digits.
+_CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_EXTENSION = re.compile(rf"(?<=\d){_EXT[:-1]}$")
+
+
+def permute_phone(text: str, key: bytes, inverse: bool = False) -> str:
+    """Permute a phone number: country code, trunk prefix and spelling stay, extensions are permuted by themselves.
+
+    The canonical number is what follows the country code (without the (0) of some spellings and the 00 or + before it)
+    or the trunk prefix; its first digit stays a nonzero or a zero one."""
+    ext = _EXTENSION.search(text)
+    main_end = ext.start() if ext else len(text)
+    digits = [i for i in range(main_end) if text[i].isdecimal()]
+    trunk = re.search(r"\(0\)", text[:main_end])
+    abroad = text.lstrip().startswith("+") or text.startswith("00")
+    if text.startswith("00"):
+        digits = digits[2:]
+    if abroad and trunk:
+        digits = [i for i in digits if i != trunk.start() + 1]
+    code = ""
+    if abroad:
+        plain = "".join(text[i] for i in digits)
+        code = plain[: 1 if plain[:1] in "17" else 2 if plain[:2] in _CALLING else 3]
+        digits = digits[len(code) :]
+    else:
+        while digits and text[digits[0]] == "0":
+            digits = digits[1:]
+    for part, tag in ((digits, f"phone|{'+' + code if abroad else 'national'}"), ([i for i in range(main_end, len(text)) if text[i].isdecimal()], "extension")):
+        if part:
+            number, n = int("".join(text[i] for i in part)), len(part)
+            low = 10 ** (n - 1) if text[part[0]] != "0" else 0
+            size = 9 * low if low else 10 ** (n - 1)
+            text = _lay(text, part, str(low + _shuffle(number - low, size, key, f"{tag}|{n}|{low > 0}", inverse)).zfill(n))
+    return text
+
+
+#: The check letters of the number modulo 23, and the letters no prefix of two letters has first, second, or together.
+_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_NOT_FIRST, _NOT_SECOND, _NOT_PAIR = "DFIQUV", "DFIQUVO", ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PREFIXES = [a + b for a in _ALPHABET for b in _ALPHABET if a not in _NOT_FIRST and b not in _NOT_SECOND and a + b not in _NOT_PAIR]
+
+
+def _nine(v: str) -> int | None:
+    area, group, serial = int(v[:3]), int(v[3:5]), int(v[5:])
+    if not (0 < area < 900 and area != 666 and group and serial):
+        return None
+    return ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+
+
+def _nine_text(x: int) -> str:
+    x, serial = divmod(x, 9999)
+    area, group = divmod(x, 99)
+    area += 1 + (area >= 665)
+    return f"{area:03d}{group + 1:02d}{serial + 1:04d}"
+
+
+#: shape -> (values, number of a valid canonical text or None, text of a number): check letters, check digits, issued ranges.
+_VALID = {
+    "DDDDDDDDL": (10**8, lambda v: int(v[:8]) if _LETTERS[int(v[:8]) % 23] == v[8] else None, lambda x: f"{x:08d}{_LETTERS[x % 23]}"),
+    "LDDDDDDDL": (
+        3 * 10**7, lambda v: n if v[0] in "XYZ" and _LETTERS[(n := "XYZ".index(v[0]) * 10**7 + int(v[1:8])) % 23] == v[8] else None,
+        lambda x: f"{'XYZ'[x // 10**7]}{x % 10**7:07d}{_LETTERS[x % 23]}",
+    ),
+    "DDDDDDDDDDDDDDD": (10**13, lambda v: int(v[:13]) if 97 - int(v[:13]) % 97 == int(v[13:]) else None, lambda x: f"{x:013d}{97 - x % 97:02d}"),
+    "DDDDDDDDD": (898 * 99 * 9999, _nine, _nine_text),
+    "LLDDDDDDL": (
+        len(_PREFIXES) * 4 * 10**6, lambda v: (_PREFIXES.index(v[:2]) * 4 + "ABCD".index(v[8])) * 10**6 + int(v[2:8]) if v[:2] in _PREFIXES and v[8] in "ABCD" else None,
+        lambda x: f"{_PREFIXES[x // (4 * 10**6)]}{x % 10**6:06d}{'ABCD'[x // 10**6 % 4]}",
+    ),
+}
+
+
+def valid_id(text: str) -> bool:
+    """Whether an identity number passes its kind's check letter, check digits or issued ranges."""
+    v = "".join(c for c in text.upper() if c.isascii() and c.isalnum())
+    rule = _VALID.get("".join("D" if c.isdecimal() else "L" for c in v))
+    return rule is not None and rule[1](v) is not None
+
+
+def permute_id(text: str, key: bytes, inverse: bool = False) -> str:
+    """Permute an identity number: a valid one among the valid ones of its kind, any other among those of its shape that
+    are not valid (by walking on); its punctuation stays."""
+    at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    v = "".join(text[i] for i in at).upper()
+    shape = "".join("D" if c.isdecimal() else "L" for c in v)
+    rule = _VALID.get(shape)
+    if rule and (number := rule[1](v)) is not None:
+        return _lay(text, at, rule[2](_shuffle(number, rule[0], key, f"id|{shape}", inverse)))
+    size, x = 1, 0
+    for c, s in zip(v, shape, strict=True):
+        radix = 10 if s == "D" else 26
+        size, x = size * radix, x * radix + (int(c) if s == "D" else _ALPHABET.index(c))
+    while True:
+        x = left = _shuffle(x, size, key, f"id?|{shape}", inverse)
+        out = ""
+        for s in reversed(shape):
+            left, k = divmod(left, 10 if s == "D" else 26)
+            out = (str(k) if s == "D" else _ALPHABET[k]) + out
+        if not rule or rule[1](out) is None:
+            return _lay(text, at, out)
 
 
 _FIRST, _DAYS = date(1900, 1, 1), 73_049  # 1900 to 2099
 
 
 def permute_date(text: str, key: bytes, inverse: bool = False) -> str:
-    """Permute an ISO date inside 1900 to 2099; anything else is returned as it is."""
+    """Permute a date (year first, or day before month) inside 1900 to 2099; anything else is returned as it is."""
+    part = re.fullmatch(r"(\d{1,4})([./-])(\d{1,2})\2(\d{1,4})", text)
+    if not part:
+        return text
+    a, sep, m, z = part.groups()
+    year_first = len(a) == 4
     try:
-        day = (date.fromisoformat(text) - _FIRST).days
+        day = (date(int(a), int(m), int(z)) if year_first else date(int(z), int(m), int(a))) - _FIRST
     except ValueError:
         return text
-    if not 0 <= day < _DAYS:
+    if not 0 <= day.days < _DAYS:
         return text
-    return (_FIRST + timedelta(days=(unfeistel if inverse else feistel)(day, _DAYS, key, "date"))).isoformat()
+    new = _FIRST + timedelta(days=_shuffle(day.days, _DAYS, key, "date", inverse))
+    return f"{new.year}{sep}{new.month:02d}{sep}{new.day:02d}" if year_first else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year}"
 
 
 def canonical(kind: str, text: str) -> str:
@@ -318,11 +453,12 @@ def canonical(kind: str, text: str) -> str:
     return " ".join(text.casefold().split())
 
 
+_PERMUTE = {"phone": permute_phone, "id_number": permute_id, "date": permute_date}
+
+
 def placeholder(kind: str, text: str, key: bytes) -> str:
-    if kind in ("phone", "id_number"):
-        return f"<{kind.upper()}:{permute_digits(text, key)}>"
-    if kind == "date":
-        return f"<DATE:{permute_date(text, key)}>"
+    if kind in _PERMUTE:
+        return f"<{kind.upper()}:{_PERMUTE[kind](text, key)}>"
     return f"<{kind.upper()}:{hmac.new(key, f'{kind}|{canonical(kind, text)}'.encode(), hashlib.sha256).hexdigest()[:12]}>"
 
 
@@ -336,39 +472,58 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], key: bytes) -> s
     return "".join([*out, text[at:]])
 
 
-def given_name_list(names: DataFrame, column: str = "given_name", limit: int = 200_000) -> list[str]:
-    """The list for the tasks' patterns; a fixed word list, refused beyond the documented limit rather than cut."""
-    got = [r[0] for r in names.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} given names")
-    return sorted(got)
+_LISTED = "_given"
+
+
+def with_given_names(documents: DataFrame, given_names: DataFrame, column: str = "given_name", limit: int = BROADCAST_BYTES) -> tuple[DataFrame, list[str] | None]:
+    """The documents and the list of given names if its bytes are within `limit`; else the documents with a column of the
+    listed names whose first word their text holds, by a join of words, and None."""
+    names = given_names.select(column).where(F.col(column).isNotNull()).distinct()
+    if is_small(names, limit):
+        return documents.withColumn(_LISTED, F.lit(None).cast("array<string>")), sorted(r[0] for r in names.collect())
+    letters = r"([\p{L}]+)"
+    first = names.select(F.col(column).alias("_name"), F.regexp_extract(F.lower(column), letters, 1).alias("_word")).where("_word <> ''")
+    texts = documents.select("text").where("text is not null").distinct().select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(letters), F.lit(1)))).alias("_word"))
+    held = texts.join(first, "_word").groupBy("_h").agg(F.collect_set("_name").alias(_LISTED))
+    return documents.withColumn("_h", F.xxhash64("text")).join(held, "_h", "left").drop("_h"), None
+
+
+@lru_cache(maxsize=4096)
+def _known(names: tuple[str, ...]) -> tuple[frozenset[str], re.Pattern | None]:
+    return gazetteer(names)
+
+
+def _spans(texts: Iterable[str | None], listed: Iterable, names: list[str] | None) -> Iterator[list[tuple[int, int, str]]]:
+    for text, own in zip(texts, listed, strict=True):
+        given, pattern = _known(tuple(names if names is not None else sorted(own) if own is not None else ()))
+        yield find(text, given, pattern)
 
 
-def findings(documents: DataFrame, given_names: DataFrame) -> DataFrame:
+def findings(documents: DataFrame, given_names: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, kind, found): every distinct piece of personal information of every document."""
-    names = given_name_list(given_names)
+    docs, names = with_given_names(documents.select("doc_id", "text").where("text is not null"), given_names, limit=limit)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given, pattern = gazetteer(names)
         for pdf in batches:
             rows = []
-            for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                rows += dict.fromkeys((d, kind, text[a:b]) for a, b, kind in find(text, given, pattern))
+            for d, text, spans in zip(pdf["doc_id"], pdf["text"], _spans(pdf["text"], pdf[_LISTED], names), strict=True):
+                rows += dict.fromkeys((d, kind, text[a:b]) for a, b, kind in spans)
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "found"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(work, "doc_id bigint, kind string, found string")
+    return docs.select("doc_id", "text", _LISTED).mapInPandas(work, "doc_id bigint, kind string, found string")
 
 
-def redacted(documents: DataFrame, given_names: DataFrame, key: str) -> DataFrame:
+def redacted(documents: DataFrame, given_names: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with `text` redacted and `findings` counted; all other columns untouched."""
-    names = given_name_list(given_names)
+    if not key:
+        raise ValueError("a secret key is needed")
+    docs, names = with_given_names(documents, given_names, limit=limit)
     secret = hashlib.sha256(key.encode()).digest()
 
     @F.pandas_udf("struct<text:string,findings:int>")
-    def clean(texts: pd.Series) -> pd.DataFrame:
-        given, pattern = gazetteer(names)
-        spans = [find(t, given, pattern) for t in texts]
+    def clean(texts: pd.Series, listed: pd.Series) -> pd.DataFrame:
+        spans = list(_spans(texts, listed, names))
         return pd.DataFrame({"text": [redact(t, s, secret) for t, s in zip(texts, spans, strict=True)], "findings": [len(s) for s in spans]})
 
-    out = documents.withColumn("_r", clean("text"))
+    out = docs.withColumn("_r", clean("text", _LISTED))
     return out.select(*(F.col("_r.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns), F.col("_r.findings").alias("findings"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import leakage, mixing, pii
 from barloom.llm import nearest as near
 from barloom.operators import instants
-from barloom.sources.tables import read_table
+from barloom.sources.tables import READINGS, read_table
 
 MINUTE = 60_000_000
 
@@ -17,8 +19,8 @@ def p6_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every funding_rates row that has a time, with the ids of its nearest open_interest row and ohlcv bar."""
     left = read_table(spark, sf_dir, "funding_rates").where("ts_unix is not null").select("row_id", "collector", "symbol", (F.col("ts_unix") * 1000).alias("us"))
     interest = read_table(spark, sf_dir, "open_interest").select("row_id", "collector", "symbol", (F.col("ts_unix") * 1_000_000).alias("t_us"))
-    clocks = instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"))
-    bars = instants.normalise(read_table(spark, sf_dir, "ohlcv").select("row_id", "collector", "symbol", "open_time"), "ohlcv", clocks)
+    clocks = instants.collector_clocks(spark, read_table(spark, sf_dir, "collectors"), READINGS)
+    bars = instants.normalise(read_table(spark, sf_dir, "ohlcv").select("row_id", "collector", "symbol", "open_time"), "ohlcv", clocks, READINGS)
     bars = bars.select("row_id", "collector", F.concat("symbol", F.lit("USDT")).alias("symbol"), F.col("utc_us").alias("t_us"))
     keys = ["collector", "symbol"]
     both = near.nearest(left, interest, keys, "us", "t_us", "row_id", 30 * MINUTE, "open_interest_row_id")
@@ -58,8 +60,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with typed placeholders; the key comes from the session (barloom.pseudonym.key)."""
-    key = spark.conf.get("barloom.pseudonym.key", "not a secret: set barloom.pseudonym.key")
+    """The documents with typed placeholders. The key is the session's barloom.pseudonym.key; without one a new secret is
+    drawn for the run, and pseudonyms link within the run only."""
+    key = spark.conf.get("barloom.pseudonym.key", None) or secrets.token_hex(32)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return pii.redacted(docs, read_table(spark, sf_dir, "given_names"), key)
 
@@ -90,3 +93,6 @@ SQL = {
     + " UNION ALL "
     + _NEAREST.format(tab="ohlcv", src="bars", tol=120 * MINUTE)
 }
+_BOTH = SQL["p6_found"].partition("SELECT f.row_id")
+SQL["p6_matched"] = f"""{_BOTH[0]} SELECT f.row_id, f.collector, f.symbol, f.ts_unix * 1000 AS us, max(CASE WHEN other_tab = 'open_interest' THEN other_row_id END) AS open_interest_row_id,
+ max(CASE WHEN other_tab = 'ohlcv' THEN other_row_id END) AS ohlcv_row_id FROM funding_rates f LEFT JOIN ({_BOTH[1]}{_BOTH[2]}) m ON m.funding_row_id = f.row_id WHERE f.ts_unix IS NOT NULL GROUP BY ALL"""
