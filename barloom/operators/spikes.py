@@ -1,7 +1,7 @@
 """Implausible readings per stream (problem 2): Hampel filter, run-length detection and physical bounds.
 
 A stream is one source's readings in order of time. Per reading: the rolling median of the seven readings around it and
-their median absolute deviation (Hampel filter; on the logarithm for relative fields); runs of equal values from five
+their median absolute deviation (Hampel filter; on the logarithm for relative fields; a second filter of five readings); runs of equal values from five
 neighbours either side; and the stream's usual step (median of |x - previous|). The filter proposes: only readings
 further from their rolling median than `hampel` scaled deviations, and the readings next to these, are candidates. Each
 candidate is then compared exactly with both sides against the usual step.
@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,6 @@ VOLUME = Rule(low=0, high=1e14, low_ok=True, ratio=15.0)
 WIND = Rule(low=0, high=5000)
 
 
-def _median(a: Column) -> Column:
-    """Median of a non-empty array (mean of the middle two)."""
-    s, n = F.sort_array(a), F.size(a)
-    return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
-
-
 def _at(a: Column, i: int) -> Column:
     return F.try_element_at(a, F.lit(i))
 
@@ -66,69 +62,77 @@ def impossible(x: Column, rule: Rule) -> Column:
     return (x < rule.low if rule.low_ok else x <= rule.low) | (x > rule.high)
 
 
-def _named(near: DataFrame, value: Column, reach: int) -> tuple[DataFrame, list[Column], list[Column]]:
-    """The `reach` neighbours either side as columns: (frame, nearest first before, nearest first after)."""
-    sides = {f"_{n}{i}": (a, -i if a == "prev" else i) for n, a in (("p", "prev"), ("n", "next")) for i in range(1, reach + 1)}
-    near = hold(near, {n: value(_at(F.col(a), i)) for n, (a, i) in sides.items()})
-    return near, [F.col(f"_p{i}") for i in range(1, reach + 1)], [F.col(f"_n{i}") for i in range(1, reach + 1)]
+def _centre(v: np.ndarray) -> np.ndarray:
+    """Row medians of a matrix, NaN cells left out (mean of the middle two)."""
+    s, n = np.sort(v, axis=1), np.count_nonzero(~np.isnan(v), axis=1)
+    take = lambda k: np.take_along_axis(s, np.maximum(k, 0)[:, None], 1)[:, 0]
+    return (take((n - 1) // 2) + take(n // 2)) / 2
+
+
+def verdicts(line: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(median, mad, rejected, proposed) of the middle one of seven readings in order, rows of `line`; NaN where none is."""
+
+    def reject(lo: int, hi: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = line[:, lo:hi]
+        median = _centre(v)
+        mad = _centre(np.abs(v - median[:, None]))
+        with np.errstate(invalid="ignore"):
+            return median, mad, np.abs(line[:, at] - median) > 1.4826 * deviations * mad
+
+    if not len(line):
+        return (np.empty(0), np.empty(0), np.empty(0, bool), np.empty(0, bool))
+    median, mad, far = reject(0, 7, 3)
+    near = reject(1, 6, 3)[2] | reject(0, 5, 2)[2] | reject(2, 7, 4)[2]
+    return median, mad, far, far | near
+
+
+def lifts(line: np.ndarray, relative: bool) -> np.ndarray:
+    """How far the middle one of seven readings (alone, or with the one before or after it) lies off its neighbours on both
+    sides in the same direction, in steps' unit (relative or absolute); 0 if it does not or a neighbour is missing."""
+    p2, p1, x, n1, n2 = line[:, 1:6].T
+
+    def least(values: list[np.ndarray], sides: list[np.ndarray]) -> np.ndarray:
+        gaps = np.array([(v - s) / (s if relative else 1.0) for v in values for s in sides])
+        return np.nan_to_num(np.maximum(gaps.min(0), -gaps.max(0)), nan=0.0)
+
+    with np.errstate(invalid="ignore"):
+        off = np.maximum.reduce([least([x], [p1, n1]), least([x, n1], [p1, n2]), least([x, p1], [p2, n1])])
+    return np.maximum(off, 0.0)
 
 
 def _hampel(near: DataFrame, x: Column, before: Sequence[Column], after: Sequence[Column], rule: Rule, log: bool) -> DataFrame:
-    """Add local_median, local_mad, `hampel` (further from its rolling median than rule.hampel scaled deviations) and
-    `proposed`: the filter rejects the reading or one next to it, so a reading between two spikes is looked at too."""
-    z = (lambda c: F.ln(c)) if log else (lambda c: c)
-    line = [*reversed(before), x, *after]
-    near = hold(near, {"_line": F.transform(F.array(*line), z)})
-    at = len(before)
-
-    def rejects(df: DataFrame, centre: int, name: str, when: Column) -> DataFrame:
-        around = F.array_compact(F.slice("_line", centre - 2, 7))
-        df = hold(df, {"_a": F.when(when, around)})
-        df = hold(df, {f"{name}_median": _median(F.col("_a"))})
-        df = hold(df, {f"{name}_mad": _median(F.transform("_a", lambda v: F.abs(v - F.col(f"{name}_median"))))})
-        far = F.abs(F.element_at("_line", centre + 1) - F.col(f"{name}_median")) > 1.4826 * rule.hampel * F.col(f"{name}_mad")
-        return hold(df, {f"{name}_far": F.coalesce(far, F.lit(False))}).drop("_a")
-
-    near = rejects(near, at, "local", F.lit(True))
-    near = rejects(near, at - 1, "_b", ~F.col("local_far"))
-    near = rejects(near, at + 1, "_c", ~F.col("local_far") & ~F.col("_b_far"))
-    near = near.withColumn("proposed", F.col("local_far") | F.col("_b_far") | F.col("_c_far")).withColumnRenamed("local_far", "hampel")
-    return near.drop("_line", "_b_median", "_b_mad", "_b_far", "_c_median", "_c_mad", "_c_far")
+    """Add local_median and local_mad of seven readings, `hampel` (further from its rolling median than rule.hampel scaled
+    deviations), `proposed`: so, or so in the window of five, or the window of five rejects a reading next to it, as for a
+    reading between two spikes; and the `lift` of proposed readings. Medians of small windows are NumPy's work: Arrow
+    batches, sorted rows at once."""
+    deviations, relative = rule.hampel, rule.relative
 
+    @F.pandas_udf("struct<local_median:double,local_mad:double,hampel:boolean,proposed:boolean,lift:double>")
+    def judged(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, g: pd.Series) -> pd.DataFrame:
+        line = np.column_stack([s.to_numpy(float, na_value=np.nan) for s in (a, b, c, d, e, f, g)])
+        median, mad, far, proposed = verdicts(np.log(line) if log else line, deviations)
+        lift = np.where(proposed, lifts(line, relative), 0.0)
+        return pd.DataFrame({"local_median": median, "local_mad": mad, "hampel": far, "proposed": proposed, "lift": lift})
+
+    near = near.withColumn("_judged", judged(*reversed(before[:3]), x, *after[:3]))
+    return near.select("*", "_judged.*").drop("_judged")
 
-def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str) -> DataFrame:
-    """Plausible readings of a blocked frame with Hampel's columns, step from the reading before, `lift` and `stuck`.
 
-    lift: how far a proposed reading (alone, or with the one before or after it) lies off its neighbours on both sides in
-    the same direction, in steps' unit (relative or absolute); 0 if it does not, or is not proposed."""
+def _near(df: DataFrame, keys: Sequence[str], value: str, rule: Rule, busy: str) -> DataFrame:
+    """Plausible readings of a blocked frame with Hampel's columns, `lift`, step from the reading before, and `stuck`."""
     x = F.col(value)
     plain = df.where(x.isNotNull() & ~impossible(x, rule))
     near = with_neighbours(plain, keys, "utc_us", F.struct(x.alias("x"), F.col(busy).alias("busy")), rule.run - 1)
-    near, before, after = _named(near, lambda s: s["x"], 4)
-    near = _hampel(near, x, before, after, rule, rule.relative)
-    (p1, p2), (n1, n2) = before[:2], after[:2]
-    off = lambda v, nb: (v - nb) / (nb if rule.relative else F.lit(1.0))
-
-    def least(values: list[Column], sides: list[Column]) -> Column:
-        gaps = [off(v, s) for v in values for s in sides]
-        known = gaps[0].isNotNull()
-        for g in gaps[1:]:
-            known = known & g.isNotNull()
-        return F.when(known, F.greatest(F.lit(0.0), F.least(*gaps), -F.greatest(*gaps))).otherwise(0.0)
-
-    lift = F.greatest(least([x], [p1, n1]), least([x, n1], [p1, n2]), least([x, p1], [p2, n1]))
-    step = F.when(F.col(busy) & _at(F.col("prev"), -1)["busy"], F.abs(off(x, p1)))
-    same = lambda a: F.transform(a, lambda s: (s["x"] == x) & s["busy"])
-    level = (p1 == x) | (n1 == x)  # only then the arrays need looking through
-    near = hold(
-        near,
-        {"lift": F.when(F.col("proposed"), lift).otherwise(0.0), "step": step,
-         "_same_before": F.when(level, F.reverse(same(F.col("prev")))), "_same_after": F.when(level, same(F.col("next")))},
-    )
-    length = lambda a: F.coalesce(F.nullif(F.array_position(a, F.lit(False)), F.lit(0)) - 1, F.size(a))
-    near = hold(near, {"_run_before": length(F.col("_same_before")), "_run_after": length(F.col("_same_after"))})
-    stuck = F.col(busy) & (F.col("_run_before") >= 1) & (F.col("_run_before") + F.col("_run_after") + 1 >= rule.run)
-    near = hold(near, {"stuck": F.coalesce(stuck, F.lit(False))})
+    side = lambda i: _at(F.col("prev" if i < 0 else "next"), i)
+    near = near.withColumns({"_p1": side(-1)["x"], "_n1": side(1)["x"], "_pb": side(-1)["busy"]})
+    same = lambda s: (s["x"] == x) & s["busy"]
+    length = lambda a: F.coalesce(F.nullif(F.array_position(F.transform(a, same), F.lit(False)), F.lit(0)) - 1, F.size(a))
+    # only a busy reading equal to a busy one before it can be stuck; only then the arrays are looked through
+    level = F.col(busy) & F.col("_pb") & (F.col("_p1") == x)
+    run = length(F.reverse("prev")) + length(F.col("next")) + 1
+    step = F.when(F.col(busy) & F.col("_pb"), F.abs(x - F.col("_p1")) / (F.col("_p1") if rule.relative else F.lit(1.0)))
+    near = near.withColumns({"stuck": F.coalesce(F.when(level, run >= rule.run), F.lit(False)), "step": step})
+    near = _hampel(near, x, [F.col("_p1"), side(-2)["x"], side(-3)["x"]], [F.col("_n1"), side(2)["x"], side(3)["x"]], rule, rule.relative)
     return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "proposed", "lift", "step", "stuck")
 
 
@@ -164,11 +168,11 @@ def surges(readings: DataFrame, keys: Sequence[str], value: str, rule: Rule) ->
     """Every positive plausible reading with Hampel's columns on the logarithm and `excursion`: proposed by the filter and
     more than rule.ratio times both neighbours that are positive."""
     x = F.col(value)
-    near = with_neighbours(readings.where((x > 0) & ~impossible(x, rule)), keys, "utc_us", x, 4)
-    near, before, after = _named(near, lambda s: s, 4)
+    near = with_neighbours(readings.where((x > 0) & ~impossible(x, rule)), keys, "utc_us", x, 3)
+    before, after = [_at(F.col("prev"), -i) for i in (1, 2, 3)], [_at(F.col("next"), i) for i in (1, 2, 3)]
     near = _hampel(near, x, before, after, rule, True)
     over = F.col("proposed") & (x > rule.ratio * before[0]) & (x > rule.ratio * after[0])
-    near = hold(near, {"excursion": F.coalesce(over, F.lit(False))})
+    near = near.withColumn("excursion", F.coalesce(over, F.lit(False)))
     return near.select(*keys, "utc_us", value, "local_median", "local_mad", "hampel", "proposed", "excursion")
 
 

@@ -143,16 +143,18 @@ UNION ALL SELECT 'space_weather', row_id, 'solar_wind_speed' FROM wind JOIN sw U
 
 
 def _hampel(src: str, keys: str, x: str, field: str, log: bool, exact: str) -> str:
-    """Rolling median and deviation of seven readings, the filter's verdict, and the excursions of `exact`."""
-    w = f"OVER (PARTITION BY {keys} ORDER BY utc_us ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+    """Rolling median and deviation of seven readings, the filter's verdict, and the excursions of `exact` it proposes."""
+    w = lambda k: f"OVER (PARTITION BY {keys} ORDER BY utc_us ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
     v = f"OVER (PARTITION BY {keys} ORDER BY utc_us)"
     out = ", ".join(k if k in keys else f"'' AS {k}" for k in ("collector", "symbol", "timeframe"))
     z = f"ln({x})" if log else x
+    mad = lambda n: f"list_aggregate(list_transform(near{n}, lambda v: abs(v - med{n})), 'median') AS mad{n}"
     f32 = lambda c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
-    return f"""SELECT {out}, '{field}' AS field, utc_us, {x} AS value, {f32('med')} AS local_median, {f32('mad')} AS local_mad, far AS hampel,
- (far OR coalesce(lag(far) {v}, FALSE) OR coalesce(lead(far) {v}, FALSE)) AND ({keys.replace(', ', " || ':' || ")} || ':' || utc_us) IN (SELECT {keys.replace(', ', " || ':' || ")} || ':' || utc_us FROM {exact}) AS excursion FROM
- (SELECT *, abs(z - med) > 1.4826 * 1.5 * mad AS far FROM (SELECT *, list_aggregate(list_transform(near, lambda v: abs(v - med)), 'median') AS mad FROM
- (SELECT *, {z} AS z, list({z}) {w} AS near, median({z}) {w} AS med FROM {src}) a) b) c"""
+    name = keys.replace(", ", " || ':' || ")
+    return f"""SELECT {out}, '{field}' AS field, utc_us, {x} AS value, {f32('med7')} AS local_median, {f32('mad7')} AS local_mad, far7 AS hampel,
+ (far7 OR far5 OR coalesce(lag(far5) {v}, FALSE) OR coalesce(lead(far5) {v}, FALSE)) AND ({name} || ':' || utc_us) IN (SELECT {name} || ':' || utc_us FROM {exact}) AS excursion FROM
+ (SELECT *, abs(z - med7) > 1.4826 * 1.5 * mad7 AS far7, abs(z - med5) > 1.4826 * 1.5 * mad5 AS far5 FROM (SELECT *, {mad(7)}, {mad(5)} FROM
+ (SELECT *, {z} AS z, list({z}) {w(3)} AS near7, median({z}) {w(3)} AS med7, list({z}) {w(2)} AS near5, median({z}) {w(2)} AS med5 FROM {src}) a) b) c"""
 
 
 _EXACT = _FOUND2[: _FOUND2.index("sv AS (")]
