@@ -11,49 +11,6 @@ from pyspark.sql import functions as F
 from barloom.plans.portable import Dialect, Stages, change, flag, lag, over, rolling
 
 
-def ewm(
-    df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, tuple[Column, float, bool, int]], block: int = 128
-) -> DataFrame:
-    """Exponential averages of many columns in one pass: name -> (input, alpha, adjust, min_periods).
-
-    y' = r y + alpha x is an affine map, and affine maps compose: rows are numbered, cut into blocks, each block is
-    reduced to its own decayed sum, and a row adds its block's running sum to the decayed sums of the few blocks before
-    it that still matter (weights under 1e-18 are below double precision). No fold, no Python; a long series is spread
-    over tasks by block. NULL inputs before the first value are skipped, later ones keep the average unchanged and do
-    not decay it. adjust=False starts from the first value; adjust=True divides by the sum of weights."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = df
-    for name, (x, alpha, adjust, least) in columns.items():
-        r, n = 1 - alpha, f"_n_{name}"
-        reach = max(1, math.ceil(math.log(1e-18) / (block * math.log(r)))) if r > 0 else 1
-        out = out.withColumns({f"_x_{name}": x.cast("double"), n: F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-        out = out.withColumn("_b", F.floor((F.col(n) - 1) / block)).withColumn("_i", F.pmod(F.col(n) - 1, F.lit(block)))
-        live = F.col(f"_x_{name}").isNotNull()
-        first = F.lit(1.0) if adjust else F.when(F.col(n) == 1, 1.0).otherwise(alpha)
-        grown = F.when(live, first * F.col(f"_x_{name}") * F.pow(F.lit(r), -F.col("_i").cast("double")))
-        weight = F.when(live, F.pow(F.lit(r), -F.col("_i").cast("double")))
-        inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumns({"_s": F.sum(grown).over(inside), "_q": F.sum(weight).over(inside)})
-        ends = out.where("_b >= 0").groupBy(*keys, "_b").agg(F.max(F.struct(n, "_i", "_s", "_q")).alias("e"))
-        tail = F.pow(F.lit(r), F.col("e._i").cast("double"))
-        ends = ends.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_b").alias("_kb"), (F.col("e._s") * tail).alias("_es"), (F.col("e._q") * tail).alias("_eq"))
-        bw = Window.partitionBy(*(f"_k_{k}" for k in keys)).orderBy("_kb")
-        # what comes over from the blocks before, decayed to the start of this block
-        carry_s = sum((F.coalesce(F.lag("_es", i).over(bw), F.lit(0.0)) * (r ** (block * (i - 1) + 1)) for i in range(1, reach + 1)), F.lit(0.0))
-        carry_q = sum((F.coalesce(F.lag("_eq", i).over(bw), F.lit(0.0)) * (r ** (block * (i - 1) + 1)) for i in range(1, reach + 1)), F.lit(0.0))
-        carried = ends.select(*(f"_k_{k}" for k in keys), "_kb", carry_s.alias("_cs"), carry_q.alias("_cq"))
-        cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_kb")]
-        out = out.join(carried, cond, "left")
-        decay = F.pow(F.lit(r), F.col("_i").cast("double"))
-        s = (F.coalesce("_s", F.lit(0.0)) + F.coalesce("_cs", F.lit(0.0))) * decay
-        q = (F.coalesce("_q", F.lit(0.0)) + F.coalesce("_cq", F.lit(0.0))) * decay
-        y = s / q if adjust else s
-        out = out.withColumn(name, F.when(F.col(n) >= max(least, 1), y))
-        out = out.drop(f"_x_{name}", n, "_b", "_i", "_s", "_q", "_cs", "_cq", "_kb", *(f"_k_{k}" for k in keys))
-    return out
-
-
 def kernels(d: Dialect) -> Stages:
     """Bars since an event and its decays, rolling OLS slope, rolling quantile of the past, fractional difference."""
     weights = fracdiff_weights(0.4, 1e-3)

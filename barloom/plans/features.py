@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barloom.functions import calendar, sky
-from barloom.operators import kernels, ta
-from barloom.plans.portable import DUCK, compile_stages, feature_query, lag, over
+from barloom.operators import kernels, momentum, ta
+from barloom.plans.portable import DUCK, feature_query
 from barloom.sources.bars import DUCK_BARS, bars
 
 QUERIES: dict = {}
@@ -47,72 +46,10 @@ def fractional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["fractional_differences"] = fractional_differences
 
 
-def ta_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EMAs, MACD, RSI (Wilder), ADX and Keltner by block-scanned exponential averages."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("series").orderBy("us")
-    b = bars(spark, sf_dir)
-    prev = {c: F.lag(c).over(w) for c in ("high", "low", "close")}
-    b = b.withColumns({"_d": F.col("close") - prev["close"], "_up": F.col("high") - prev["high"], "_dn": prev["low"] - F.col("low")})
-    b = b.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev["close"]), F.abs(F.col("low") - prev["close"])))
-    b = b.withColumns(
-        {
-            "_gain": F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), "_loss": F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0))),
-            "_pdm": F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).when(F.col("_up").isNotNull(), 0.0),
-            "_mdm": F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).when(F.col("_up").isNotNull(), 0.0),
-        }
-    )
-    c = F.col("close")
-    first = {f"ema_{n}": (c, 2 / (n + 1), False, 1) for n in (12, 20, 26, 50)}
-    first |= {"keltner_mid": (c, 2 / 21, True, 20), "_g": (F.col("_gain"), 1 / 14, True, 14), "_l": (F.col("_loss"), 1 / 14, True, 14)}
-    first |= {"_p": (F.col("_pdm"), 2 / 15, True, 14), "_m": (F.col("_mdm"), 2 / 15, True, 14)}
-    b = kernels.ewm(b, ["series"], "us", first)
-    atr = lambda n: F.when(F.count("_tr").over(w.rowsBetween(-(n - 1), 0)) >= n, F.avg("_tr").over(w.rowsBetween(-(n - 1), 0)))
-    b = b.withColumns({"macd_line": F.col("ema_12") - F.col("ema_26"), "_atr": atr(14), "_atr10": atr(10)})
-    b = b.withColumns({"_pdi": 100 * F.try_divide("_p", "_atr"), "_mdi": 100 * F.try_divide("_m", "_atr")})
-    b = b.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi")))
-    b = kernels.ewm(b, ["series"], "us", {"macd_signal": (F.col("macd_line"), 2 / 10, False, 1), "adx_14": (F.col("_dx"), 2 / 15, True, 14)})
-    rsi = F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide("_g", "_l")))
-    out = {
-        **{f"ema_{n}": F.col(f"ema_{n}") for n in (12, 20, 26, 50)}, "macd_line": F.col("macd_line"), "macd_signal": F.col("macd_signal"),
-        "macd_histogram": F.col("macd_line") - F.col("macd_signal"), "rsi_14": rsi, "adx_14": F.col("adx_14"),
-        "keltner_upper": F.col("keltner_mid") + 2 * F.col("_atr10"), "keltner_lower": F.col("keltner_mid") - 2 * F.col("_atr10"),
-    }
-    return b.select("series", "us", *(e.cast("float").cast("double").alias(n) for n, e in out.items()))
-
-
-def _duck_ewm(x: str, alpha: float, adjust: bool, least: int, n: str) -> str:
-    """Closed form with powers of the inverse decay, good for the lengths of the correctness data."""
-    r = repr(1 - alpha)
-    grow = f"power({r}, -({n} - 1))"
-    weight = "1.0" if adjust else f"CASE WHEN {n} = 1 THEN 1.0 ELSE {alpha!r} END"
-    s = f"sum(CASE WHEN {x} IS NOT NULL THEN {weight} * {x} * {grow} END) {over()}"
-    q = f"sum(CASE WHEN {x} IS NOT NULL THEN {grow} END) {over()}"
-    y = f"({s}) / ({q})" if adjust else f"({s}) * power({r}, {n} - 1)"
-    return f"CASE WHEN {n} >= {max(least, 1)} THEN {y} END"
-
-
-def _duck_exponential() -> str:
-    head, _, body = DUCK_BARS.partition("--body--")
-    s1 = {"pos": "row_number() OVER (PARTITION BY series ORDER BY us)", "d": f"close - {lag('close')}", "up": f"high - {lag('high')}", "dn": f"{lag('low')} - low",
-          "tr": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}
-    s2 = {"gain": "CASE WHEN d IS NOT NULL THEN greatest(d, 0.0) END", "loss": "CASE WHEN d IS NOT NULL THEN greatest(-d, 0.0) END",
-          "pdm": "CASE WHEN up > dn AND up > 0 THEN up WHEN up IS NOT NULL THEN 0.0 END", "mdm": "CASE WHEN dn > up AND dn > 0 THEN dn WHEN up IS NOT NULL THEN 0.0 END"}
-    s3 = {f"ema_{n}": _duck_ewm("close", 2 / (n + 1), False, 1, "pos") for n in (12, 20, 26, 50)}
-    s3 |= {"keltner_mid": _duck_ewm("close", 2 / 21, True, 20, "pos"), "g": _duck_ewm("gain", 1 / 14, True, 14, "(pos - 1)"), "l": _duck_ewm("loss", 1 / 14, True, 14, "(pos - 1)"),
-           "p": _duck_ewm("pdm", 2 / 15, True, 14, "(pos - 1)"), "m": _duck_ewm("mdm", 2 / 15, True, 14, "(pos - 1)"),
-           "atr": f"CASE WHEN count(tr) {over(14)} >= 14 THEN avg(tr) {over(14)} END", "atr10": f"CASE WHEN count(tr) {over(10)} >= 10 THEN avg(tr) {over(10)} END"}
-    s4 = {"macd_line": "ema_12 - ema_26", "pdi": "100 * p / nullif(atr, 0)", "mdi": "100 * m / nullif(atr, 0)",
-          "rsi_14": "CASE WHEN l = 0 AND g > 0 THEN 100.0 ELSE 100 - 100 / (1 + g / nullif(l, 0)) END"}
-    s5 = {"dx": "100 * abs(pdi - mdi) / nullif(pdi + mdi, 0)"}
-    s6 = {"dx_n": f"count(dx) {over()}"}
-    s7 = {"macd_signal": _duck_ewm("macd_line", 2 / 10, False, 1, "pos"), "adx_14": _duck_ewm("dx", 2 / 15, True, 14, "dx_n"),
-          "keltner_upper": "keltner_mid + 2 * atr10", "keltner_lower": "keltner_mid - 2 * atr10"}
-    s8 = {"macd_histogram": "macd_line - macd_signal"}
-    show = ["ema_12", "ema_20", "ema_26", "ema_50", "macd_line", "macd_signal", "macd_histogram", "rsi_14", "adx_14", "keltner_upper", "keltner_lower"]
-    return f"{head} {compile_stages([s1, s2, s3, s4, s5, s6, s7, s8], body, ['series', 'us'], show)}"
-
-
-#: Not registered yet: ten chained scans make the analyzer too slow; the kernel itself is tested on its own.
-PENDING = {"ta_exponential": (ta_exponential, _duck_exponential())}
+for _name, _build, _show in (
+    ("ta_exponential", momentum.averages, momentum.AVERAGES),
+    ("ta_directional", momentum.directional, momentum.DIRECTIONAL),
+    ("ta_signals", momentum.signals, momentum.SIGNALS),
+    ("ta_variants", momentum.variants, momentum.VARIANTS),
+):
+    QUERIES[_name], SQL[_name] = feature_query(_build, bars, DUCK_BARS, _show)

@@ -25,6 +25,25 @@ class Dialect:
     def last(self, x: str, over: str) -> str:
         return f"last_value({x} IGNORE NULLS) {over}" if self.duck else f"last_value({x}) IGNORE NULLS {over}"
 
+    def arg_max(self, x: str, *keys: str) -> str:
+        """The present value of x with the greatest keys."""
+        if self.duck:
+            return f"arg_max({x}, ({', '.join(keys)},)) FILTER (WHERE {x} IS NOT NULL)" if len(keys) > 1 else f"arg_max({x}, {keys[0]}) FILTER (WHERE {x} IS NOT NULL)"
+        return f"max_by({x}, struct({', '.join(keys)})) FILTER (WHERE {x} IS NOT NULL)"
+
+    def clean(self, x: str) -> str:
+        """x with NaN as NULL; Spark's scans do that already."""
+        return f"CASE WHEN NOT isnan({x}) THEN {x} END" if self.duck else x
+
+    def corr(self, a: str, b: str, n: int, least: int) -> str:
+        """Correlation of the pairs with both present over n rows."""
+        x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+        k, s = f"count({x}) {over(n)}", lambda e: f"sum({e}) {over(n)}"
+        spread = lambda e: f"(({k}) * {s(f'({e}) * ({e})')} - {s(e)} * {s(e)})"
+        top = f"(({k}) * {s(f'{a} * {b}')} - {s(x)} * {s(y)})"
+        # a constant side has no correlation
+        return f"CASE WHEN {k} >= {least} AND {spread(x)} > 1e-12 AND {spread(y)} > 1e-12 THEN round({top} / sqrt({spread(x)} * {spread(y)}), 5) + 0e0 END"
+
     def ts(self, us: str) -> str:
         return f"make_timestamp({us})" if self.duck else f"timestamp_micros({us})"
 

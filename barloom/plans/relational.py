@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import ciphers
-from barloom.operators import align, layers, validate
+from barloom.operators import align, context, layers, validate
 from barloom.plans import core_sql
 from barloom.plans.core_problems import timed
 from barloom.plans.portable import DUCK, SPARK, Dialect, feature_query
@@ -225,16 +225,17 @@ _src, _duck = _series("open_interest", "collector || ':' || symbol", "ts_unix",
 QUERIES["interest_divergence"], SQL["interest_divergence"] = feature_query(_interest, _src, _duck, ["filled", "oi_change_5", "value_change_5", "divergence_i", "prev_filled"])
 
 
-def _macro(d: Dialect):
-    from barloom.plans.portable import change, over
+def _context(build: Callable[[Dialect], list], show: list[str]) -> tuple[Callable, str]:
+    """A feature group over bars joined with the slower tables."""
+    tables = lambda s, d: {"bars": bars(s, d), "macro": read_table(s, d, "macro_data"), "chain": timed(s, d, "onchain_data"), "funding": read_table(s, d, "funding_rates")}
+    source = lambda s, d: s.sql(context.joined(SPARK, "{bars}", "{macro}", "{chain}", "{funding}"), **tables(s, d))
+    duck = f"WITH {_BARS}, {core_sql.CHAIN} --body-- {context.joined(DUCK, 'bars', 'macro_data', 'chain', 'funding_rates')}"
+    return feature_query(build, source, duck, show)
 
-    filled = {f"{c}_f": d.last(f"CASE WHEN NOT isnan({c}) THEN {c} END", over()) for c in ("spx", "dxy", "gold", "vix")}
-    s2 = {f"{c}_roc_{k}": change(f"{c}_f", k) for c in ("spx", "dxy", "gold", "vix") for k in (5, 20)}
-    return [filled, s2]
 
-
-_src, _duck = _series("macro_data", "'m'", "row_id", "spx, dxy, gold, vix, row_id")
-QUERIES["macro_columns"], SQL["macro_columns"] = feature_query(_macro, _src, _duck, [f"{c}_f" for c in ("spx", "dxy", "gold", "vix")] + [f"{c}_roc_{k}" for c in ("spx", "gold") for k in (5, 20)])
+QUERIES["macro_columns"], SQL["macro_columns"] = _context(context.macro, context.MACRO)
+QUERIES["flow_columns"], SQL["flow_columns"] = _context(context.flows, context.FLOWS)
+common("higher_timeframes", lambda d: context.parents(d, "{bars}"))
 QUERIES["labels_targets"], SQL["labels_targets"] = feature_query(validate.targets, bars, DUCK_BARS, ["next_return_pct", "next_direction", "return_5_ahead", "return_10_ahead"])
 QUERIES["labels_triple_barrier"], SQL["labels_triple_barrier"] = feature_query(validate.triple_barrier, bars, DUCK_BARS, ["label_i"])
 
@@ -342,6 +343,3 @@ QUERIES["sample_uniqueness"] = sample_uniqueness
 SQL["sample_uniqueness"] = f"""WITH {_BARS}, p AS (SELECT series, us, row_number() OVER (PARTITION BY series ORDER BY us) AS t0, count(*) OVER (PARTITION BY series) AS n FROM bars),
 r AS (SELECT series, us, t0, least(t0 + 5 + t0 % 3, n) AS t1 FROM p), c AS (SELECT a.series, a.t0 AS pos, count(*) AS k FROM r a JOIN r b ON a.series = b.series AND b.t0 <= a.t0 AND b.t1 >= a.t0 GROUP BY 1, 2)
 SELECT r.series, r.us, {f32('avg(1.0 / k)')} AS uniqueness FROM r JOIN c ON c.series = r.series AND c.pos BETWEEN r.t0 AND r.t1 GROUP BY 1, 2"""
-
-#: Not registered yet: its plan is too slow to make.
-PENDING = {"macro_columns": (QUERIES.pop("macro_columns"), SQL.pop("macro_columns"))}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import align, as_known, kernels, regular_grid, rolling_totals, spikes, validate
+from barloom.operators import align, as_known, regular_grid, rolling_totals, spikes, validate
 
 DAY = 86_400_000_000
 T0 = 1_700_006_400_000_000  # a UTC midnight
@@ -285,18 +285,6 @@ def test_asof_both_ways(spark):
             assert got[i] == (best, top[3])
 
 
-@pytest.mark.parametrize("adjust", [True, False])
-def test_ewm_block_scan(spark, adjust):
-    import pandas as pd
-
-    rnd = random.Random(4)
-    x = [rnd.random() * 10 for _ in range(150)]
-    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(x)], "k string, t bigint, x double")
-    got = kernels.ewm(df, ["k"], "t", {"y": (F.col("x"), 0.15, adjust, 3)}, block=16).orderBy("t").toPandas()["y"].to_numpy()
-    want = pd.Series(x).ewm(alpha=0.15, adjust=adjust, min_periods=3).mean().to_numpy()
-    assert np.allclose(got, want, equal_nan=True)
-
-
 def test_cpcv_and_uniqueness(spark):
     rows = spark.createDataFrame([(str(i), i, i + 3) for i in range(60)], "id string, t0 bigint, t1 bigint")
     s = validate.cpcv_splits(rows, validate.cpcv_paths(spark)).toPandas()
