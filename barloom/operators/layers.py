@@ -2,38 +2,100 @@
 
 from __future__ import annotations
 
-from barloom.plans.portable import Dialect, Stages, change, flag, lag, lead, over, ratio, rolling
+from barloom.plans.portable import Dialect, Stages, change, flag, lag, lead, over, ratio, rolling, whole
 
-ROUND_LEVELS = (1, 5, 10, 50, 100, 500, 1000, 5000, 10000, 20000, 30000, 40000, 50000, 75000, 100000)
+#: Round price levels; Fibonacci and Gann counts of bars with their tolerances.
+ROUND_LEVELS = (10000, 20000, 25000, 30000, 40000, 50000, 60000, 69000, 75000, 80000, 90000, 100000, 125000, 150000, 200000)
+FIBONACCI, GANN = (21, 34, 55, 89, 144, 233, 377), (90, 180, 270, 360)
 
 
 def memory(d: Dialect) -> Stages:
-    """Lags and streaks of binary events, return streaks, ten-bar maxima, price numerals, distance to round levels."""
-    s1 = {"ret": f"round({change('close')}, 10)", "pos": "row_number() OVER (PARTITION BY series ORDER BY us)", "price_text": "CAST(CAST(floor(close) AS BIGINT) AS STRING)"}
+    """Lags and streaks of binary events, return streaks, ten-bar maxima."""
+    s1 = {"ret": f"round({change('close')}, 10)", "pos": "row_number() OVER (PARTITION BY series ORDER BY us)", "green": flag("close > open"), "red": flag("close < open")}
     s2 = {
         "big_up": flag("ret > 0.02"), "big_down": flag("ret < -0.02"), "up": flag("ret > 0"), "ret_max_10": rolling("max", "ret", 10),
-        "price_angel": flag(" OR ".join(f"price_text LIKE '%{str(k) * 3}%'" for k in range(1, 10))),
-        "near_round": flag(" OR ".join(f"abs(close - {x}) / close <= 0.01" for x in ROUND_LEVELS)),
+        "green_reset": f"max(CASE WHEN green = 0 THEN pos ELSE 0 END) {over()}", "red_reset": f"max(CASE WHEN red = 0 THEN pos ELSE 0 END) {over()}",
     }
     s3 = {f"{e}_lag_{k}": lag(e, k) for e in ("big_up", "big_down") for k in (1, 3, 5, 7)}
     s3 |= {"up_reset": f"max(CASE WHEN up = 0 THEN pos ELSE 0 END) {over()}"}
-    return [s1, s2, s3, {"up_streak_i": "pos - up_reset"}]
+    return [s1, s2, s3, {"up_streak_i": "pos - up_reset", "streak_green_i": "pos - green_reset", "streak_red_i": "pos - red_reset"}]
+
+
+def price_numbers(d: Dialect) -> Stages:
+    """Digital root, triples, round levels, repeated digits and master numbers of the whole part of the close."""
+    s1 = {"n_i": "CAST(floor(abs(close)) AS BIGINT)"}
+    s2 = {"t": "CAST(n_i AS STRING)", "price_root_i": "CASE WHEN n_i = 0 THEN 0 ELSE 1 + (n_i - 1) % 9 END"}
+    s3 = {
+        "price_angel": flag(" OR ".join(f"t LIKE '%{str(k) * 3}%'" for k in range(1, 10))), "price_near_round": flag(" OR ".join(f"abs(close - {x}) / {x}e0 < 0.01" for x in ROUND_LEVELS)),
+        "price_repeating": flag(" OR ".join(f"length(t) - length(replace(t, '{k}', '')) >= 3" for k in range(10))), **{f"price_master_{m}": flag(f"n_i % 100 = {m}") for m in (11, 22, 33)},
+    }
+    return [s1, s2, s3]
+
+
+def sessions(d: Dialect) -> Stages:
+    """Sessions (London overlaps Asia by an hour) and kill zones by UTC hour, harmonics of the calendar, animal and element years."""
+    tau = "6.283185307179586e0"
+    s1 = {"ts": d.ts("us")}
+    s2 = {"h": "hour(ts)", "y": "year(ts)", "doy": "dayofyear(ts)", "dow": d.weekday("ts"), "dom": "day(ts)", "days": "us / 86400000000e0"}
+    s3 = {
+        "session_asia": flag("h < 8"), "session_london": flag("h >= 7 AND h < 12"), "session_ny": flag("h >= 12 AND h < 20"), "session_dead": flag("h >= 20"),
+        "killzone_asian": flag("h >= 7 AND h < 10"), "killzone_london": flag("h >= 12 AND h < 15"), "killzone_ny_pm": flag("h >= 18 AND h < 20"),
+        "doy_sin": f"sin({tau} * doy / 365.25e0)", "doy_cos": f"cos({tau} * doy / 365.25e0)", "moon_sin": f"sin({tau} * days / 29.53e0)", "moon_cos": f"cos({tau} * days / 29.53e0)",
+        "dow_sin": f"sin({tau} * dow / 7e0)", "dow_cos": f"cos({tau} * dow / 7e0)", "dom_sin": f"sin({tau} * dom / 30.44e0)", "dom_cos": f"cos({tau} * dom / 30.44e0)",
+        "animal_i": "((y - 4) % 12 + 12) % 12", "element_i": d.div("((y - 4) % 10 + 10) % 10", "2"), "sixty_i": "((y - 4) % 60 + 60) % 60",
+    }
+    return [s1, s2, s3]
+
+
+def entropy(d: Dialect) -> Stages:
+    """Shannon entropy of 20 returns in ten bins between the series' least and greatest return, spread of differences, rescaled range."""
+    s1 = {"ret": f"round({change('close')}, 10)"}
+    s2 = {"least": f"min(ret) {whole()}", "most": f"max(ret) {whole()}", "diff": f"ret - {lag('ret')}", "n20": f"count(ret) {over(20)}", "mean20": f"avg(ret) {over(20)}", "sd20": f"stddev_samp(ret) {over(20)}"}
+    s3 = {"bin": "CASE WHEN ret IS NULL THEN NULL ELSE least(floor((ret - least) / nullif(most - least, 0) * 10), 9) END", "diff_sd": rolling("stddev_samp", "diff", 20, digits=None), "dev": "ret - mean20"}
+    s4 = {f"b{k}": f"count(CASE WHEN bin = {k} THEN 1 END) {over(20)}" for k in range(10)}
+    term = lambda k: f"CASE WHEN b{k} > 0 THEN b{k} / 20e0 * ln(b{k} / 20e0) ELSE 0e0 END"
+    s5 = {"entropy_20": "CASE WHEN n20 >= 20 THEN round(-(" + " + ".join(term(k) for k in range(10)) + "), 8) + 0e0 END"}
+    return [s1, s2, s3, s4, s5, {"entropy_high": flag("entropy_20 > 1.8"), "entropy_low": flag("entropy_20 < 1.0")}]
+
+
+def rates_of_change(d: Dialect) -> Stages:
+    """Binary tiers of four indicators by past percentiles (200 bars before the current one, 50 at least, index floor(n q)),
+    and how a tier was entered or left: rising into, peaked, falling into, bottomed."""
+    s0 = {"m20": rolling("avg", "close", 20), "sd20": rolling("stddev_samp", "close", 20), "hi14": rolling("max", "high", 14), "lo14": rolling("min", "low", 14), "v20": rolling("avg", "volume", 20, digits=None)}
+    s1 = {"pctb": "round((close - m20 + 2 * sd20) / nullif(4 * sd20, 0), 8)", "stoch": "round(100 * (close - lo14) / nullif(hi14 - lo14, 0), 8)", "vratio": "round(volume / nullif(v20, 0), 8)", "ret": f"round({change('close')}, 8)"}
+    names = ("pctb", "stoch", "vratio", "ret")
+    s2 = {f"past_{c}": d.sort(d.filter(d.collect(c, over(200, skip=1)), "v", "v IS NOT NULL")) for c in names}
+    pick = lambda c, q: f"CASE WHEN {d.size(f'past_{c}')} >= 50 THEN {d.at(f'past_{c}', f'CAST(least(floor({d.size(f'past_{c}')} * {q}), {d.size(f'past_{c}')} - 1) AS INT) + 1')} END"
+    s3 = {f"{c}_q{k}": pick(c, q) for c in names for k, q in ((5, 0.05), (20, 0.2), (80, 0.8), (95, 0.95))}
+    s4 = {f"{c}{tag}": flag(f"{c} {op} {c}_q{k}") for c in names for tag, op, k in (("_xh", ">", 95), ("_h", ">", 80), ("_l", "<", 20), ("_xl", "<", 5))}
+    s5 = {f"{c}_crossed": flag(f"{c}_h = 1 AND {lag(c + '_h')} = 0") for c in names} | {f"{c}_fell": flag(f"{c}_l = 1 AND {lag(c + '_l')} = 0") for c in names}
+    s5 |= {f"{c}_peaked": flag(f"{c}_h = 0 AND {lag(c + '_h')} = 1") for c in names} | {f"{c}_bottomed": flag(f"{c}_l = 0 AND {lag(c + '_l')} = 1") for c in names}
+    s6 = {f"{c}_rising_into_i": f"max({c}_crossed) {over(3)}" for c in names} | {f"{c}_falling_into_i": f"max({c}_fell) {over(3)}" for c in names}
+    return [s0, s1, s2, s3, s4, s5, s6]
+
+
+RATES = [f"{c}{x}" for c in ("pctb", "stoch", "vratio", "ret") for x in ("_xh", "_h", "_l", "_xl", "_peaked", "_bottomed", "_rising_into_i", "_falling_into_i")]
 
 
 def cycles(d: Dialect) -> Stages:
     """Bars since running high and low, Fibonacci and Gann counts, swing retracements, root of price, golden ratio, index cycles."""
     s1 = {
-        "pos": "row_number() OVER (PARTITION BY series ORDER BY us)", "ath": f"max(high) {over()}", "atl": f"min(low) {over()}",
+        "pos": "row_number() OVER (PARTITION BY series ORDER BY us)", "ath": f"max(close) {over()}", "atl": f"min(close) {over()}",
         "hi20": rolling("max", "high", 20), "lo20": rolling("min", "low", 20), "root": "sqrt(close)", "c20": lag("close", 20),
     }
-    s2 = {"ath_pos": d.last("CASE WHEN high = ath THEN pos END", over()), "atl_pos": d.last("CASE WHEN low = atl THEN pos END", over())}
+    s2 = {"ath_pos": d.last("CASE WHEN close = ath THEN pos END", over()), "atl_pos": d.last("CASE WHEN close = atl THEN pos END", over())}
     s3 = {"since_ath_i": "pos - ath_pos", "since_atl_i": "pos - atl_pos", "retrace_20": ratio("hi20 - close", "hi20 - lo20"), "phi_dist": "abs(close / nullif(c20, 0) - 1.618)"}
     s3 |= {f"cycle_{n}_sin": f"sin(6.283185307179586e0 * (pos - 1) / {n}e0)" for n in (7, 14, 28, 90)}
-    fib = ", ".join(map(str, (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233)))
-    s4 = {"fib_since_ath": flag(f"since_ath_i IN ({fib})"), "gann_since_atl": flag("since_atl_i IN (45, 90, 144, 180, 270, 360)"), "near_618": flag("abs(retrace_20 - 0.618) < 0.02")}
+    s4 = {f"fib_{n}d_{a}": flag(f"abs(since_{a}_i - {n}) <= 2") for n in FIBONACCI for a in ("ath", "atl")} | {f"gann_{n}d_{a}": flag(f"abs(since_{a}_i - {n}) <= 3") for n in GANN for a in ("ath", "atl")}
+    s4 |= {"near_618": flag("abs(retrace_20 - 0.618) < 0.02")}
     return [s1, s2, s3, s4]
 
 
+#: Size multipliers by regime of the audit (bull, bear, sideways, crash) and of the live trader (six states).
+AUDIT_SIZE = {1: 1.0, 2: 0.47, 0: 0.67, 3: 0.2}
+LIVE_SIZE = {1: 1.0, 2: 0.47, 0: 0.67, 3: 0.07, 4: 0.5, 5: 0.5}
+
+
 def regimes(d: Dialect) -> Stages:
     """Trend by the 100-bar mean and its slope, crash by volatility and drawdown, range position, rescaled-range exponent."""
     s1 = {"ret": f"round({change('close')}, 10)", "m100": f"round(avg(close) {over(100)}, 10)", "peak30": f"max(close) {over(30)}", "hi20": rolling("max", "high", 20), "lo20": rolling("min", "low", 20)}
@@ -43,7 +105,7 @@ def regimes(d: Dialect) -> Stages:
         "regime_i": "CASE WHEN vol20 > 2 * vol_mean AND close < m100 AND dd30 > 0.15 THEN 3 WHEN slope > 0.001 AND close > m100 THEN 1 WHEN slope < -0.001 AND close < m100 THEN 2 ELSE 0 END",
         "rs": f"(max(cum) {over(20)} - min(cum) {over(20)}) / nullif(r_sd, 0)",
     }
-    return [s1, s2, s3, s4, {"hurst": "CASE WHEN rs > 0 THEN ln(rs) / ln(20) END", "leverage": "CASE regime_i WHEN 1 THEN 1.0 WHEN 2 THEN 0.47 WHEN 3 THEN 0.25 ELSE 0.67 END"}]
+    return [s1, s2, s3, s4, {"hurst": "CASE WHEN rs > 0 THEN ln(rs) / ln(20) END", "size": "CASE regime_i " + " ".join(f"WHEN {k} THEN {v!r}e0" for k, v in AUDIT_SIZE.items()) + " END"}]
 
 
 def _z(x: str, n: int, least: int) -> str:

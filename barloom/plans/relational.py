@@ -193,6 +193,28 @@ def _aspects(d: Dialect) -> str:
 
 common("planetary_aspects", _aspects)
 
+
+def _ephemeris(d: Dialect) -> str:
+    """Per bar, by the day of the last computed row: moon sign with element and modality, ten pairs in five aspects of eight
+    degrees, tithi and karana, and the collector's greatest kp of the day; NULL without a row of the day."""
+    pairs = [("sun", "moon"), ("sun", "mercury"), ("sun", "venus"), ("sun", "mars"), ("sun", "jupiter"), ("sun", "saturn"), ("moon", "mars"), ("mars", "saturn"), ("jupiter", "saturn"), ("venus", "mars")]
+    near = lambda a, b, x: f"CASE WHEN e.{a}_lon IS NULL OR e.{b}_lon IS NULL THEN NULL WHEN abs(180 - abs(180 - abs(e.{a}_lon - e.{b}_lon)) - {x}) <= 8 THEN 1 ELSE 0 END"
+    each = {f"asp_{a}_{b}_{n}": near(a, b, x) for a, b in pairs for n, x in (("conj", 0), ("sext", 60), ("square", 90), ("trine", 120), ("opp", 180))}
+    elong = "(e.moon_lon - e.sun_lon + 360 - 360 * floor((e.moon_lon - e.sun_lon + 360) / 360))"
+    sign = "CAST(floor(e.moon_lon / 30) AS INT) % 12"
+    flag01 = lambda c: f"CASE WHEN e.moon_lon IS NULL THEN NULL WHEN {c} THEN 1 ELSE 0 END"
+    cols = {"moon_sign": sign, **{f"moon_{n}": flag01(f"({sign}) % 4 = {k}") for k, n in enumerate(("fire", "earth", "air", "water"))}, **{f"moon_{n}": flag01(f"({sign}) % 3 = {k}") for k, n in enumerate(("cardinal", "fixed", "mutable"))},
+            **each, "asp_hard": "e.hard_aspects", "asp_soft": "e.soft_aspects", "tithi": f"CAST(floor({elong} / 12) AS INT) + 1", "karana": f"CAST(floor({elong} / 6) AS INT) + 1", "kp_max": "k.kp_max"}
+    day = "CAST(substr(trim(date), 1, 10) AS DATE)"
+    since = f"datediff('day', DATE '1970-01-01', {day})" if d.duck else f"datediff({day}, DATE '1970-01-01')"
+    lons = ", ".join(f"{d.clean(f'{p}_lon')} AS {p}_lon" for p in _PLANETS)
+    return f"""SELECT b.series, b.us, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM {{bars}} b LEFT JOIN
+ (SELECT day_n, hard_aspects, soft_aspects, {lons} FROM (SELECT *, {since} AS day_n, row_number() OVER (PARTITION BY {day} ORDER BY row_id DESC) AS rn FROM {{ephemeris}}) x WHERE rn = 1) e ON e.day_n = {d.day('b.us')}
+ LEFT JOIN (SELECT collector, {d.day('utc_us')} AS day_n, max({d.clean('kp_index')}) AS kp_max FROM {{wind}} GROUP BY 1, 2) k ON k.collector = split_part(b.series, ':', 1) AND k.day_n = {d.day('b.us')}"""
+
+
+common("ephemeris_columns", _ephemeris)
+
 # ---------------------------------------------------------------- market columns over ordered side tables
 def _series(table: str, key: str, time: str, cols: str) -> tuple[Callable, str]:
     body = f"SELECT {key} AS series, {time} AS us, {cols} FROM {{t}} WHERE {time} IS NOT NULL"
@@ -240,6 +262,14 @@ QUERIES["labels_targets"], SQL["labels_targets"] = feature_query(validate.target
 QUERIES["labels_triple_barrier"], SQL["labels_triple_barrier"] = feature_query(validate.triple_barrier, bars, DUCK_BARS, ["label_i"])
 
 
+for _name, _build, _show in (
+    ("layer_price_numbers", layers.price_numbers, ["price_root_i", "price_angel", "price_near_round", "price_repeating", "price_master_11", "price_master_22", "price_master_33"]),
+    ("layer_sessions", layers.sessions, ["session_asia", "session_london", "session_ny", "session_dead", "killzone_asian", "killzone_london", "killzone_ny_pm", "doy_sin", "doy_cos", "moon_sin", "moon_cos", "dow_sin", "dow_cos", "dom_sin", "dom_cos", "animal_i", "element_i", "sixty_i"]),
+    ("layer_entropy", layers.entropy, ["entropy_20", "entropy_high", "entropy_low", "diff_sd"]),
+    ("layer_rates_of_change", layers.rates_of_change, layers.RATES),
+):
+    QUERIES[_name], SQL[_name] = feature_query(_build, bars, DUCK_BARS, _show)
+
 for _name, _build in {"layer_memory": layers.memory, "layer_cycles": layers.cycles, "layer_regimes": layers.regimes, "layer_multi_timeframe": layers.multi_timeframe}.items():
     _show = [c for st in _build(DUCK) for c in st if c not in ("price_text", "day_n")]
     QUERIES[_name], SQL[_name] = feature_query(_build, bars, DUCK_BARS, _show)

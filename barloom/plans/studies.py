@@ -6,36 +6,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import crosses, folds, models, validate
-from barloom.plans import features
+from barloom.plans import features, relational
 from barloom.plans.relational import f32
+from barloom.session import stored
 from barloom.sources.bars import DUCK_BARS, bars
 
 ROW = ["series", "us"]
-
-
-def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ta = features.QUERIES["ta_bands"](spark, sf_dir)
-    return crosses.binarise(crosses.tall(ta, ROW, ["bb_pctb_20", "stoch_k_14", "cci_20", "williams_r_14", "bb_width_20"]), ROW)
+#: The features crossed: query -> (its column, name of the feature). Names decide the signal group.
+CROSSED = {
+    "ta_exponential": (("rsi_14", "rsi_14"), ("macd_histogram", "macd_histogram"), ("close_vs_ema_50", "close_vs_ema_50"), ("rsi_14_ob", "rsi_14_ob"), ("rsi_14_os", "rsi_14_os")),
+    "ta_bands": (("stoch_k_14", "stoch_k_14"), ("cci_20", "cci_20"), ("bb_pctb_20", "bb_pctb_20"), ("bb_width_20", "bb_width_20")),
+    "ta_ranges": (("atr_14_pct", "atr_14_pct"), ("supertrend_bullish", "supertrend_bullish")),
+    "ta_volume": (("volume_ratio", "volume_ratio"), ("mfi_14", "mfi_14"), ("obv_trend", "obv_trend")),
+    "sky": (("phase_i", "moon_phase"), ("double_power", "planetary_hour_double"), ("tzolkin_i", "tzolkin_sign")),
+    "calendar_numerology": (("price_dr_i", "price_dr"), ("date_dr_i", "dr_date"), ("price_is_master", "price_master"), ("day_13", "contains_13")),
+    "layer_price_numbers": (("price_angel", "price_angel"), ("price_near_round", "price_near_round")),
+    "layer_sessions": (("session_asia", "session_asia"), ("session_london", "session_london"), ("session_ny", "session_ny")),
+    "macro_columns": (("macro_vix_roc_5", "vix_roc_5"), ("macro_dxy_roc_5", "dxy_roc_5"), ("spx_corr_20", "spx_corr_20")),
+    "flow_columns": (("funding_z30", "funding_z30"), ("liq_z", "liq_z"), ("whale_z", "whale_z"), ("fg_f", "fear_greed")),
+    "layer_regimes": (("regime_i", "regime_state"),),
+    "ephemeris_columns": (("asp_hard", "asp_hard"), ("asp_soft", "asp_soft"), ("moon_fire", "moon_fire"), ("moon_earth", "moon_earth"), ("moon_air", "moon_air"), ("moon_water", "moon_water"), ("kp_max", "kp_max"), ("tithi", "tithi")),
+}
+NAMES = [n for cs in CROSSED.values() for _, n in cs]
+_ALL = lambda: features.QUERIES | relational.QUERIES
+
+
+def crossed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a bar with every feature of CROSSED, stored."""
+    out = None
+    for q, cs in CROSSED.items():
+        part = _ALL()[q](spark, sf_dir).select(*ROW, *(F.col(c).cast("double").alias(n) for c, n in cs))
+        out = part if out is None else out.join(part, ROW, "left")
+    return stored(out)
+
+
+def _crossing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, dict[int, str]]:
+    wide = crossed_features(spark, sf_dir)
+    contexts = crosses.binarise(wide, NAMES)
+    doy, regime = F.dayofyear(F.timestamp_micros("us")), F.when(F.col("regime_state") == 1, 1).when(F.col("regime_state") == 2, 2).otherwise(0)
+    rows = crosses.sides(wide, contexts, ROW, doy, regime)
+    combos: dict[int, str] = {}
+    known = {c.id: c.name for c in contexts}
+    for name, group, tag, most, first, start in (("astro_pairs", "astro", "a2", 50, None, crosses.PAIR), ("ta_pairs", "ta", "ta2", 30, 60, crosses.PAIR + 1000)):
+        pairs = crosses.pair_combos(rows, group, contexts, most, first)
+        rows = crosses.with_pairs(rows, name, group, pairs, start)
+        combos |= {start + i: f"{tag}_{known[a][:15]}_{known[b][:15]}" for i, (a, b) in enumerate(pairs)}
+    return rows, contexts, combos
 
 
 def cross_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support and group of every binarised context."""
-    c = _contexts(spark, sf_dir)
-    return c.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).withColumn("signal_group", crosses.group_of(F.col("ctx")))
+    rows, contexts, _ = _crossing(spark, sf_dir)
+    table = spark.createDataFrame([(c.id, c.name, c.group) for c in contexts], "ctx_id int, ctx string, signal_group string")
+    n = rows.select(F.explode("all").alias("ctx_id")).groupBy("ctx_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(table), "ctx_id").select("ctx", "signal_group", "n")
+
+
+def cross_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of the thirteen families that holds on at least three rows, with its support."""
+    rows, contexts, combos = _crossing(spark, sf_dir)
+    return crosses.named(crosses.supports(rows), contexts, combos)
 
 
-def cross_day_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day-of-year windows crossed with every context, pairs holding at least three times."""
-    c = _contexts(spark, sf_dir)
-    rows = bars(spark, sf_dir).select(*ROW)
-    days = crosses.day_windows(rows, ROW, F.dayofyear(F.timestamp_micros("us")))
-    return crosses.cross(days, c, ROW, "dx_").groupBy("cross").agg(F.count(F.lit(1)).alias("n"))
+def cross_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column a cut name, the first pair in the families' order keeps it; how many pairs share the name."""
+    rows, contexts, combos = _crossing(spark, sf_dir)
+    pairs = crosses.supports(rows)
+    at = F.struct(F.col("family").alias("k"), F.col("l").alias("a"), F.col("r").alias("b"))
+    n = crosses.named(pairs.withColumn("at", at), contexts, combos)
+    return n.groupBy("cross").agg(F.min_by("n", "at").alias("n"), F.count(F.lit(1)).alias("pairs"))
 
 
-def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of contexts of different features, pairs holding at least three times."""
-    c = _contexts(spark, sf_dir)
-    return crosses.cross(c, c, ROW, "ax2_", within=True).groupBy("cross").agg(F.count(F.lit(1)).alias("n"))
+def cross_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supported crosses that hold on each series' last bar; names cut to 40 characters as offline."""
+    rows, contexts, combos = _crossing(spark, sf_dir)
+    rows = stored(rows)
+    last = rows.groupBy("series").agg(F.max(F.struct("us", *[c for c in rows.columns if c not in ROW])).alias("_r")).select("series", "_r.*")
+    live = last.select(*ROW, F.inline(crosses.all_pairs()))
+    return crosses.named(live.join(crosses.supports(rows), ["family", "l", "r"]), contexts, combos).select(*ROW, "family", "cross", "n")
 
 
 def pattern_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +120,43 @@ def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("metric", F.col("pbo").cast("float").cast("double").alias("pbo"), F.col("mean_logit").cast("float").cast("double").alias("mean_logit"), "verdict")
 
 
+def _cross_sql() -> str:
+    """CTEs up to `pairs` (family, k, l, r, left, right, n) from the features' own SQL."""
+    sql = features.SQL | relational.SQL
+    subs = [f"s{i} AS MATERIALIZED (SELECT series, us, {', '.join(f'CAST({c} AS DOUBLE) AS {n}' for c, n in cs)} FROM ({sql[q]}))" for i, (q, cs) in enumerate(CROSSED.items())]
+    wide = "wide AS MATERIALIZED (SELECT * FROM s0 " + " ".join(f"LEFT JOIN s{i} USING (series, us)" for i in range(1, len(CROSSED))) + ")"
+    tall = "tall AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT series, us, {i} AS ord, '{n}' AS feature, {n} AS value FROM wide WHERE {n} IS NOT NULL" for i, n in enumerate(NAMES)) + ")"
+    groups = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(name), '{k}')" for k in keys.split())} THEN '{g}'" for g, keys in crosses.GROUPS) + " ELSE 'ta' END"
+    tags = " UNION ALL ".join(f"SELECT t.series, t.us, t.ord * 4 + {i} AS c, t.feature || '{tag}' AS name FROM tall t JOIN stats s USING (feature) WHERE s.kinds > 3 AND s.live > 100 AND t.value {'>' if i < 2 else '<'} s.q[{i + 1}]" for i, tag in enumerate(crosses.TAGS))
+    base = f"""{', '.join(subs)}, {wide}, {tall},
+stats AS (SELECT feature, count(DISTINCT value) AS kinds, count(CASE WHEN value <> 0 THEN 1 END) AS live, quantile_cont(CASE WHEN value <> 0 THEN value END, {list(crosses.QUANTILES)}) AS q FROM tall GROUP BY feature),
+hits AS ({tags} UNION ALL SELECT t.series, t.us, t.ord * 4, t.feature FROM tall t JOIN stats s USING (feature) WHERE s.kinds IN (2, 3) AND t.value > 0),
+kept AS (SELECT c, name, count(*) AS n, {groups} AS grp FROM hits GROUP BY c, name HAVING count(*) > 5 AND (regexp_matches(name, '_(XH|H|L|XL)$') OR count(*) < 0.98 * (SELECT count(*) FROM wide))),
+ctx AS MATERIALIZED (SELECT h.series, h.us, h.c, h.name, k.grp FROM hits h JOIN kept k USING (c)),
+bars_doy AS (SELECT series, us, dayofyear(make_timestamp(us)) AS d, CASE regime_state WHEN 1 THEN 'B' WHEN 2 THEN 'R' ELSE 'S' END AS g FROM wide),
+days AS MATERIALIZED (SELECT series, us, ((d - 1 + x) % 365 + 365) % 365 + 1 AS d, g FROM bars_doy, (SELECT unnest([-2, -1, 0, 1, 2]) AS x)),
+doy AS (SELECT series, us, {crosses.DOY} + d AS c, 'doy_' || d AS name FROM days),
+rdoy AS (SELECT series, us, {crosses.REGIME_DOY} + 1000 * (CASE g WHEN 'S' THEN 0 WHEN 'B' THEN 1 ELSE 2 END) + d AS c, 'doy_' || g || '_' || d AS name FROM days)"""
+    for name, group, tag, most, first, start in (("astro_pairs", "astro", "a2", 50, 10**6, crosses.PAIR), ("ta_pairs", "ta", "ta2", 30, 60, crosses.PAIR + 1000)):
+        base += f""",
+{name}_k AS (SELECT c, row_number() OVER (ORDER BY c) AS rn FROM kept WHERE grp = '{group}'),
+{name}_n AS (SELECT a.c AS a, b.c AS b, '{tag}_' || left(min(a.name), 15) || '_' || left(min(b.name), 15) AS name FROM ctx a JOIN ctx b ON a.series = b.series AND a.us = b.us AND a.c < b.c
+ WHERE a.c IN (SELECT c FROM {name}_k WHERE rn <= {first}) AND b.c IN (SELECT c FROM {name}_k WHERE rn <= {first}) GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY 1, 2 LIMIT {most}),
+{name} AS (SELECT a.series, a.us, {start} - 1 + n.rn AS c, n.name FROM (SELECT *, row_number() OVER (ORDER BY a, b) AS rn FROM {name}_n) n JOIN ctx a ON a.c = n.a JOIN ctx b ON b.c = n.b AND a.series = b.series AND a.us = b.us)"""
+    side = lambda s: {"*": "SELECT series, us, c, name FROM ctx", "doy": "SELECT * FROM doy", "regime_doy": "SELECT * FROM rdoy"}.get(s, f"SELECT * FROM {s}" if s.endswith("_pairs") else f"SELECT series, us, c, name FROM ctx WHERE grp = '{s}'")
+    both = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{p}' AS family, l.c AS l, r.c AS r, min(l.name) AS \"left\", min(r.name) AS \"right\", count(*) AS n FROM ({side(left)}) l JOIN ({' UNION ALL '.join(side(x) for x in right)}) r ON l.series = r.series AND l.us = r.us GROUP BY l.c, r.c HAVING count(*) >= 3"
+        for k, (p, left, right) in enumerate(crosses.FAMILIES)
+    )
+    return f"WITH {base}, pairs AS ({both}), named AS (SELECT *, family || '_' || left(\"left\", 40) || '_' || left(\"right\", 40) AS \"cross\" FROM pairs)"
+
+
 _HEAD = DUCK_BARS.partition("--body--")[0]
+_CROSS = _cross_sql()
 SQL = {
+    "cross_contexts": f"{_CROSS.partition(', pairs AS (')[0]} SELECT name AS ctx, grp AS signal_group, n FROM kept",
+    "cross_families": f'{_CROSS} SELECT family, "left", "right", "cross", n FROM named',
+    "cross_names": f'{_CROSS} SELECT "cross", arg_min(n, (k, l, r)) AS n, count(*) AS pairs FROM named GROUP BY "cross"',
     "overfitting": f"""{_HEAD}, r AS (SELECT tf, symbol, make_timestamp(us) AS ts, close / lag(close) OVER (PARTITION BY series ORDER BY us) - 1 AS ret FROM bars),
 p AS (SELECT tf AS metric, symbol AS path, round(avg(CASE WHEN day(ts) <= 15 THEN ret END), 9) AS i, round(avg(CASE WHEN day(ts) > 15 THEN ret END), 9) AS o FROM r WHERE abs(ret) < 0.5 GROUP BY 1, 2),
 k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY i) + (count(*) OVER (PARTITION BY metric, i) - 1) / 2.0 AS ir, rank() OVER (PARTITION BY metric ORDER BY o) + (count(*) OVER (PARTITION BY metric, o) - 1) / 2.0 AS orr,
@@ -83,8 +166,9 @@ SELECT metric, {f32('pbo')} AS pbo, {f32('ml')} AS mean_logit, CASE WHEN pbo < 0
 }
 QUERIES = {
     "cross_contexts": cross_contexts,
-    "cross_day_of_year": cross_day_of_year,
-    "cross_pairs": cross_pairs,
+    "cross_families": cross_families,
+    "cross_names": cross_names,
+    "cross_live": cross_live,
     "pattern_folds": pattern_folds,
     "simulated_trades": simulated_trades,
     "grid_winners": grid_winners,

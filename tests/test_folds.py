@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from barloom.operators import crosses, folds
+from barloom.operators import folds
 
 
 def test_state_machines():
@@ -19,10 +19,3 @@ def test_simulator_stop_before_target():
     high, low, close = np.array([10, 14, 10.0, 10]), np.array([10, 6, 10.0, 10]), np.array([10, 10, 10.0, 10])
     t = folds.simulate(high, low, close, np.array([1, 0, 0, 0]), np.ones(4), stop_atr=2, reward=1, fee=0)
     assert t[0][8] == "stop" and t[0][4] == 8 and t[0][6] == pytest.approx(-0.01)
-
-
-def test_crosses_keep_supported_pairs(spark):
-    left = spark.createDataFrame([(i, "a") for i in range(5)] + [(9, "rare")], "row int, ctx string")
-    right = spark.createDataFrame([(i, "b") for i in range(2, 8)], "row int, ctx string")
-    got = {r["cross"]: r["n"] for r in crosses.cross(left, right, ["row"], "x_").select("cross", "n").distinct().collect()}
-    assert got == {"x_a_b": 3}
