@@ -113,8 +113,8 @@ common("event_mode", lambda d: """SELECT collector, day_of_year FROM (SELECT col
  (SELECT collector, day_of_year, count(*) AS n FROM {tweets} WHERE day_of_year IS NOT NULL GROUP BY 1, 2) c) t WHERE rn = 1""")
 common("daily_tweets", lambda d: f"""SELECT {d.day('utc_us')} AS day, count(DISTINCT user_handle) AS handles, count(CASE WHEN lower(full_text) LIKE '%caution%' THEN 1 END) AS caution,
  {f32('avg(length(full_text))')} AS mean_length, count(DISTINCT tweet_id) AS tweets FROM {{tweeted}} GROUP BY 1""")
-common("last_in_bucket", lambda d: f"""SELECT collector, day, fear_greed, mempool_size FROM (SELECT collector, {d.day('utc_us')} AS day, fear_greed, mempool_size,
- row_number() OVER (PARTITION BY collector, {d.day('utc_us')} ORDER BY utc_us DESC, id DESC) AS rn FROM {{chain}}) t WHERE rn = 1""")
+common("last_in_bucket", lambda d: f"""SELECT collector, {d.day('utc_us')} AS day, {', '.join(f"{d.arg_max(d.clean(c) if c in ('hash_rate', 'open_interest', 'coinbase_premium') else c, 'utc_us', 'id')} AS {c}" for c in ('fear_greed', 'mempool_size', 'hash_rate', 'open_interest', 'coinbase_premium', 'block_height'))}
+ FROM {{chain}} GROUP BY 1, 2""")
 common("sum_in_bucket", lambda d: f"""SELECT collector, {d.day('utc_us')} AS day, {f32(f"coalesce(sum({clean('whale_volume_btc', d)}), 0)")} AS whale, {f32(f"coalesce(sum({clean('liq_long_vol', d)}), 0)")} AS liq_long,
  {f32(f"coalesce(sum({clean('liq_short_vol', d)}), 0)")} AS liq_short, count(CASE WHEN liq_long_count > liq_short_count THEN 1 END) AS long_heavy FROM {{chain}} GROUP BY 1, 2""")
 _TRADES = lambda d: f"""(SELECT series, symbol, tf, us, {d.ts('us')} AS ts, CASE WHEN prev_ret > 0 THEN 1 ELSE -1 END AS direction, (CASE WHEN prev_ret > 0 THEN 1 ELSE -1 END) * ret AS pnl FROM (
