@@ -130,33 +130,6 @@ def wyckoff(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.nda
     return out
 
 
-def simulate(high, low, close, signal, atr, stop_atr=2.0, reward=2.0, hold=24, risk=0.01, fee=0.0005, start=1.0):
-    """One position at a time, stop before target before time exit; size by risk scaled down with drawdown. Trade rows."""
-    trades, balance, peak, i, n = [], start, start, 0, len(close)
-    while i < n - 1:
-        if signal[i] == 0 or not np.isfinite(atr[i]) or atr[i] <= 0:
-            i += 1
-            continue
-        side, entry = int(signal[i]), close[i]
-        stop, target = entry - side * stop_atr * atr[i], entry + side * reward * stop_atr * atr[i]
-        drawdown = 1 - balance / peak
-        size = risk * max(0.0, 1 - 2 * drawdown) if drawdown < 0.15 else 0.0
-        reason, leave, j = "time", close[min(i + hold, n - 1)], min(i + hold, n - 1)
-        for k in range(i + 1, min(i + hold, n - 1) + 1):
-            if (low[k] <= stop) if side > 0 else (high[k] >= stop):
-                reason, leave, j = "stop", stop, k
-                break
-            if (high[k] >= target) if side > 0 else (low[k] <= target):
-                reason, leave, j = "target", target, k
-                break
-        pnl = side * (leave - entry) / (stop_atr * atr[i]) * size - 2 * fee * size
-        balance *= 1 + pnl
-        peak = max(peak, balance)
-        trades.append((i, j, side, entry, leave, j - i, pnl, balance, reason))
-        i = j + 1
-    return trades
-
-
 def per_series(bars: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run a fold over each series' bars in order of time."""
 
@@ -181,54 +154,6 @@ def pattern_columns(bars: DataFrame) -> DataFrame:
     return per_series(bars, fold, "series string, us bigint, sar_value double, sar_bullish int, zigzag int, fvg_distance double, vpoc double, value_area_position double, wyckoff_phase int")
 
 
-def trade_log(bars: DataFrame, **params: float) -> DataFrame:
-    """Trades of a trend rule (above or below the 20-bar mean) on every series."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        h, lo, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
-        tr = np.maximum(h - lo, np.maximum(np.abs(h - np.roll(c, 1)), np.abs(lo - np.roll(c, 1))))
-        tr[:1] = (h - lo)[:1]
-        atr = pd.Series(tr).rolling(14).mean().to_numpy()
-        mean = pd.Series(c).rolling(20).mean().to_numpy()
-        signal = np.where(np.isnan(mean), 0, np.sign(c - mean)).astype(int)
-        rows = simulate(h, lo, c, signal, atr, **params)
-        out = pd.DataFrame(rows, columns=["entry_bar", "exit_bar", "direction", "entry_price", "exit_price", "bars_held", "pnl", "balance", "exit_reason"])
-        out.insert(0, "series", p["series"].iloc[0] if len(p) else "")
-        return out
-
-    return per_series(bars, fold, "series string, entry_bar int, exit_bar int, direction int, entry_price double, exit_price double, bars_held int, pnl double, balance double, exit_reason string")
-
-
-def grid_search(bars: DataFrame, grid: DataFrame, least_trades: int = 10) -> DataFrame:
-    """Every (series, parameter set) simulated as its own task unit; per series the best by balance and by Sortino ratio.
-
-    grid: idx, stop_atr, reward, hold. Bars are shuffled once per parameter block, not per set."""
-    params = [tuple(r) for r in grid.select("idx", "stop_atr", "reward", "hold").limit(100_001).collect()]
-    if len(params) > 100_000:
-        raise ValueError("a grid of more than 100,000 sets must be split into blocks")
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        h, lo, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
-        atr = pd.Series(h - lo).rolling(14).mean().to_numpy()
-        mean = pd.Series(c).rolling(20).mean().to_numpy()
-        signal = np.where(np.isnan(mean), 0, np.sign(c - mean)).astype(int)
-        rows = []
-        for idx, stop, reward, hold in params:
-            t = simulate(h, lo, c, signal, atr, stop_atr=stop, reward=reward, hold=hold)
-            pnl = np.array([x[6] for x in t])
-            down = np.sqrt((np.minimum(pnl, 0) ** 2).mean()) if len(pnl) else 0.0
-            rows.append((p["series"].iloc[0], idx, len(t), t[-1][7] if t else 1.0, float(pnl.mean() / down) if down > 0 else 0.0))
-        return pd.DataFrame(rows, columns=["series", "idx", "trades", "balance", "sortino"])
-
-    from pyspark.sql import functions as F
-
-    got = per_series(bars, fold, "series string, idx int, trades int, balance double, sortino double").where(F.col("trades") >= least_trades)
-    return got.groupBy("series").agg(
-        F.max_by("idx", F.struct("balance", -F.col("idx"))).alias("best_balance_idx"), F.max("balance").alias("best_balance"),
-        F.max_by("idx", F.struct("sortino", -F.col("idx"))).alias("best_sortino_idx"), F.count(F.lit(1)).alias("sets"),
-    )
-
-
 def knn_patterns(bars: DataFrame, length: int = 5, k: int = 10, lookback: int = 500, decay: float = 0.001) -> DataFrame:
     """Walk-forward nearest patterns: z-scored changes of `length` bars against earlier ones of the same series only."""
 

@@ -27,7 +27,8 @@ def triple_barrier(d: Dialect, width: float = 2.0, hold: int = 24) -> Stages:
     find = "list_position" if d.duck else "array_position"
     s3 = {"up_at": f"nullif(coalesce({find}({ups}, TRUE), 0), 0)", "down_at": f"nullif(coalesce({find}({downs}, TRUE), 0), 0)"}
     label = "CASE WHEN n_ahead = 0 OR atr IS NULL THEN NULL WHEN up_at IS NOT NULL AND (down_at IS NULL OR up_at <= down_at) THEN 2 WHEN down_at IS NOT NULL THEN 0 ELSE 1 END"
-    return [s1, s2, s3, {"label_i": label}]
+    held = "CASE WHEN n_ahead = 0 OR atr IS NULL THEN NULL ELSE least(coalesce(up_at, n_ahead), coalesce(down_at, n_ahead)) END"
+    return [s1, s2, s3, {"label_i": label, "held_i": held, "pos_i": "row_number() OVER (PARTITION BY series ORDER BY us)"}]
 
 
 def cpcv_paths(spark: SparkSession, groups: int = 6, test_groups: int = 2) -> DataFrame:

@@ -117,17 +117,24 @@ common("last_in_bucket", lambda d: f"""SELECT collector, {d.day('utc_us')} AS da
  FROM {{chain}} GROUP BY 1, 2""")
 common("sum_in_bucket", lambda d: f"""SELECT collector, {d.day('utc_us')} AS day, {f32(f"coalesce(sum({clean('whale_volume_btc', d)}), 0)")} AS whale, {f32(f"coalesce(sum({clean('liq_long_vol', d)}), 0)")} AS liq_long,
  {f32(f"coalesce(sum({clean('liq_short_vol', d)}), 0)")} AS liq_short, count(CASE WHEN liq_long_count > liq_short_count THEN 1 END) AS long_heavy FROM {{chain}} GROUP BY 1, 2""")
-_TRADES = lambda d: f"""(SELECT series, symbol, tf, us, {d.ts('us')} AS ts, CASE WHEN prev_ret > 0 THEN 1 ELSE -1 END AS direction, (CASE WHEN prev_ret > 0 THEN 1 ELSE -1 END) * ret AS pnl FROM (
- SELECT *, lag(ret) OVER (PARTITION BY series ORDER BY us) AS prev_ret FROM (SELECT *, close / lag(close) OVER (PARTITION BY series ORDER BY us) - 1 AS ret FROM {{bars}}) r) q WHERE prev_ret IS NOT NULL AND abs(ret) < 0.5)"""
+#: Trades of the 20-bar mean: entered at the first close on one side of it, left at the first close on the other side.
+#: (series, symbol, tf, us and ts of the exit, direction, pnl, held bars, distance from the mean at entry)
+_TRADES = lambda d: f"""(SELECT series, symbol, tf, exit_us AS us, {d.ts('exit_us')} AS ts, side AS direction, side * (exit_px / entry_px - 1) AS pnl, exit_pos - entry_pos AS held, dist FROM (
+ SELECT series, symbol, tf, side, px AS entry_px, pos AS entry_pos, dist, lead(px) OVER w AS exit_px, lead(pos) OVER w AS exit_pos, lead(us) OVER w AS exit_us FROM (
+ SELECT *, lag(side) OVER (PARTITION BY series ORDER BY us) AS was FROM (SELECT series, symbol, tf, us, close AS px, row_number() OVER (PARTITION BY series ORDER BY us) AS pos, abs(close / m - 1) AS dist,
+ CASE WHEN round(close - m, 10) > 0 THEN 1 WHEN round(close - m, 10) < 0 THEN -1 END AS side FROM (SELECT *, CASE WHEN count(close) OVER v >= 20 THEN avg(close) OVER v END AS m FROM {{bars}} WINDOW v AS (PARTITION BY series ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) a) b WHERE side IS NOT NULL) c
+ WHERE was IS NULL OR was <> side WINDOW w AS (PARTITION BY series ORDER BY us)) e WHERE exit_px IS NOT NULL)"""
 common("monthly_heatmap", lambda d: "SELECT CAST(year(ts) AS BIGINT) AS y, " + ", ".join(
-    f"{f32(f'coalesce(sum(CASE WHEN month(ts) = {m} THEN pnl END), 0)')} AS pnl_{m}, count(CASE WHEN month(ts) = {m} THEN 1 END) AS n_{m}" for m in range(1, 13)) + f" FROM {_TRADES(d)} t GROUP BY 1")
+    f"{f32(f'coalesce(sum(CASE WHEN month(ts) = {m} THEN pnl END), 0)')} AS pnl_{m}, count(CASE WHEN month(ts) = {m} THEN 1 END) AS n_{m}, coalesce({f32(f'avg(CASE WHEN month(ts) = {m} THEN CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END END)')}, 0e0) AS wins_{m}" for m in range(1, 13)) + f" FROM {_TRADES(d)} t GROUP BY 1")
 common("weekly_performance", lambda d: f"""SELECT CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, n, {f32('pnl')} AS pnl, {f32('sum(pnl) OVER (ORDER BY y, w)')} AS cumulative FROM (SELECT {'isoyear(ts)' if d.duck else 'extract(YEAROFWEEK FROM ts)'} AS y, weekofyear(ts) AS w,
  count(*) AS n, sum(pnl) AS pnl FROM {_TRADES(d)} t GROUP BY 1, 2) u""")
 common("breakdown", lambda d: f"""SELECT symbol, direction, count(*) AS trades, {f32('avg(pnl)')} AS mean_pnl, {f32('avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate,
  {"array_to_string(list_sort(list(DISTINCT tf)), ',')" if d.duck else "array_join(sort_array(collect_set(tf)), ',')"} AS timeframes FROM {_TRADES(d)} t GROUP BY 1, 2""")
-common("timeframe_summary", lambda d: f"""SELECT tf, count(*) AS trades, {f32('avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {f32('min(equity - peak)')} AS worst_drawdown FROM (
+common("timeframe_summary", lambda d: f"""SELECT a.tf, a.trades, a.roi, a.win_rate, a.worst_drawdown, m.best_month, m.worst_month FROM (
+ SELECT tf, count(*) AS trades, {f32('sum(pnl)')} AS roi, {f32('avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {f32('min(equity - peak)')} AS worst_drawdown FROM (
  SELECT *, max(equity) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM (
- SELECT *, sum(pnl) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM {_TRADES(d)} t) u) v GROUP BY tf""")
+ SELECT *, sum(pnl) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM {_TRADES(d)} t) u) v GROUP BY tf) a JOIN (
+ SELECT tf, {d.arg_max('ym', 'pnl', 'ym')} AS best_month, {d.arg_max('ym', '-pnl', 'ym')} AS worst_month FROM (SELECT tf, year(ts) * 100 + month(ts) AS ym, round(sum(pnl), 8) AS pnl FROM {_TRADES(d)} t2 GROUP BY 1, 2) x GROUP BY tf) m ON m.tf = a.tf""")
 common("distribution", lambda d: "SELECT symbol, " + ", ".join(f"{f32(d.quantile('close', q, ''))} AS q{round(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
        + f", {f32('avg(close)')} AS mean, {f32('stddev_samp(close)')} AS sd, count(DISTINCT series) AS series FROM {{bars}} GROUP BY symbol")
 common("correlation", lambda d: f"SELECT tf, {f32('corr(ln(high), ln(low))')} AS r, count(*) AS n FROM {{bars}} GROUP BY tf")
@@ -135,12 +142,12 @@ common("value_counts", lambda d: "SELECT lower(trim(source)) AS source, lang, co
 common("average_tie_ranks", lambda d: """SELECT t.doc_id, CAST(c.rnk AS DOUBLE) AS rnk FROM {documents} t JOIN (SELECT lang, n_chars, sum(n) OVER (PARTITION BY lang ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n + (n + 1) / 2e0 AS rnk
  FROM (SELECT lang, n_chars, count(*) AS n FROM {documents} GROUP BY 1, 2) g) c ON c.lang IS NOT DISTINCT FROM t.lang AND c.n_chars IS NOT DISTINCT FROM t.n_chars""")
 common("accuracy", lambda d: f"""SELECT tf, count(*) AS n, {f32('avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END)')} AS accuracy, {f32('avg(-ln(CASE WHEN hit THEN p ELSE 1 - p END))')} AS log_loss FROM (
- SELECT tf, pnl > 0 AS hit, 0.5e0 + 0.3e0 * (abs(pnl) / (abs(pnl) + 0.02e0)) AS p FROM {_TRADES(d)} t) u GROUP BY tf""")
+ SELECT tf, pnl > 0 AS hit, 0.5e0 + 0.3e0 * (dist / (dist + 0.02e0)) AS p FROM {_TRADES(d)} t) u GROUP BY tf""")
 
 #: Bars held up to which a trade is a scalp, a day trade, a swing, by timeframe.
 HELD = {"1h": (1, 24, 72), "4h": (1, 6, 84), "1d": (0, 1, 30)}
 common("trade_types", lambda d: "SELECT tf, CASE " + " ".join(f"WHEN tf = '{t}' THEN CASE WHEN h <= {a} THEN 'scalp' WHEN h <= {b} THEN 'day_trade' WHEN h <= {c} THEN 'swing' ELSE 'position' END" for t, (a, b, c) in HELD.items())
-    + f" END AS trade_type, count(*) AS trades, {f32('avg(pnl)')} AS mean_pnl FROM (SELECT tf, pnl, {d.div('us', '3600000000')} % 97 AS h FROM {_TRADES(d)} t) u GROUP BY 1, 2")
+    + f" END AS trade_type, count(*) AS trades, {f32('avg(pnl)')} AS mean_pnl FROM (SELECT tf, pnl, held AS h FROM {_TRADES(d)} t) u GROUP BY 1, 2")
 
 
 def _deflated(d: Dialect) -> str:
@@ -360,16 +367,18 @@ def cpcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TOUCH = lambda show: feature_query(validate.triple_barrier, bars, DUCK_BARS, show)
+_touched, _touch_sql = _TOUCH(["pos_i", "held_i"])
+
+
 def sample_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("series").orderBy("us")
-    b = bars(spark, sf_dir).select("series", "us", F.row_number().over(w).alias("t0"))
-    n = F.max("t0").over(Window.partitionBy("series"))
-    rows = b.withColumn("t1", F.least(F.col("t0") + 5 + F.col("t0") % 3, n)).withColumn("id", F.col("us"))
+    """Mean of 1 / concurrency over every label's bars: from its bar to the barrier touched first, or the last bar held."""
+    rows = _touched(spark, sf_dir).where("held_i is not null").select("series", "us", F.col("us").alias("id"), F.col("pos_i").alias("t0"), (F.col("pos_i") + F.col("held_i")).alias("t1"))
     return validate.uniqueness(rows).select("series", "us", F.col("uniqueness").cast("float").cast("double").alias("uniqueness"))
 
 
 QUERIES["cpcv_splits"] = cpcv
 QUERIES["sample_uniqueness"] = sample_uniqueness
-SQL["sample_uniqueness"] = f"""WITH {_BARS}, p AS (SELECT series, us, row_number() OVER (PARTITION BY series ORDER BY us) AS t0, count(*) OVER (PARTITION BY series) AS n FROM bars),
-r AS (SELECT series, us, t0, least(t0 + 5 + t0 % 3, n) AS t1 FROM p), c AS (SELECT a.series, a.t0 AS pos, count(*) AS k FROM r a JOIN r b ON a.series = b.series AND b.t0 <= a.t0 AND b.t1 >= a.t0 GROUP BY 1, 2)
+SQL["sample_uniqueness"] = f"""WITH r AS MATERIALIZED (SELECT series, us, pos_i AS t0, pos_i + held_i AS t1 FROM ({_touch_sql}) x WHERE held_i IS NOT NULL),
+g AS (SELECT series, unnest(range(min(t0), max(t1) + 1)) AS pos FROM r GROUP BY series), c AS MATERIALIZED (SELECT g.series, g.pos, count(*) AS k FROM g JOIN r b ON g.series = b.series AND b.t0 <= g.pos AND b.t1 >= g.pos GROUP BY 1, 2)
 SELECT r.series, r.us, {f32('avg(1.0 / k)')} AS uniqueness FROM r JOIN c ON c.series = r.series AND c.pos BETWEEN r.t0 AND r.t1 GROUP BY 1, 2"""

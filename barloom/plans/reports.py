@@ -133,8 +133,9 @@ common("column_union", lambda d: "SELECT row_id, 'space_weather' AS tab, kp_inde
 common("spine_by_group", lambda d: f"""SELECT s.day, {', '.join(f'coalesce(n_{l}, 0) AS docs_{l}' for l in ('en', 'de', 'es', 'fr'))}, coalesce(total, 0) AS total, coalesce(cautions, 0) AS cautions FROM (SELECT {'unnest(range(a, z + 1))' if d.duck else 'explode(sequence(a, z))'} AS day FROM
  (SELECT min(day) AS a, max(day) AS z FROM {_published(d)} r) q) s LEFT JOIN (SELECT day, count(*) AS total, {', '.join(f"count(CASE WHEN lang = '{l}' THEN 1 END) AS n_{l}" for l in ('en', 'de', 'es', 'fr'))}, count(CASE WHEN lower(text) LIKE '%caution%' THEN 1 END) AS cautions FROM {_published(d)} r2 GROUP BY day) c ON c.day = s.day""")
 common("exchange_premium", lambda d: f"""SELECT symbol, tf, us, count(*) AS sources, {f32('(max(close) - min(close)) / min(close)')} AS premium FROM {{bars}} GROUP BY symbol, tf, us HAVING count(*) > 1""")
-common("zscored_inputs", lambda d: f"""SELECT series, us, {f32('(high - low - rm) / CASE WHEN rs = 0 THEN 1 ELSE rs END')} AS range_z, {f32('(close - open - dm) / CASE WHEN ds = 0 THEN 1 ELSE ds END')} AS body_z FROM {{bars}} CROSS JOIN
- (SELECT avg(high - low) AS rm, stddev_pop(high - low) AS rs, avg(close - open) AS dm, stddev_pop(close - open) AS ds FROM {{bars}}) s""")
+_ONE = lambda e: f"(SELECT {e} FROM {{bars}})"
+common("zscored_inputs", lambda d: f"""SELECT series, us, {f32(f"(high - low - {_ONE('avg(high - low)')}) / coalesce(nullif({_ONE('stddev_pop(high - low)')}, 0), 1)")} AS range_z,
+ {f32(f"(close - open - {_ONE('avg(close - open)')}) / coalesce(nullif({_ONE('stddev_pop(close - open)')}, 0), 1)")} AS body_z FROM {{bars}}""")
 
 
 def _edges(d: Dialect) -> str:
@@ -243,7 +244,7 @@ def uniqueness_weights(d: Dialect) -> str:
     label = "CASE WHEN n5 / close - 1 > 0.02 THEN 2 WHEN n5 / close - 1 < -0.02 THEN 0 ELSE 1 END"
     rows = f"SELECT series, us, {label} AS label FROM (SELECT *, {lead('close', 5)} AS n5 FROM {{bars}}) a WHERE n5 IS NOT NULL"
     counts = f"SELECT label, count(*) AS k FROM ({rows}) b GROUP BY label"
-    return f"SELECT r.series, r.us, r.label, {f32('m.top / c.k / 5e0')} AS weight FROM ({rows}) r JOIN ({counts}) c ON c.label = r.label CROSS JOIN (SELECT max(k) * 1e0 AS top FROM ({counts}) e) m"
+    return f"SELECT r.series, r.us, r.label, {f32(f'(SELECT max(k) * 1e0 FROM ({counts}) e) / c.k / 5e0')} AS weight FROM ({rows}) r JOIN ({counts}) c ON c.label = r.label"
 
 
 common("class_weights", uniqueness_weights)

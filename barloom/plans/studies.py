@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import crosses, folds, models, validate
+from barloom.operators import crosses, folds, models, simulate, validate
 from barloom.plans import features, relational
 from barloom.plans.relational import f32
 from barloom.session import stored
@@ -90,15 +90,28 @@ def pattern_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pattern_columns(bars(spark, sf_dir))
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series with the regime's size multiplier."""
+    return simulate.prepared(bars(spark, sf_dir), relational.QUERIES["layer_regimes"](spark, sf_dir))
+
+
 def simulated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.trade_log(bars(spark, sf_dir))
+    return simulate.trade_log(_series(spark, sf_dir))
 
 
 def grid_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(8).select(
-        F.col("id").cast("int").alias("idx"), (1.0 + F.col("id") % 2).alias("stop_atr"), (1.0 + F.floor(F.col("id") / 2) % 2).alias("reward"), (12 + 12 * F.floor(F.col("id") / 4)).cast("int").alias("hold")
-    )
-    return folds.grid_search(bars(spark, sf_dir), grid)
+    """Four winners a series over the whole grid of seven parameters (1,296 sets)."""
+    return simulate.winners(simulate.grid_results(_series(spark, sf_dir)))
+
+
+def genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.genetic_search(_series(spark, sf_dir))
+
+
+def portfolio_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated trades of every collector's series as one portfolio under the portfolio rules."""
+    trades = simulate.trade_log(_series(spark, sf_dir)).withColumn("collector", F.split_part("series", F.lit(":"), F.lit(1)))
+    return simulate.portfolio(trades, "collector")
 
 
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +126,7 @@ def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("series").orderBy("us")
     r = b.select("tf", "symbol", F.timestamp_micros("us").alias("ts"), (F.col("close") / F.lag("close").over(w) - 1).alias("ret")).where("abs(ret) < 0.5")
     half = F.when(F.dayofmonth("ts") <= 15, "a").otherwise("b")
-    per = r.groupBy(F.col("tf").alias("metric"), F.col("symbol").alias("path")).agg(
+    per = r.groupBy(F.col("tf").alias("metric"), F.date_format("ts", "yyyy-MM").alias("path")).agg(
         F.round(F.avg(F.when(half == "a", F.col("ret"))), 9).alias("in_sample"), F.round(F.avg(F.when(half == "b", F.col("ret"))), 9).alias("out_sample")
     )
     out = validate.overfitting(per.where("in_sample is not null and out_sample is not null"))
@@ -158,7 +171,7 @@ SQL = {
     "cross_families": f'{_CROSS} SELECT family, "left", "right", "cross", n FROM named',
     "cross_names": f'{_CROSS} SELECT "cross", arg_min(n, (k, l, r)) AS n, count(*) AS pairs FROM named GROUP BY "cross"',
     "overfitting": f"""{_HEAD}, r AS (SELECT tf, symbol, make_timestamp(us) AS ts, close / lag(close) OVER (PARTITION BY series ORDER BY us) - 1 AS ret FROM bars),
-p AS (SELECT tf AS metric, symbol AS path, round(avg(CASE WHEN day(ts) <= 15 THEN ret END), 9) AS i, round(avg(CASE WHEN day(ts) > 15 THEN ret END), 9) AS o FROM r WHERE abs(ret) < 0.5 GROUP BY 1, 2),
+p AS (SELECT tf AS metric, strftime(ts, '%Y-%m') AS path, round(avg(CASE WHEN day(ts) <= 15 THEN ret END), 9) AS i, round(avg(CASE WHEN day(ts) > 15 THEN ret END), 9) AS o FROM r WHERE abs(ret) < 0.5 GROUP BY 1, 2),
 k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY i) + (count(*) OVER (PARTITION BY metric, i) - 1) / 2.0 AS ir, rank() OVER (PARTITION BY metric ORDER BY o) + (count(*) OVER (PARTITION BY metric, o) - 1) / 2.0 AS orr,
  count(*) OVER (PARTITION BY metric) AS n FROM p WHERE i IS NOT NULL AND o IS NOT NULL),
 z AS (SELECT metric, avg(CASE WHEN orr / (n + 1) <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, avg(ln(orr / (n + 1) / (1 - orr / (n + 1)))) AS ml FROM k WHERE ir > n / 2.0 GROUP BY 1)
@@ -172,6 +185,8 @@ QUERIES = {
     "pattern_folds": pattern_folds,
     "simulated_trades": simulated_trades,
     "grid_winners": grid_winners,
+    "genetic_search": genetic_search,
+    "portfolio_decisions": portfolio_decisions,
     "knn_patterns": knn,
     "overfitting": overfitting,
     "direction_models": models.direction_models(bars),

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from barloom.operators import folds
+from barloom.operators import folds, simulate
 
 
 def test_state_machines():
@@ -15,7 +15,49 @@ def test_state_machines():
         assert len(f(np.array([]))) == 0
 
 
-def test_simulator_stop_before_target():
-    high, low, close = np.array([10, 14, 10.0, 10]), np.array([10, 6, 10.0, 10]), np.array([10, 10, 10.0, 10])
-    t = folds.simulate(high, low, close, np.array([1, 0, 0, 0]), np.ones(4), stop_atr=2, reward=1, fee=0)
-    assert t[0][8] == "stop" and t[0][4] == 8 and t[0][6] == pytest.approx(-0.01)
+ONE = {"leverage": 5.0, "risk": 0.01, "stop_atr": 2.0, "reward": 1.0, "hold": 24, "trail": 0.0, "partial": 0.0}
+
+
+def params(*changes):
+    return {k: np.array([c.get(k, v) for c in changes], float) for k, v in ONE.items()}
+
+
+def test_simulator_by_hand():
+    """Stop before target on one bar; partial target with the stop moved to the entry; trailing stop; time; drawdown halt."""
+    cost = 2 * simulate.FEE
+    flat, ones = np.array([100.0, 100, 100, 100]), np.ones(4)
+    sig = np.array([1, 0, 0, 0])
+    _, t = simulate.run(np.array([100, 103, 100, 100.0]), np.array([100, 97, 100, 100.0]), flat, sig, ones, ones, params({}), log=True)
+    assert t[0][6] == "stop" and t[0][5] == 98 and t[0][9] == pytest.approx(0.5 * (-0.02 - cost - simulate.SLIPPAGE))  # size 0.01 / 0.02
+    _, t = simulate.run(np.array([100, 102, 101, 100.0]), np.array([100, 100.5, 99, 100.0]), flat, sig, ones, ones, params({"partial": 0.5}), log=True)
+    assert t[0][6] == "stop" and t[0][2] == 2 and t[0][9] == pytest.approx(0.25 * (0.02 - cost) + 0.25 * (0 - cost - simulate.SLIPPAGE))
+    _, t = simulate.run(np.array([100, 103, 102, 100.0]), np.array([100, 101, 101.2, 100.0]), flat, sig, ones, ones, params({"reward": 9.0, "trail": 1.5}), log=True)
+    assert t[0][6] == "stop" and t[0][2] == 2 and t[0][5] == 101.5  # 103 - 1.5, tightened on the bar of the best price
+    _, t = simulate.run(flat, flat, flat, sig, ones, ones, params({"hold": 2}), log=True)
+    assert t[0][6] == "time" and t[0][7] == 2
+    assert list(simulate.drawdown_scale(np.array([0.0, 0.1, 0.15, 0.3]))) == [1.0, 0.8, 0.0, 0.0]
+    assert simulate.kelly(np.array([0.6]), np.array([2.0]))[0] == pytest.approx(0.4) and simulate.kelly_scale(np.array([0.4, 99.0]))[1] == 3.0
+
+
+def test_sets_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(1)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 600)))
+    high, low = close * 1.006, close * 0.994
+    signal, atr, scale = np.sign(rng.normal(size=600)), np.full(600, 1.2), np.ones(600)
+    idx = np.arange(0, 1296, 61)
+    got, _ = simulate.run(high, low, close, signal, atr, scale, simulate.decode(idx, simulate.GRID))
+    for k, i in enumerate(idx):
+        one, trades = simulate.run(high, low, close, signal, atr, scale, simulate.decode(np.array([i]), simulate.GRID), log=True)
+        assert all(got[c][k] == one[c][0] for c in got) and one["trades"][0] == len(trades)
+        assert one["balance"][0] == pytest.approx(1 + sum(t[9] for t in trades), abs=0.02)  # less an open position's part
+    every = simulate.decode(np.arange(1296), simulate.GRID)
+    assert len({tuple(every[n][i] for n in simulate.PARAMETERS) for i in range(1296)}) == 1296
+
+
+def test_winners_and_portfolio(spark):
+    rows = [("s", 0, 12, 6, 1.2, 0.05, 0.3), ("s", 1, 12, 6, 1.2, 0.05, 0.5), ("s", 2, 12, 6, 1.9, 0.12, 0.1), ("s", 3, 5, 5, 9.0, 0.01, 9.0)]
+    r = simulate.winners(spark.createDataFrame(rows, "series string, idx bigint, trades bigint, wins bigint, balance double, drawdown double, sortino double")).first()
+    assert (r["balance_10_idx"], r["sortino_10_idx"], r["balance_15_idx"], r["sortino_15_idx"], r["sets"]) == (0, 1, 2, 1, 3)
+    trades = [("p", f"s{i}", "1h", 10 * i, 1000, 1 if i != 2 else -1, -0.01) for i in range(5)] + [("p", "t0", "4h", 60, 2000, 1, 0.01), ("p", "t1", "1h", 1500, 1600, 1, 0.01)]
+    got = {x["series"]: (x["decision"], x["scale"]) for x in simulate.portfolio(spark.createDataFrame(trades, "who string, series string, tf string, entry_us bigint, exit_us bigint, side int, pnl double"), "who").collect()}
+    assert got["s0"] == ("taken", 1.0) and got["s1"] == ("taken", 0.75) and got["s2"][0] == "full" and got["t0"] == ("taken", 0.5) and got["t1"][0] == "taken"
