@@ -125,3 +125,53 @@ def mutual_information(source: Source, bins: int = 10) -> Source:
         return out.withColumn("kind", F.when(F.col("mi_dir") + F.col("mi_vol") < 1e-3, "NOISE").when(ratio > 2, "DIRECTIONAL").when(ratio < 0.5, "VOLATILITY").otherwise("DUAL"))
 
     return run
+
+
+def platt_blend(source: Source, share: float = 0.6) -> Source:
+    """A forest's probability calibrated by a logistic model on held-back rows, blended with a second model's: accuracy and
+    log loss of raw, calibrated and blended probabilities on the last rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
+        train, test = _split(frame(source(spark, sf_dir)))
+        fit, held = _split(train)
+        asm = VectorAssembler(inputCols=INPUTS, outputCol="x")
+        forest = Pipeline(stages=[asm, RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=10, maxDepth=4, seed=7)]).fit(fit)
+        plain = Pipeline(stages=[asm, LogisticRegression(featuresCol="x", labelCol="y", maxIter=10)]).fit(fit)
+        p = lambda m, d, n: m.transform(d).select("series", "us", "y", *[c for c in d.columns if c in ("raw", "x2", *INPUTS)], vector_to_array("probability")[1].alias(n))
+        platt = Pipeline(stages=[VectorAssembler(inputCols=["raw"], outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=20)]).fit(p(forest, held, "raw"))
+        scored = platt.transform(p(forest, test, "raw")).select("series", "us", "y", "raw", vector_to_array("probability")[1].alias("platt"))
+        both = scored.join(p(plain, test, "other").select("series", "us", "other"), ["series", "us"])
+        both = both.withColumn("blend", F.col("platt") * share + F.col("other") * (1 - share))
+        tall = both.select("y", F.inline(F.array(*(F.struct(F.lit(c).alias("model"), F.col(c).alias("p")) for c in ("raw", "platt", "blend")))))
+        q = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("p")))
+        return tall.groupBy("model").agg(
+            F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy"), F.avg(-F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))).alias("log_loss"), F.count(F.lit(1)).alias("n")
+        )
+
+    return run
+
+
+def dual_importance(source: Source) -> Source:
+    """Importance of every input for the next direction and for a large next move, and its class by the ratio."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import RandomForestClassifier
+        from pyspark.ml.feature import VectorAssembler
+
+        df = frame(source(spark, sf_dir)).withColumn("move", F.abs("next"))
+        cut = df.agg(F.percentile_approx("move", 0.8, 1000)).first()[0] or 0.0
+        df = df.withColumn("large", (F.col("move") > cut).cast("double"))
+        gains = []
+        for target in ("y", "large"):
+            m = Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="x"), RandomForestClassifier(featuresCol="x", labelCol=target, numTrees=10, maxDepth=4, seed=7)]).fit(df)
+            gains.append([float(v) for v in m.stages[-1].featureImportances.toArray()])
+        rows = [(c, a, b, "DIRECTIONAL" if a > 2 * b else "VOLATILITY" if b > 2 * a else "DUAL") for c, a, b in zip(INPUTS, *gains, strict=True)]
+        return spark.createDataFrame(rows, "feature string, direction double, volatility double, kind string")
+
+    return run

@@ -211,12 +211,12 @@ def _ephemeris(d: Dialect) -> str:
     sign = "CAST(floor(e.moon_lon / 30) AS INT) % 12"
     flag01 = lambda c: f"CASE WHEN e.moon_lon IS NULL THEN NULL WHEN {c} THEN 1 ELSE 0 END"
     cols = {"moon_sign": sign, **{f"moon_{n}": flag01(f"({sign}) % 4 = {k}") for k, n in enumerate(("fire", "earth", "air", "water"))}, **{f"moon_{n}": flag01(f"({sign}) % 3 = {k}") for k, n in enumerate(("cardinal", "fixed", "mutable"))},
-            **each, "asp_hard": "e.hard_aspects", "asp_soft": "e.soft_aspects", "tithi": f"CAST(floor({elong} / 12) AS INT) + 1", "karana": f"CAST(floor({elong} / 6) AS INT) + 1", "kp_max": "k.kp_max"}
+            **each, "asp_hard": "e.hard_aspects", "asp_soft": "e.soft_aspects", "mercury_retrograde": "e.mercury_retrograde", "tithi": f"CAST(floor({elong} / 12) AS INT) + 1", "karana": f"CAST(floor({elong} / 6) AS INT) + 1", "kp_max": "k.kp_max"}
     day = "CAST(substr(trim(date), 1, 10) AS DATE)"
     since = f"datediff('day', DATE '1970-01-01', {day})" if d.duck else f"datediff({day}, DATE '1970-01-01')"
     lons = ", ".join(f"{d.clean(f'{p}_lon')} AS {p}_lon" for p in _PLANETS)
     return f"""SELECT b.series, b.us, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM {{bars}} b LEFT JOIN
- (SELECT day_n, hard_aspects, soft_aspects, {lons} FROM (SELECT *, {since} AS day_n, row_number() OVER (PARTITION BY {day} ORDER BY row_id DESC) AS rn FROM {{ephemeris}}) x WHERE rn = 1) e ON e.day_n = {d.day('b.us')}
+ (SELECT day_n, hard_aspects, soft_aspects, mercury_retrograde, {lons} FROM (SELECT *, {since} AS day_n, row_number() OVER (PARTITION BY {day} ORDER BY row_id DESC) AS rn FROM {{ephemeris}}) x WHERE rn = 1) e ON e.day_n = {d.day('b.us')}
  LEFT JOIN (SELECT collector, {d.day('utc_us')} AS day_n, max({d.clean('kp_index')}) AS kp_max FROM {{wind}} GROUP BY 1, 2) k ON k.collector = split_part(b.series, ':', 1) AND k.day_n = {d.day('b.us')}"""
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.functions import ciphers
+from pyspark.sql import functions as F
+
+from barloom.functions import ciphers, sky
+from barloom.operators import align, quantiles
 from barloom.plans import relational
-from barloom.plans.portable import DUCK, Dialect, Stages, change, feature_query, flag, lag, lead, over, ratio, rolling
+from barloom.plans.portable import DUCK, Dialect, Stages, change, compile_stages, feature_query, flag, lag, lead, over, ratio, rolling
 from barloom.plans.relational import common, f32
+from barloom.session import stored
 from barloom.sources.bars import DUCK_BARS, bars
 
 QUERIES, SQL = relational.QUERIES, relational.SQL  # one registry: common() writes into it
@@ -248,3 +252,81 @@ def uniqueness_weights(d: Dialect) -> str:
 
 
 common("class_weights", uniqueness_weights)
+
+
+# ---------------------------------------------------------------- validation, events, text
+def _baselines(d: Dialect) -> str:
+    """Accuracy of always long, always short, majority, the previous bar's direction, and of labels shuffled within the series."""
+    rows = f"SELECT series, tf, row_number() OVER (PARTITION BY series ORDER BY us) AS pos, count(*) OVER (PARTITION BY series) AS n, CASE WHEN nxt > close THEN 1 ELSE 0 END AS y, CASE WHEN close > prv THEN 1 ELSE 0 END AS p FROM (SELECT *, {lead('close')} AS nxt, {lag('close')} AS prv FROM {{bars}}) a WHERE nxt IS NOT NULL AND prv IS NOT NULL"
+    same = lambda a, b: f32(f"avg(CASE WHEN {a} = {b} THEN 1e0 ELSE 0e0 END)")
+    return f"""SELECT a.tf, count(*) AS n, {f32('avg(a.y * 1e0)')} AS always_long, {f32('avg(1e0 - a.y)')} AS always_short, greatest({f32('avg(a.y * 1e0)')}, {f32('avg(1e0 - a.y)')}) AS majority, {same('a.p', 'a.y')} AS previous_bar, {same('s.y', 'a.y')} AS shuffled
+ FROM ({rows}) a JOIN ({rows}) s ON s.series = a.series AND s.pos = (a.pos * 7919 + 13) % a.n + 1 GROUP BY a.tf"""
+
+
+common("leakage_baselines", _baselines)
+common("token_index", lambda d: f"""SELECT token, count(*) AS hits, count(DISTINCT row_id) AS tweets, min(row_id) AS first_row FROM (SELECT row_id, {"unnest" if d.duck else "explode"}({_words(d, "lower(coalesce(full_text, ''))")}) AS token FROM {{tweets}}) t GROUP BY token""")
+
+
+def _fallback(d: Dialect) -> str:
+    """Sentiment by lexicon with sarcasm, urgency and impact: sarcasm turns the sign, impact counts strong words and marks."""
+    low = "lower(coalesce(full_text, ''))"
+    any_of = lambda ws: "CASE WHEN " + " OR ".join(f"{low} LIKE '%{w}%'" for w in ws) + " THEN 1 ELSE 0 END"
+    return f"""SELECT row_id, CASE WHEN sarcasm = 1 THEN -score ELSE score END + 0e0 AS sentiment, sarcasm, urgent, least(marks + 2 * strong + caps, 10) AS impact FROM
+ (SELECT row_id, {any_of(('yeah right', 'sure thing', '/s', 'totally fine', 'what could go wrong'))} AS sarcasm, urgent, marks, caps, {any_of(('record', 'historic', 'massive', 'collapse', 'crash', 'surge'))} AS strong, coalesce((bull - bear) / nullif(CAST(bull + bear AS DOUBLE), 0), 0e0) AS score
+ FROM (SELECT row_id, full_text, {', '.join(f'{e} AS {n}' for n, e in _hits(d, 'full_text').items())} FROM {{tweets}}) a) b"""
+
+
+common("fallback_sentiment", _fallback)
+
+
+def _event_sky(d: Dialect) -> str:
+    """Moon, planetary hour, signs and day pillars at the instant of each tweet, the last one of every four-hour bucket."""
+    cols = ("phase_i", "hour_planet_i", "stem_i", "branch_i", "tone_i", "tzolkin_i", "kin_i", "element_i", "double_power", "moon_age")
+    body = compile_stages(sky.sky(d), "SELECT collector, row_id, utc_us AS us FROM {tweeted}", ["collector", "row_id", "us"], cols, hold=not d.duck)
+    return f"SELECT collector, {d.div('us', '14400000000')} AS bucket, count(*) AS tweets, {', '.join(f'{d.arg_max(c, 'us', 'row_id')} AS {c}' for c in cols)} FROM ({body}) e GROUP BY 1, 2"
+
+
+common("event_sky", _event_sky)
+common("paper_account", lambda d: f"""SELECT series, count(*) AS closed, {f32('sum(pnl)')} AS realised, {f32('sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END)')} AS won, {f32('sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END)')} AS lost, max(us) AS last_exit_us, CAST(max(held) AS BIGINT) AS longest FROM {relational._TRADES(d)} t GROUP BY series""")
+
+
+def _decimal_root(d: Dialect) -> str:
+    """Digital root of the digits of a number's first six decimals and whole part."""
+    micro = "CAST(round(abs(funding_rate) * 1e6) AS BIGINT)"
+    return f"SELECT row_id, n_micro, {_root('n_micro')} AS root FROM (SELECT row_id, {micro} AS n_micro FROM {{funding_rates}} WHERE funding_rate IS NOT NULL AND NOT isnan(funding_rate)) t"
+
+
+common("decimal_root", _decimal_root)
+
+#: Named products: (name, binary, continuous, side) of flow columns beyond their outer fifths.
+PRODUCTS = tuple((f"px_{b}_{c}_{s}", b, c, s) for b in ("fg_fear", "fg_greed", "funding_high", "funding_neg", "post_liq_flag", "hash_capitulation", "premium_positive") for c in ("funding_z30", "liq_z", "whale_z", "oi_change_5", "premium_z") for s in ("high", "low"))
+
+
+def named_products(spark, sf_dir):
+    """Binary signals times the outer fifths of continuous ones over the whole sample, by a table of names."""
+    flows = stored(QUERIES["flow_columns"](spark, sf_dir))
+    wide = sorted({c for _, _, c, _ in PRODUCTS})
+    pairs = F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in wide))
+    cut = {r["f"]: r["q"] for r in quantiles.percentiles(flows.select(F.inline(pairs)), "f", "v", (0.2, 0.8)).collect()}
+    over_ = lambda c, s: F.col(c) >= cut[c][1] if s == "high" else F.col(c) <= cut[c][0]
+    return flows.select("series", "us", *(F.coalesce((F.col(b) == 1) & over_(c, s), F.lit(False)).cast("int").alias(n) if c in cut else F.lit(0).alias(n) for n, b, c, s in PRODUCTS))
+
+
+QUERIES["named_products"] = named_products
+_CUTS = ", ".join(f"quantile_cont({c}, 0.2) AS {c}_lo, quantile_cont({c}, 0.8) AS {c}_hi" for c in sorted({c for _, _, c, _ in PRODUCTS}))
+SQL["named_products"] = f"""WITH f AS MATERIALIZED ({SQL['flow_columns']}), q AS (SELECT {_CUTS} FROM f) SELECT series, us, {', '.join(f"CASE WHEN {b} = 1 AND {c} {'>=' if s == 'high' else '<='} {c}_{'hi' if s == 'high' else 'lo'} THEN 1 ELSE 0 END AS {n}" for n, b, c, s in PRODUCTS)} FROM f, q"""
+
+
+def common_timeline(spark, sf_dir):
+    """One-hour bars of every symbol with the last closed four-hour and daily close of the symbol, as of the hour's open."""
+    one = QUERIES["store_fallback"](spark, sf_dir)
+    out = one.where("tf = '1h'").select("symbol", "us", "close")
+    for tf, width in (("4h", 14_400_000_000), ("1d", 86_400_000_000)):
+        side = one.where(f"tf = '{tf}'").select("symbol", (F.col("us") + width).alias("at"), F.col("close").alias(f"close_{tf}"))
+        out = align.asof(out, side, ["symbol"], "us", "at", [f"close_{tf}"]).drop("matched_us")
+    return out
+
+
+QUERIES["common_timeline"] = common_timeline
+SQL["common_timeline"] = f"""WITH o AS MATERIALIZED ({SQL['store_fallback']}), h4 AS (SELECT symbol, us + 14400000000 AS at, close AS close_4h FROM o WHERE tf = '4h'), d1 AS (SELECT symbol, us + 86400000000 AS at, close AS close_1d FROM o WHERE tf = '1d')
+SELECT b.symbol, b.us, b.close, h4.close_4h, d1.close_1d FROM (SELECT * FROM o WHERE tf = '1h') b ASOF LEFT JOIN h4 ON h4.symbol = b.symbol AND b.us >= h4.at ASOF LEFT JOIN d1 ON d1.symbol = b.symbol AND b.us >= d1.at"""

@@ -118,6 +118,13 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.knn_patterns(bars(spark, sf_dir))
 
 
+def knn_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern search's answer for the last bar of every series."""
+    got = knn(spark, sf_dir)
+    rest = [c for c in got.columns if c not in ("series", "us")]
+    return got.groupBy("series").agg(F.max(F.struct("us", *rest)).alias("_l")).select("series", "_l.*")
+
+
 def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of backtest overfitting over months as paths: mean return in the first and second half of each month."""
     b = bars(spark, sf_dir)
@@ -164,6 +171,15 @@ rdoy AS (SELECT series, us, {crosses.REGIME_DOY} + 1000 * (CASE g WHEN 'S' THEN
     return f"WITH {base}, pairs AS ({both}), named AS (SELECT *, family || '_' || left(\"left\", 40) || '_' || left(\"right\", 40) AS \"cross\" FROM pairs)"
 
 
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overfitting probability and deflated Sharpe ratio together: deploy only if both agree."""
+    o = overfitting(spark, sf_dir).withColumnRenamed("verdict", "pbo_verdict")
+    s = relational.QUERIES["deflated_sharpe"](spark, sf_dir).withColumnRenamed("tf", "metric")
+    sound = F.col("p_value") < 0.05
+    verdict = F.when((F.col("pbo_verdict") == "DEPLOY") & sound, "DEPLOY").when((F.col("pbo_verdict") == "REJECT") | ~sound, "REJECT").otherwise("INVESTIGATE")
+    return o.join(s.select("metric", "sharpe", "dsr", "p_value"), "metric").withColumn("verdict", verdict)
+
+
 _HEAD = DUCK_BARS.partition("--body--")[0]
 _CROSS = _cross_sql()
 SQL = {
@@ -177,6 +193,8 @@ k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY i) + (count(*) OVER (P
 z AS (SELECT metric, avg(CASE WHEN orr / (n + 1) <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, avg(ln(orr / (n + 1) / (1 - orr / (n + 1)))) AS ml FROM k WHERE ir > n / 2.0 GROUP BY 1)
 SELECT metric, {f32('pbo')} AS pbo, {f32('ml')} AS mean_logit, CASE WHEN pbo < 0.15 THEN 'DEPLOY' WHEN pbo < 0.30 THEN 'INVESTIGATE' ELSE 'REJECT' END AS verdict FROM z""",
 }
+SQL["validation_report"] = f"""SELECT o.metric, o.pbo, o.mean_logit, o.verdict AS pbo_verdict, s.sharpe, s.dsr, s.p_value, CASE WHEN o.verdict = 'DEPLOY' AND s.p_value < 0.05 THEN 'DEPLOY' WHEN o.verdict = 'REJECT' OR NOT s.p_value < 0.05 THEN 'REJECT' ELSE 'INVESTIGATE' END AS verdict
+ FROM ({SQL['overfitting']}) o JOIN ({relational.SQL['deflated_sharpe']}) s ON s.tf = o.metric"""
 QUERIES = {
     "cross_contexts": cross_contexts,
     "cross_families": cross_families,
@@ -188,6 +206,10 @@ QUERIES = {
     "genetic_search": genetic_search,
     "portfolio_decisions": portfolio_decisions,
     "knn_patterns": knn,
+    "knn_live": knn_live,
+    "validation_report": validation_report,
+    "platt_blend": models.platt_blend(bars),
+    "dual_importance": models.dual_importance(bars),
     "overfitting": overfitting,
     "direction_models": models.direction_models(bars),
     "meta_label": models.meta_label(bars),
