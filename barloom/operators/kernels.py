@@ -12,23 +12,20 @@ from barloom.plans.portable import Dialect, Stages, change, flag, lag, over, rol
 
 
 def kernels(d: Dialect) -> Stages:
-    """Bars since an event and its decays, rolling OLS slope, rolling quantile of the past, fractional difference."""
-    weights = fracdiff_weights(0.4, 1e-3)
+    """Bars since an event and its decays, rolling OLS slope, rolling quantile of the past."""
     s1 = {
         "pos": "row_number() OVER (PARTITION BY series ORDER BY us)", "ret": f"round({change('close')}, 8)",
-        "event": flag(f"high > 1.02 * {lag('high')}"), "log_close": "ln(close)",
+        "event": flag(f"high > 1.02 * {lag('high')}"),
     }
     s2 = {
         "event_pos": d.last("CASE WHEN event = 1 THEN pos END", over()),
         "sy": rolling("sum", "close", 10), "sxy": rolling("sum", "close * (pos % 1000000)", 10),
         "past": d.sort(d.filter(d.collect("ret", over(200, skip=1)), "v", "v IS NOT NULL")),
     }
-    fd = " + ".join(f"({w!r}) * {lag('log_close', k) if k else 'log_close'}" for k, w in enumerate(weights))
     s3 = {
         "bars_since_i": "pos - event_pos", "return_since_event": f"(close - {d.last('CASE WHEN event = 1 THEN close END', over())}) / close",
         "slope_10": "round((sxy - (pos % 1000000 - 4.5) * sy) / 82.5, 6)",
         "q95_past": f"CASE WHEN {d.size('past')} >= 50 THEN {d.at('past', f'CAST(least(floor({d.size("past")} * 0.95), {d.size("past")} - 1) AS INT) + 1')} END",
-        "fracdiff_04": fd,
     }
     s4 = {"decay_fast": "exp(-0.1 * bars_since_i)", "decay_slow": "exp(-0.05 * bars_since_i)", "ret_extreme": flag("ret > q95_past")}
     return [s1, s2, s3, s4]
@@ -73,5 +70,19 @@ def fractional_differences(bars: DataFrame) -> DataFrame:
         terms = F.zip_with(held, F.array(*map(F.lit, reversed(weights[n]))), lambda v, x: F.coalesce(v * x, F.lit(0.0)))
         present = F.size(F.filter(held, lambda v: v.isNotNull()))
         full = (F.size("_w") >= size) & (present * 2 >= size)
-        out.append(F.when(full, F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)).alias(f"fracdiff_{n}"))
+        total = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+        out.append(F.when(full, total).cast("float").cast("double").alias(f"fracdiff_{n}"))
     return b.select("series", "us", *out)
+
+
+def fractional_sql(head: str, body: str) -> str:
+    """The same columns in DuckDB over the bars of `body`."""
+    lists = {x: f"list({x}) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)" for x in ("close", "log_close", "volume", "obv")}
+    cols = []
+    for n, (x, order) in FRACTIONAL.items():
+        w = list(reversed(fracdiff_weights(order)))
+        k = len(w)
+        held = f"l_{x}[len(l_{x}) - {k - 1}:]"
+        cols.append(f"CASE WHEN len(l_{x}) >= {k} AND len(list_filter({held}, lambda v: v IS NOT NULL)) * 2 >= {k} THEN CAST(CAST(list_sum(list_transform(list_zip({held}, {w}), lambda p: coalesce(p[1] * p[2], 0))) AS FLOAT) AS DOUBLE) END AS fracdiff_{n}")
+    return f"""{head}, s AS (SELECT *, coalesce(sign(close - lag(close) OVER (PARTITION BY series ORDER BY us)) * volume, 0) AS step, CASE WHEN close > 0 THEN ln(close) END AS log_close FROM ({body}) b),
+o AS (SELECT *, sum(step) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS obv FROM s), l AS (SELECT series, us, {', '.join(f'{e} AS l_{x}' for x, e in lists.items())} FROM o) SELECT series, us, {', '.join(cols)} FROM l"""

@@ -132,7 +132,8 @@ def channels(d: Dialect) -> Stages:
     s1 = {
         "tenkan": mid(9), "kijun": mid(26), "senkou_b_now": mid(52), "hi200": rolling("max", "high", 200, 50), "lo200": rolling("min", "low", 200, 50),
         "root": "sqrt(close)", "pos": "row_number() OVER (PARTITION BY series ORDER BY us)",
-        "pv_sum": f"sum((high + low + close) / 3 * coalesce(volume, 0)) {over()}", "v_sum": f"sum(coalesce(volume, 0)) {over()}",
+        # whole millionths, so that differences of long running sums are exact
+        "pv_sum": f"sum(CAST(round((high + low + close) / 3 * coalesce(volume, 0) * 1000000) AS DECIMAL(38, 0))) {over()}", "v_sum": f"sum(CAST(round(coalesce(volume, 0) * 1000000) AS DECIMAL(38, 0))) {over()}",
         "lo51": f"min(low) {over(51)}", "hi51": f"max(high) {over(51)}",
     }
     s2 = {
@@ -151,9 +152,10 @@ def channels(d: Dialect) -> Stages:
     }
     s4 = {
         "gann_distance": ratio("close - gann_level", "close"),
-        "avwap_low": ratio("pv_sum - low_pv", "v_sum - low_v"), "avwap_high": ratio("pv_sum - high_pv", "v_sum - high_v"),
+        **{f"avwap_{s}": ratio(f"CAST(pv_sum - {s}_pv AS DOUBLE)", f"CAST(v_sum - {s}_v AS DOUBLE)") for s in ("low", "high")},
+        "fib_21": "lo200 + 0.21 * (hi200 - lo200)", "fib_13": "lo200 + 0.13 * (hi200 - lo200)", "near_golden": flag("abs(close - fib_618) / close < 0.01"), "near_ext": flag("abs(close - fib_ext_1618) / close < 0.01"),
     }
-    return [s1, s2, s3, s4, {"avwap_position": ratio("close - avwap_low", "avwap_high - avwap_low")}]
+    return [s1, s2, s3, s4, {"avwap_position": ratio("close - avwap_low", "avwap_high - avwap_low"), "near_fib_21": flag("abs(close - fib_21) / close < 0.01"), "near_fib_13": flag("abs(close - fib_13) / close < 0.01")}]
 
 
 def _arg(d: Dialect, best: str, by: str, value: str, n: int) -> str:
@@ -162,10 +164,3 @@ def _arg(d: Dialect, best: str, by: str, value: str, n: int) -> str:
     if d.duck:
         return f"(min({{'k': {key}, 'p': pos, 'v': {value}}}) {over(n)}).v"
     return f"(min(named_struct('k', {key}, 'p', pos, 'v', {value})) {over(n)}).v"
-
-
-def effort(d: Dialect) -> Stages:
-    """Effort against result, volume trend and bar score of ten bars, normalised by the last fifty."""
-    s1 = {"spread": "high - low", "up_move": flag(f"close > {lag('close')}"), "v10": rolling("sum", "volume", 10, digits=None), "r10": rolling("sum", "high - low", 10)}
-    s2 = {"v_norm": ratio("v10", f"max(v10) {over(50)}"), "r_norm": ratio("r10", f"max(r10) {over(50)}"), "ups": rolling("sum", "up_move", 10)}
-    return [s1, s2, {"effort_vs_result": "v_norm - r_norm", "directional_score": "least(100, greatest(0, 50 + 20 * sign(ups - 5) + 5 * (ups - 5)))"}]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.quantiles import percentiles
 from barloom.plans.portable import Dialect, Stages, lag, lead, over, rolling
 
 
@@ -31,33 +32,31 @@ def triple_barrier(d: Dialect, width: float = 2.0, hold: int = 24) -> Stages:
     return [s1, s2, s3, {"label_i": label, "held_i": held, "pos_i": "row_number() OVER (PARTITION BY series ORDER BY us)"}]
 
 
-def cpcv_paths(spark: SparkSession, groups: int = 6, test_groups: int = 2) -> DataFrame:
-    """(path, test_group): every way to hold out `test_groups` of `groups` contiguous groups."""
-    rows = [(p, g) for p, c in enumerate(combinations(range(groups), test_groups)) for g in c]
-    return spark.createDataFrame(rows, "path int, test_group int")
-
-
-def cpcv_splits(rows: DataFrame, paths: DataFrame, groups: int = 6, embargo: float = 0.01) -> DataFrame:
-    """rows: id, t0, t1 (event interval). -> (path, id, role): test rows, train rows after purge and embargo.
-
-    Groups are contiguous in t0 by global rank from range counts; the remainder goes to the last group. A train row is
-    purged if its interval meets any test group's interval, or starts within the embargo after it (per group, so rows
-    between two test groups stay)."""
-    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("t0").alias("lo"), F.max("t0").alias("hi"))
-    # exact contiguous groups need only the group borders: one small set of quantiles, not a global sort
-    cuts = rows.agg(F.percentile("t0", F.array(*(F.lit(i / groups) for i in range(1, groups)))).alias("q"))
-    numbered = rows.join(F.broadcast(cuts.crossJoin(span)))
-    group = F.size(F.filter("q", lambda c: c <= F.col("t0")))
-    numbered = numbered.select("id", "t0", "t1", group.alias("g"), ((F.col("hi") - F.col("lo")) * embargo).alias("gap"))
-    bounds = numbered.groupBy("g").agg(F.min("t0").alias("a"), F.max("t1").alias("z"))
-    tests = paths.join(F.broadcast(bounds), F.col("test_group") == F.col("g")).groupBy("path").agg(
-        F.collect_list(F.struct("g", "a", "z")).alias("tests")
-    )
-    each = numbered.crossJoin(F.broadcast(tests))  # 15 paths of at most 2 groups: a fixed-size side
-    is_test = F.exists("tests", lambda t: t["g"] == F.col("g"))
-    clash = F.exists("tests", lambda t: (F.col("t0") <= t["z"] + F.col("gap")) & (F.col("t1") >= t["a"]))
-    role = F.when(is_test, "test").when(clash, None).otherwise("train")
-    return each.select("path", "id", role.alias("role")).where("role is not null")
+def cpcv_splits(rows: DataFrame, groups: int = 6, tests: int = 2, embargo: float = 0.01) -> DataFrame:
+    """rows: ..., t0, t1 (event interval) -> (path, role, all columns): test rows, and train rows after purge and embargo.
+
+    Groups are contiguous in t0, cut at exact quantiles. A train row is purged if its interval meets any test group's, or
+    starts within the embargo after it (per group, so rows between two test groups stay). What is read first is one row
+    a group; the paths (15 for two of six) are emitted by a generator, without a join."""
+    at = [i / groups for i in range(1, groups)]
+    cut = percentiles(rows.select(F.lit(0).alias("k"), "t0"), "k", "t0", at).select("q").first()
+    span = rows.agg(F.min("t0"), F.max("t0")).first()
+    if cut is None:
+        return rows.limit(0).select(F.lit(0).alias("path"), F.lit("").alias("role"), "*")
+    gap = (span[1] - span[0]) * embargo
+    group = sum(((F.col("t0") >= F.lit(c)).cast("int") for c in cut[0]), F.lit(0))
+    numbered = rows.withColumn("_g", group)
+    bounds = {r["_g"]: (r["a"], r["z"]) for r in numbered.groupBy("_g").agg(F.min("t0").alias("a"), F.max("t1").alias("z")).collect()}
+    roles = []
+    for path, chosen in enumerate(combinations(range(groups), tests)):
+        test = F.col("_g").isin(*chosen)
+        clash = F.lit(False)
+        for g in chosen:
+            if g in bounds:
+                a, z = bounds[g]
+                clash = clash | ((F.col("t0") <= F.lit(z + gap)) & (F.col("t1") >= F.lit(a)))
+        roles.append(F.struct(F.lit(path).alias("path"), F.when(test, "test").when(clash, None).otherwise("train").alias("role")))
+    return numbered.select(F.inline(F.filter(F.array(*roles), lambda r: r["role"].isNotNull())), *rows.columns)
 
 
 def uniqueness(rows: DataFrame) -> DataFrame:

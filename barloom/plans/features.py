@@ -13,7 +13,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 #: Helpers, and differences of long running sums, whose last bits depend on the order of summation.
-_HIDE = {"avwap_low", "avwap_high", "avwap_position", "low_pv", "low_v", "high_pv", "high_v", "pv_sum", "v_sum", "pv_before", "v_before", "m20", "sd20", "hi14", "lo14", "tp", "tp_m20", "tp_sd20", "prev_high", "prev_low", "prev_open", "prev_close", "ts", "past", "age0", "dow", "md", "hour_n", "first_planet", "day_n", "r1", "r1k", "r2k", "text_n"}
+_HIDE = {"low_pv", "low_v", "high_pv", "high_v", "pv_sum", "v_sum", "pv_before", "v_before", "m20", "sd20", "hi14", "lo14", "tp", "tp_m20", "tp_sd20", "prev_high", "prev_low", "prev_open", "prev_close", "ts", "past", "age0", "dow", "md", "hour_n", "first_planet", "day_n", "r1", "r1k", "r2k", "text_n"}
 
 
 def _add(name: str, build) -> None:
@@ -28,7 +28,6 @@ for _name, _build in {
     "ta_volume": ta.volume,
     "ta_candles": ta.candles,
     "ta_channels": ta.channels,
-    "ta_effort": ta.effort,
     "kernels": kernels.kernels,
     "calendar_time": calendar.time_columns,
     "calendar_numerology": calendar.numerology,
@@ -44,6 +43,8 @@ def fractional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["fractional_differences"] = fractional_differences
+_HEAD, _, _BODY = DUCK_BARS.partition("--body--")
+SQL["fractional_differences"] = kernels.fractional_sql(_HEAD, _BODY)
 
 
 for _name, _build, _show in (

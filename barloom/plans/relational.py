@@ -55,10 +55,6 @@ common("latest_100_bars_per_symbol", lambda d: f"""SELECT symbol, series, us, cl
 common("distinct_symbols_top2", lambda d: "SELECT symbol, us, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY us DESC, series) AS rn FROM {bars}) t WHERE rn <= 2")
 common("dedupe_keep_last", lambda d: "SELECT collector, tweet_id, row_id, retweet_count FROM (SELECT *, row_number() OVER (PARTITION BY collector, tweet_id ORDER BY row_id DESC) AS rn FROM {tweets}) t WHERE rn = 1")
 common("trim_zero_volume_head", lambda d: """SELECT series, us, volume FROM (SELECT *, min(CASE WHEN volume > 0 THEN us END) OVER (PARTITION BY series) AS start_us FROM {bars}) t WHERE us >= start_us""")
-common("pivot_macro", lambda d: f"""SELECT collector, date, {', '.join(f"max(CASE WHEN series = '{s}' THEN value END) AS {s.lower()}" for s in ('BROADUSD', 'CURVE102'))} FROM
- (SELECT collector, series, date, {clean('value', d)} AS value, row_number() OVER (PARTITION BY collector, series, date ORDER BY row_id DESC) AS rn FROM {{macro}}) t WHERE rn = 1 GROUP BY collector, date""")
-
-
 def pivot_macro_all(spark: SparkSession, sf_dir: str, limit: int = 1000) -> DataFrame:
     """Every series of macro as a column: the last delivery of each (collector, series, date); refused beyond `limit` series."""
     macro = read_table(spark, sf_dir, "macro").where("series is not null")
@@ -69,9 +65,11 @@ def pivot_macro_all(spark: SparkSession, sf_dir: str, limit: int = 1000) -> Data
 
 
 QUERIES["pivot_macro_all"] = pivot_macro_all
+#: The series of the test tables, for the SQL twin only.
+_SERIES = ("BROADUSD", "CRUDE", "CURVE102", "GOLDFIX", "HYSPREAD", "VOLINDEX", "YIELD10", "YIELD2")
+SQL["pivot_macro_all"] = f"""SELECT collector, date, {', '.join(f"arg_max(CASE WHEN NOT isnan(value) THEN value END, row_id) FILTER (WHERE series = '{s}' AND rn = 1) AS \"{s}\"" for s in _SERIES)} FROM
+ (SELECT *, row_number() OVER (PARTITION BY collector, series, date ORDER BY row_id DESC) AS rn FROM macro WHERE series IS NOT NULL) t GROUP BY collector, date"""
 common("funding_daily_mean", lambda d: f"SELECT symbol, {d.div('ts_unix', '86400000')} AS day, {f32('avg(' + clean('funding_rate', d) + ')')} AS funding, count(*) AS n FROM {{funding_rates}} WHERE ts_unix IS NOT NULL GROUP BY 1, 2")
-common("freshness", lambda d: f"""SELECT tab, max(us) AS newest_us, CASE WHEN {1735689600000000} - max(us) > 3600000000 * limit_h THEN 1 ELSE 0 END AS stale FROM (
- SELECT 'open_interest' AS tab, ts_unix * 1000000 AS us, 6 AS limit_h FROM {{open_interest}} UNION ALL SELECT 'funding_rates', ts_unix * 1000, 24 FROM {{funding_rates}}) t GROUP BY tab, limit_h""")
 common("insert_ignore", lambda d: """SELECT f.collector, f.symbol, f.ts_unix, min(f.row_id) AS row_id FROM {funding_rates} f LEFT JOIN
  (SELECT DISTINCT collector, symbol, ts_unix * 1000 AS t FROM {open_interest}) o ON o.collector = f.collector AND o.symbol = f.symbol AND o.t = f.ts_unix
  WHERE o.t IS NULL AND f.ts_unix IS NOT NULL GROUP BY 1, 2, 3""")
@@ -83,7 +81,7 @@ common("upsert_latest", lambda d: """SELECT collector, symbol, t, row_id FROM (S
 # ---------------------------------------------------------------- filters
 common("null_share_constant_columns", lambda d: "SELECT " + ", ".join(
     f"avg(CASE WHEN {clean(c, d)} IS NULL THEN 1e0 ELSE 0e0 END) AS {c}_null, {f32(d.quantile(clean(c, d), 0.5, ''))} AS {c}_median, CASE WHEN max({clean(c, d)}) = min({clean(c, d)}) THEN 1 ELSE 0 END AS {c}_constant"
-    for c in ("spx", "dxy", "gold", "vix")) + " FROM {macro_data}")
+    for c in context.TICKERS) + " FROM {macro_data}")
 
 
 def clean_columns(df: DataFrame, most_null: float = 0.9) -> DataFrame:
@@ -360,13 +358,24 @@ SQL["date_align_filled"] = f"""WITH {_BARS}, e AS (SELECT CAST(date AS DATE) AS
 
 
 # ---------------------------------------------------------------- validation
+HELD_US = 5 * 86_400_000_000
+
+
 def cpcv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every path and role after purge and embargo, for labels that end five days later."""
     b = bars(spark, sf_dir)
-    rows = b.select(F.concat_ws("@", "series", "us").alias("id"), F.col("us").alias("t0"), (F.col("us") + 5 * 86_400_000_000).alias("t1"))
-    s = validate.cpcv_splits(rows, validate.cpcv_paths(spark))
+    rows = b.select("series", "us", F.col("us").alias("t0"), (F.col("us") + HELD_US).alias("t1"))
+    s = validate.cpcv_splits(rows)
     return s.groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+SQL["cpcv_splits"] = f"""WITH {_BARS}, r AS (SELECT us AS t0, us + {HELD_US} AS t1 FROM bars), q AS (SELECT quantile_cont(t0, [1/6, 2/6, 3/6, 4/6, 5/6]) AS c, (max(t0) - min(t0)) * 0.01 AS gap FROM r),
+g AS (SELECT t0, t1, len(list_filter(q.c, lambda x: x <= t0)) AS g, q.gap FROM r, q), b AS (SELECT g, min(t0) AS a, max(t1) AS z FROM g GROUP BY g),
+p AS (SELECT row_number() OVER (ORDER BY x.i, y.i) - 1 AS path, x.i AS g1, y.i AS g2 FROM (SELECT unnest(range(6)) AS i) x, (SELECT unnest(range(6)) AS i) y WHERE x.i < y.i),
+e AS (SELECT p.path, CASE WHEN g.g IN (p.g1, p.g2) THEN 'test' WHEN g.t0 <= b1.z + g.gap AND g.t1 >= b1.a OR g.t0 <= b2.z + g.gap AND g.t1 >= b2.a THEN NULL ELSE 'train' END AS role
+ FROM g, p JOIN b b1 ON b1.g = p.g1 JOIN b b2 ON b2.g = p.g2) SELECT path, role, count(*) AS n FROM e WHERE role IS NOT NULL GROUP BY 1, 2"""
+
+
 _TOUCH = lambda show: feature_query(validate.triple_barrier, bars, DUCK_BARS, show)
 _touched, _touch_sql = _TOUCH(["pos_i", "held_i"])
 

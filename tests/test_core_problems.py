@@ -287,10 +287,11 @@ def test_asof_both_ways(spark):
 
 def test_cpcv_and_uniqueness(spark):
     rows = spark.createDataFrame([(str(i), i, i + 3) for i in range(60)], "id string, t0 bigint, t1 bigint")
-    s = validate.cpcv_splits(rows, validate.cpcv_paths(spark)).toPandas()
+    s = validate.cpcv_splits(rows).toPandas()
     assert s.path.nunique() == 15
     one = s[s.path == 0]
     test, train = one[one.role == "test"].id.astype(int), one[one.role == "train"].id.astype(int)
     assert not set(test) & set(train) and all(not ((t <= test.max() + 3) and (t + 3 >= test.min())) for t in train)
+    assert validate.cpcv_splits(rows.limit(0)).count() == 0
     u = validate.uniqueness(spark.createDataFrame([("s", 1, 0, 1), ("s", 2, 1, 2)], "series string, id bigint, t0 bigint, t1 bigint")).collect()
     assert {r["id"]: r["uniqueness"] for r in u} == {1: 0.75, 2: 0.75}

@@ -6,13 +6,58 @@ from barloom.operators import folds, simulate
 
 def test_state_machines():
     c = np.array([100, 101, 102, 101, 97, 96, 99.5, 103, 104, 100.0])
-    assert list(folds.zigzag(c))[4] == -1 and folds.zigzag(c)[-2] == 1
-    sar, up = folds.parabolic_sar(c + 1, c - 1)
-    assert up[1] == 1 and 0 in up and all(s <= lo for s, lo, u in zip(sar[1:], (c - 1)[1:], up[1:]) if u)
+    turned, leg = folds.zigzag(c)
+    assert list(np.flatnonzero(turned)) == [4, 6, 9] and list(turned[[4, 6, 9]]) == [-1, 1, -1] and list(leg) == [1, 1, 1, 1, -1, -1, 1, 1, 1, -1]
+    # by hand: 99, then 99 + .02 (101 - 99), 99.04 + .04 (102 - 99.04), 99.1584 + .06 (103 - 99.1584), passed by 96
+    sar, up, flip = folds.parabolic_sar(c + 1, c - 1)
+    assert sar[:4] == pytest.approx([99, 99.04, 99.1584, 99.388896]) and sar[4] == 103 and list(up[:5]) == [1, 1, 1, 1, 0] and list(flip[:5]) == [1, 0, 0, 0, 1]
     gap = folds.fair_value_gap(np.array([1, 2, 5, 6.0]), np.array([0.5, 1.5, 4, 5.0]), np.array([1, 2, 4.5, 5.5]))
     assert np.isnan(gap[1]) and gap[2] == pytest.approx((2.5 - 4.5) / 4.5)
-    for f in (folds.zigzag,):
-        assert len(f(np.array([]))) == 0
+    assert len(folds.zigzag(np.array([]))[0]) == 0 and len(folds.parabolic_sar(np.array([]), np.array([]))[2]) == 0
+
+
+def test_volume_profile_by_loops():
+    rng = np.random.default_rng(2)
+    c = 100 + np.cumsum(rng.normal(0, 1, 80))
+    h, lo, v = c + rng.uniform(0.2, 2, 80), c - rng.uniform(0.2, 2, 80), rng.uniform(1, 9, 80)
+    got = folds.volume_profile(h, lo, c, v)
+    for i in range(20, 80):
+        w = slice(i - 20, i + 1)
+        edges = np.linspace(lo[w].min(), h[w].max(), 21)
+        hist = np.zeros(20)
+        for a, b, x in zip(lo[w], h[w], v[w]):
+            k, z = np.clip(np.searchsorted(edges, [a, b]) - 1, 0, 19)
+            hist[k : z + 1] += x / (z - k + 1)
+        centre = (edges[:-1] + edges[1:]) / 2
+        p = hist.round(9).argmax()
+        assert got["vpoc"][i] == pytest.approx(centre[p])
+        under = [b for b in range(20) if centre[b] < c[i]]
+        if under:
+            assert got["hvn_distance"][i] == pytest.approx((c[i] - centre[max(under, key=lambda b: (round(hist[b], 9), -b))]) / c[i])
+        a = b = p
+        while hist[a : b + 1].sum() < 0.7 * hist.sum() - 1e-9:
+            below, above = hist[a - 1] if a else 0, hist[b + 1] if b < 19 else 0
+            a, b = (a - 1, b) if a and (below >= above or b == 19) else (a, b + 1)
+        assert got["value_area_position"][i] == (-1 if c[i] < edges[a] else 1 if c[i] > edges[b + 1] else 0)
+    assert all(np.isnan(x).all() for x in folds.volume_profile(h[:5], lo[:5], c[:5], v[:5]).values())
+
+
+def test_range_phases_by_hand():
+    """A climax, a rally, a test, a spring, a sign of strength and a breakout."""
+    n = 60
+    c, v = np.full(n, 100.0), np.full(n, 10.0)
+    h, lo, o = c + 1, c - 1, c - 0.1
+    h[35], lo[35], c[35], v[35] = 100, 90, 95, 100  # climax on ten times the volume
+    c[36:40], h[36:40], lo[36:40] = [98, 100, 103, 106], [99, 101, 104, 107], [96, 98, 101, 104]
+    c[40:44], h[40:44], lo[40:44] = [104, 101, 98, 95], [106, 103, 100, 97], [102, 99, 96, 92]  # back at the low: the test
+    c[44], h[44], lo[44], v[44] = 91, 95, 89, 5  # below 90 and closed above it on light volume
+    c[45:50], h[45:50], lo[45:50] = [97, 102, 105, 106, 120], [98, 103, 106, 107, 121], [94, 97, 102, 104, 106]
+    v[46] = 90
+    w = folds.wyckoff(o, h, lo, c, v)
+    assert list(np.flatnonzero(w["phase"] == 1))[0] == 35 and w["phase"][34] == 0
+    assert w["phase"][43] == 2 and w["spring"][44] == 1 and w["phase"][44] == 3 and w["sos"][46] == 1 and w["phase"][46] == 4 and w["phase"][49] == 5
+    assert w["sc_bars_ago"][46] == 11 and w["in_range"][46] == 1 and w["directional_score"][46] > 50
+    assert len(folds.wyckoff(*[np.array([])] * 5)["phase"]) == 0
 
 
 ONE = {"leverage": 5.0, "risk": 0.01, "stop_atr": 2.0, "reward": 1.0, "hold": 24, "trail": 0.0, "partial": 0.0}
