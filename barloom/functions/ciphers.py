@@ -4,7 +4,7 @@ Defined results: NULL text counts as empty; letters are matched after lower-casi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,21 +49,37 @@ def cipher_sql(text: str, name: str) -> str:
     return " + ".join(f"{v} * (length({t}) - length(replace({t}, '{c}', '')))" for c, v in CIPHERS[name].items())
 
 
-BULL = ("bull", "surge", "rally", "gain", "gains", "rise", "rose", "high", "buy", "pump", "breakout", "positive", "record", "grew", "added")
-BEAR = ("bear", "crash", "dump", "sell", "fear", "drop", "low", "loss", "fell", "negative", "slip", "liquidat", "weak")
-URGENT = ("breaking", "now", "urgent", "alert")
+#: The lexicon. Bullish words count whole, a bearish word counts as a beginning, urgent phrases anywhere.
+BULL = tuple(
+    """bull bullish moon pump rally surge soar gain rise rising breakout ath record high buy long boom explode skyrocket green recover recovery up
+    upgrade adoption approve approved approval etf institutional accumulate hodl hold support uptrend optimistic positive strong strength outperform
+    profit inflow demand milestone parabolic launch partnership integration mainstream halving scarcity golden breakthrough""".split()
+)
+BEAR = tuple(
+    """bear bearish crash dump plunge collapse fear sell selloff short drop decline fall falling tank red panic capitulate liquidat ban hack scam fraud
+    regulate crackdown warning risk bubble overvalued reject rejection resistance downtrend weak loss correction negative trouble bankrupt insolvency
+    default recession inflation outflow sec lawsuit investigation exploit vulnerability death dead worthless ponzi""".split()
+)
+URGENT = ("breaking", "urgent", "alert", "emergency", "flash", "just in", "developing", "live", "now", "imminent", "critical", "warning")
+#: Cipher values of the three sets (any cipher but the reduction).
+TARGETS = {
+    "caution": (93, 39, 43, 48, 223, 322, 17, 113, 11, 19, 13, 22, 33, 44, 66, 77, 88, 99, 666, 911, 47),
+    "pump": (27, 72, 127, 721, 37, 73),
+    "energy": (213, 231, 312, 321, 132, 123, 68),
+}
 
 
-def sentiment(text: Column) -> dict[str, Column]:
-    """Whole-word bullish hits, prefix bearish hits, shouting words, exclamation marks, urgency, score in [-1, 1]."""
+def sentiment(text: Column, bull: Sequence[str] = BULL, bear: Sequence[str] = BEAR, urgent: Sequence[str] = URGENT) -> dict[str, Column]:
+    """Whole-word bullish hits, words with a bearish beginning, their difference, shouted words (split at blanks, two
+    characters or more, no small letter), marks, urgent phrases and words, by the caller's lexicon."""
     t = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"(\w+)"), 1)
-    bull = F.size(F.filter(words, lambda w: w.isin(*BULL)))
-    starts: Callable[[Column], Column] = lambda w: F.exists(F.array(*(F.lit(b) for b in BEAR)), lambda b: F.startswith(w, b))
-    bear = F.size(F.filter(words, starts))
-    caps = F.size(F.filter(F.regexp_extract_all(t, F.lit(r"(\w+)"), 1), lambda w: (F.length(w) > 1) & w.rlike("^[A-Z]+$")))
-    urgent = F.exists(F.array(*(F.lit(u) for u in URGENT)), lambda u: F.contains(F.lower(t), u)).cast("int")
+    bulls = F.size(F.filter(words, lambda w: w.isin(*bull)))
+    starts: Callable[[Column], Column] = lambda w: w.rlike(f"^({'|'.join(bear)})")
+    bears = F.size(F.filter(words, starts))
+    shouted = F.size(F.filter(F.split(t, r"\s+"), lambda w: (F.length(w) > 1) & w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}")))
+    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     return {
-        "bull": bull, "bear": bear, "caps_words": caps, "exclamations": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), "urgent": urgent,
-        "score": F.coalesce((bull - bear) / F.nullif(bull + bear, F.lit(0)), F.lit(0.0)),
+        "bull": bulls, "bear": bears, "score": bulls - bears, "caps_words": shouted, "exclamations": count("!"), "questions": count("?"),
+        "urgency": reduce(lambda a, b: a + b, (F.contains(F.lower(t), F.lit(u)).cast("int") for u in urgent)), "words": F.size(words),
     }

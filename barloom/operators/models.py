@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.session import stored
+
 Source = Callable[[SparkSession, str], DataFrame]
 INPUTS = ["r1", "r5", "vol20", "rng", "vs20"]
 
@@ -59,8 +61,56 @@ def direction_models(source: Source) -> Source:
     return run
 
 
-def meta_label(source: Source) -> Source:
-    """A second model predicts whether the first is right, from margin, confidence and entropy; threshold by a grid."""
+def labelled(bars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Inputs with the barrier label (0 down, 1 neither, 2 up) and a weight: the class' inverse frequency over the least one,
+    times the label's uniqueness where given."""
+    f = frame(bars).join(labels, ["series", "us"]).where("label_i is not null").withColumn("label", F.col("label_i").cast("double"))
+    counts = {r["label"]: r["n"] for r in f.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
+    top = max(counts.values(), default=1)
+    by_class = F.lit(1.0)
+    for k, n in counts.items():
+        by_class = F.when(F.col("label") == k, top / n).otherwise(by_class)
+    return f.withColumn("weight", by_class * F.coalesce(F.col("uniqueness"), F.lit(1.0)))
+
+
+def _three_class(name: str):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    model = (
+        RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=20, maxDepth=5, seed=7)
+        if name == "forest"
+        else LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=0.001, maxIter=20)
+    )
+    return Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model])
+
+
+def three_class(source: Source, labels: Source) -> Source:
+    """Confusion matrix of a forest and a multinomial L1 logistic model on the later part: model, label, predicted, rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, test = _split(stored(labelled(source(spark, sf_dir), labels(spark, sf_dir))))
+        out = None
+        for name in ("forest", "logistic_l1"):
+            part = _three_class(name).fit(train).transform(test).groupBy("label", F.col("prediction").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+            part = part.select(F.lit(name).alias("model"), "label", "predicted", "n")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return run
+
+
+def meta_features(p: str) -> dict:
+    """Greatest probability, those of up and down, margin between the two greatest, entropy; from an array of three."""
+    a, order = F.col(p), F.sort_array(F.col(p), False)
+    ent = F.aggregate(a, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log(x)).otherwise(0.0))
+    return {"p_max": F.array_max(a), "p_up": a[2], "p_down": a[0], "margin": order[0] - order[1], "entropy": ent}
+
+
+def meta_label(source: Source, labels: Source) -> Source:
+    """A second model predicts whether the first is right where it says up or down, from five features of its
+    probabilities; what each threshold of a grid keeps and how often that is right, on the last part of the time span."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from pyspark.ml import Pipeline
@@ -68,19 +118,13 @@ def meta_label(source: Source) -> Source:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        train, test = _split(frame(source(spark, sf_dir)))
-        first = Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=10)]).fit(train)
-
-        def meta(df: DataFrame) -> DataFrame:
-            p = vector_to_array("probability")[1]
-            s = first.transform(df).withColumn("p", p)
-            ent = -(F.col("p") * F.log(F.col("p") + 1e-12) + (1 - F.col("p")) * F.log(1 - F.col("p") + 1e-12))
-            return s.select("p", F.abs(F.col("p") - 0.5).alias("margin"), ent.alias("entropy"), (F.col("prediction") == F.col("y")).cast("double").alias("right"))
-
-        gate = Pipeline(stages=[VectorAssembler(inputCols=["p", "margin", "entropy"], outputCol="m"), LogisticRegression(featuresCol="m", labelCol="right", maxIter=10)]).fit(meta(train))
-        scored = gate.transform(meta(test)).select("right", vector_to_array("probability")[1].alias("q"))
+        train, test = _split(stored(labelled(source(spark, sf_dir), labels(spark, sf_dir))))
+        scored = _three_class("forest").fit(train).transform(test).withColumn("p", vector_to_array("probability")).where("prediction <> 1")
+        meta = stored(scored.select("us", *(e.alias(n) for n, e in meta_features("p").items()), (F.col("prediction") == F.col("label")).cast("double").alias("right")))
+        fit, last = _split(meta)
+        gate = Pipeline(stages=[VectorAssembler(inputCols=list(meta_features("p")), outputCol="m"), LogisticRegression(featuresCol="m", labelCol="right", maxIter=10)]).fit(fit)
         grid = F.explode(F.array(*(F.lit(x / 100) for x in range(30, 66, 5)))).alias("threshold")
-        kept = scored.select("right", "q", grid).where("q >= threshold")
+        kept = gate.transform(last).select("right", vector_to_array("probability")[1].alias("q"), grid).where("q >= threshold")
         return kept.groupBy("threshold").agg(F.count(F.lit(1)).alias("kept"), F.avg("right").alias("precision"))
 
     return run

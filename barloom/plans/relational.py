@@ -311,11 +311,11 @@ def text_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["text_sentiment"] = text_sentiment
 _LIST = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-SQL["text_sentiment"] = f"""SELECT row_id, bull, bear, caps_words, exclamations, urgent, coalesce((bull - bear) / nullif(CAST(bull + bear AS DOUBLE), 0), 0.0) AS score FROM (SELECT row_id,
+SQL["text_sentiment"] = f"""SELECT row_id, bull, bear, bull - bear AS score, caps_words, exclamations, questions, urgency, len(words) AS words FROM (SELECT row_id, words,
  len(list_filter(words, lambda w: list_contains({_LIST(ciphers.BULL)}, w))) AS bull, len(list_filter(words, lambda w: regexp_matches(w, '^({'|'.join(ciphers.BEAR)})'))) AS bear,
- len(list_filter(raw, lambda w: regexp_full_match(w, '[A-Z][A-Z]+'))) AS caps_words, length(t) - length(replace(t, '!', '')) AS exclamations,
- CASE WHEN {' OR '.join(f"contains(lower(t), '{u}')" for u in ciphers.URGENT)} THEN 1 ELSE 0 END AS urgent
- FROM (SELECT row_id, coalesce(full_text, '') AS t, regexp_extract_all(lower(coalesce(full_text, '')), '\\w+') AS words, regexp_extract_all(coalesce(full_text, ''), '\\w+') AS raw FROM tweets) q) r"""
+ len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: length(w) > 1 AND regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '\\p{{Ll}}'))) AS caps_words,
+ length(t) - length(replace(t, '!', '')) AS exclamations, length(t) - length(replace(t, '?', '')) AS questions, {' + '.join(f"CASE WHEN contains(lower(t), '{u}') THEN 1 ELSE 0 END" for u in ciphers.URGENT)} AS urgency
+ FROM (SELECT row_id, coalesce(full_text, '') AS t, regexp_extract_all(lower(coalesce(full_text, '')), '\\w+') AS words FROM tweets) q) r"""
 
 
 # ---------------------------------------------------------------- as-of joins

@@ -26,16 +26,17 @@ def _words(d: Dialect, t: str) -> str:
 def _hits(d: Dialect, text: str) -> dict[str, str]:
     """Bullish whole words, words with a bearish beginning, shouted words, exclamation marks, urgency of a text."""
     low = f"lower(coalesce({text}, ''))"
-    bull, bear = ", ".join(f"'{w}'" for w in ciphers.BULL), " OR ".join(f"w LIKE '{b}%'" for b in ciphers.BEAR)
-    caps = "regexp_full_match(w, '[A-Z][A-Z]+')" if d.duck else "w RLIKE '^[A-Z][A-Z]+$'"
+    bull, bear = ", ".join(f"'{w}'" for w in ciphers.BULL), "|".join(ciphers.BEAR)
+    match = (lambda w, p: f"regexp_matches({w}, '{p}')") if d.duck else (lambda w, p: f"{w} RLIKE r'{p}'")
+    split = f"regexp_split_to_array(coalesce({text}, ''), '\\s+')" if d.duck else f"split(coalesce({text}, ''), r'\\s+')"
+    shouted = f"length(w) > 1 AND {match('w', '[[:upper:]]' if d.duck else '[A-Z]')} AND NOT {match('w', '[[:lower:]]' if d.duck else '[a-z]')}"
     return {
-        "bull": d.size(d.filter(_words(d, low), "w", f"w IN ({bull})")), "bear": d.size(d.filter(_words(d, low), "w", bear)), "caps": d.size(d.filter(_words(d, f"coalesce({text}, '')"), "w", caps)),
+        "bull": d.size(d.filter(_words(d, low), "w", f"w IN ({bull})")), "bear": d.size(d.filter(_words(d, low), "w", match("w", f"^({bear})"))), "caps": d.size(d.filter(split, "w", shouted)),
         "marks": f"length(coalesce({text}, '')) - length(replace(coalesce({text}, ''), '!', ''))", "urgent": "CASE WHEN " + " OR ".join(f"{low} LIKE '%{u}%'" for u in ciphers.URGENT) + " THEN 1 ELSE 0 END",
     }
 
 
-#: Cipher values of the caution, pump and energy sets.
-SETS = {"caution": (93, 39, 43, 48, 223, 322, 113, 311, 13, 33), "pump": (27, 72, 127, 721, 21, 42, 17), "energy": (11, 22, 44, 88, 111, 222)}
+SETS = ciphers.TARGETS
 
 
 def _texts(d: Dialect, table: str, key: str, text: str) -> str:

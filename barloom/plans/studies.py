@@ -118,6 +118,12 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.knn_patterns(bars(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barrier labels with the uniqueness of their intervals."""
+    q = relational.QUERIES
+    return q["labels_triple_barrier"](spark, sf_dir).join(q["sample_uniqueness"](spark, sf_dir), ["series", "us"], "left")
+
+
 def knn_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pattern search's answer for the last bar of every series."""
     got = knn(spark, sf_dir)
@@ -212,7 +218,8 @@ QUERIES = {
     "dual_importance": models.dual_importance(bars),
     "overfitting": overfitting,
     "direction_models": models.direction_models(bars),
-    "meta_label": models.meta_label(bars),
+    "three_class_models": models.three_class(bars, _labels),
+    "meta_label": models.meta_label(bars, _labels),
     "regime_mixture": models.regime_mixture(bars),
     "mutual_information": models.mutual_information(bars),
 }
