@@ -71,7 +71,7 @@ def fractional_differences(bars: DataFrame) -> DataFrame:
         present = F.size(F.filter(held, lambda v: v.isNotNull()))
         full = (F.size("_w") >= size) & (present * 2 >= size)
         total = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
-        out.append(F.when(full, total).cast("float").cast("double").alias(f"fracdiff_{n}"))
+        out.append(F.when(full, total).alias(f"fracdiff_{n}"))
     return b.select("series", "us", *out)
 
 

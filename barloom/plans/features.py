@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.functions import calendar, sky
 from barloom.operators import kernels, momentum, ta
@@ -39,7 +40,8 @@ for _name, _build in {
 
 def fractional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractional differences of close, log close, volume and on-balance volume with the full weights."""
-    return kernels.fractional_differences(bars(spark, sf_dir))
+    got = kernels.fractional_differences(bars(spark, sf_dir))
+    return got.select("series", "us", *(F.col(c).cast("float").cast("double").alias(c) for c in got.columns[2:]))
 
 
 QUERIES["fractional_differences"] = fractional_differences
