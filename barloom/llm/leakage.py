@@ -108,25 +108,33 @@ def align_many(docs: list[list[str]], items: list[list[str]], gap: int = 1, cell
         part = order[start:end]
         start = end
         n, m, b = len(coded[part[-1]][0]), widest, len(part)
-        it, text = np.full((b, m), -2, np.int32), np.full((n, b), -1, np.int32)
+        kind = np.int16 if m < 8000 else np.int32  # no score or streak passes three times the item's words
+        it, text = np.full((m, b), -2, kind), np.full((n, b), -1, kind)
         for r, k in enumerate(part):
-            it[r, : len(coded[k][1])] = coded[k][1]
+            it[: len(coded[k][1]), r] = coded[k][1]
             text[: len(coded[k][0]), r] = coded[k][0]
-        ramp = np.arange(1, m + 1, dtype=np.int32) * gap
-        h, streak = np.zeros((b, m + 1), np.int32), np.zeros((b, m + 1), np.int32)
-        best, longest = np.zeros(b, np.int32), np.zeros(b, np.int32)
+        # one row an item word, one column a pair: shifts are contiguous and the running maximum goes over rows
+        ramp = (np.arange(1, m + 1, dtype=kind) * kind(gap))[:, None]
+        h, streak = np.zeros((m + 1, b), kind), np.zeros((m + 1, b), kind)
+        best, longest = np.zeros((m, b), kind), np.zeros((m, b), kind)
+        new, off, run = np.empty((m, b), kind), np.empty((m, b), kind), np.empty((m, b), kind)
         for word in text:
-            same = it == word[:, None]
-            new = h[:, :-1] + same * np.int32(3) - np.int32(1)
-            np.maximum(new, h[:, 1:] - gap, out=new)
+            same = (it == word).view(np.int8)
+            np.multiply(same, 3, out=new, casting="unsafe")
+            new += h[:-1]
+            new -= 1
+            np.subtract(h[1:], gap, out=off, casting="unsafe")
+            np.maximum(new, off, out=new)
             np.maximum(new, 0, out=new)
             new += ramp
-            np.maximum.accumulate(new, axis=1, out=new)
+            np.maximum.accumulate(new, axis=0, out=new)
             new -= ramp
-            run = (streak[:, :-1] + 1) * same
-            h[:, 1:], streak[:, 1:] = new, run
-            np.maximum(best, new.max(1), out=best)
-            np.maximum(longest, run.max(1), out=longest)
+            np.add(streak[:-1], 1, out=run, casting="unsafe")
+            run *= same
+            h[1:], streak[1:] = new, run
+            np.maximum(best, new, out=best)
+            np.maximum(longest, run, out=longest)
+        best, longest = best.max(0, initial=0), longest.max(0, initial=0)
         for r, k in enumerate(part):
             out[k] = (int(best[r]), int(longest[r]))
     return out

@@ -136,7 +136,8 @@ _PLAIN = frozenset(
     by at on in of for from with to if when while as is was are were be been not and or but then than so
     monday tuesday wednesday thursday friday saturday sunday weekend utc""".split()
 )
-_FIRM = frozenset("capital research partners markets data group bank fund holdings labs desk trading athletic united city rovers owls foxes lanterns & reed".split())
+#: Words of firms, funds and clubs in general, and legal forms; a name with one of them is no person's.
+_FIRM = frozenset("capital research partners markets data group bank fund holdings labs trading athletic united city rovers ltd inc llc plc gmbh corp club fc & sa ag".split())
 _OPENERS = frozenset("signed regards yours thanks contact attn firmado atentamente signé gezeichnet unterzeichnet according laut selon según".split())
 _TITLES = (
     r"(?:(?i:mr|mrs|ms|miss|dr|prof|herrn|herr|frau|mme|mlle|monsieur|madame|maître|sr|sra|srta|señora|señor|don|doña)\.?|(?<=[Ss]elon )M\.|(?<=[Pp]our )M\.)"
