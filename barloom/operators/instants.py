@@ -247,7 +247,7 @@ def with_text_instants(df: DataFrame, col: str, clocks: DataFrame, span: Span =
         {
             "utc_us": plausible(us, span),
             "ambiguous": F.coalesce(plain & (n > 1), F.lit(False)),
-            "nonexistent": F.coalesce(plain & (n == 0), F.lit(False)),
+            "nonexistent": F.coalesce(plain & (n == 0) & plausible(wall, span or ZONE_YEARS).isNotNull(), F.lit(False)),
         },
     ).drop("_c", "_epoch", "_p", "_wall", "_off", "_abbr", "epoch_basis", "date_order", "offsets")
 

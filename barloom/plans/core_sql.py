@@ -157,9 +157,33 @@ def _hampel(src: str, keys: str, x: str, field: str, log: bool, exact: str) -> s
  (SELECT *, {z} AS z, list({z}) {w(3)} AS near7, median({z}) {w(3)} AS med7, list({z}) {w(2)} AS near5, median({z}) {w(2)} AS med5 FROM {src}) a) b) c"""
 
 
+_LOCAL = "timezone(zone_name, {w})"
+_TWICE = "(" + " OR ".join(f"timezone(zone_name, {_LOCAL} {s} INTERVAL 1 HOUR) = {{w}}" for s in "+-") + ")"
+_NEVER = f"timezone(zone_name, {_LOCAL}) <> {{w}}"
+_IN_SPAN = "{w} >= 1688169600000000 AND {w} < 1740787200000000"
+
+
+def _normalised() -> str:
+    """Every row of the four tables with its instant and flags."""
+    parts = []
+    for tab, name, col, unit in (("ohlcv", "bars", "open_time", 1000), ("space_weather", "wind", '"timestamp"', 1000000)):
+        wall = "make_timestamp(wall)"
+        local = f"coalesce(epoch_basis = 'local' AND {_IN_SPAN.format(w='wall')}, FALSE)"
+        us = f"CASE WHEN {_IN_SPAN.format(w='wall')} THEN CASE WHEN epoch_basis = 'local' THEN CASE WHEN NOT {_NEVER.format(w=wall)} THEN epoch_us({_LOCAL.format(w=wall)}) END ELSE wall END END"
+        parts.append(f"""SELECT '{tab}' AS tab, row_id, u AS utc_us, coalesce(CAST({col} AS HUGEINT) * {unit} = u, FALSE) AS standard, amb AS ambiguous, never AS nonexistent FROM
+ (SELECT *, {us} AS u, {local} AND coalesce({_TWICE.format(w=wall)}, FALSE) AS amb, {local} AND coalesce({_NEVER.format(w=wall)}, FALSE) AS never FROM {name}_raw) q""")
+    for tab, name, key, col in (("onchain_data", "chain", "id", '"timestamp"'), ("tweets", "tweeted", "row_id", "created_at")):
+        plain = "own IS NULL AND wall IS NOT NULL AND zone_name IS NOT NULL"
+        parts.append(f"""SELECT '{tab}', w.{key}, r.utc_us, coalesce(r.utc_us IS NOT NULL AND regexp_full_match(w.{col}, '[0-9-]{{10}}T[0-9:]{{8}}[+]00:00'), FALSE),
+ {plain} AND coalesce({_IN_SPAN.format(w='epoch_us(wall)')} AND {_TWICE.format(w='wall')}, FALSE), {plain} AND coalesce({_IN_SPAN.format(w='epoch_us(wall)')} AND {_NEVER.format(w='wall')}, FALSE)
+ FROM {name}_w w LEFT JOIN (SELECT {key} AS k, utc_us FROM {name}) r ON r.k = w.{key}""")
+    return f"WITH {BARS}, {WIND}, {CHAIN}, {TWEETS} " + " UNION ALL ".join(parts)
+
+
 _EXACT = _FOUND2[: _FOUND2.index("sv AS (")]
 _SURGE = f"surge AS (SELECT {_K}, utc_us FROM (SELECT *, lag(v) {_VW} AS p1, lead(v) {_VW} AS n1 FROM fv WHERE v > 0) q WHERE v > 15 * p1 AND v > 15 * n1)"
 SQL = {
+    "p3_normalised": _normalised(),
     "p2_hampel": f"{_EXACT} {_SURGE}, positive AS (SELECT * FROM fv WHERE v > 0) "
     + " UNION ALL ".join((_hampel("fc", _K, "c", "close", True, "xc_e"), _hampel("positive", _K, "v", "volume", True, "surge"), _hampel("fs", "collector", "s", "solar_wind_speed", False, "xs_e"))),
     "p1_rolling_totals": _rolling(),
