@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import stored
 
 MONEY = "decimal(38,6)"
 DAY_US = 86_400_000_000
@@ -143,12 +143,12 @@ def apply_corrections(state: DataFrame, changes: DataFrame, entity: Sequence[str
 
 
 def rolling_totals(
-    rows: DataFrame, entity: Sequence[str], natural: Sequence[str], version: str, values: Sequence[str], active: str, periods: Sequence[int] = (7, 30), stretch: int = 240
+    rows: DataFrame, entity: Sequence[str], natural: Sequence[str], version: str, values: Sequence[str], active: str, periods: Sequence[int] = (7, 30), stretch: int = 366
 ) -> DataFrame:
     """Totals of the latest deliveries: version 1 from first deliveries, version 2 where later ones changed a day.
 
     The state is carried over stretches of `stretch` days, each stored in the shared folder before the next starts from it."""
-    ledger = cut_lineage(ledgers(rows, entity, natural, version, values, active))
+    ledger = stored(ledgers(rows, entity, natural, version, values, active))
     lo, hi = ledger.agg(F.min("day"), F.max("day")).first()
     if lo is None:
         lo = hi = 0
@@ -156,7 +156,7 @@ def rolling_totals(
     for until in range(lo + stretch - 1, hi + stretch, stretch):
         part = advance(last, ledger, entity, values, periods, until)
         if until < hi:  # stored: the next stretch starts from it
-            part = cut_lineage(part)
+            part = stored(part)
             last = newest(part if last is None else last.unionByName(part), entity)
         parts.append(part)
     state = reduce(DataFrame.unionByName, parts)
