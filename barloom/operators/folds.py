@@ -204,29 +204,42 @@ def pattern_columns(bars: DataFrame) -> DataFrame:
     return per_series(bars, fold, schema + ", ".join([f"{k} double" for k in PROFILE] + [f"wyckoff_{k} {kinds.get(k, 'double')}" for k in PHASES]))
 
 
+def nearest_patterns(close: np.ndarray, length: int = 5, k: int = 10, lookback: int = 500, decay: float = 0.001, rows: int = 256) -> np.ndarray:
+    """(bars, 5): direction, confidence, weighted return, least and spread of distances, NaN before length + k + 1 bars.
+
+    A bar's pattern is the z-scored changes of its last `length` bars; it is compared with the patterns of up to `lookback`
+    earlier bars, whose next change is known; the k nearest (earlier ones on ties) vote with 1 / distance, fading with age.
+    Blocks of bars are compared with their candidates at once."""
+    n, out = len(close), np.full((len(close), 5), np.nan)
+    if n <= length + k + 1:
+        return out
+    change = np.diff(close) / close[:-1]
+    win = np.lib.stride_tricks.sliding_window_view(change, length)  # window i ends at bar i + length
+    z = (win - win.mean(1, keepdims=True)) / (win.std(1, keepdims=True) + 1e-12)
+    for a in range(k + 1, n - length, rows):
+        w = np.arange(a, min(a + rows, n - length))
+        c = np.arange(max(0, a - lookback), w[-1])
+        d = np.sqrt(((z[w][:, None] - z[c][None]) ** 2).sum(2) + 1e-8)
+        d = np.where((c < w[:, None]) & (c >= w[:, None] - lookback), d, np.inf)
+        take = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near, at = np.take_along_axis(d, take, 1), c[take]
+        ok = np.isfinite(near)
+        vote = np.where(ok, 1 / (near + 1e-8) * np.exp(-decay * (w[:, None] - at)), 0.0)
+        nxt = np.where(ok, change[np.minimum(at + length, len(change) - 1)], 0.0)
+        total = vote.sum(1)
+        up = np.where(nxt > 0, vote, 0.0).sum(1) / np.where(total > 0, total, 1)
+        some = np.where(ok, near, np.nan)
+        got = np.column_stack([(up > 0.5).astype(float), np.maximum(up, 1 - up), (vote * nxt).sum(1) / np.where(total > 0, total, 1), near[:, 0], np.nanstd(some, axis=1)])
+        out[w + length] = np.where(ok.sum(1)[:, None] >= 3, got, np.nan)
+    return out
+
+
 def knn_patterns(bars: DataFrame, length: int = 5, k: int = 10, lookback: int = 500, decay: float = 0.001) -> DataFrame:
-    """Walk-forward nearest patterns: z-scored changes of `length` bars against earlier ones of the same series only."""
+    """Walk-forward nearest patterns of every bar, against earlier bars of the same series only."""
+    names = ("direction", "confidence", "return", "distance", "distance_spread")
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        c = p["close"].to_numpy(float)
-        n = len(c)
-        ch = np.diff(c) / c[:-1]
-        direction, confidence, mean, near = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
-        if n > length + k + 1:
-            win = np.lib.stride_tricks.sliding_window_view(ch, length)  # window i ends at bar i + length
-            z = (win - win.mean(1, keepdims=True)) / (win.std(1, keepdims=True) + 1e-12)
-            for i in range(length + k + 1, n):
-                w = i - length
-                lo = max(0, w - lookback)
-                cand = z[lo:w]  # their next return is known at bar i
-                d = np.sqrt(((cand - z[w]) ** 2).sum(1) + 1e-8)
-                take = np.argsort(d, kind="stable")[:k]
-                if len(take) < 3:
-                    continue
-                ret = ch[lo + take + length]
-                wt = 1 / (d[take] + 1e-8) * np.exp(-decay * (w - lo - take))
-                up = wt[ret > 0].sum() / wt.sum()
-                direction[i], confidence[i], mean[i], near[i] = float(up > 0.5), max(up, 1 - up), (wt * ret).sum() / wt.sum(), d[take].min()
-        return pd.DataFrame({"series": p["series"], "us": p["us"], "knn_direction": direction, "knn_confidence": confidence, "knn_return": mean, "knn_distance": near})
-
-    return per_series(bars, fold, "series string, us bigint, knn_direction double, knn_confidence double, knn_return double, knn_distance double")
+        got = nearest_patterns(p["close"].to_numpy(float), length, k, lookback, decay)
+        return pd.DataFrame({"series": p["series"], "us": p["us"]} | {f"knn_{n}": got[:, i] for i, n in enumerate(names)})
+
+    return per_series(bars, fold, "series string, us bigint, " + ", ".join(f"knn_{n} double" for n in names))

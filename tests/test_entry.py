@@ -11,7 +11,7 @@ def test_contract(spark):
     assert entry.entry(spark).columns
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "ta_candles", "asof_nearest_funding", "monthly_heatmap", "text_ciphers"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p1_rolling_totals", "p2_hampel", "p3_normalised", "ta_candles", "ta_exponential", "higher_timeframes", "flow_columns", "cross_families", "cpcv_splits", "asof_nearest_funding", "monthly_heatmap", "text_ciphers", "text_sentiment"])
 def test_query_equals_sql(spark, sf_dir, name):
     import glob
     import os

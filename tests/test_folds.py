@@ -106,3 +106,22 @@ def test_winners_and_portfolio(spark):
     trades = [("p", f"s{i}", "1h", 10 * i, 1000, 1 if i != 2 else -1, -0.01) for i in range(5)] + [("p", "t0", "4h", 60, 2000, 1, 0.01), ("p", "t1", "1h", 1500, 1600, 1, 0.01)]
     got = {x["series"]: (x["decision"], x["scale"]) for x in simulate.portfolio(spark.createDataFrame(trades, "who string, series string, tf string, entry_us bigint, exit_us bigint, side int, pnl double"), "who").collect()}
     assert got["s0"] == ("taken", 1.0) and got["s1"] == ("taken", 0.75) and got["s2"][0] == "full" and got["t0"] == ("taken", 0.5) and got["t1"][0] == "taken"
+
+
+def test_nearest_patterns_by_loops():
+    rng = np.random.default_rng(4)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 300)))
+    got = folds.nearest_patterns(close, length=4, k=5, lookback=60, rows=37)
+    change = np.diff(close) / close[:-1]
+    pattern = lambda w: (change[w : w + 4] - change[w : w + 4].mean()) / (change[w : w + 4].std() + 1e-12)
+    for i in range(300):
+        w = i - 4
+        if i < 4 + 5 + 1:
+            assert np.isnan(got[i]).all()
+            continue
+        d = sorted((np.sqrt(((pattern(w) - pattern(c)) ** 2).sum() + 1e-8), c) for c in range(max(0, w - 60), w))[:5]
+        wt = [1 / (x + 1e-8) * np.exp(-0.001 * (w - c)) for x, c in d]
+        nxt = [change[c + 4] for _, c in d]
+        up = sum(a for a, r in zip(wt, nxt) if r > 0) / sum(wt)
+        assert got[i][0] == float(up > 0.5) and got[i][1] == pytest.approx(max(up, 1 - up)) and got[i][2] == pytest.approx(sum(a * r for a, r in zip(wt, nxt)) / sum(wt)) and got[i][3] == pytest.approx(d[0][0])
+    assert np.isnan(folds.nearest_patterns(close[:8])).all()
