@@ -91,21 +91,38 @@ def cycles(d: Dialect) -> Stages:
     return [s1, s2, s3, s4]
 
 
-#: Size multipliers by regime of the audit (bull, bear, sideways, crash) and of the live trader (six states).
-AUDIT_SIZE = {1: 1.0, 2: 0.47, 0: 0.67, 3: 0.2}
-LIVE_SIZE = {1: 1.0, 2: 0.47, 0: 0.67, 3: 0.07, 4: 0.5, 5: 0.5}
+#: Multipliers (leverage, risk, stop, reward, hold) by regime, of the audit and of the live trader.
+#: Regimes: 0 sideways, 1 bull, 2 bear, 3 crash, 4 transition, 5 unknown.
+MULTIPLIERS = ("lev", "risk", "stop", "reward", "hold")
+AUDIT = {1: (1.0, 1.0, 1.0, 1.5, 1.0), 2: (0.47, 1.0, 0.75, 0.75, 0.17), 0: (0.67, 0.47, 0.5, 0.5, 1.0), 3: (0.2, 0.25, 0.5, 0.5, 0.1)}
+LIVE = {
+    1: (1.0, 1.0, 1.0, 1.0, 1.0), 2: (0.47, 1.0, 0.75, 0.75, 0.17), 0: (0.67, 0.47, 0.5, 0.5, 1.0), 3: (0.07, 1.0, 1.5, 0.25, 2.0),
+    4: (0.8, 0.8, 0.8, 0.8, 0.8), 5: (1.0, 1.0, 1.0, 1.0, 1.0),
+}
 
 
 def regimes(d: Dialect) -> Stages:
-    """Trend by the 100-bar mean and its slope, crash by volatility and drawdown, range position, rescaled-range exponent."""
-    s1 = {"ret": f"round({change('close')}, 10)", "m100": f"round(avg(close) {over(100)}, 10)", "peak30": f"max(close) {over(30)}", "hi20": rolling("max", "high", 20), "lo20": rolling("min", "low", 20)}
-    s2 = {"slope": f"round(({lead('m100')} - {lag('m100')}) / (2 * m100), 7)", "vol20": rolling("stddev_samp", "ret", 20, 10, digits=None), "dd30": "1 - close / peak30", "dev": f"ret - avg(ret) {over(20)}", "r_sd": rolling("stddev_samp", "ret", 20)}
-    s3 = {"vol_mean": f"avg(vol20) {over(200)}", "range_pos": f"least(1.0, greatest(0.0, {ratio('close - lo20', 'hi20 - lo20')}))", "cum": f"sum(dev) {over(20)}"}
+    """Trend by the 100-bar mean and its slope, crash by volatility and drawdown, with the audit's and the live trader's
+    multipliers; range position, rescaled-range exponent. The audit's slope is central (it sees one bar ahead, as
+    specified), the live one looks back only and is unknown before 100 bars."""
+    s1 = {"ret": f"round(ln(close / {lag('close')}), 10)", "m100": f"round(avg(close) {over(100)}, 10)", "n100": f"count(close) {over(100)}", "peak30": f"max(close) {over(30)}", "hi20": rolling("max", "high", 20), "lo20": rolling("min", "low", 20)}
+    ahead, behind = lead("m100"), lag("m100")
+    s2 = {
+        "slope": f"round((coalesce({ahead}, m100) - coalesce({behind}, m100)) / (CASE WHEN {ahead} IS NULL OR {behind} IS NULL THEN 1 ELSE 2 END) / m100, 7)", "slope_back": f"round((m100 - {behind}) / m100, 7)",
+        "vol20": rolling("stddev_samp", "ret", 20, 2, digits=None), "dd30": "1 - close / peak30", "dev": f"ret - avg(ret) {over(20)}", "r_sd": rolling("stddev_samp", "ret", 20),
+    }
+    s3 = {"vol_mean": f"avg(vol20) {over(90)}", "range_pos": f"least(1.0, greatest(0.0, {ratio('close - lo20', 'hi20 - lo20')}))", "cum": f"sum(dev) {over(20)}"}
+    crash = "round(vol20 - 2 * vol_mean, 9) > 0 AND dd30 > 0.15"
     s4 = {
-        "regime_i": "CASE WHEN vol20 > 2 * vol_mean AND close < m100 AND dd30 > 0.15 THEN 3 WHEN slope > 0.001 AND close > m100 THEN 1 WHEN slope < -0.001 AND close < m100 THEN 2 ELSE 0 END",
+        "regime_i": f"CASE WHEN {crash} AND close <= m100 THEN 3 WHEN slope > 0.001 AND close > m100 THEN 1 WHEN slope < -0.001 AND close <= m100 THEN 2 ELSE 0 END",
+        "live_regime_i": f"CASE WHEN n100 < 100 OR slope_back IS NULL THEN 5 WHEN {crash} AND close < m100 THEN 3 WHEN close > m100 AND slope_back > 0.001 THEN 1 WHEN close <= m100 AND slope_back < -0.001 THEN 2"
+                         " WHEN abs(close - m100) / m100 < 0.05 OR abs(slope_back) <= 0.001 THEN 0 ELSE 4 END",
         "rs": f"(max(cum) {over(20)} - min(cum) {over(20)}) / nullif(r_sd, 0)",
     }
-    return [s1, s2, s3, s4, {"hurst": "CASE WHEN rs > 0 THEN ln(rs) / ln(20) END", "size": "CASE regime_i " + " ".join(f"WHEN {k} THEN {v!r}e0" for k, v in AUDIT_SIZE.items()) + " END"}]
+    pick = lambda col, table, k: f"CASE {col} " + " ".join(f"WHEN {r} THEN {v[k]!r}e0" for r, v in table.items()) + " END"
+    s5 = {"hurst": "CASE WHEN rs > 0 THEN ln(rs) / ln(20) END", "size": pick("regime_i", AUDIT, 0)}
+    s5 |= {f"audit_{m}": pick("regime_i", AUDIT, k) for k, m in enumerate(MULTIPLIERS)} | {f"live_{m}": pick("live_regime_i", LIVE, k) for k, m in enumerate(MULTIPLIERS)}
+    return [s1, s2, s3, s4, s5]
 
 
 def _z(x: str, n: int, least: int) -> str:
