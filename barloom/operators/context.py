@@ -89,8 +89,8 @@ def parent_features(d: Dialect) -> Stages:
     s2 = {"gain": "CASE WHEN d IS NOT NULL THEN greatest(d, 0e0) END", "loss": "CASE WHEN d IS NOT NULL THEN greatest(-d, 0e0) END", "atr": rolling("avg", "tr", 14), "vol": rolling("stddev_samp", "ret", 20, digits=None)}
     first = {"ema50": ("close", 2 / 51, False, 1), "e12": ("close", 2 / 13, False, 1), "e26": ("close", 2 / 27, False, 1), "g": ("gain", 1 / 14, True, 14), "l": ("loss", 1 / 14, True, 14)}
     now = {
-        "trend_n": "CASE WHEN round(close - ema50, 8) > 0 THEN 1 WHEN round(close - ema50, 8) < 0 THEN -1 ELSE 0 END", "ema50_dist_n": ratio("close - ema50", "ema50"),
-        "rsi_14_n": "CASE WHEN l = 0 AND g > 0 THEN 100e0 ELSE 100 - 100 / (1 + g / nullif(l, 0)) END", "bb_pctb_n": ratio("close - m20 + 2 * sd20", "4 * sd20"), "macd_n": "e12 - e26",
+        "trend_n": "CASE WHEN round(close - ema50, 8) > 0 THEN 1 WHEN round(close - ema50, 8) < 0 THEN -1 ELSE 0 END", "ema50_dist_n": f"round({ratio('close - ema50', 'ema50')}, 8) + 0e0",
+        "rsi_14_n": "CASE WHEN l = 0 AND g > 0 THEN 100e0 ELSE 100 - 100 / (1 + g / nullif(l, 0)) END", "bb_pctb_n": ratio("close - m20 + 2 * sd20", "4 * sd20"), "macd_n": "CASE WHEN abs(e12 - e26) < 1e-9 * close THEN 0e0 ELSE e12 - e26 END",
         "return_n": "ret", "volatility_n": "vol", "atr_pct_n": ratio("atr", "close"), "vol_ratio_n": ratio("volume", "v20"),
     }
     return [s1, s2, *momentum.ewm(d, first, "e_"), now, {f"{c}_p": lag(f"{c}_n") for c in PARENT_COLUMNS}]

@@ -53,6 +53,11 @@ def _rsi(gain: str, loss: str) -> str:
     return f"CASE WHEN {loss} = 0 AND {gain} > 0 THEN 100e0 ELSE 100 - 100 / (1 + {gain} / nullif({loss}, 0)) END"
 
 
+def _snap(x: str) -> str:
+    """x, or 0 where it is nothing beside the price but what is left of a difference of equal values."""
+    return f"CASE WHEN abs({x}) < 1e-9 * close THEN 0e0 ELSE {x} END"
+
+
 def _moves() -> Stages:
     return [{"d": f"close - {lag('close')}"}, {"gain": "CASE WHEN d IS NOT NULL THEN greatest(d, 0e0) END", "loss": "CASE WHEN d IS NOT NULL THEN greatest(-d, 0e0) END"}]
 
@@ -62,10 +67,10 @@ def averages(d: Dialect) -> Stages:
     first = {f"ema_{n}": ("close", 2 / (n + 1), False, 1) for n in (*SPANS, 12, 26)}
     first |= {f"g_{n}": ("gain", 1 / n, True, n) for n in PERIODS} | {f"l_{n}": ("loss", 1 / n, True, n) for n in PERIODS}
     s = {f"close_vs_ema_{n}": f"round({ratio(f'close - ema_{n}', f'ema_{n}')}, 8) + 0e0" for n in SPANS} | {f"rsi_{n}": f"round({_rsi(f'g_{n}', f'l_{n}')}, 8)" for n in PERIODS}
-    s |= {"macd_line": "round(ema_12 - ema_26, 8) + 0e0"}
-    flags = {"rsi_14_ob": flag("rsi_14 > 70"), "rsi_14_os": flag("rsi_14 < 30"), "macd_histogram": "round(macd_line - macd_signal, 6) + 0e0", "gap": "round(macd_line - macd_signal, 8)"}
+    s |= {"macd_line": _snap("ema_12 - ema_26")}
+    flags = {"rsi_14_ob": flag("rsi_14 > 70"), "rsi_14_os": flag("rsi_14 < 30"), "macd_histogram": _snap("macd_line - signal_raw"), "gap": "round(macd_line - signal_raw, 8)"}
     cross = {"macd_cross_up": flag(f"gap > 0 AND {lag('gap')} <= 0"), "macd_cross_down": flag(f"gap < 0 AND {lag('gap')} >= 0")}
-    return [*_moves(), *ewm(d, first, "e_"), s, *ewm(d, {"signal_raw": ("macd_line", 2 / 10, False, 1)}, "f_"), {"macd_signal": "round(signal_raw, 6) + 0e0"}, flags, cross]
+    return [*_moves(), *ewm(d, first, "e_"), s, *ewm(d, {"signal_raw": ("macd_line", 2 / 10, False, 1)}, "f_"), {"macd_signal": _snap("signal_raw")}, flags, cross]
 
 
 AVERAGES = [f"ema_{n}" for n in SPANS] + [f"close_vs_ema_{n}" for n in SPANS] + [f"rsi_{n}" for n in PERIODS] + ["rsi_14_ob", "rsi_14_os", "macd_line", "macd_signal", "macd_histogram", "macd_cross_up", "macd_cross_down"]

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +12,7 @@ def test_contract(spark):
     assert entry.entry(spark).columns
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p1_rolling_totals", "p2_hampel", "p3_normalised", "ta_candles", "ta_exponential", "higher_timeframes", "flow_columns", "cross_families", "cpcv_splits", "asof_nearest_funding", "monthly_heatmap", "text_ciphers", "text_sentiment"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p1_rolling_totals", "p2_hampel", "p3_normalised", "ta_candles", "ta_exponential", "higher_timeframes", "flow_columns", "cpcv_splits", "asof_nearest_funding", "monthly_heatmap", "text_ciphers", "text_sentiment"])
 def test_query_equals_sql(spark, sf_dir, name):
     import glob
     import os
@@ -31,10 +32,19 @@ def test_query_equals_sql(spark, sf_dir, name):
 def norm_rows(d, cols):
     out = []
     for r in d[cols].astype(object).itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else float(v) if not isinstance(v, str) else v for v in r))
+        out.append(tuple(_plain(v) for v in r))
     return out
 
 
+def _plain(v):
+    """NULL for any missing value, whole numbers exactly, others to six digits."""
+    if isinstance(v, str):
+        return v
+    if pd.isna(v):
+        return None
+    return float(v) if float(v) == int(v) else float(f"{float(v):.6g}")
+
+
 def test_cipher_values(spark):
     from pyspark.sql import functions as F
 
