@@ -37,7 +37,7 @@ b_timed AS (SELECT *, CASE WHEN epoch_basis = 'local' THEN epoch_us(timezone(zon
  WHERE wall >= 1688169600000000 AND wall < 1740787200000000),
 b_last AS (SELECT * FROM b_timed QUALIFY row_number() OVER (PARTITION BY collector, symbol, timeframe, us ORDER BY row_id DESC) = 1),
 bars AS (SELECT collector || ':' || symbol AS series, symbol, timeframe AS tf, us, open, high, low, close,
- CASE WHEN volume >= 0 AND volume < 1e14 THEN volume / 1e6 END AS volume,
- CASE WHEN taker_buy_volume >= 0 AND taker_buy_volume < 1e14 THEN taker_buy_volume / 1e6 END AS taker_buy_volume
+ CASE WHEN NOT isnan(volume) AND volume >= 0 AND volume < 1e14 THEN volume / 1e6 END AS volume,
+ CASE WHEN NOT isnan(taker_buy_volume) AND taker_buy_volume >= 0 AND taker_buy_volume < 1e14 THEN taker_buy_volume / 1e6 END AS taker_buy_volume
  FROM b_last WHERE open > 0 AND open < 1e9 AND high > 0 AND high < 1e9 AND low > 0 AND low < 1e9 AND close > 0 AND close < 1e9)
 --body-- SELECT * FROM bars"""
